@@ -24,7 +24,11 @@ from sigstrata.operators import (assign_pages, attach_outliers, boxplot, downsam
 from sigstrata.plans.panels import signal_series
 from sigstrata.plans.viewport import between_columns, drill_boxes, quick_range, zoom_columns
 from sigstrata.schemas import DAY_MS, HOUR_MS, MINUTE_MS
-from sigstrata.sources.adapters import ensure_channels, event_signals, lineitem_signals, read_table
+from sigstrata.session import scratch_path
+from sigstrata.sources.adapters import ensure_channels, event_signals, lineitem_signals, read_table, to_signals
+from sigstrata.sources.ingest import encode_rows, parse_rows
+from sigstrata.sources.store import SignalStore
+from sigstrata.streaming.jobs import file_source, ingest_metrics, start_ingest, start_rollup
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -39,6 +43,9 @@ DENSE_BINS = 200
 PRESELECT_BUCKETS = 100
 L1_VIEW = (T0 + 3 * DAY_MS + 1_800_000, T0 + 10 * DAY_MS)   # unaligned start exercises K3
 L2_VIEW = (T0 + 2 * DAY_MS + 1_234_567, T0 + 25 * DAY_MS)
+ARCHIVE_1 = T0 + 10 * DAY_MS + 5 * HOUR_MS     # not midnight: aligned down by the store
+ARCHIVE_2 = T0 + 20 * DAY_MS
+INCREMENT_AT = T0 + 15 * DAY_MS + 7 * HOUR_MS
 
 
 def _r(c, d: int = 6):
@@ -247,6 +254,105 @@ def q_ensure_channels(spark, d):
     return ensure_channels(ch, flags)
 
 
+def _sig_cols(df: DataFrame) -> DataFrame:
+    return df.select("ts", "channel_id", "value")
+
+
+def _loaded_store(spark, d) -> tuple[SignalStore, DataFrame]:
+    sig, ch = event_signals(spark, d)
+    store = SignalStore(spark, scratch_path(spark, "store"))
+    store.write_channels(ch)
+    store.bulk_load(sig)
+    return store, sig
+
+
+def q_bulk_load_l1(spark, d):
+    store, _ = _loaded_store(spark, d)
+    return _round_rollup(store.rollup_layer("L1").drop("dt"))
+
+
+def q_archive_roundtrip(spark, d):
+    store, _ = _loaded_store(spark, d)
+    store.archive_before(ARCHIVE_1)
+    return _sig_cols(store.unified())
+
+
+def q_archive_twice(spark, d):
+    store, _ = _loaded_store(spark, d)
+    store.archive_before(ARCHIVE_1)
+    store.archive_before(ARCHIVE_2)
+    return _sig_cols(store.unified())
+
+
+def q_archive_twice_l1(spark, d):
+    store, _ = _loaded_store(spark, d)
+    store.archive_before(ARCHIVE_1)
+    store.archive_before(ARCHIVE_2)
+    return _round_rollup(store.rollup_layer("L1").drop("dt"))
+
+
+def q_archive_twice_l2(spark, d):
+    store, _ = _loaded_store(spark, d)
+    store.archive_before(ARCHIVE_1)
+    store.archive_before(ARCHIVE_2)
+    return _round_rollup(store.rollup_layer("L2").drop("dt"))
+
+
+def q_rollup_incremental(spark, d):
+    sig, ch = event_signals(spark, d)
+    store = SignalStore(spark, scratch_path(spark, "store"))
+    store.bulk_load(sig.filter(F.col("ts") < INCREMENT_AT))
+    store.append(sig.filter(F.col("ts") >= INCREMENT_AT))
+    store.refresh_rollups(INCREMENT_AT)
+    return _round_rollup(store.rollup_layer("L1").drop("dt"))
+
+
+def q_parse_rows(spark, d):
+    good, _ = parse_rows(encode_rows(_ev(spark, d)))
+    return good
+
+
+def _event_stream(spark, d):
+    events = read_table(spark, d, "events")
+    _, ch = event_signals(spark, d)
+    stream = file_source(spark, f"{d.rstrip('/')}/events.parquet*", events.schema)  # glob: file sources need a dir or glob
+    return to_signals(stream, "ts", "event_type", "value", channels=ch)[0]
+
+
+def _run_ingest(spark, d):
+    root = scratch_path(spark, "stream-store")
+    q = start_ingest(_event_stream(spark, d), f"{root}/ingest", f"{root}/_ckpt_ingest",
+                     trigger={"availableNow": True})
+    q.awaitTermination()
+    return SignalStore(spark, root), q
+
+
+def q_stream_ingest(spark, d):
+    store, _ = _run_ingest(spark, d)
+    return _sig_cols(store.unified())
+
+
+def q_stream_metrics(spark, d):
+    _, q = _run_ingest(spark, d)
+    return ingest_metrics(spark, q)
+
+
+def _run_rollup(spark, d, layer):
+    root = scratch_path(spark, "stream-rollup")
+    q = start_rollup(_event_stream(spark, d), f"{root}/{layer}", f"{root}/_ckpt", layer,
+                     trigger={"availableNow": True})
+    q.awaitTermination()
+    return _round_rollup(spark.read.parquet(f"{root}/{layer}").drop("dt"))
+
+
+def q_stream_rollup_l1(spark, d):
+    return _run_rollup(spark, d, "L1")
+
+
+def q_stream_rollup_l2(spark, d):
+    return _run_rollup(spark, d, "L2")
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "boxplot_by_time": q_boxplot_by_time,
     "boxplot_by_channel": q_boxplot_by_channel,
@@ -284,6 +390,17 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "channel_labels": q_channel_labels,
     "detail_rows": q_detail_rows,
     "ensure_channels": q_ensure_channels,
+    "bulk_load_l1": q_bulk_load_l1,
+    "archive_roundtrip": q_archive_roundtrip,
+    "archive_twice": q_archive_twice,
+    "archive_twice_l1": q_archive_twice_l1,
+    "archive_twice_l2": q_archive_twice_l2,
+    "rollup_incremental": q_rollup_incremental,
+    "parse_rows": q_parse_rows,
+    "stream_ingest": q_stream_ingest,
+    "stream_metrics": q_stream_metrics,
+    "stream_rollup_l1": q_stream_rollup_l1,
+    "stream_rollup_l2": q_stream_rollup_l2,
 }
 
 
@@ -448,6 +565,20 @@ new AS (SELECT DISTINCT l_returnflag AS name FROM lineitem WHERE l_returnflag NO
 SELECT id, name FROM ev
 UNION ALL
 SELECT CAST((SELECT max(id) + 1 FROM ev) + row_number() OVER (ORDER BY name) - 1 AS INTEGER) AS id, name FROM new""",
+    "bulk_load_l1": _rollup_sql(_EV, MINUTE_MS),
+    "archive_roundtrip": _with(_EV, "\nSELECT ts, channel_id, value FROM signals"),
+    "archive_twice": _with(_EV, "\nSELECT ts, channel_id, value FROM signals"),
+    "archive_twice_l1": _rollup_sql(_EV, MINUTE_MS),
+    "archive_twice_l2": _rollup_sql(_EV, HOUR_MS),
+    "rollup_incremental": _rollup_sql(_EV, MINUTE_MS),
+    "parse_rows": _with(_EV, "\nSELECT ts, channel_id, value FROM signals"),
+    "stream_ingest": _with(_EV, "\nSELECT ts, channel_id, value FROM signals"),
+    "stream_rollup_l1": _rollup_sql(_EV, MINUTE_MS,
+                                    f"WHERE (ts // {MINUTE_MS}) * {MINUTE_MS} + {MINUTE_MS} "
+                                    f"<= (SELECT max(ts) FROM signals) - {HOUR_MS}"),
+    "stream_rollup_l2": _rollup_sql(_EV, HOUR_MS,
+                                    f"WHERE (ts // {HOUR_MS}) * {HOUR_MS} + {HOUR_MS} "
+                                    f"<= (SELECT max(ts) FROM signals) - {DAY_MS}"),
 }
 
 
