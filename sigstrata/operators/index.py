@@ -53,15 +53,30 @@ def with_row_index(df: DataFrame, order_by: Sequence, partition_by: Sequence[str
                            F.lit(0).cast("bigint")))
     if size_col:
         stats = stats.withColumn(size_col, F.sum("_cnt").over(grp))
-    stats = materialize(stats.drop("_cnt"))
+    stats = stats.drop("_cnt")
+    # Recomputing ``stats`` from the pinned data is deterministic, so it needs no checkpoint.
+    # Without group keys it has one row per partition: a known bound, broadcast directly.
+    small = F.broadcast(stats) if not partition_by else bounded_broadcast(stats)
 
-    out = ranged.join(bounded_broadcast(stats), ["_pid", *partition_by])
+    out = ranged.join(small, ["_pid", *partition_by])
     out = out.withColumn(index_col, F.col("_mid") - F.col("_first") + F.col("_off"))
     return out.drop("_pid", "_mid", "_first", "_off")
 
 
 def top_k_per_group(df: DataFrame, partition_by: Sequence[str], order_by: Sequence, k: int,
                     index_col: str = "rank0") -> DataFrame:
-    """The first ``k`` rows of each group in ``order_by`` order (0-based rank kept)."""
+    """The first ``k`` rows of each group in ``order_by`` order (0-based rank kept).
+
+    For ``k`` within ``spark.sql.optimizer.windowGroupLimitThreshold`` a ranked window with
+    a limit filter is planned as a *partial* WindowGroupLimit before the shuffle: every map
+    task keeps only its local top ``k`` per group, so a hot group ships at most ``k`` rows
+    per task. Larger ``k`` goes through the distributed index.
+    """
+    k = int(k)
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if 0 < k <= limit:
+        w = Window.partitionBy(*partition_by).orderBy(*[_sort_expr(c) for c in order_by])
+        ranked = df.withColumn(index_col, F.row_number().over(w))
+        return ranked.filter(F.col(index_col) <= F.lit(k)).withColumn(index_col, F.col(index_col) - 1)
     idx = with_row_index(df, order_by, partition_by, index_col=index_col)
-    return idx.filter(F.col(index_col) < F.lit(int(k)))
+    return idx.filter(F.col(index_col) < F.lit(k))

@@ -11,8 +11,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.time import ms_from_ntz
+from ..schemas import CHANNEL_SCHEMA
 from ..operators.joins import bounded_broadcast
 
+# Dictionaries up to this many names are applied as a literal map lookup.
+MAP_LOOKUP_MAX = 4096
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -43,11 +47,24 @@ def ensure_channels(channels: DataFrame, names: DataFrame, name_col: str = "name
 
 def to_signals(df: DataFrame, ts_col, name_col: str, value_col: str,
                channels: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Map a table with a time, a category and a number to ``(signals, channels)``."""
+    """Map a table with a time, a category and a number to ``(signals, channels)``.
+
+    A dictionary of at most ``MAP_LOOKUP_MAX`` names (checked by fetching at most one row
+    more) becomes a literal map lookup inside the scan stage: no join, no extra shuffle.
+    Bigger dictionaries are joined (broadcast behind a row-count check).
+    """
     if channels is None:
         channels = channel_dictionary(df, name_col)
-    dim = bounded_broadcast(channels.select(F.col("name").alias(name_col), F.col("id").alias("channel_id")))
     ts = ms_from_ntz(ts_col) if isinstance(ts_col, str) else ts_col
+    rows = channels.select("id", "name").limit(MAP_LOOKUP_MAX + 1).collect()
+    if len(rows) <= MAP_LOOKUP_MAX:
+        channels = df.sparkSession.createDataFrame([(r["id"], r["name"]) for r in rows], CHANNEL_SCHEMA)
+        lookup = F.create_map(*[x for r in rows for x in (F.lit(r["name"]), F.lit(r["id"]))]) if rows else None
+        cid = lookup[F.col(name_col)] if lookup is not None else F.lit(None).cast("int")
+        sig = (df.select(ts.alias("ts"), cid.alias("channel_id"), F.col(value_col).cast("double").alias("value"))
+               .filter(F.col("channel_id").isNotNull()))
+        return sig, channels
+    dim = bounded_broadcast(channels.select(F.col("name").alias(name_col), F.col("id").alias("channel_id")))
     sig = (df.select(ts.alias("ts"), F.col(name_col), F.col(value_col).cast("double").alias("value"))
            .join(dim, name_col).select("ts", "channel_id", "value"))
     return sig, channels
