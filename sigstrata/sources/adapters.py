@@ -45,25 +45,43 @@ def ensure_channels(channels: DataFrame, names: DataFrame, name_col: str = "name
     return channels.select("id", "name").unionByName(added)
 
 
+def _small_dictionary(df: DataFrame, name_col: str) -> list[tuple[int, str]] | None:
+    """Dense ids of the distinct names when there are at most ``MAP_LOOKUP_MAX`` of them.
+
+    One aggregate job fetches at most ``MAP_LOOKUP_MAX + 1`` distinct names; ranking that
+    many strings on the driver is trivial. ``None`` when the dictionary is bigger.
+    """
+    names = [r[0] for r in df.select(name_col).where(F.col(name_col).isNotNull()).distinct()
+             .limit(MAP_LOOKUP_MAX + 1).collect()]
+    if len(names) > MAP_LOOKUP_MAX:
+        return None
+    return list(enumerate(sorted(names)))
+
+
 def to_signals(df: DataFrame, ts_col, name_col: str, value_col: str,
                channels: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Map a table with a time, a category and a number to ``(signals, channels)``.
 
     A dictionary of at most ``MAP_LOOKUP_MAX`` names (checked by fetching at most one row
     more) becomes a literal map lookup inside the scan stage: no join, no extra shuffle.
-    Bigger dictionaries are joined (broadcast behind a row-count check).
+    Bigger dictionaries are ranked and joined on the cluster (broadcast behind a row-count
+    check).
     """
-    if channels is None:
-        channels = channel_dictionary(df, name_col)
     ts = ms_from_ntz(ts_col) if isinstance(ts_col, str) else ts_col
-    rows = channels.select("id", "name").limit(MAP_LOOKUP_MAX + 1).collect()
-    if len(rows) <= MAP_LOOKUP_MAX:
-        channels = df.sparkSession.createDataFrame([(r["id"], r["name"]) for r in rows], CHANNEL_SCHEMA)
-        lookup = F.create_map(*[x for r in rows for x in (F.lit(r["name"]), F.lit(r["id"]))]) if rows else None
+    if channels is None:
+        pairs = _small_dictionary(df, name_col)
+    else:
+        rows = channels.select("id", "name").limit(MAP_LOOKUP_MAX + 1).collect()
+        pairs = [(r["id"], r["name"]) for r in rows] if len(rows) <= MAP_LOOKUP_MAX else None
+    if pairs is not None:
+        channels = df.sparkSession.createDataFrame(pairs, CHANNEL_SCHEMA)
+        lookup = F.create_map(*[x for i, nm in pairs for x in (F.lit(nm), F.lit(i))]) if pairs else None
         cid = lookup[F.col(name_col)] if lookup is not None else F.lit(None).cast("int")
         sig = (df.select(ts.alias("ts"), cid.alias("channel_id"), F.col(value_col).cast("double").alias("value"))
                .filter(F.col("channel_id").isNotNull()))
         return sig, channels
+    if channels is None:
+        channels = channel_dictionary(df, name_col)
     dim = bounded_broadcast(channels.select(F.col("name").alias(name_col), F.col("id").alias("channel_id")))
     sig = (df.select(ts.alias("ts"), F.col(name_col), F.col(value_col).cast("double").alias("value"))
            .join(dim, name_col).select("ts", "channel_id", "value"))

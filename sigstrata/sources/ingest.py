@@ -23,9 +23,9 @@ def parse_rows(raw: DataFrame, col: str = "message") -> tuple[DataFrame, DataFra
     """``(good, rejected)``: typed ``ts, channel_id, value`` rows and ``raw_row, reason``."""
     msgs = raw.select(F.from_json(F.col(col), MESSAGE_SCHEMA).alias("m"), F.col(col).alias("_raw"))
     rows = msgs.select(F.explode_outer("m.rows").alias("r"), "_raw")
-    ts = F.expr("try_cast(r[0] AS BIGINT)")
-    ch = F.expr("try_cast(r[1] AS INT)")
-    val = F.expr("try_cast(r[2] AS DOUBLE)")
+    ts = F.expr("try_cast(get(r, 0) AS BIGINT)")
+    ch = F.expr("try_cast(get(r, 1) AS INT)")
+    val = F.expr("try_cast(get(r, 2) AS DOUBLE)")
     typed = rows.select("r", "_raw", ts.alias("ts"), ch.alias("channel_id"), val.alias("value"))
     reason = (F.when(F.col("r").isNull(), F.lit("unparsable message"))
               .when(F.size("r") != 3, F.lit("expected 3 fields"))
