@@ -533,12 +533,14 @@ idx AS (SELECT channel_id, ts, value, row_number() OVER (PARTITION BY channel_id
 bk AS (SELECT *, ((i + 1) * {PRESELECT_BUCKETS} - 1) // n AS b FROM idx),
 lo AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY channel_id, b ORDER BY value, i) AS r FROM bk) WHERE r = 1),
 hi AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY channel_id, b ORDER BY value DESC, i) AS r FROM bk) WHERE r = 1)""",
-                              """
+                              f"""
 SELECT lo.channel_id, CAST(lo.b * 2 + CASE WHEN lo.i <= hi.i THEN 0 ELSE 1 END AS BIGINT) AS seq, lo.ts, lo.value
-FROM lo JOIN hi USING (channel_id, b)
+FROM lo JOIN hi USING (channel_id, b) WHERE lo.n > 2 * {PRESELECT_BUCKETS}
 UNION ALL
 SELECT hi.channel_id, CAST(hi.b * 2 + CASE WHEN lo.i <= hi.i THEN 1 ELSE 0 END AS BIGINT) AS seq, hi.ts, hi.value
-FROM lo JOIN hi USING (channel_id, b)"""),
+FROM lo JOIN hi USING (channel_id, b) WHERE lo.n > 2 * {PRESELECT_BUCKETS}
+UNION ALL
+SELECT channel_id, CAST(i AS BIGINT) AS seq, ts, value FROM idx WHERE n <= 2 * {PRESELECT_BUCKETS}"""),
     "quick_range_1d": _with(_EV, f"""
 SELECT * FROM signals WHERE ts BETWEEN (SELECT max(ts) FROM signals) - {DAY_MS} AND (SELECT max(ts) FROM signals)"""),
     "full_range": _with(_EV, "\nSELECT * FROM signals"),
