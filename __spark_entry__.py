@@ -21,7 +21,7 @@ from sigstrata.functions.labels import box_label, detail_rows
 from sigstrata.operators import (assign_pages, attach_outliers, boxplot, downsample, histogram, minmax_preselect,
                                  next_cursor, outliers, overview, rollup, rollup_from_rollup, signal_page,
                                  signal_range, with_channel_names)
-from sigstrata.plans.panels import signal_series
+from sigstrata.plans.panels import boxplot_panel, signal_series
 from sigstrata.plans.viewport import between_columns, drill_boxes, quick_range, zoom_columns
 from sigstrata.schemas import DAY_MS, HOUR_MS, MINUTE_MS
 from sigstrata.session import scratch_path
@@ -46,6 +46,9 @@ L2_VIEW = (T0 + 2 * DAY_MS + 1_234_567, T0 + 25 * DAY_MS)
 ARCHIVE_1 = T0 + 10 * DAY_MS + 5 * HOUR_MS     # not midnight: aligned down by the store
 ARCHIVE_2 = T0 + 20 * DAY_MS
 INCREMENT_AT = T0 + 15 * DAY_MS + 7 * HOUR_MS
+FOLLOW_SPAN = 6 * HOUR_MS
+GUARD = 2_500                   # row guard on a curve read (K22)
+WEEK_MS = 7 * DAY_MS            # box width the panel picks for the whole-data span
 
 
 def _r(c, d: int = 6):
@@ -239,6 +242,38 @@ def q_drill_boxes(spark, d):
     return between_columns(sig, rng["start"], rng["end"])
 
 
+def q_follow_latest(spark, d):
+    sig = _ev(spark, d)
+    s, e = quick_range(sig, FOLLOW_SPAN)
+    return between_columns(sig, s, e)
+
+
+def q_drill_box(spark, d):
+    sig = _ev(spark, d)
+    boxes = boxplot(sig, ALL_START, ALL_END, bucket_ms=DAY_MS)
+    top = boxes.orderBy(F.col("n").desc(), F.col("gk").asc()).limit(1)
+    b = top.select(F.struct(F.col("gk").alias("start"), (F.col("gk") + F.lit(DAY_MS)).alias("end"))).scalar()
+    return between_columns(sig, b["start"], b["end"])
+
+
+def q_box_labels(spark, d):
+    boxes = boxplot(_ev(spark, d), ALL_START, ALL_END, bucket_ms=6 * HOUR_MS)
+    return boxes.select("gk", box_label("gk").alias("label"), "n")
+
+
+def q_boxplot_panel_boxes(spark, d):
+    panel = boxplot_panel(_ev(spark, d), None, ALL_START, ALL_END, quantile="exact")
+    return _round_box(panel.boxes).join(panel.boxes.select("gk", "label"), "gk")
+
+
+def q_boxplot_panel_points(spark, d):
+    return boxplot_panel(_ev(spark, d), None, ALL_START, ALL_END, quantile="exact").points
+
+
+def q_signal_range_guard(spark, d):
+    return signal_range(_ev(spark, d), None, ALL_START, ALL_END, "L0", limit=GUARD)
+
+
 def q_channel_labels(spark, d):
     sig, ch = event_signals(spark, d)
     return with_channel_names(sig, ch)
@@ -387,6 +422,12 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "full_range": q_full_range,
     "zoom_range": q_zoom_range,
     "drill_boxes": q_drill_boxes,
+    "follow_latest": q_follow_latest,
+    "drill_box": q_drill_box,
+    "box_labels": q_box_labels,
+    "boxplot_panel_boxes": q_boxplot_panel_boxes,
+    "boxplot_panel_points": q_boxplot_panel_points,
+    "signal_range_guard": q_signal_range_guard,
     "channel_labels": q_channel_labels,
     "detail_rows": q_detail_rows,
     "ensure_channels": q_ensure_channels,
@@ -554,6 +595,34 @@ boxes AS (SELECT (ts // {DAY_MS}) * {DAY_MS} AS gk, count(*) AS n FROM signals G
 busy AS (SELECT gk FROM boxes WHERE n > (SELECT avg(n) FROM boxes)),
 rng AS (SELECT min(gk) AS s, max(gk) + {DAY_MS} AS e FROM busy)""", """
 SELECT s.* FROM signals s, rng WHERE s.ts BETWEEN rng.s AND rng.e"""),
+    "follow_latest": _with(_EV, f"""
+SELECT * FROM signals WHERE ts BETWEEN (SELECT max(ts) FROM signals) - {FOLLOW_SPAN} AND (SELECT max(ts) FROM signals)"""),
+    "drill_box": _with(_EV + f""",
+boxes AS (SELECT (ts // {DAY_MS}) * {DAY_MS} AS gk, count(*) AS n FROM signals GROUP BY 1),
+top AS (SELECT gk FROM boxes ORDER BY n DESC, gk LIMIT 1)""", f"""
+SELECT s.* FROM signals s, top WHERE s.ts BETWEEN top.gk AND top.gk + {DAY_MS}"""),
+    "box_labels": _with(_EV, f"""
+SELECT (ts // {6 * HOUR_MS}) * {6 * HOUR_MS} AS gk,
+       strftime(make_timestamp(((ts // {6 * HOUR_MS}) * {6 * HOUR_MS}) * 1000), '%m-%d %H:%M') AS label,
+       count(*) AS n
+FROM signals GROUP BY 1, 2"""),
+    "boxplot_panel_boxes": _with(_EV, f"""
+SELECT (ts // {WEEK_MS}) * {WEEK_MS} AS gk, min(value) AS low,
+       round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS median,
+       round(quantile_cont(value, 0.75), 6) AS q3, max(value) AS high, count(*) AS n,
+       strftime(make_timestamp(((ts // {WEEK_MS}) * {WEEK_MS}) * 1000), '%m-%d %H:%M') AS label
+FROM signals GROUP BY 1, 8"""),
+    "boxplot_panel_points": _with(_EV + f""",
+q AS (SELECT channel_id, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3
+      FROM signals GROUP BY channel_id),
+hits AS (SELECT s.channel_id, s.ts, s.value FROM signals s JOIN q USING (channel_id)
+         WHERE s.value < q.q1 - 1.5 * (q.q3 - q.q1) OR s.value > q.q3 + 1.5 * (q.q3 - q.q1)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY ts, value) AS rn FROM hits)""", f"""
+SELECT (ts // {WEEK_MS}) * {WEEK_MS} AS gk, channel_id, ts, value,
+       strftime(make_timestamp(((ts // {WEEK_MS}) * {WEEK_MS}) * 1000), '%m-%d %H:%M') AS label
+FROM ranked WHERE rn <= {OUTLIER_CAP}"""),
+    "signal_range_guard": _with(_EV, f"""
+SELECT channel_id, ts, value FROM signals ORDER BY channel_id, ts LIMIT {GUARD}"""),
     "channel_labels": _with(_EV, """
 SELECT s.channel_id, s.ts, s.value, c.name AS channel_name FROM signals s LEFT JOIN ev_channels c ON s.channel_id = c.id"""),
     "detail_rows": _with(_EV, """

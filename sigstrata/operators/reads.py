@@ -13,6 +13,10 @@ from .index import with_row_index
 
 
 
+# Limits above this many rows are applied through the distributed index, not a top-k.
+TOP_K_MAX = 100_000
+
+
 def page_order():
     """Keyset page order: newest first, ties broken by channel and value."""
     return [F.col("ts").desc(), F.col("channel_id").asc(), F.col("value").asc()]
@@ -40,9 +44,16 @@ def signal_range(layer_df: DataFrame, channel_id: int | None, start: int, end: i
     if envelope and layer != "L0":
         cols += ["min_v", "max_v"]
     out = df.select(*cols)
-    if ordered or limit is not None:
-        out = out.orderBy(*(["ts"] if channel_id is not None else ["channel_id", "ts"]))
+    order = ["ts"] if channel_id is not None else ["channel_id", "ts"]
     limit = nullable_int(limit, "limit", minimum=0)
+    if limit is not None and limit > TOP_K_MAX:
+        # A big row guard through a top-k would merge every partition's top rows in one task;
+        # the distributed index keeps it spread out (rows at or past the guard are dropped).
+        idx = with_row_index(out, [F.col(c).asc() for c in order], index_col="_row")
+        out = idx.filter(F.col("_row") < F.lit(limit)).drop("_row")
+        return out.orderBy(*order) if ordered else out
+    if ordered or limit is not None:
+        out = out.orderBy(*order)
     return out.limit(limit) if limit is not None else out
 
 

@@ -7,11 +7,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.time import ms_from_ntz
 from ..schemas import CHANNEL_SCHEMA
+from ..operators.index import with_row_index
 from ..operators.joins import bounded_broadcast
 
 # Dictionaries up to this many names are applied as a literal map lookup.
@@ -30,10 +31,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def channel_dictionary(names: DataFrame, name_col: str = "name") -> DataFrame:
     """``id, name`` with ids dense in name order (0-based).
 
-    Ranks only the *distinct* names -- the dictionary, bounded by the channel count.
+    Distinct names are ranked with the distributed row index, so even a dictionary of
+    millions of names is never sorted by a single task.
     """
     distinct = names.select(F.col(name_col).alias("name")).where(F.col("name").isNotNull()).distinct()
-    return distinct.select((F.dense_rank().over(Window.orderBy("name")) - 1).cast("int").alias("id"), "name")
+    idx = with_row_index(distinct, [F.col("name").asc()], index_col="_i")
+    return idx.select(F.col("_i").cast("int").alias("id"), "name")
 
 
 def ensure_channels(channels: DataFrame, names: DataFrame, name_col: str = "name") -> DataFrame:
@@ -41,8 +44,9 @@ def ensure_channels(channels: DataFrame, names: DataFrame, name_col: str = "name
     new = (names.select(F.col(name_col).alias("name")).where(F.col("name").isNotNull()).distinct()
            .join(channels.select("name"), "name", "left_anti"))
     base = channels.select(F.coalesce(F.max("id") + 1, F.lit(0)).alias("base")).scalar()
-    added = new.select((base + F.dense_rank().over(Window.orderBy("name")) - 1).cast("int").alias("id"), "name")
-    return channels.select("id", "name").unionByName(added)
+    added = with_row_index(new, [F.col("name").asc()], index_col="_i")
+    return channels.select("id", "name").unionByName(added.select((base + F.col("_i")).cast("int").alias("id"),
+                                                                  "name"))
 
 
 def _small_dictionary(df: DataFrame, name_col: str) -> list[tuple[int, str]] | None:

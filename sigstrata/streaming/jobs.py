@@ -87,3 +87,9 @@ def ingest_metrics(spark: SparkSession, query: StreamingQuery) -> DataFrame:
               "processed_rows_per_second double, observed_count bigint, observed_max_ts bigint, "
               "rows_dropped_by_watermark bigint")
     return spark.createDataFrame(rows, schema)
+
+
+def drain_and_stop(query: StreamingQuery) -> None:
+    """Process everything already available, then stop."""
+    query.processAllAvailable()
+    query.stop()

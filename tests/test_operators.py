@@ -216,3 +216,24 @@ def test_median_exact_vs_python(make_sig):
     vals = [3.0, 1.0, 4.0, 1.0, 5.0, 9.0, 2.0, 6.0]
     box = boxplot(make_sig([(i, 0, v) for i, v in enumerate(vals)]), *ALL, quantile="exact").first()
     assert box["median"] == statistics.median(vals)
+
+
+def test_large_row_guard_uses_index(make_sig, spark):
+    import sigstrata.operators.reads as R
+    rows = [(i // 2, i % 2, float(i)) for i in range(400)]
+    sig = make_sig(rows)
+    old = R.TOP_K_MAX
+    R.TOP_K_MAX = 10
+    try:
+        got = signal_range(sig, None, *ALL, "L0", limit=150).collect()
+    finally:
+        R.TOP_K_MAX = old
+    want = sorted(rows, key=lambda r: (r[1], r[0]))[:150]
+    assert [(r["channel_id"], r["ts"]) for r in got] == [(c, t) for t, c, _ in want]
+
+
+def test_dictionary_ranking_is_dense(spark):
+    from sigstrata.sources.adapters import channel_dictionary
+    names = spark.createDataFrame([(f"n{i:05d}",) for i in range(3000)] * 2, "name string")
+    got = channel_dictionary(names).collect()
+    assert sorted((r["id"], r["name"]) for r in got) == [(i, f"n{i:05d}") for i in range(3000)]

@@ -149,3 +149,22 @@ def test_rollup_stream_equals_batch_in_complete_mode(spark, make_sig):
     q.awaitTermination()
     got = _rollup_rows(spark.table(name).drop("dt"))
     assert got == _rollup_rows(rollup(make_sig(rows), MINUTE_MS))
+
+
+def test_iter_frames_bounded_and_ordered(spark, make_sig):
+    from sigstrata.sources.delivery import iter_frames
+    sig = make_sig([(i, 0, float(i)) for i in range(1000)]).orderBy("ts")
+    frames = list(iter_frames(sig, frame_rows=300))
+    assert [f.num_rows for f in frames] == [300, 300, 300, 100]
+    assert [v for f in frames for v in f.column("ts").to_pylist()] == list(range(1000))
+
+
+def test_drain_and_stop(spark, make_sig):
+    from sigstrata.streaming.jobs import drain_and_stop
+    rows = [(D0 + i, 0, 1.0) for i in range(50)]
+    src = _stream_dir(spark, make_sig, rows)
+    root = scratch_path(spark, "t-drain")
+    q = start_ingest(file_source(spark, src, make_sig([]).schema), f"{root}/ingest", f"{root}/_ckpt")
+    drain_and_stop(q)
+    assert not q.isActive
+    assert SignalStore(spark, root).unified().count() == 50
