@@ -3,8 +3,9 @@
 A window ``row_number() OVER (PARTITION BY g ORDER BY ...)`` sends each whole group to one
 task; a group holding a third of the data would then run in one task. Instead:
 
-1. add a unique tie-breaker, range-partition on ``(group keys, order keys, tie-breaker)``
-   and sort inside partitions, so even one hot key is spread over many tasks;
+1. add a tie-breaker, range-partition on ``(group keys, order keys, tie-breaker)`` and sort
+   inside partitions, so even one hot key (or a hot group of identical copies) is spread over
+   many tasks;
 2. tag each row with ``monotonically_increasing_id`` (partition id in the high bits,
    position in the low 33 bits) and pin the result with a reliable checkpoint, so every
    later pass (and any recomputation after an executor loss) sees the same partitions;
@@ -19,6 +20,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialize
 from .joins import bounded_broadcast
@@ -26,6 +28,19 @@ from .joins import bounded_broadcast
 _LOW_BITS = 33
 
 
+def _tie_breaker(df: DataFrame) -> Column:
+    """Hash of the input partition id and the row content.
+
+    Unlike a per-row counter it is stable when a map task is retried on shuffled input (the
+    *set* of rows of an input partition is fixed even when their order is not), and it still
+    splits a hot group of identical copies across as many ranges as there are input
+    partitions; equal tie-breakers only occur for identical rows of one input partition,
+    whose relative order does not matter.
+    """
+    cols = [F.col(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    return F.xxhash64(F.spark_partition_id(), *cols)
+
+
 def _sort_expr(c) -> Column:
     return F.col(c).asc() if isinstance(c, str) else c
 
@@ -38,7 +53,7 @@ def with_row_index(df: DataFrame, order_by: Sequence, partition_by: Sequence[str
     ``size_col`` the group size is added as well. Group keys must be non-NULL.
     """
     keys = [F.col(c).asc() for c in partition_by] + [_sort_expr(c) for c in order_by] + [F.col("_tb").asc()]
-    ranged = (df.withColumn("_tb", F.monotonically_increasing_id())
+    ranged = (df.withColumn("_tb", _tie_breaker(df))
               .repartitionByRange(*keys)
               .sortWithinPartitions(*keys)
               .withColumn("_mid", F.monotonically_increasing_id())

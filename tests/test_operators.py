@@ -237,3 +237,12 @@ def test_dictionary_ranking_is_dense(spark):
     names = spark.createDataFrame([(f"n{i:05d}",) for i in range(3000)] * 2, "name string")
     got = channel_dictionary(names).collect()
     assert sorted((r["id"], r["name"]) for r in got) == [(i, f"n{i:05d}") for i in range(3000)]
+
+
+def test_row_index_splits_hot_group_of_identical_copies(make_sig, spark):
+    sig = make_sig([(7, 0, 1.0)] * 6000 + [(i, 0, 2.0) for i in range(50)]).repartition(6)
+    idx = with_row_index(sig, [F.col("ts").asc(), F.col("value").asc()], ["channel_id"], size_col="n")
+    rows = idx.collect()
+    assert sorted(r["idx"] for r in rows) == list(range(6050)) and {r["n"] for r in rows} == {6050}
+    order = sorted(rows, key=lambda r: r["idx"])
+    assert [(r["ts"], r["value"]) for r in order] == sorted((r["ts"], r["value"]) for r in rows)
