@@ -212,7 +212,8 @@ def q_minmax_lttb_lineitem(spark, d):
 def q_signal_series(spark, d):
     sig = _ev(spark, d)
     layers = {"L0": sig, "L1": rollup(sig, MINUTE_MS), "L2": rollup(sig, HOUR_MS)}
-    return signal_series(layers, None, ALL_START, ALL_END, pixel_width=400)
+    out = signal_series(layers, None, ALL_START, ALL_END, pixel_width=400)
+    return out.select("channel_id", "point", "ts", _r("value").alias("value"))
 
 
 def q_quick_range_1d(spark, d):
@@ -509,6 +510,60 @@ def _rollup_cte(w: int) -> str:
                      max(value) AS max_v, count(*) AS n FROM signals GROUP BY 1, 2)"""
 
 
+def _downsample_sql(prelude: str, t: int) -> str:
+    """MinMax + LTTB dispatch in SQL: pass-through, direct LTTB or preselect-then-LTTB per channel.
+
+    LTTB's picks depend on the previous pick, so it is a recursive CTE over bucket numbers;
+    bucket means are left folds (``list_reduce``) so the float sums run in index order.
+    """
+    pre = 4 * t
+    return f"""WITH RECURSIVE {prelude},
+idx AS (SELECT channel_id, ts, value, row_number() OVER (PARTITION BY channel_id ORDER BY ts, value) - 1 AS i,
+               count(*) OVER (PARTITION BY channel_id) AS n FROM signals),
+bk AS (SELECT *, ((i + 1) * {pre} - 1) // n AS b FROM idx WHERE n > {8 * t}),
+lo AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY channel_id, b ORDER BY value, i) AS r FROM bk) WHERE r = 1),
+hi AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY channel_id, b ORDER BY value DESC, i) AS r FROM bk) WHERE r = 1),
+pts AS (
+  SELECT channel_id, i, ts, value, n AS m FROM idx WHERE n > {t} AND n <= {8 * t}
+  UNION ALL
+  SELECT lo.channel_id, lo.b * 2 + CASE WHEN lo.i <= hi.i THEN 0 ELSE 1 END, lo.ts, lo.value, {2 * pre}
+  FROM lo JOIN hi USING (channel_id, b)
+  UNION ALL
+  SELECT hi.channel_id, hi.b * 2 + CASE WHEN lo.i <= hi.i THEN 1 ELSE 0 END, hi.ts, hi.value, {2 * pre}
+  FROM lo JOIN hi USING (channel_id, b)),
+arr AS (SELECT channel_id, max(m) AS m, list(CAST(ts AS DOUBLE) ORDER BY i) AS xs, list(value ORDER BY i) AS ys
+        FROM pts GROUP BY channel_id),
+par AS (SELECT channel_id, m, xs, ys, (m - 2) / ({t} - 2) AS every FROM arr WHERE m > {t} AND {t} >= 3),
+bkt AS (SELECT channel_id, k AS bi, m, xs, ys,
+               CAST(floor(k * every) AS BIGINT) + 1 AS b0, least(CAST(floor((k + 1) * every) AS BIGINT) + 1, m) AS b1,
+               CAST(floor((k + 1) * every) AS BIGINT) + 1 AS c0, least(CAST(floor((k + 2) * every) AS BIGINT) + 1, m) AS c1
+        FROM par, range(0, {t} - 2) r(k)),
+nb AS (SELECT channel_id, bi, b0, b1, list_reduce(xs[c0 + 1:c1], lambda a, b: a + b) / (c1 - c0) AS ax,
+              list_reduce(ys[c0 + 1:c1], lambda a, b: a + b) / (c1 - c0) AS ay FROM bkt),
+cand AS (SELECT nb.channel_id, nb.bi, nb.ax, nb.ay, p.i, CAST(p.ts AS DOUBLE) AS x, p.value AS y
+         FROM nb JOIN pts p ON p.channel_id = nb.channel_id AND p.i >= nb.b0 AND p.i < nb.b1),
+steps(channel_id, bi, a) AS (
+  SELECT channel_id, 0, CAST(0 AS BIGINT) FROM par
+  UNION ALL
+  SELECT s.channel_id, s.bi + 1,
+         first(c.i ORDER BY abs((pa.x - c.ax) * (c.y - pa.y) - (pa.x - c.x) * (c.ay - pa.y)) DESC, c.i)
+  FROM steps s
+  JOIN (SELECT channel_id, i, CAST(ts AS DOUBLE) AS x, value AS y FROM pts) pa ON pa.channel_id = s.channel_id AND pa.i = s.a
+  JOIN cand c ON c.channel_id = s.channel_id AND c.bi = s.bi
+  WHERE s.bi < {t} - 2
+  GROUP BY s.channel_id, s.bi),
+picked AS (
+  SELECT channel_id, CAST(bi AS BIGINT) AS seq, a AS i FROM steps WHERE bi > 0
+  UNION ALL SELECT channel_id, 0, 0 FROM par
+  UNION ALL SELECT channel_id, {t} - 1, m - 1 FROM par)
+SELECT channel_id, CAST(i AS BIGINT) AS seq, ts, value FROM idx WHERE n <= {t}
+UNION ALL
+SELECT p.channel_id, CAST(p.i AS BIGINT) AS seq, p.ts, p.value FROM pts p
+WHERE p.channel_id NOT IN (SELECT channel_id FROM par)
+UNION ALL
+SELECT k.channel_id, k.seq, p.ts, p.value FROM picked k JOIN pts p ON p.channel_id = k.channel_id AND p.i = k.i"""
+
+
 _ORDER = "ORDER BY ts DESC, channel_id, value"
 
 _SQL: dict[str, str] = {
@@ -582,6 +637,13 @@ SELECT hi.channel_id, CAST(hi.b * 2 + CASE WHEN lo.i <= hi.i THEN 1 ELSE 0 END A
 FROM lo JOIN hi USING (channel_id, b) WHERE lo.n > 2 * {PRESELECT_BUCKETS}
 UNION ALL
 SELECT channel_id, CAST(i AS BIGINT) AS seq, ts, value FROM idx WHERE n <= 2 * {PRESELECT_BUCKETS}"""),
+    "lttb": _downsample_sql(_EV, 500),
+    "minmax_lttb": _downsample_sql(_EV, 100),
+    "minmax_lttb_lineitem": _downsample_sql(_LI, 200),
+    # Whole-data span -> L2 layer; each channel's hour series fits the 800-point budget.
+    "signal_series": _with(_EV + ",\n" + _rollup_cte(HOUR_MS), """
+SELECT channel_id, CAST(row_number() OVER (PARTITION BY channel_id ORDER BY ts, avg_v) - 1 AS BIGINT) AS point,
+       ts, round(avg_v, 6) AS value FROM roll"""),
     "quick_range_1d": _with(_EV, f"""
 SELECT * FROM signals WHERE ts BETWEEN (SELECT max(ts) FROM signals) - {DAY_MS} AND (SELECT max(ts) FROM signals)"""),
     "full_range": _with(_EV, "\nSELECT * FROM signals"),
