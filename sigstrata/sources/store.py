@@ -117,11 +117,29 @@ class SignalStore:
     def write_channels(self, channels: DataFrame) -> None:
         channels.select("id", "name").coalesce(1).write.mode("overwrite").parquet(self.path("channels"))
 
-    def append(self, sig: DataFrame) -> None:
-        """Append signal rows to the hot table (S5); each write job commits atomically."""
-        rows = sig.select(*[F.col(f.name).cast(f.dataType) for f in SIGNAL_SCHEMA.fields])
+    def _append_to(self, sub: str, rows: DataFrame) -> None:
         (_time_ordered(rows).withColumn("dt", day_of("ts"))
-         .write.mode("append").partitionBy("dt").parquet(self.path("hot")))
+         .write.mode("append").partitionBy("dt").parquet(self.path(sub)))
+
+    def append(self, sig: DataFrame) -> list[_dt.date]:
+        """Append signal rows (S5); each write job commits atomically.
+
+        Rows at or after the committed archive watermark go to the hot table. Rows older than
+        it (late beyond the archive) are appended to their cold days, whose rollups are then
+        rebuilt, so they are visible through ``unified`` at once. Returns those repaired days.
+        """
+        rows = sig.select(*[F.col(f.name).cast(f.dataType) for f in SIGNAL_SCHEMA.fields])
+        w = self.watermark()
+        if w is None:
+            self._append_to("hot", rows)
+            return []
+        self._append_to("hot", rows.filter(F.col("ts") >= F.lit(w)))
+        late = rows.filter(F.col("ts") < F.lit(w))
+        days = [r["d"] for r in late.select(day_of("ts").alias("d")).distinct().collect()]  # one row per day
+        if days:
+            self._append_to("cold", late)
+            self.rebuild_rollups(sorted(days))
+        return sorted(days)
 
     def bulk_load(self, sig: DataFrame, mode: str = "skip_if_nonempty", rollups: bool = True) -> bool:
         """Idempotent history load (S10): skip when data exists, or replace everything."""

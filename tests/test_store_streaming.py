@@ -168,3 +168,17 @@ def test_drain_and_stop(spark, make_sig):
     drain_and_stop(q)
     assert not q.isActive
     assert SignalStore(spark, root).unified().count() == 50
+
+
+def test_append_after_archive_routes_late_rows_to_cold(spark, make_sig):
+    sig, rows = _five_days(make_sig)
+    store = SignalStore(spark, scratch_path(spark, "t-late-append"))
+    store.bulk_load(sig)
+    store.archive_before(D0 + 3 * DAY_MS)
+    extra = [(D0 + 5 * MINUTE_MS + 1, 0, 500.0), (D0 + DAY_MS + 1, 1, -3.0), (D0 + 4 * DAY_MS + 9, 1, 2.0)]
+    repaired = store.append(make_sig(extra))
+    assert [str(d) for d in repaired] == ["2022-01-08", "2022-01-09"]
+    everything = make_sig(rows + extra)
+    assert sorted_rows(store.unified().select("ts", "channel_id", "value")) == sorted(rows + extra)
+    store.refresh_rollups(D0 + 4 * DAY_MS)                     # hot-side days refresh as usual
+    assert _rollup_rows(store.rollup_layer("L1")) == _rollup_rows(rollup(everything, MINUTE_MS))
