@@ -8,10 +8,12 @@ bigger series through E1 first. Series are processed in parallel.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,10 @@ from pyspark.sql import types as T
 from ..functions.args import int_arg
 from .index import with_row_index
 
+# The grouped-map kernel is shipped to Python workers by value, so executors need only numpy
+# and pandas, not this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Fixed values of the dispatch rule: preselect above 8x the threshold, into 4x buckets.
 PRESELECT_FACTOR = 8
 PRESELECT_BUCKETS_PER_POINT = 4

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 DEFAULT_BROADCAST_ROWS = 1_000_000
 
 
@@ -13,13 +15,18 @@ def broadcast_row_limit(df: DataFrame) -> int:
     return int(v) if v else DEFAULT_BROADCAST_ROWS
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+def bounded_broadcast(df: DataFrame, max_rows: int | None = None, pin: bool = True) -> DataFrame:
     """``F.broadcast(df)`` when ``df`` provably has at most ``max_rows`` rows, else ``df``.
 
-    The check counts at most ``max_rows + 1`` rows, so it stays cheap for big inputs; above the
-    bound the join falls back to a shuffle join (and AQE may still switch it at run time).
+    With ``pin`` (default) the side is first written once with a reliable checkpoint, so the
+    size check and the join read the same small result instead of each recomputing it -- the
+    sides passed here are aggregates whose inputs can be the whole viewport. The check counts
+    at most ``max_rows + 1`` rows; above the bound the join falls back to a shuffle join (and
+    AQE may still switch it at run time).
     """
     limit = broadcast_row_limit(df) if max_rows is None else max_rows
+    if pin:
+        df = materialize(df)
     n = df.limit(limit + 1).count()
     return F.broadcast(df) if n <= limit else df
 
