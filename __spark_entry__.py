@@ -12,8 +12,13 @@ change the value hash.
 
 from __future__ import annotations
 
+import os
+import sys
 from collections.abc import Callable
 
+# The driver may load this file by path from another working directory.
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
