@@ -103,6 +103,20 @@ def q_boxplot_lineitem_week(spark, d):
     return _round_box(boxplot(_li(spark, d), ALL_START, ALL_END, bucket_ms=7 * DAY_MS, quantile="exact"))
 
 
+def q_boxplot_by_time_ranked(spark, d):
+    # max_buffer_rows=0 forces the distributed-rank path used for groups too big to buffer
+    return _round_box(boxplot(_ev(spark, d), ALL_START, ALL_END, bucket_ms=DAY_MS, quantile="exact",
+                              max_buffer_rows=0))
+
+
+def q_boxplot_lineitem_ranked(spark, d):
+    return _round_box(boxplot(_li(spark, d), ALL_START, ALL_END, quantile="exact", max_buffer_rows=0))
+
+
+def q_outliers_ranked(spark, d):
+    return outliers(_ev(spark, d), None, ALL_START, ALL_END, OUTLIER_CAP, quantile="exact", max_buffer_rows=0)
+
+
 def q_boxplot_approx(spark, d):
     return boxplot(_ev(spark, d), ALL_START, ALL_END, bucket_ms=DAY_MS, quantile="approx", accuracy=1_000_000)
 
@@ -408,6 +422,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "boxplot_by_time": q_boxplot_by_time,
     "boxplot_by_channel": q_boxplot_by_channel,
     "boxplot_lineitem_week": q_boxplot_lineitem_week,
+    "boxplot_by_time_ranked": q_boxplot_by_time_ranked,
+    "boxplot_lineitem_ranked": q_boxplot_lineitem_ranked,
+    "outliers_ranked": q_outliers_ranked,
     "boxplot_approx": q_boxplot_approx,
     "outliers": q_outliers,
     "outliers_lineitem": q_outliers_lineitem,
@@ -588,6 +605,9 @@ _SQL: dict[str, str] = {
     "boxplot_by_time": _box_sql(_EV, f"(ts // {DAY_MS}) * {DAY_MS}"),
     "boxplot_by_channel": _box_sql(_EV, "CAST(channel_id AS BIGINT)"),
     "boxplot_lineitem_week": _box_sql(_LI, f"(ts // {7 * DAY_MS}) * {7 * DAY_MS}"),
+    "boxplot_by_time_ranked": _box_sql(_EV, f"(ts // {DAY_MS}) * {DAY_MS}"),
+    "boxplot_lineitem_ranked": _box_sql(_LI, "CAST(channel_id AS BIGINT)"),
+    "outliers_ranked": _outlier_sql(_EV),
     "boxplot_approx": _with(_EV, f"""
 SELECT (ts // {DAY_MS}) * {DAY_MS} AS gk, min(value) AS low, quantile_disc(value, 0.25) AS q1,
        quantile_disc(value, 0.5) AS median, quantile_disc(value, 0.75) AS q3, max(value) AS high, count(*) AS n

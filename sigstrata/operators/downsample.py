@@ -14,12 +14,14 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.args import int_arg
+from ..session import materialize
 from .index import with_row_index
+from .joins import bounded_broadcast
 
 # The grouped-map kernel is shipped to Python workers by value, so executors need only numpy
 # and pandas, not this package on their path.
@@ -78,7 +80,8 @@ def _series_schema(df: DataFrame, series: Sequence[str]) -> T.StructType:
 
 def _lttb_group_fn(threshold: int, series: Sequence[str]):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="mergesort")
+        # ``seq`` orders preselected points; raw points carry seq 0 and sort by (ts, value)
+        pdf = pdf.sort_values(["seq", "ts", "value"], kind="mergesort")
         x = pdf["ts"].to_numpy(dtype=np.float64)
         y = pdf["value"].to_numpy(dtype=np.float64)
         keep = lttb_indices(x, y, threshold)
@@ -127,16 +130,27 @@ def downsample(sig: DataFrame, threshold: int, series: Sequence[str] = ("channel
 
     ``n <= threshold``: input returned; ``n > 8*threshold``: E1 with ``4*threshold`` buckets
     then LTTB; otherwise LTTB directly. LTTB never sees more than ``8*threshold`` points.
+
+    Series sizes are measured first (one aggregate). Series of at most ``8*threshold`` points
+    need no global index: pass-through rows are numbered by a window over groups of at most
+    ``threshold`` rows, LTTB sorts its bounded group itself. Only bigger series go through the
+    distributed index (D1) and the E1 aggregate.
     """
     t = int_arg(threshold, "threshold", minimum=1)
     series = list(series)
-    idx = _indexed(sig, series)
+    rows = sig.select(*series, "ts", "value")
+    sizes = materialize(rows.groupBy(*series).agg(F.count(F.lit(1)).alias("_n")))
+    max_n = sizes.agg(F.max("_n")).first()[0] or 0
+    sized = rows.join(bounded_broadcast(sizes, pin=False), series)
     n = F.col("_n")
-    passthru = idx.filter(n <= t).select(*series, F.col("idx").alias("seq"), "ts", "value")
-    direct = idx.filter((n > t) & (n <= PRESELECT_FACTOR * t)).select(*series, F.col("idx").alias("seq"),
-                                                                      "ts", "value")
-    pre = _preselect(idx.filter(n > PRESELECT_FACTOR * t), series, PRESELECT_BUCKETS_PER_POINT * t)
-    lttb_in = direct.unionByName(pre)
+    order = Window.partitionBy(*series).orderBy(F.col("ts").asc(), F.col("value").asc())
+    passthru = (sized.filter(n <= t)
+                .select(*series, (F.row_number().over(order) - 1).cast("bigint").alias("seq"), "ts", "value"))
+    lttb_in = sized.filter((n > t) & (n <= PRESELECT_FACTOR * t)).select(
+        *series, F.lit(0).cast("bigint").alias("seq"), "ts", "value")
+    if max_n > PRESELECT_FACTOR * t:
+        big = _indexed(sized.filter(n > PRESELECT_FACTOR * t).drop("_n"), series)
+        lttb_in = lttb_in.unionByName(_preselect(big, series, PRESELECT_BUCKETS_PER_POINT * t))
     schema = _series_schema(lttb_in, series)
     picked = lttb_in.groupBy(*series).applyInPandas(_lttb_group_fn(t, series), schema)
     return passthru.unionByName(picked)

@@ -4,9 +4,10 @@
   shuffle of small sketches, bounded memory per group whatever its size. This is the
   scale path and matches the reference, which also uses an approximate quantile.
 * ``exact`` -- interpolated quantiles (same definition as ``percentile`` /
-  ``quantile_cont``) computed from the distributed row index, so a hot group is sorted by
-  many tasks rather than buffered in one. Only the handful of rows at the wanted ranks
-  reach the final aggregate.
+  ``quantile_cont``). Group sizes are measured first: when every group is at most
+  ``EXACT_BUFFER_ROWS`` rows the built-in ``percentile`` runs in one aggregate; otherwise the
+  distributed row index ranks the rows, so a hot group is sorted by many tasks rather than
+  buffered in one, and only the handful of rows at the wanted ranks reach the final aggregate.
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ from pyspark.sql import functions as F
 from .index import with_row_index
 
 DEFAULT_ACCURACY = 10_000
+# Groups up to this many rows use the built-in exact percentile; bigger ones the row index.
+EXACT_BUFFER_ROWS = 200_000
 MODES = ("approx", "exact")
 
 
 def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
                     names: Sequence[str], mode: str = "approx",
-                    accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+                    accuracy: int = DEFAULT_ACCURACY, max_buffer_rows: int | None = None) -> DataFrame:
     """Per group of ``keys``: ``low`` (min), named quantiles, ``high`` (max) and ``n``.
 
     With empty ``keys`` the result has one row for the whole input (zero rows if empty).
@@ -41,9 +44,25 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
             F.max(value).alias("high"),
             F.count(F.lit(1)).alias("n"))
         return agg.select(*keys, "low", *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)], "high", "n")
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    largest = sizes.agg(F.max("_n")).first()[0] or 0
+    bound = exact_buffer_rows(df) if max_buffer_rows is None else int(max_buffer_rows)
+    if largest <= bound:
+        # Every group is provably small: the built-in exact percentile buffers at most
+        # ``largest`` values per group, so one partial/final aggregate is enough.
+        agg = df.groupBy(*keys).agg(
+            F.min(value).alias("low"), F.percentile(value, list(probs)).alias("_q"),
+            F.max(value).alias("high"), F.count(F.lit(1)).alias("n"))
+        return agg.select(*keys, "low", *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)], "high", "n")
     return _exact(df, keys, value, probs, names)
 
 
+def exact_buffer_rows(df: DataFrame) -> int:
+    """Largest group the exact path may buffer in one task (``sigstrata.exact.maxGroupRows``)."""
+    v = df.sparkSession.conf.get("sigstrata.exact.maxGroupRows", None)
+    return int(v) if v else EXACT_BUFFER_ROWS
+
+
 def _exact(df: DataFrame, keys: list[str], value: str, probs, names) -> DataFrame:
     grouped = list(keys) if keys else ["_g"]
     src = df.select(*keys, value) if keys else df.select(F.lit(0).alias("_g"), value)

@@ -22,7 +22,7 @@ IQR_K = 1.5
 
 def boxplot(sig: DataFrame, start: int, end: int, channel_id: int | None = None,
             bucket_ms: int | None = None, quantile: str = "approx",
-            accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+            accuracy: int = DEFAULT_ACCURACY, max_buffer_rows: int | None = None) -> DataFrame:
     """Box statistics ``gk, low, q1, median, q3, high, n`` ordered by ``gk``.
 
     ``bucket_ms`` given: one box per time bucket, ``gk`` = bucket start (Q3). Otherwise one
@@ -35,7 +35,7 @@ def boxplot(sig: DataFrame, start: int, end: int, channel_id: int | None = None,
     else:
         keyed = base.select(F.col("channel_id").cast("bigint").alias("gk"), "value")
     box = group_quantiles(keyed, ["gk"], "value", [0.25, 0.5, 0.75], ["q1", "median", "q3"],
-                          mode=quantile, accuracy=accuracy)
+                          mode=quantile, accuracy=accuracy, max_buffer_rows=max_buffer_rows)
     return box.orderBy("gk")
 
 
@@ -46,23 +46,25 @@ def _fence_columns(q: DataFrame) -> DataFrame:
 
 
 def outliers(sig: DataFrame, channel_id: int | None, start: int, end: int, max_points: int,
-             quantile: str = "approx", accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+             quantile: str = "approx", accuracy: int = DEFAULT_ACCURACY,
+             max_buffer_rows: int | None = None) -> DataFrame:
     """Rows strictly outside the 1.5 IQR fences, earliest ``max_points`` first (Q5, K7, K8).
 
     The fences are computed over the whole viewport of the channel. With
     ``channel_id=None`` every channel is handled separately (fences and limit per channel)
-    and the result carries ``channel_id``.
+    and the result carries ``channel_id``. ``max_buffer_rows`` bounds the group size the exact
+    mode may buffer (see ``group_quantiles``).
     """
     max_points = int_arg(max_points, "max_points", minimum=0)
     base = in_range(sig, start, end, channel_id)
     if channel_id is not None:
-        q = _fence_columns(group_quantiles(base, [], "value", [0.25, 0.75], ["q1", "q3"],
-                                           mode=quantile, accuracy=accuracy))
+        q = _fence_columns(group_quantiles(base, [], "value", [0.25, 0.75], ["q1", "q3"], mode=quantile,
+                                           accuracy=accuracy, max_buffer_rows=max_buffer_rows))
         fences = q.select(F.struct("fence_lo", "fence_hi")).scalar()
         hits = base.filter((F.col("value") < fences["fence_lo"]) | (F.col("value") > fences["fence_hi"]))
         return hits.select("ts", "value").orderBy("ts").limit(max_points)
-    q = _fence_columns(group_quantiles(base, ["channel_id"], "value", [0.25, 0.75], ["q1", "q3"],
-                                       mode=quantile, accuracy=accuracy))
+    q = _fence_columns(group_quantiles(base, ["channel_id"], "value", [0.25, 0.75], ["q1", "q3"], mode=quantile,
+                                       accuracy=accuracy, max_buffer_rows=max_buffer_rows))
     fences = bounded_broadcast(q.select("channel_id", "fence_lo", "fence_hi"))
     hits = (base.select("channel_id", "ts", "value").join(fences, "channel_id")
             .filter((F.col("value") < F.col("fence_lo")) | (F.col("value") > F.col("fence_hi")))
@@ -101,8 +103,9 @@ def histogram(sig: DataFrame, channel_id: int | None, start: int, end: int, bins
         rows = base.select("value", b["lo"].alias("lo"), b["hi"].alias("hi"))
         bounds = None
     else:
-        bounds = base.groupBy("channel_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-        rows = base.select("channel_id", "value").join(bounded_broadcast(bounds), "channel_id")
+        bounds = bounded_broadcast(base.groupBy("channel_id").agg(F.min("value").alias("lo"),
+                                                                  F.max("value").alias("hi")))
+        rows = base.select("channel_id", "value").join(bounds, "channel_id")
     hist = rows.groupBy(*keys, _bin_expr(bins).alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     if dense:

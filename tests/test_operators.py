@@ -246,3 +246,16 @@ def test_row_index_splits_hot_group_of_identical_copies(make_sig, spark):
     assert sorted(r["idx"] for r in rows) == list(range(6050)) and {r["n"] for r in rows} == {6050}
     order = sorted(rows, key=lambda r: r["idx"])
     assert [(r["ts"], r["value"]) for r in order] == sorted((r["ts"], r["value"]) for r in rows)
+
+
+def test_exact_quantiles_index_path_matches_builtin_path(make_sig, spark):
+    rnd = random.Random(9)
+    rows = [(i, rnd.randrange(3), float(rnd.randint(0, 30))) for i in range(4000)]
+    sig = make_sig(rows)
+    fast = group_quantiles(sig, ["channel_id"], "value", [0.25, 0.5, 0.75], ["a", "b", "c"], mode="exact")
+    spark.conf.set("sigstrata.exact.maxGroupRows", "10")
+    try:
+        slow = group_quantiles(sig, ["channel_id"], "value", [0.25, 0.5, 0.75], ["a", "b", "c"], mode="exact")
+        assert sorted_rows(slow) == sorted_rows(fast)
+    finally:
+        spark.conf.unset("sigstrata.exact.maxGroupRows")
