@@ -152,12 +152,21 @@ def q_histogram_dense(spark, d):
 
 def q_overview(spark, d):
     sig, ch = event_signals(spark, d)
-    o = overview(sig, ch)
+    return _flat_overview(overview(sig, ch))
+
+
+def _flat_overview(o: DataFrame) -> DataFrame:
     return o.select("total_rows", "min_ts", "max_ts",
                     F.array_join(F.transform("channels", lambda c: F.concat(c["id"].cast("string"), F.lit(":"),
                                                                             c["name"])), ",").alias("channel_list"))
 
 
+def q_store_overview(spark, d):
+    store, _ = _loaded_store(spark, d)
+    store.archive_before(ARCHIVE_1)
+    return _flat_overview(store.overview())
+
+
 def q_rollup_l1(spark, d):
     return _round_rollup(rollup(_ev(spark, d), MINUTE_MS))
 
@@ -372,6 +381,22 @@ def q_rollup_incremental(spark, d):
     return _round_rollup(store.rollup_layer("L1").drop("dt"))
 
 
+def q_fresh_rollup_l1(spark, d):
+    sig, _ = event_signals(spark, d)
+    store = SignalStore(spark, scratch_path(spark, "store"))
+    store.bulk_load(sig.filter(F.col("ts") < INCREMENT_AT))
+    store.append(sig.filter(F.col("ts") >= INCREMENT_AT))      # rollups not refreshed
+    return _round_rollup(store.fresh_layer("L1").drop("dt"))
+
+
+def q_fresh_rollup_l2(spark, d):
+    sig, _ = event_signals(spark, d)
+    store = SignalStore(spark, scratch_path(spark, "store"))
+    store.bulk_load(sig.filter(F.col("ts") < INCREMENT_AT))
+    store.append(sig.filter(F.col("ts") >= INCREMENT_AT))
+    return _round_rollup(store.fresh_layer("L2").drop("dt"))
+
+
 def q_parse_rows(spark, d):
     good, _ = parse_rows(encode_rows(_ev(spark, d)))
     return good
@@ -465,11 +490,14 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "detail_rows": q_detail_rows,
     "ensure_channels": q_ensure_channels,
     "bulk_load_l1": q_bulk_load_l1,
+    "store_overview": q_store_overview,
     "archive_roundtrip": q_archive_roundtrip,
     "archive_twice": q_archive_twice,
     "archive_twice_l1": q_archive_twice_l1,
     "archive_twice_l2": q_archive_twice_l2,
     "rollup_incremental": q_rollup_incremental,
+    "fresh_rollup_l1": q_fresh_rollup_l1,
+    "fresh_rollup_l2": q_fresh_rollup_l2,
     "parse_rows": q_parse_rows,
     "stream_ingest": q_stream_ingest,
     "stream_metrics": q_stream_metrics,
@@ -601,6 +629,11 @@ SELECT k.channel_id, k.seq, p.ts, p.value FROM picked k JOIN pts p ON p.channel_
 
 _ORDER = "ORDER BY ts DESC, channel_id, value"
 
+_OVERVIEW_SQL = _with(_EV, """
+SELECT (SELECT count(*) FROM signals) AS total_rows, (SELECT min(ts) FROM signals) AS min_ts,
+       (SELECT max(ts) FROM signals) AS max_ts,
+       (SELECT string_agg(CAST(id AS VARCHAR) || ':' || name, ',' ORDER BY id) FROM ev_channels) AS channel_list""")
+
 _SQL: dict[str, str] = {
     "boxplot_by_time": _box_sql(_EV, f"(ts // {DAY_MS}) * {DAY_MS}"),
     "boxplot_by_channel": _box_sql(_EV, "CAST(channel_id AS BIGINT)"),
@@ -633,10 +666,7 @@ grid AS (SELECT b.channel_id, CAST(g.bin AS INTEGER) AS bin, b.lo, b.hi
          FROM b, range(0, {DENSE_BINS}) g(bin))""", """
 SELECT g.channel_id, g.bin, coalesce(h.n, 0) AS n, g.lo, g.hi
 FROM grid g LEFT JOIN h ON g.channel_id = h.channel_id AND g.bin = h.bin"""),
-    "overview": _with(_EV, """
-SELECT (SELECT count(*) FROM signals) AS total_rows, (SELECT min(ts) FROM signals) AS min_ts,
-       (SELECT max(ts) FROM signals) AS max_ts,
-       (SELECT string_agg(CAST(id AS VARCHAR) || ':' || name, ',' ORDER BY id) FROM ev_channels) AS channel_list"""),
+    "overview": _OVERVIEW_SQL,
     "rollup_l1": _rollup_sql(_EV, MINUTE_MS),
     "rollup_l2": _rollup_sql(_EV, HOUR_MS),
     "rollup_l2_from_l1": _rollup_sql(_EV, HOUR_MS),
@@ -737,11 +767,14 @@ SELECT id, name FROM ev
 UNION ALL
 SELECT CAST((SELECT max(id) + 1 FROM ev) + row_number() OVER (ORDER BY name) - 1 AS INTEGER) AS id, name FROM new""",
     "bulk_load_l1": _rollup_sql(_EV, MINUTE_MS),
+    "store_overview": _OVERVIEW_SQL,
     "archive_roundtrip": _with(_EV, "\nSELECT ts, channel_id, value FROM signals"),
     "archive_twice": _with(_EV, "\nSELECT ts, channel_id, value FROM signals"),
     "archive_twice_l1": _rollup_sql(_EV, MINUTE_MS),
     "archive_twice_l2": _rollup_sql(_EV, HOUR_MS),
     "rollup_incremental": _rollup_sql(_EV, MINUTE_MS),
+    "fresh_rollup_l1": _rollup_sql(_EV, MINUTE_MS),
+    "fresh_rollup_l2": _rollup_sql(_EV, HOUR_MS),
     "parse_rows": _with(_EV, "\nSELECT ts, channel_id, value FROM signals"),
     "stream_ingest": _with(_EV, "\nSELECT ts, channel_id, value FROM signals"),
     "stream_rollup_l1": _rollup_sql(_EV, MINUTE_MS,

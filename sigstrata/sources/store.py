@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from ..functions.time import date_of_ms, day_floor_ms, day_of
 from ..operators.filters import at_or_after, before
 from ..operators.reads import rollup
-from ..schemas import (CHANNEL_SCHEMA, HOUR_MS, MINUTE_MS, ROLLUP_STORED_SCHEMA, SIGNAL_SCHEMA,
+from ..schemas import (CHANNEL_SCHEMA, DAY_MS, HOUR_MS, MINUTE_MS, ROLLUP_STORED_SCHEMA, SIGNAL_SCHEMA,
                        SIGNAL_STORED_SCHEMA)
 from ..session import delete_path, hadoop_fs, has_parquet
 
@@ -40,6 +40,8 @@ MANIFEST_SCHEMA = T.StructType([
 ])
 
 ROLLUP_LAYERS = {"L1": ("l1", MINUTE_MS), "L2": ("l2", HOUR_MS)}
+# How far behind the newest stored bucket a fresh read recomputes.
+LOOKBACK_MS = {"L1": HOUR_MS, "L2": DAY_MS}
 
 
 @dataclass
@@ -107,11 +109,73 @@ class SignalStore:
             return self.hot()
         return at_or_after(self.hot(), w).unionByName(before(self.cold(), w))
 
-    def layer(self, name: str) -> DataFrame:
-        return self.unified() if name == "L0" else self.rollup_layer(name)
+    def _days(self, sub: str) -> list[_dt.date]:
+        fs, p = hadoop_fs(self.spark, self.path(sub))
+        if not fs.exists(p):
+            return []
+        return sorted(_dt.date.fromisoformat(st.getPath().getName()[3:]) for st in fs.listStatus(p)
+                      if st.isDirectory() and st.getPath().getName().startswith("dt="))
 
-    def layers(self) -> dict[str, DataFrame]:
-        return {"L0": self.unified(), "L1": self.rollup_layer("L1"), "L2": self.rollup_layer("L2")}
+    def overview(self) -> DataFrame:
+        """Overview (Q7) of the unified relation without scanning the whole ``ts`` column.
+
+        ``count(*)`` reads no column data; ``min(ts)``/``max(ts)`` only read the first and last
+        visible day partitions, found from the directory listing.
+        """
+        w = self.watermark()
+        cut = date_of_ms(w) if w is not None else None
+        visible = [d for d in self._days("cold") if cut is not None and d < cut]
+        visible += [d for sub in ("hot", "ingest") for d in self._days(sub) if cut is None or d >= cut]
+        u = self.unified()
+        total = u.select(F.count(F.lit(1))).scalar()
+        if visible:
+            lo = u.filter(F.col("dt") == F.lit(min(visible))).select(F.min("ts")).scalar()
+            hi = u.filter(F.col("dt") == F.lit(max(visible))).select(F.max("ts")).scalar()
+        else:
+            lo = hi = F.lit(None).cast("bigint")
+        chan = self.channels().select(F.array_sort(F.collect_list(F.struct(F.col("id"), F.col("name"))))).scalar()
+        return self.spark.range(1).select(total.alias("total_rows"), lo.alias("min_ts"), hi.alias("max_ts"),
+                                          F.coalesce(chan, F.array()).alias("channels"))
+
+    def _last_day(self, sub: str) -> _dt.date | None:
+        """Newest ``dt=`` partition of a layer, from the directory listing (metadata only)."""
+        fs, p = hadoop_fs(self.spark, self.path(sub))
+        if not fs.exists(p):
+            return None
+        days = [st.getPath().getName()[3:] for st in fs.listStatus(p)
+                if st.isDirectory() and st.getPath().getName().startswith("dt=")]
+        return _dt.date.fromisoformat(max(days)) if days else None
+
+    def fresh_layer(self, layer: str) -> DataFrame:
+        """A rollup layer that is never stale (§7.5 item 8): stored buckets older than the
+        look-back, plus every newer bucket recomputed on the fly from the L0 tail.
+
+        The look-back (1 h for L1, 24 h for L2) covers a newest bucket that was stored while
+        half-filled and rows that arrived late within the allowed lateness. The tail is
+        bounded by look-back plus refresh lag, and the cut-off is read from the newest ``dt``
+        partition only, so nothing scans the whole layer.
+        """
+        sub, width = ROLLUP_LAYERS[layer]
+        stored = self.rollup_layer(layer)
+        last = self._last_day(sub)
+        if last is None:
+            return rollup(self.unified(), width).withColumn("dt", day_of("ts"))
+        lookback = LOOKBACK_MS[layer]
+        newest = stored.filter(F.col("dt") == F.lit(last)).select(F.max("ts")).scalar()
+        cut = newest - F.lit(lookback)
+        cut = cut - F.pmod(cut, F.lit(width).cast("bigint"))
+        first_day = last - _dt.timedelta(days=1 + lookback // DAY_MS)
+        old = stored.filter(F.col("ts") < cut)
+        tail = self.unified().filter((F.col("dt") >= F.lit(first_day)) & (F.col("ts") >= cut))
+        return old.unionByName(rollup(tail, width).withColumn("dt", day_of("ts")))
+
+    def layer(self, name: str, fresh: bool = True) -> DataFrame:
+        if name == "L0":
+            return self.unified()
+        return self.fresh_layer(name) if fresh else self.rollup_layer(name)
+
+    def layers(self, fresh: bool = True) -> dict[str, DataFrame]:
+        return {name: self.layer(name, fresh) for name in ("L0", "L1", "L2")}
 
     # ---- writes ---------------------------------------------------------------------------
     def write_channels(self, channels: DataFrame) -> None:
