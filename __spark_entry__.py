@@ -422,6 +422,17 @@ def q_stream_ingest(spark, d):
     return _sig_cols(store.unified())
 
 
+def q_stream_ingest_messages(spark, d):
+    # events replayed as wire messages (JSON lines), parsed on the stream, then ingested
+    root = scratch_path(spark, "stream-msgs")
+    encode_rows(_ev(spark, d)).write.text(f"{root}/inbox")
+    raw = spark.readStream.format("text").option("maxFilesPerTrigger", 4).load(f"{root}/inbox")
+    good, _ = parse_rows(raw.withColumnRenamed("value", "message"))
+    q = start_ingest(good, f"{root}/ingest", f"{root}/_ckpt", trigger={"availableNow": True})
+    q.awaitTermination()
+    return _sig_cols(SignalStore(spark, root).unified())
+
+
 def q_stream_metrics(spark, d):
     _, q = _run_ingest(spark, d)
     return ingest_metrics(spark, q)
@@ -500,6 +511,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fresh_rollup_l2": q_fresh_rollup_l2,
     "parse_rows": q_parse_rows,
     "stream_ingest": q_stream_ingest,
+    "stream_ingest_messages": q_stream_ingest_messages,
     "stream_metrics": q_stream_metrics,
     "stream_rollup_l1": q_stream_rollup_l1,
     "stream_rollup_l2": q_stream_rollup_l2,
@@ -777,6 +789,7 @@ SELECT CAST((SELECT max(id) + 1 FROM ev) + row_number() OVER (ORDER BY name) - 1
     "fresh_rollup_l2": _rollup_sql(_EV, HOUR_MS),
     "parse_rows": _with(_EV, "\nSELECT ts, channel_id, value FROM signals"),
     "stream_ingest": _with(_EV, "\nSELECT ts, channel_id, value FROM signals"),
+    "stream_ingest_messages": _with(_EV, "\nSELECT ts, channel_id, value FROM signals"),
     "stream_rollup_l1": _rollup_sql(_EV, MINUTE_MS,
                                     f"WHERE (ts // {MINUTE_MS}) * {MINUTE_MS} + {MINUTE_MS} "
                                     f"<= (SELECT max(ts) FROM signals) - {HOUR_MS}"),
