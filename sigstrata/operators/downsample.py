@@ -140,8 +140,9 @@ def downsample(sig: DataFrame, threshold: int, series: Sequence[str] = ("channel
     series = list(series)
     rows = sig.select(*series, "ts", "value")
     sizes = materialize(rows.groupBy(*series).agg(F.count(F.lit(1)).alias("_n")))
-    max_n = sizes.agg(F.max("_n")).first()[0] or 0
-    sized = rows.join(bounded_broadcast(sizes, pin=False), series)
+    n_series, max_n = sizes.agg(F.count(F.lit(1)), F.max("_n")).first()
+    sized = rows.join(bounded_broadcast(sizes, known_rows=n_series), series)
+    max_n = max_n or 0
     n = F.col("_n")
     order = Window.partitionBy(*series).orderBy(F.col("ts").asc(), F.col("value").asc())
     passthru = (sized.filter(n <= t)
