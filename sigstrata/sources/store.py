@@ -7,7 +7,7 @@ Layout under one root (any Hadoop file system shared by the cluster)::
     cold/dt=YYYY-MM-DD/     archived L0 rows (S7)
     l1/dt=..., l2/dt=...    minute and hour rollups (R1-R5)
     channels/               channel dictionary (S2)
-    _manifest/              archive commits, one JSON row per commit
+    _manifest/w=<ms>/       archive commits, one directory per committed watermark
 
 Plain Parquet has no transactions, so the archive commit point is the manifest: with
 watermark ``W`` (a UTC midnight) the unified relation is ``hot[ts >= W] ∪ cold[ts < W]``
@@ -94,13 +94,21 @@ class SignalStore:
         return self.spark.read.schema(CHANNEL_SCHEMA).parquet(p)
 
     def watermark(self) -> int | None:
-        """Committed archive watermark (epoch ms of a UTC midnight), ``None`` before the first."""
-        p = self.path("_manifest")
-        fs, jp = hadoop_fs(self.spark, p)
-        if not fs.exists(jp):
+        """Committed archive watermark (epoch ms of a UTC midnight), ``None`` before the first.
+
+        Each commit is a directory ``_manifest/w=<watermark>`` that counts only once its write
+        job has committed (``_SUCCESS`` present), so reading the watermark is a listing, not a job.
+        """
+        fs, p = hadoop_fs(self.spark, self.path("_manifest"))
+        if not fs.exists(p):
             return None
-        row = self.spark.read.schema(MANIFEST_SCHEMA).json(p).agg(F.max("watermark").alias("w")).first()
-        return None if row is None or row["w"] is None else int(row["w"])
+        marks = []
+        for st in fs.listStatus(p):
+            name = st.getPath().getName()
+            if st.isDirectory() and name.startswith("w=") and fs.exists(
+                    self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+                marks.append(int(name[2:]))
+        return max(marks) if marks else None
 
     def unified(self) -> DataFrame:
         """Hot and cold L0 as one relation split at the committed watermark."""
@@ -286,7 +294,7 @@ class SignalStore:
         for layer, (_, width) in ROLLUP_LAYERS.items():                      # R5 from moved rows
             self._write_rollup(layer, rollup(cold_days, width))
         commit = self.spark.createDataFrame([(w, rows, int(time.time() * 1000))], MANIFEST_SCHEMA)
-        commit.coalesce(1).write.mode("append").json(self.path("_manifest"))  # commit point
+        commit.coalesce(1).write.mode("overwrite").json(self.path(f"_manifest/w={w:013d}"))  # commit point
         for d in self._hot_days_before(w):                                  # S9 cleanup
             delete_path(self.spark, d)
         return ArchiveResult(True, rows, w)

@@ -211,3 +211,15 @@ def test_store_overview_matches_full_scan(spark, make_sig):
     store.archive_before(D0 + 2 * DAY_MS)
     got, want = store.overview().first(), overview(store.unified(), store.channels()).first()
     assert got.asDict() == want.asDict() and got["total_rows"] == len(rows)
+
+
+def test_uncommitted_manifest_entry_is_ignored(spark, make_sig):
+    sig, rows = _five_days(make_sig)
+    store = SignalStore(spark, scratch_path(spark, "t-manifest"))
+    store.bulk_load(sig)
+    store.archive_before(D0 + 2 * DAY_MS)
+    crashed = store.path(f"_manifest/w={D0 + 4 * DAY_MS:013d}").removeprefix("file:")
+    os.makedirs(crashed)
+    open(os.path.join(crashed, "part-00000.json"), "w").close()    # no _SUCCESS: never committed
+    assert store.watermark() == D0 + 2 * DAY_MS
+    assert sorted_rows(store.unified().select("ts", "channel_id", "value")) == sorted(rows)
