@@ -121,3 +121,27 @@ def env_int(name: str, default: int) -> int:
         return int(os.environ.get(name, default))
     except ValueError:
         return default
+
+
+class query_tag:
+    """Tag every Spark job started inside the block so another thread can cancel them.
+
+    ``with query_tag(spark, "chart-3"): df.collect()`` in one thread,
+    ``cancel(spark, "chart-3")`` in another (a newer viewport replacing an older query).
+    """
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.tag = spark, tag
+
+    def __enter__(self):
+        self.spark.addTag(self.tag)
+        return self
+
+    def __exit__(self, *exc):
+        self.spark.removeTag(self.tag)
+        return False
+
+
+def cancel(spark: SparkSession, tag: str) -> None:
+    """Interrupt all running jobs carrying ``tag`` (jobs fail with a cancellation error)."""
+    spark.interruptTag(tag)

@@ -80,3 +80,25 @@ def test_boxplot_panel(make_sig):
     assert panel.bucket_ms == 300_000 and panel.boxes.count() == 12
     pts = panel.points.collect()
     assert [(p["gk"], p["value"], p["label"]) for p in pts] == [(1_800_000, 500.0, "01-01 00:30")]
+
+
+def test_cancel_running_query(spark):
+    import threading
+    import time as _time
+    from sigstrata.session import cancel, query_tag
+    errors = []
+
+    def run():
+        try:
+            with query_tag(spark, "slow-chart"):
+                spark.range(0, 10 ** 11, numPartitions=2000).selectExpr("sum(id * id % 7)").collect()
+        except Exception as exc:  # noqa: BLE001
+            errors.append(exc)
+
+    th = threading.Thread(target=run)
+    th.start()
+    t0 = _time.time()
+    while th.is_alive() and _time.time() - t0 < 60:
+        cancel(spark, "slow-chart")
+        th.join(0.5)
+    assert not th.is_alive() and errors and _time.time() - t0 < 30
