@@ -313,6 +313,24 @@ def q_signal_range_guard(spark, d):
     return signal_range(_ev(spark, d), None, ALL_START, ALL_END, "L0", limit=GUARD)
 
 
+def q_smoke_box_last_hour(spark, d):
+    # the reference's smoke case: box plot by channel over the last hour of data
+    sig = _ev(spark, d)
+    s, e = quick_range(sig, "1h")
+    return _round_box(boxplot(sig, s, e, quantile="exact"))
+
+
+def q_smoke_curve_last_5min(spark, d):
+    # the reference's smoke case: L0 curve over the last 5 minutes (every channel)
+    sig = _ev(spark, d)
+    s, e = quick_range(sig, "5m")
+    return signal_range(sig, None, s, e, "L0")
+
+
+def q_page_numbers_lineitem(spark, d):
+    return assign_pages(_li(spark, d), PAGE)
+
+
 def q_channel_labels(spark, d):
     sig, ch = event_signals(spark, d)
     return with_channel_names(sig, ch)
@@ -497,6 +515,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "boxplot_panel_boxes": q_boxplot_panel_boxes,
     "boxplot_panel_points": q_boxplot_panel_points,
     "signal_range_guard": q_signal_range_guard,
+    "smoke_box_last_hour": q_smoke_box_last_hour,
+    "smoke_curve_last_5min": q_smoke_curve_last_5min,
+    "page_numbers_lineitem": q_page_numbers_lineitem,
     "channel_labels": q_channel_labels,
     "detail_rows": q_detail_rows,
     "ensure_channels": q_ensure_channels,
@@ -765,6 +786,18 @@ SELECT (ts // {WEEK_MS}) * {WEEK_MS} AS gk, channel_id, ts, value,
 FROM ranked WHERE rn <= {OUTLIER_CAP}"""),
     "signal_range_guard": _with(_EV, f"""
 SELECT channel_id, ts, value FROM signals ORDER BY channel_id, ts LIMIT {GUARD}"""),
+    "smoke_box_last_hour": _with(_EV, f"""
+SELECT CAST(channel_id AS BIGINT) AS gk, min(value) AS low,
+       round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS median,
+       round(quantile_cont(value, 0.75), 6) AS q3, max(value) AS high, count(*) AS n
+FROM signals WHERE ts BETWEEN (SELECT max(ts) FROM signals) - {HOUR_MS} AND (SELECT max(ts) FROM signals)
+GROUP BY 1"""),
+    "smoke_curve_last_5min": _with(_EV, f"""
+SELECT channel_id, ts, value FROM signals
+WHERE ts BETWEEN (SELECT max(ts) FROM signals) - 300000 AND (SELECT max(ts) FROM signals)"""),
+    "page_numbers_lineitem": _with(_LI, f"""
+SELECT ts, channel_id, value, CAST((rn - 1) // {PAGE} AS BIGINT) AS page, CAST((rn - 1) % {PAGE} AS BIGINT) AS pos
+FROM (SELECT *, row_number() OVER ({_ORDER}) AS rn FROM signals) t"""),
     "channel_labels": _with(_EV, """
 SELECT s.channel_id, s.ts, s.value, c.name AS channel_name FROM signals s LEFT JOIN ev_channels c ON s.channel_id = c.id"""),
     "detail_rows": _with(_EV, """

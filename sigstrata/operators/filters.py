@@ -6,26 +6,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.args import nullable_int, time_range
-from ..functions.time import date_of_ms
+from ..functions.time import date_of_ms, day_of
 
 
-def range_condition(df: DataFrame, start: int, end: int, channel_id: int | None = None) -> Column:
+def range_condition(df: DataFrame, start, end, channel_id: int | None = None) -> Column:
     """Closed ``[start, end]`` on ``ts`` (K1), plus the derived ``dt`` predicate.
 
     The ``dt`` term is redundant for correctness but is what lets Spark prune day
-    partitions of stored layers; the ``ts`` term is pushed into the Parquet scan.
+    partitions of stored layers; the ``ts`` term is pushed into the Parquet scan. Bounds may
+    be integers or scalar columns derived from data (e.g. ``quick_range``), in which case the
+    ``dt`` term is evaluated at run time.
     """
-    start, end = time_range(start, end)
-    cond = F.col("ts").between(F.lit(start), F.lit(end))
-    if "dt" in df.columns:
-        cond = cond & F.col("dt").between(F.lit(date_of_ms(start)), F.lit(date_of_ms(end)))
+    if isinstance(start, Column) or isinstance(end, Column):
+        s = start if isinstance(start, Column) else F.lit(int(start))
+        e = end if isinstance(end, Column) else F.lit(int(end))
+        cond = F.col("ts").between(s, e)
+        if "dt" in df.columns:
+            cond = cond & F.col("dt").between(day_of(s), day_of(e))
+    else:
+        start, end = time_range(start, end)
+        cond = F.col("ts").between(F.lit(start), F.lit(end))
+        if "dt" in df.columns:
+            cond = cond & F.col("dt").between(F.lit(date_of_ms(start)), F.lit(date_of_ms(end)))
     channel_id = nullable_int(channel_id, "channel_id")
     if channel_id is not None:
         cond = cond & (F.col("channel_id") == F.lit(channel_id))
     return cond
 
 
-def in_range(df: DataFrame, start: int, end: int, channel_id: int | None = None) -> DataFrame:
+def in_range(df: DataFrame, start, end, channel_id: int | None = None) -> DataFrame:
     """Rows of ``df`` with ``start <= ts <= end`` and, when given, one channel."""
     return df.filter(range_condition(df, start, end, channel_id))
 
