@@ -259,3 +259,22 @@ def test_exact_quantiles_index_path_matches_builtin_path(make_sig, spark):
         assert sorted_rows(slow) == sorted_rows(fast)
     finally:
         spark.conf.unset("sigstrata.exact.maxGroupRows")
+
+
+@pytest.mark.parametrize("case", ["downsample", "preselect", "assign_pages", "outliers_multi", "outliers_ranked",
+                                  "hist_dense_multi", "hist_dense_single", "box_ranked", "range_guard_big"])
+def test_empty_inputs_everywhere(make_sig, case):
+    from sigstrata.operators import downsample, minmax_preselect
+    e = make_sig([])
+    build = {
+        "downsample": lambda: downsample(e, 10),
+        "preselect": lambda: minmax_preselect(e, 10),
+        "assign_pages": lambda: assign_pages(e, 10),
+        "outliers_multi": lambda: outliers(e, None, 0, 10, 5, quantile="exact"),
+        "outliers_ranked": lambda: outliers(e, None, 0, 10, 5, quantile="exact", max_buffer_rows=0),
+        "hist_dense_multi": lambda: histogram(e, None, 0, 10, 4, dense=True, edges=True),
+        "hist_dense_single": lambda: histogram(e, 0, 0, 10, 4, dense=True),
+        "box_ranked": lambda: boxplot(e, 0, 10, quantile="exact", max_buffer_rows=0),
+        "range_guard_big": lambda: signal_range(e, 0, 0, 10, "L0", limit=10 ** 6),
+    }[case]
+    assert build().count() == 0
