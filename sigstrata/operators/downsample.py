@@ -147,6 +147,8 @@ def downsample(sig: DataFrame, threshold: int, series: Sequence[str] = ("channel
     order = Window.partitionBy(*series).orderBy(F.col("ts").asc(), F.col("value").asc())
     passthru = (sized.filter(n <= t)
                 .select(*series, (F.row_number().over(order) - 1).cast("bigint").alias("seq"), "ts", "value"))
+    if max_n <= t:                                  # every series fits the budget: no LTTB stage
+        return passthru
     lttb_in = sized.filter((n > t) & (n <= PRESELECT_FACTOR * t)).select(
         *series, F.lit(0).cast("bigint").alias("seq"), "ts", "value")
     if max_n > PRESELECT_FACTOR * t:

@@ -61,6 +61,20 @@ def _time_ordered(df: DataFrame) -> DataFrame:
     return df.repartitionByRange("ts").sortWithinPartitions("ts")
 
 
+class _Layers(dict):
+    """Mapping of layer name to relation that builds a layer on first access."""
+
+    def __init__(self, store: "SignalStore", fresh: bool):
+        super().__init__()
+        self._store, self._fresh = store, fresh
+
+    def __missing__(self, name: str) -> DataFrame:
+        if name not in ("L0", "L1", "L2"):
+            raise KeyError(name)
+        self[name] = df = self._store.layer(name, self._fresh)
+        return df
+
+
 class SignalStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -182,8 +196,9 @@ class SignalStore:
             return self.unified()
         return self.fresh_layer(name) if fresh else self.rollup_layer(name)
 
-    def layers(self, fresh: bool = True) -> dict[str, DataFrame]:
-        return {name: self.layer(name, fresh) for name in ("L0", "L1", "L2")}
+    def layers(self, fresh: bool = True) -> "_Layers":
+        """``L0``/``L1``/``L2`` relations, each built only when first looked up."""
+        return _Layers(self, fresh)
 
     # ---- writes ---------------------------------------------------------------------------
     def write_channels(self, channels: DataFrame) -> None:
