@@ -456,6 +456,14 @@ def q_stream_metrics(spark, d):
     return ingest_metrics(spark, q)
 
 
+def q_stream_metrics_totals(spark, d):
+    # the deterministic part of the ingest metrics: rows seen and newest ts over all batches
+    _, q = _run_ingest(spark, d)
+    m = ingest_metrics(spark, q)
+    return m.agg(F.sum("observed_count").cast("bigint").alias("rows_ingested"),
+                 F.max("observed_max_ts").alias("max_ts"))
+
+
 def _run_rollup(spark, d, layer):
     root = scratch_path(spark, "stream-rollup")
     q = start_rollup(_event_stream(spark, d), f"{root}/{layer}", f"{root}/_ckpt", layer,
@@ -534,6 +542,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_ingest": q_stream_ingest,
     "stream_ingest_messages": q_stream_ingest_messages,
     "stream_metrics": q_stream_metrics,
+    "stream_metrics_totals": q_stream_metrics_totals,
     "stream_rollup_l1": q_stream_rollup_l1,
     "stream_rollup_l2": q_stream_rollup_l2,
 }
@@ -823,6 +832,7 @@ SELECT CAST((SELECT max(id) + 1 FROM ev) + row_number() OVER (ORDER BY name) - 1
     "parse_rows": _with(_EV, "\nSELECT ts, channel_id, value FROM signals"),
     "stream_ingest": _with(_EV, "\nSELECT ts, channel_id, value FROM signals"),
     "stream_ingest_messages": _with(_EV, "\nSELECT ts, channel_id, value FROM signals"),
+    "stream_metrics_totals": _with(_EV, "\nSELECT count(*) AS rows_ingested, max(ts) AS max_ts FROM signals"),
     "stream_rollup_l1": _rollup_sql(_EV, MINUTE_MS,
                                     f"WHERE (ts // {MINUTE_MS}) * {MINUTE_MS} + {MINUTE_MS} "
                                     f"<= (SELECT max(ts) FROM signals) - {HOUR_MS}"),
