@@ -161,6 +161,14 @@ def _flat_overview(o: DataFrame) -> DataFrame:
                                                                             c["name"])), ",").alias("channel_list"))
 
 
+def q_store_series_last_day(spark, d):
+    # V8 on the store: a 1-day span reads L0; a 100 px chart budgets 200 points per channel
+    store, _ = _loaded_store(spark, d)
+    hi = store.overview().first()["max_ts"]
+    out = signal_series(store.layers(), None, hi - DAY_MS, hi, pixel_width=100)
+    return out.select("channel_id", F.col("point").alias("seq"), "ts", "value")
+
+
 def q_store_overview(spark, d):
     store, _ = _loaded_store(spark, d)
     store.archive_before(ARCHIVE_1)
@@ -531,6 +539,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ensure_channels": q_ensure_channels,
     "bulk_load_l1": q_bulk_load_l1,
     "store_overview": q_store_overview,
+    "store_series_last_day": q_store_series_last_day,
     "archive_roundtrip": q_archive_roundtrip,
     "archive_twice": q_archive_twice,
     "archive_twice_l1": q_archive_twice_l1,
@@ -615,7 +624,7 @@ def _rollup_cte(w: int) -> str:
                      max(value) AS max_v, count(*) AS n FROM signals GROUP BY 1, 2)"""
 
 
-def _downsample_sql(prelude: str, t: int) -> str:
+def _downsample_sql(prelude: str, t: int, source: str = "signals") -> str:
     """MinMax + LTTB dispatch in SQL: pass-through, direct LTTB or preselect-then-LTTB per channel.
 
     LTTB's picks depend on the previous pick, so it is a recursive CTE over bucket numbers;
@@ -624,7 +633,7 @@ def _downsample_sql(prelude: str, t: int) -> str:
     pre = 4 * t
     return f"""WITH RECURSIVE {prelude},
 idx AS (SELECT channel_id, ts, value, row_number() OVER (PARTITION BY channel_id ORDER BY ts, value) - 1 AS i,
-               count(*) OVER (PARTITION BY channel_id) AS n FROM signals),
+               count(*) OVER (PARTITION BY channel_id) AS n FROM {source}),
 bk AS (SELECT *, ((i + 1) * {pre} - 1) // n AS b FROM idx WHERE n > {8 * t}),
 lo AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY channel_id, b ORDER BY value, i) AS r FROM bk) WHERE r = 1),
 hi AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY channel_id, b ORDER BY value DESC, i) AS r FROM bk) WHERE r = 1),
@@ -822,6 +831,10 @@ UNION ALL
 SELECT CAST((SELECT max(id) + 1 FROM ev) + row_number() OVER (ORDER BY name) - 1 AS INTEGER) AS id, name FROM new""",
     "bulk_load_l1": _rollup_sql(_EV, MINUTE_MS),
     "store_overview": _OVERVIEW_SQL,
+    "store_series_last_day": _downsample_sql(_EV + f""",
+last_day AS (SELECT * FROM signals
+             WHERE ts BETWEEN (SELECT max(ts) FROM signals) - {DAY_MS} AND (SELECT max(ts) FROM signals))""",
+                                             200, source="last_day"),
     "archive_roundtrip": _with(_EV, "\nSELECT ts, channel_id, value FROM signals"),
     "archive_twice": _with(_EV, "\nSELECT ts, channel_id, value FROM signals"),
     "archive_twice_l1": _rollup_sql(_EV, MINUTE_MS),
