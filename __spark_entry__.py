@@ -129,6 +129,28 @@ def q_outliers_lineitem(spark, d):
     return outliers(_li(spark, d), None, ALL_START, ALL_END, OUTLIER_CAP, quantile="exact")
 
 
+def _each_channel(spark, d, build):
+    # the reference's single-channel API, applied to every channel of the dictionary
+    sig, ch = event_signals(spark, d)
+    ids = sorted(r["id"] for r in ch.select("id").collect())        # the channel dictionary
+    parts = [build(sig, i).select(F.lit(i).alias("channel_id"), "*") for i in ids]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def q_outliers_single_channel(spark, d):
+    return _each_channel(spark, d, lambda sig, i: outliers(sig, i, ALL_START, ALL_END, OUTLIER_CAP,
+                                                           quantile="exact"))
+
+
+def q_histogram_single_channel(spark, d):
+    return _each_channel(spark, d, lambda sig, i: histogram(sig, i, ALL_START, ALL_END, HIST_BINS, edges=True)
+                         .select("bin", "n", "lo", "hi", _r("bin_start").alias("bin_start"),
+                                 _r("bin_end").alias("bin_end")))
+
+
 def q_outliers_by_box(spark, d):
     sig = _ev(spark, d)
     boxes = boxplot(sig, ALL_START, ALL_END, bucket_ms=DAY_MS, quantile="exact").withColumn("label", box_label("gk"))
@@ -499,6 +521,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "outliers": q_outliers,
     "outliers_lineitem": q_outliers_lineitem,
     "outliers_by_box": q_outliers_by_box,
+    "outliers_single_channel": q_outliers_single_channel,
+    "histogram_single_channel": q_histogram_single_channel,
     "histogram": q_histogram,
     "histogram_edges": q_histogram_edges,
     "histogram_dense": q_histogram_dense,
@@ -709,6 +733,10 @@ boxes AS (SELECT (ts // 86400000) * 86400000 AS gk, count(*) AS n FROM signals G
 SELECT p.gk, p.channel_id, p.ts, p.value, strftime(make_timestamp(p.gk * 1000), '%m-%d %H:%M') AS label, b.n
 FROM pts p JOIN boxes b ON p.gk = b.gk"""),
     "histogram": _with(_hist_core(_EV, HIST_BINS), "\nSELECT channel_id, bin, n, lo, hi FROM h"),
+    "histogram_single_channel": _with(_hist_core(_EV, HIST_BINS), f"""
+SELECT channel_id, bin, n, lo, hi, round(lo + bin * ((hi - lo) / {HIST_BINS}), 6) AS bin_start,
+       round(lo + (bin + 1) * ((hi - lo) / {HIST_BINS}), 6) AS bin_end FROM h"""),
+    "outliers_single_channel": _outlier_sql(_EV),
     "histogram_edges": _with(_hist_core(_EV, HIST_BINS), f"""
 SELECT channel_id, bin, n, lo, hi, round(lo + bin * ((hi - lo) / {HIST_BINS}), 6) AS bin_start,
        round(lo + (bin + 1) * ((hi - lo) / {HIST_BINS}), 6) AS bin_end FROM h"""),

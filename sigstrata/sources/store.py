@@ -200,6 +200,15 @@ class SignalStore:
         """``L0``/``L1``/``L2`` relations, each built only when first looked up."""
         return _Layers(self, fresh)
 
+    def register_views(self, prefix: str = "") -> list[str]:
+        """Temp views ``unified``, ``signals_l1``, ``signals_l2`` (fresh) and ``channels`` so the
+        layers can be queried with Spark SQL under the reference's relation names."""
+        views = {"unified": self.unified(), "signals_l1": self.fresh_layer("L1"),
+                 "signals_l2": self.fresh_layer("L2"), "channels": self.channels()}
+        for name, df in views.items():
+            df.createOrReplaceTempView(prefix + name)
+        return [prefix + n for n in views]
+
     # ---- writes ---------------------------------------------------------------------------
     def write_channels(self, channels: DataFrame) -> None:
         channels.select("id", "name").coalesce(1).write.mode("overwrite").parquet(self.path("channels"))

@@ -223,3 +223,17 @@ def test_uncommitted_manifest_entry_is_ignored(spark, make_sig):
     open(os.path.join(crashed, "part-00000.json"), "w").close()    # no _SUCCESS: never committed
     assert store.watermark() == D0 + 2 * DAY_MS
     assert sorted_rows(store.unified().select("ts", "channel_id", "value")) == sorted(rows)
+
+
+def test_register_views_for_sql(spark, make_sig):
+    sig, rows = _five_days(make_sig)
+    store = SignalStore(spark, scratch_path(spark, "t-views"))
+    store.write_channels(spark.createDataFrame([(0, "a"), (1, "b")], "id int, name string"))
+    store.bulk_load(sig)
+    store.archive_before(D0 + 2 * DAY_MS)
+    assert store.register_views("v_") == ["v_unified", "v_signals_l1", "v_signals_l2", "v_channels"]
+    got = spark.sql("""SELECT c.name, count(*) AS n, sum(l.n) AS rolled FROM v_unified u
+                       JOIN v_channels c ON u.channel_id = c.id
+                       JOIN (SELECT channel_id, sum(n) AS n FROM v_signals_l2 GROUP BY 1) l
+                         ON l.channel_id = u.channel_id GROUP BY c.name ORDER BY c.name""").collect()
+    assert [(r["name"], r["n"]) for r in got] == [("a", len(rows) // 2), ("b", len(rows) // 2)]
