@@ -191,6 +191,19 @@ def q_store_series_last_day(spark, d):
     return out.select("channel_id", F.col("point").alias("seq"), "ts", "value")
 
 
+def q_store_page_first(spark, d):
+    store, _ = _loaded_store(spark, d)
+    store.archive_before(ARCHIVE_1)
+    return store.page(PAGE)
+
+
+def q_store_page_next(spark, d):
+    store, _ = _loaded_store(spark, d)
+    store.archive_before(ARCHIVE_1)
+    cursor, _ = next_cursor(store.page(PAGE))
+    return store.page(PAGE, cursor=cursor)
+
+
 def q_store_overview(spark, d):
     store, _ = _loaded_store(spark, d)
     store.archive_before(ARCHIVE_1)
@@ -563,6 +576,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ensure_channels": q_ensure_channels,
     "bulk_load_l1": q_bulk_load_l1,
     "store_overview": q_store_overview,
+    "store_page_first": q_store_page_first,
+    "store_page_next": q_store_page_next,
     "store_series_last_day": q_store_series_last_day,
     "archive_roundtrip": q_archive_roundtrip,
     "archive_twice": q_archive_twice,
@@ -859,6 +874,8 @@ UNION ALL
 SELECT CAST((SELECT max(id) + 1 FROM ev) + row_number() OVER (ORDER BY name) - 1 AS INTEGER) AS id, name FROM new""",
     "bulk_load_l1": _rollup_sql(_EV, MINUTE_MS),
     "store_overview": _OVERVIEW_SQL,
+    "store_page_first": _with(_EV, f"\nSELECT ts, channel_id, value FROM signals {_ORDER} LIMIT {PAGE}"),
+    "store_page_next": _with(_EV, f"\nSELECT ts, channel_id, value FROM signals {_ORDER} LIMIT {PAGE} OFFSET {PAGE}"),
     "store_series_last_day": _downsample_sql(_EV + f""",
 last_day AS (SELECT * FROM signals
              WHERE ts BETWEEN (SELECT max(ts) FROM signals) - {DAY_MS} AND (SELECT max(ts) FROM signals))""",

@@ -28,7 +28,8 @@ from pyspark.sql import types as T
 
 from ..functions.time import date_of_ms, day_floor_ms, day_of
 from ..operators.filters import at_or_after, before
-from ..operators.reads import rollup, rollup_from_rollup
+from ..functions.args import int_arg
+from ..operators.reads import rollup, rollup_from_rollup, signal_page
 from ..schemas import (CHANNEL_SCHEMA, DAY_MS, HOUR_MS, MINUTE_MS, ROLLUP_STORED_SCHEMA, SIGNAL_SCHEMA,
                        SIGNAL_STORED_SCHEMA)
 from ..session import delete_path, hadoop_fs, has_parquet
@@ -144,10 +145,7 @@ class SignalStore:
         ``count(*)`` reads no column data; ``min(ts)``/``max(ts)`` only read the first and last
         visible day partitions, found from the directory listing.
         """
-        w = self.watermark()
-        cut = date_of_ms(w) if w is not None else None
-        visible = [d for d in self._days("cold") if cut is not None and d < cut]
-        visible += [d for sub in ("hot", "ingest") for d in self._days(sub) if cut is None or d >= cut]
+        visible = self._visible_days()
         u = self.unified()
         total = u.select(F.count(F.lit(1))).scalar()
         if visible:
@@ -159,6 +157,40 @@ class SignalStore:
         return self.spark.range(1).select(total.alias("total_rows"), lo.alias("min_ts"), hi.alias("max_ts"),
                                           F.coalesce(chan, F.array()).alias("channels"))
 
+    def _visible_days(self) -> list[_dt.date]:
+        """Day partitions that hold rows of ``unified`` (directory listing only)."""
+        w = self.watermark()
+        cut = date_of_ms(w) if w is not None else None
+        days = {d for d in self._days("cold") if cut is not None and d < cut}
+        days |= {d for sub in ("hot", "ingest") for d in self._days(sub) if cut is None or d >= cut}
+        return sorted(days)
+
+    def page(self, limit: int, channel_id: int | None = None, cursor=None, compat: bool = False) -> DataFrame:
+        """Keyset page (Q2) that reads only the newest day partitions it needs.
+
+        A page is the newest ``limit`` rows after the cursor, and every row of an older day has
+        a smaller ``ts`` than every row of a newer one. So the newest 1, 4, 16, ... day
+        partitions at or before the cursor's day are probed (partition-pruned counts) until
+        they hold a full page. The top-k then runs on those days only: paging cost follows the
+        page, not the table.
+        """
+        limit = int_arg(limit, "limit", minimum=0)
+        days = self._visible_days()
+        if cursor is not None:
+            c_ts = cursor[0] if isinstance(cursor, tuple) else cursor
+            days = [d for d in days if d <= date_of_ms(int(c_ts))]
+        days = days[::-1]
+        unified, span = self.unified(), 1
+        while True:
+            chosen = days[:span]
+            if not chosen:
+                return signal_page(unified.limit(0), limit, channel_id, cursor, compat)
+            cand = unified.filter(F.col("dt").between(F.lit(chosen[-1]), F.lit(chosen[0])))
+            page = signal_page(cand, limit, channel_id, cursor, compat)
+            if span >= len(days) or page.count() >= limit:
+                return page
+            span *= 4
+
     def _last_day(self, sub: str) -> _dt.date | None:
         """Newest ``dt=`` partition of a layer, from the directory listing (metadata only)."""
         fs, p = hadoop_fs(self.spark, self.path(sub))
