@@ -65,6 +65,7 @@ def main(argv):
         "signal_range L1 (fresh), 7 d": signal_range(store.layer("L1"), 0, hi - 7 * DAY_MS, hi, "L1"),
         "signal_page, first page": signal_page(u, 500),
         "signal_page, next page (cursor)": signal_page(u, 500, cursor=(hi - DAY_MS, 0, 0.0)),
+        "store.page, first page (newest days only)": store.page(500),
         "boxplot approx, 1 d buckets": boxplot(u, lo, hi, bucket_ms=DAY_MS),
         "boxplot exact, by channel": boxplot(u, lo, hi, quantile="exact"),
         "outliers, one channel, 1 d": outliers(u, 0, hi - DAY_MS, hi, 500),
