@@ -12,8 +12,13 @@ Layout under one root (any Hadoop file system shared by the cluster)::
 Plain Parquet has no transactions, so the archive commit point is the manifest: with
 watermark ``W`` (a UTC midnight) the unified relation is ``hot[ts >= W] ∪ cold[ts < W]``
 (S3). Moving rows is export (idempotent, whole days, dynamic partition overwrite) ->
-rollup backfill of the moved days -> manifest append (commit) -> drop of hot days
-(cleanup). A crash anywhere leaves either the old or the new view, never duplicates.
+rollup backfill of moved days that are stale -> manifest commit -> drop of the hot days moved
+by the previous archive (cleanup, one cycle late so relations built before an archive stay
+readable). A crash anywhere leaves either the old or the new view, never duplicates.
+
+Relations are snapshots, as for any Spark file source: after ``refresh_rollups`` or
+``bulk_load`` rebuild them (``store.unified()``, ``store.layers()``); an archive alone does
+not invalidate them.
 """
 
 from __future__ import annotations
@@ -352,12 +357,24 @@ class SignalStore:
         export = _time_ordered(moving.select("ts", "channel_id", "value")).withColumn("dt", day_of("ts"))
         (export.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("dt").parquet(self.path("cold")))                     # S7, whole days
-        cold_days = before(self.cold(), w).filter(F.col("dt").isin(days))
-        self._write_rollup("L1", rollup(cold_days, MINUTE_MS))              # R5 from moved rows
-        self._write_rollup("L2", rollup_from_rollup(
-            self.rollup_layer("L1").filter(F.col("dt").isin(days)), HOUR_MS))
+        # Rebuild the rollups of moved days only where they are stale (their stored row
+        # total differs from the moved rows); up-to-date days are left untouched, so relations
+        # that already read them keep working and unchanged days cost nothing.
+        moved = {r["dt"]: r["count"] for r in per_day}
+        stored = {r["dt"]: r["n"] for r in self.rollup_layer("L1").filter(F.col("dt").isin(days))
+                  .groupBy("dt").agg(F.sum("n").alias("n")).collect()}      # one row per day
+        stale = sorted(d for d in days if stored.get(d) != moved[d])
+        if stale:
+            cold_days = before(self.cold(), w).filter(F.col("dt").isin(stale))
+            self._write_rollup("L1", rollup(cold_days, MINUTE_MS))
+            self._write_rollup("L2", rollup_from_rollup(
+                self.rollup_layer("L1").filter(F.col("dt").isin(stale)), HOUR_MS))
         commit = self.spark.createDataFrame([(w, rows, int(time.time() * 1000))], MANIFEST_SCHEMA)
         commit.coalesce(1).write.mode("overwrite").json(self.path(f"_manifest/w={w:013d}"))  # commit point
-        for d in self._hot_days_before(w):                                  # S9 cleanup
-            delete_path(self.spark, d)
+        # S9 cleanup, one archive cycle late: hot days moved by *this* archive stay on disk
+        # (hidden by the new watermark) so relations built before it still read their files;
+        # days moved by the previous archive are dropped now.
+        if old is not None:
+            for d in self._hot_days_before(old):
+                delete_path(self.spark, d)
         return ArchiveResult(True, rows, w)
