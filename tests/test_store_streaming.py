@@ -282,3 +282,13 @@ def test_relation_built_before_archive_still_reads(spark, make_sig):
     assert sorted_rows(series) == before_series
     store.archive_before(D0 + 3 * DAY_MS)                        # a relation built before one archive
     assert sorted_rows(store.unified().select("ts", "channel_id", "value")) == sorted(rows)
+
+
+def test_archive_backfills_only_stale_rollup_days(spark, make_sig):
+    sig, rows = _five_days(make_sig)
+    store = SignalStore(spark, scratch_path(spark, "t-r5"))
+    store.bulk_load(sig, rollups=False)                          # no rollups yet: every day stale
+    store.archive_before(D0 + 2 * DAY_MS)
+    moved = sig.filter(F.col("ts") < D0 + 2 * DAY_MS)
+    assert _rollup_rows(store.rollup_layer("L1")) == _rollup_rows(rollup(moved, MINUTE_MS))
+    assert _rollup_rows(store.rollup_layer("L2")) == _rollup_rows(rollup(moved, HOUR_MS))
