@@ -313,15 +313,27 @@ class SignalStore:
             l1 = l1.filter(F.col("dt").isin(list(days)))
         self._write_rollup("L2", rollup_from_rollup(l1, HOUR_MS))
 
+    def _stale_days(self, days: list[_dt.date]) -> list[_dt.date]:
+        """Days whose stored L1 row total differs from their L0 row count (append-only store:
+        a day's content only changes by gaining rows, so equal counts mean up to date)."""
+        l0 = {r["dt"]: r["n"] for r in self.unified().filter(F.col("dt").isin(days))
+              .groupBy("dt").count().withColumnRenamed("count", "n").collect()}   # one row per day
+        l1 = {r["dt"]: r["n"] for r in self.rollup_layer("L1").filter(F.col("dt").isin(days))
+              .groupBy("dt").agg(F.sum("n").alias("n")).collect()}
+        return sorted(d for d in days if l0.get(d) != l1.get(d) and l0.get(d) is not None)
+
     def refresh_rollups(self, since_ms: int) -> list[_dt.date]:
-        """Incremental refresh (R3/R4): recompute every day from ``since_ms`` to the newest row."""
+        """Incremental refresh (R3/R4): recompute the days from ``since_ms`` to the newest row
+        whose rollups are stale; returns them. A repeated refresh without new rows rewrites
+        nothing."""
         newest = self.unified().agg(F.max("ts")).first()[0]
         if newest is None or newest < since_ms:
             return []
         first, last = date_of_ms(since_ms), date_of_ms(newest)
         days = [first + _dt.timedelta(days=i) for i in range((last - first).days + 1)]
-        self.rebuild_rollups(days)
-        return days
+        stale = self._stale_days(days)
+        self.rebuild_rollups(stale)
+        return stale
 
     # ---- archive ----------------------------------------------------------------------------
     def _hot_days_before(self, watermark: int) -> list[str]:

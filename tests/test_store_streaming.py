@@ -82,6 +82,7 @@ def test_incremental_refresh_equals_full(spark, make_sig):
     days = store.refresh_rollups(cut)
     assert len(days) == 2
     assert _rollup_rows(store.rollup_layer("L1")) == _rollup_rows(rollup(sig, MINUTE_MS))
+    assert store.refresh_rollups(cut) == []                     # nothing new: nothing rewritten
 
 
 def test_ensure_channels_insert_or_ignore(spark):
