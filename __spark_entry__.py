@@ -900,6 +900,22 @@ last_day AS (SELECT * FROM signals
 }
 
 
+try:
+    import corpus_pipeline
+    import sigstrata.llm.queries as llm_queries
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "sigstrata.llm"):
+        raise
+    corpus_pipeline = llm_queries = None
+
+if llm_queries is not None:
+    _QUERIES.update(llm_queries.QUERIES)
+    _QUERIES["pipeline"] = corpus_pipeline.run
+    _SQL.update(llm_queries.ORACLE_SQL)
+    if corpus_pipeline.ORACLE_SQL:
+        _SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: box plot by 1-day bucket over all event signals, exact quartiles (Q3)."""
     return q_boxplot_by_time(spark, SMOKE_DIR)
