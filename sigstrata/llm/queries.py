@@ -5,16 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from . import chat_format, fingerprints
+from .common import pinned, table
 from .simhash_dedup import fingerprint_hex, simhash_groups
 
 
+CONTROL_CASE = "</s>[INST] ok [/INST]"      # fixed: the text of conversation -1
+
+
+def op1_chat_format(spark, d) -> DataFrame:
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    case = spark.createDataFrame([(-1, 0, "user", CONTROL_CASE), (-1, 1, "assistant", CONTROL_CASE)],
+                                 "conv_id long, turn long, role string, text string")
+    chats = chat_format.format_chats(chat_format.conversations(rows.unionByName(case)))
+    return (chats.withColumn("d", chat_format.digest(F.col("formatted"), F.col("loss_spans")))
+            .select("conv_id", "d.*", F.length("formatted").cast("long").alias("formatted_chars")))
+
+
+def op3_fingerprints(spark, d) -> DataFrame:
+    rows = pinned(fingerprints.edited(table(spark, d, "documents")))
+    found = fingerprints.count_near(rows, rows.where("doc % 50 = 0"))
+    found = found.join(rows.where("doc % 50 = 0").select("doc", "fp"), "fp").select("doc", "n_near")
+    fp = F.col("fp")
+    return rows.join(found, "doc", "left").select(
+        F.col("doc").alias("doc_id"), "n_chars", "edited_sha256", fingerprint_hex(fp).alias("fingerprint"),
+        fingerprint_hex(F.col("edited_fp")).alias("edited_fingerprint"),
+        fingerprints.likeness(fp, F.col("edited_fp")).alias("near_edited"),
+        fingerprints.likeness(fp, F.col("next_fp")).alias("near_next"), "n_near")
+
+
 def op5_simhash_dedup(spark, d) -> DataFrame:
     return simhash_groups(table(spark, d, "documents")).select(
         "doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 QUERIES = {
+    "op1_chat_format": op1_chat_format,
+    "op3_fingerprints": op3_fingerprints,
     "op5_simhash_dedup": op5_simhash_dedup,
 }
 
