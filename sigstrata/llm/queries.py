@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import chat_format, fingerprints
 from .common import pinned, table
+from .embedding_dedup import near_duplicates
 from .simhash_dedup import fingerprint_hex, simhash_groups
 
 
@@ -39,10 +40,15 @@ def op5_simhash_dedup(spark, d) -> DataFrame:
         "doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op10_embedding_dedup(spark, d) -> DataFrame:
+    return near_duplicates(table(spark, d, "embeddings"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op3_fingerprints": op3_fingerprints,
     "op5_simhash_dedup": op5_simhash_dedup,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
