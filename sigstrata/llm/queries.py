@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from . import chat_format, fingerprints
 from .common import pinned, table
 from .embedding_dedup import near_duplicates
+from .line_dedup import remove_common_blocks
+from .quality_knn import classify
 from .simhash_dedup import fingerprint_hex, simhash_groups
 
 
@@ -40,6 +42,15 @@ def op5_simhash_dedup(spark, d) -> DataFrame:
         "doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_quality(spark, d) -> DataFrame:
+    return classify(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+def op9_line_dedup(spark, d) -> DataFrame:
+    docs = remove_common_blocks(table(spark, d, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.size("deleted_lines").alias("n_deleted"), "deleted_lines", "partners", "text")
+
+
 def op10_embedding_dedup(spark, d) -> DataFrame:
     return near_duplicates(table(spark, d, "embeddings"))
 
@@ -48,6 +59,8 @@ QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op3_fingerprints": op3_fingerprints,
     "op5_simhash_dedup": op5_simhash_dedup,
+    "op7_quality": op7_quality,
+    "op9_line_dedup": op9_line_dedup,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 
