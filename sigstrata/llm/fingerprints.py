@@ -11,7 +11,7 @@ up by those leading bits and verified in whole. Any pair within the radius agree
 blocks of some table, so none is missed. Equal fingerprints are folded before.
 
 ``edited`` gives each document the text whose last third is replaced by the beginning of the
-next document in descending id order (ties: by text, descending; after the last, the first).
+next document in descending id order (ties: by the XXH64 of the text, descending, then the text; after the last, the first).
 The table is range partitioned by id once; a partition in order knows the next document of all
 its rows but the last, which is completed afterwards from the first row of the next partition.
 
@@ -115,9 +115,10 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """``(doc, n_chars, edited_sha256, fp, edited_fp, next_fp)``, one row per row of ``docs``."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_of(text_col).alias("text"))
-    order = [F.col("doc").desc_nulls_last(), F.col("text").desc()]
+    order = [F.col("doc").desc_nulls_last(), F.xxhash64("text").desc(), F.col("text").desc()]
     ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    made = pinned(rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    # the text itself is no range key: Spark samples the keys to the driver
+    made = pinned(rows.repartitionByRange(ranges, *order[:2]).sortWithinPartitions(*order)
                   .mapInPandas(_follow, f"{_ROW}, kind int, part int, text string"))
     heads = made.where(F.col("kind") == HEAD)
     parts = sorted(r.part for r in heads.select("part").collect())      # one per partition

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import chat_format, fingerprints
+from . import chat_format, fingerprints, secret_scan
 from .common import pinned, table
 from .embedding_dedup import near_duplicates
 from .line_dedup import remove_common_blocks
+from .packing import pack
 from .quality_knn import classify
 from .simhash_dedup import fingerprint_hex, simhash_groups
 
@@ -37,11 +38,25 @@ def op3_fingerprints(spark, d) -> DataFrame:
         fingerprints.likeness(fp, F.col("next_fp")).alias("near_next"), "n_near")
 
 
+def op4_secret_scan(spark, d) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    found = secret_scan.scan(docs, secret_scan.train(secret_scan.corpus_samples(docs)))
+    rules, secrets = F.col("rules"), F.col("secrets")
+    return found.select(
+        "doc_id", *[secret_scan.count_kind(rules, k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(secret_scan.written(rules), 256).alias("base_sha256"), secret_scan.written(secrets).alias("spans"),
+        secret_scan.count_kind(secrets, "markov").alias("n_markov"))
+
+
 def op5_simhash_dedup(spark, d) -> DataFrame:
     return simhash_groups(table(spark, d, "documents")).select(
         "doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_packing(spark, d) -> DataFrame:
+    return pack(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def op7_quality(spark, d) -> DataFrame:
     return classify(table(spark, d, "documents"), table(spark, d, "labels"))
 
@@ -58,7 +73,9 @@ def op10_embedding_dedup(spark, d) -> DataFrame:
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op3_fingerprints": op3_fingerprints,
+    "op4_secret_scan": op4_secret_scan,
     "op5_simhash_dedup": op5_simhash_dedup,
+    "op6_packing": op6_packing,
     "op7_quality": op7_quality,
     "op9_line_dedup": op9_line_dedup,
     "op10_embedding_dedup": op10_embedding_dedup,

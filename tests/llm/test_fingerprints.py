@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from sigstrata.llm import fingerprints as fp
 from sigstrata.llm.common import table
@@ -15,7 +16,8 @@ U = 2**64 - 1
 
 def plain(rows):
     """rows: (id, text); the digest of each, by a sort of the whole table."""
-    rows = sorted(((i, t or "") for i, t in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1]), reverse=True)
+    rows = sorted(((i, t or "") for i, t in rows), reverse=True, key=lambda x: (
+        x[0] is not None, x[0] or 0, fp._signed(xxhash.xxh64_intdigest(x[1], 42)), x[1]))
     out = []
     for (i, t), (_, n) in zip(rows, rows[1:] + rows[:1]):
         new = fp.edit(t, n)
