@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import chat_format, fingerprints, secret_scan
-from .common import pinned, table
+from . import chat_format, fingerprints, secret_scan, sentencepiece_sampling
+from .common import pinned, table, text_of
 from .embedding_dedup import near_duplicates
 from .line_dedup import remove_common_blocks
 from .packing import pack
@@ -26,6 +26,13 @@ def op1_chat_format(spark, d) -> DataFrame:
             .select("conv_id", "d.*", F.length("formatted").cast("long").alias("formatted_chars")))
 
 
+def op2_sentencepiece(spark, d) -> DataFrame:
+    docs = sentencepiece_sampling.encode(table(spark, d, "documents").select("doc_id", "text"))
+    docs = sentencepiece_sampling.decode(docs)
+    return docs.select("doc_id", F.size("ids").cast("long").alias("n_pieces"),
+                       F.col("decoded").eqNullSafe(text_of("text")).alias("lossless"), "ids")
+
+
 def op3_fingerprints(spark, d) -> DataFrame:
     rows = pinned(fingerprints.edited(table(spark, d, "documents")))
     found = fingerprints.count_near(rows, rows.where("doc % 50 = 0"))
@@ -72,6 +79,7 @@ def op10_embedding_dedup(spark, d) -> DataFrame:
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_fingerprints": op3_fingerprints,
     "op4_secret_scan": op4_secret_scan,
     "op5_simhash_dedup": op5_simhash_dedup,
