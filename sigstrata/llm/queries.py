@@ -10,6 +10,7 @@ from .common import pinned, table, text_of
 from .embedding_dedup import near_duplicates
 from .line_dedup import remove_common_blocks
 from .packing import pack
+from .pii_surrogates import replace_pii
 from .quality_knn import classify
 from .simhash_dedup import fingerprint_hex, simhash_groups
 
@@ -68,6 +69,10 @@ def op7_quality(spark, d) -> DataFrame:
     return classify(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+def op8_pii_surrogates(spark, d) -> DataFrame:
+    return replace_pii(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def op9_line_dedup(spark, d) -> DataFrame:
     docs = remove_common_blocks(table(spark, d, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.size("deleted_lines").alias("n_deleted"), "deleted_lines", "partners", "text")
@@ -85,6 +90,7 @@ QUERIES = {
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_packing": op6_packing,
     "op7_quality": op7_quality,
+    "op8_pii_surrogates": op8_pii_surrogates,
     "op9_line_dedup": op9_line_dedup,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
