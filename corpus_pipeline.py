@@ -1,18 +1,82 @@
-"""Corpus pipeline over ``documents``: the stages, run one after another."""
+"""Corpus pipeline over ``documents``: five stages, each on all that the one before kept.
+
+1. quality: documents that the classifier scores below 0.5 go.
+2. lines: common blocks of lines go from the later document; a document that loses all its text goes.
+3. near_copies: one document of each SimHash group stays, the one with the smallest id.
+4. secrets: secrets in the texts are replaced by a mark; no document goes.
+5. packing: the documents' pieces in padded batches.
+
+All stages but the last return the columns they were given. ``n_chars`` follows a text that a
+stage changes. Rows with a null id are kept by the third stage.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sigstrata.llm import line_dedup, packing, quality_knn, secret_scan, simhash_dedup
+from sigstrata.llm.common import pinned, table
+from sigstrata.session import delete_path, scratch_path
+
+
+def _with_text(docs: DataFrame, text: Column, changed: Column, columns: list[str]) -> DataFrame:
+    """``columns`` of ``docs`` with the new text, and its length where it changed."""
+    new = {"text": F.when(changed, text).otherwise(F.col("text"))}
+    if "n_chars" in columns:
+        new["n_chars"] = F.when(changed, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return docs.select(*[new[c].alias(c) if c in new else F.col(c) for c in columns])
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality_knn.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_knn.score(docs, model, out="_score").where("_score >= 0.5").drop("_score")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = line_dedup.remove_common_blocks(docs.select(*[c for c in docs.columns if c not in ("deleted_lines", "partners")]))
+    cut = F.size("deleted_lines") > 0
+    kept = found.where(~cut | (F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > 0))
+    return _with_text(kept, F.col("text"), cut, docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = pinned(simhash_dedup.simhash_groups(docs))
+    copies = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    repeated = pinned(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if repeated.limit(1).count():       # rows that share an id: one of them stays
+        several = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(several).select(*docs.columns)
+    return kept
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = secret_scan.train(secret_scan.corpus_samples(docs))
+    found = secret_scan.scan(docs, model)
+    return _with_text(found, secret_scan.redacted(F.col("text"), F.col("secrets")), F.size("secrets") > 0, docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
 
-STAGES: list = []
+STAGES = [("quality", quality), ("lines", lines), ("near_copies", near_copies), ("secrets", secrets), ("packing", packed)]
 
 #: The stages learn models and build groups, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply ``STAGES`` in order to ``documents``; each stage reads what the one before wrote."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """Apply ``STAGES`` in order to ``documents``, each on what the one before wrote."""
+    docs, written = table(spark, sf_dir, "documents"), []
+    for at, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if at < len(STAGES) - 1:
+            written.append(scratch_path(spark, "corpus"))
+            docs.write.parquet(written[-1])
+            docs = spark.read.parquet(written[-1])
+    docs = pinned(docs)
+    for path in written:
+        delete_path(spark, path)
     return docs
