@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sigstrata.llm import secret_scan as sc
 from sigstrata.llm.common import table
 from sigstrata.llm.queries import op4_secret_scan
-from tests.conftest import SF_SMALL
+from tests.conftest import SF_ORACLE, SF_SMALL
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 
@@ -46,9 +46,10 @@ def model(spark):
     return sc.train(sc.corpus_samples(table(spark, SF_SMALL, "documents")))
 
 
-def test_query_equals_brute_force(spark, model):
-    docs = {r.doc_id: r.text for r in table(spark, SF_SMALL, "documents").collect()}
-    rows = op4_secret_scan(spark, SF_SMALL).collect()
+def test_query_equals_brute_force(spark):
+    docs = {r.doc_id: r.text for r in table(spark, SF_ORACLE, "documents").collect()}
+    model = sc.train(sc.corpus_samples(table(spark, SF_ORACLE, "documents")))
+    rows = op4_secret_scan(spark, SF_ORACLE).collect()
     assert len(rows) == len(docs) and sum(r.n_assign for r in rows) > 0
     for r in rows:
         rules = plain_rules(docs[r.doc_id])
