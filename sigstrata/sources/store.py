@@ -2,19 +2,23 @@
 
 Layout under one root (any Hadoop file system shared by the cluster)::
 
-    hot/dt=YYYY-MM-DD/      L0 rows written by batch appends (S5, S10)
-    ingest/dt=YYYY-MM-DD/   L0 rows written by the streaming sink (T1, own commit log)
-    cold/dt=YYYY-MM-DD/     archived L0 rows (S7)
-    l1/dt=..., l2/dt=...    minute and hour rollups (R1-R5)
-    channels/               channel dictionary (S2)
-    _manifest/w=<ms>/       archive commits, one directory per committed watermark
-
-Plain Parquet has no transactions, so the archive commit point is the manifest: with
-watermark ``W`` (a UTC midnight) the unified relation is ``hot[ts >= W] ∪ cold[ts < W]``
-(S3). Moving rows is export (idempotent, whole days, dynamic partition overwrite) ->
-rollup backfill of moved days that are stale -> manifest commit -> drop of the hot days moved
-by the previous archive (cleanup, one cycle late so relations built before an archive stay
-readable). A crash anywhere leaves either the old or the new view, never duplicates.
+    hot/dt=YYYY-MM-DD/                  L0 rows of batch appends (S5, S10)
+    ingest/batch=<key>/dt=YYYY-MM-DD/   L0 rows of keyed appends: one folder per key, replaced as a
+                                        whole when the append is retried (T1, T3)
+    cold/a=<archive>/dt=YYYY-MM-DD/     archived L0 rows (S7), one folder per archive
+    l1/dt=..., l2/dt=...                minute and hour rollups (R1-R5)
+    channels/v=<n>/                     channel dictionary, newest committed version counts (S2)
+    rejects/                            rows with NULL or non-finite fields (S1)
+    _manifest/w=<ms>/                   archive commits, one directory per watermark
+
+Plain Parquet has no transactions, so the archive commits by files: the manifest names the
+archive folder and the hot files that it holds. The unified relation (S3) is the committed cold
+folders and all hot files that no manifest names. Archiving lists the files first, exports exactly
+those, brings stale rollups of the moved days up to date and writes the manifest; the files named by the
+previous manifest are deleted then, one cycle late, so relations built before an archive stay
+readable. A file that appears at any other time (a late row, an append during the archive) is
+named by no manifest: it is visible at once, and the next archive moves it. A crash anywhere leaves
+the old or the new view, never duplicates. One process archives at a time.
 
 Relations are snapshots, as for any Spark file source: after ``refresh_rollups`` or
 ``bulk_load`` rebuild them (``store.unified()``, ``store.layers()``); an archive alone does
@@ -24,7 +28,9 @@ not invalidate them.
 from __future__ import annotations
 
 import datetime as _dt
+import math
 import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +38,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.time import date_of_ms, day_floor_ms, day_of
-from ..operators.filters import at_or_after, before
 from ..functions.args import int_arg
 from ..operators.reads import rollup, rollup_from_rollup, signal_page
 from ..schemas import (CHANNEL_SCHEMA, DAY_MS, HOUR_MS, MINUTE_MS, ROLLUP_STORED_SCHEMA, SIGNAL_SCHEMA,
@@ -43,6 +48,8 @@ MANIFEST_SCHEMA = T.StructType([
     T.StructField("watermark", T.LongType(), False),
     T.StructField("rows", T.LongType(), False),
     T.StructField("committed_at", T.LongType(), False),
+    T.StructField("archive", T.StringType(), False),
+    T.StructField("files", T.ArrayType(T.StringType()), False),
 ])
 
 ROLLUP_LAYERS = {"L1": ("l1", MINUTE_MS), "L2": ("l2", HOUR_MS)}
@@ -60,11 +67,17 @@ class ArchiveResult:
 def _time_ordered(df: DataFrame) -> DataFrame:
     """Range-partition on ``ts`` and sort inside partitions before a write.
 
-    Each task covers a contiguous time range, so a hot day is split over many tasks instead
-    of landing in one, and every file is ``ts``-sorted: Parquet min/max statistics then
-    skip row groups for range reads.
+    Each task covers a contiguous range, so a hot day is split over many tasks, and every file
+    is ``ts``-sorted: Parquet min/max statistics then skip row groups for range reads. Channel
+    and a hash of the row break ties, so one hot ``ts`` is split as well.
     """
-    return df.repartitionByRange("ts").sortWithinPartitions("ts")
+    rest = [c for c in df.columns if c not in ("ts", "channel_id")]
+    return df.repartitionByRange("ts", "channel_id", F.xxhash64(*rest)).sortWithinPartitions("ts")
+
+
+def _local(path: str) -> str:
+    """A file's path without the scheme's slashes, as listings and manifests may differ in them."""
+    return path.replace("file:///", "file:/")
 
 
 class _Layers(dict):
@@ -90,52 +103,101 @@ class SignalStore:
     def path(self, sub: str) -> str:
         return f"{self.root}/{sub}"
 
-    def _read(self, sub: str, schema: T.StructType) -> DataFrame:
+    def _read(self, sub: str, schema: T.StructType, paths: list[str] | None = None) -> DataFrame:
         p = self.path(sub)
-        if not has_parquet(self.spark, p):
+        if paths is None:
+            paths = [p] if has_parquet(self.spark, p) else []
+        if not paths:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("basePath", p).parquet(p)
+        df = self.spark.read.schema(schema).option("basePath", p).parquet(*paths)
+        return df.select(*[f.name for f in schema.fields])
+
+    def _list(self, path: str) -> list[tuple[str, str, bool]]:
+        """``(name, path, is directory)`` of a folder's visible entries; empty if there is none."""
+        fs, p = hadoop_fs(self.spark, path)
+        if not fs.exists(p):
+            return []
+        found = [(st.getPath().getName(), st.getPath().toString(), st.isDirectory()) for st in fs.listStatus(p)]
+        return sorted(x for x in found if x[0][0] not in "._")
+
+    def _committed(self, path: str) -> bool:
+        fs, p = hadoop_fs(self.spark, f"{path}/_SUCCESS")
+        return bool(fs.exists(p))
+
+    def _hot_files(self) -> dict[str, dict[str, list[str]]]:
+        """day directory -> its files that no manifest names, of hot and of committed ingest folders."""
+        moved, out = self._moved(), {"hot": {}, "ingest": {}}
+        for sub, days in (("hot", self._list(self.path("hot"))),
+                          ("ingest", [d for _, p, _ in self._list(self.path("ingest")) if self._committed(p) for d in self._list(p)])):
+            for name, path, is_dir in days:
+                if is_dir and name.startswith("dt="):
+                    files = [f for _, f, _ in self._list(path)]
+                    left = [f for f in files if _local(f) not in moved]
+                    if left:
+                        out[sub][path] = [path] if len(left) == len(files) else left
+        return out
+
+    def _moved(self) -> set[str]:
+        """Hot files that a committed archive holds and that are not deleted yet."""
+        marks = self._marks()
+        if not marks:
+            return set()
+        if getattr(self, "_moved_at", None) != marks:
+            rows = self.spark.read.schema(MANIFEST_SCHEMA).json([p for _, p in marks[-2:]]).select("archive", "files").collect()
+            self._moved_files = {_local(f) for r in rows for f in r["files"]}
+            self._moved_at = marks
+        return self._moved_files
 
     def hot(self) -> DataFrame:
-        """Hot L0 rows: batch-appended and stream-ingested."""
-        return self._read("hot", SIGNAL_STORED_SCHEMA).unionByName(self._read("ingest", SIGNAL_STORED_SCHEMA))
+        """Hot L0 rows: batch-appended and stream-ingested (S4), archived files left out."""
+        files = self._hot_files()
+        parts = [self._read(sub, SIGNAL_STORED_SCHEMA, [p for ps in files[sub].values() for p in ps]) for sub in ("hot", "ingest")]
+        return parts[0].unionByName(parts[1])
+
+    def _cold_folders(self) -> list[str]:
+        done = {name for name, _ in self._archives()}
+        return [p for name, p, _ in self._list(self.path("cold")) if name in done]
 
     def cold(self) -> DataFrame:
-        return self._read("cold", SIGNAL_STORED_SCHEMA)
+        return self._read("cold", SIGNAL_STORED_SCHEMA, self._cold_folders())
 
     def rollup_layer(self, layer: str) -> DataFrame:
         sub, _ = ROLLUP_LAYERS[layer]
         return self._read(sub, ROLLUP_STORED_SCHEMA)
 
+    def _channel_versions(self) -> list[tuple[int, str]]:
+        return sorted((int(name[2:]), p) for name, p, _ in self._list(self.path("channels"))
+                      if name.startswith("v=") and self._committed(p))
+
     def channels(self) -> DataFrame:
-        p = self.path("channels")
-        if not has_parquet(self.spark, p):
+        versions = self._channel_versions()
+        if not versions:
             return self.spark.createDataFrame([], CHANNEL_SCHEMA)
-        return self.spark.read.schema(CHANNEL_SCHEMA).parquet(p)
+        return self.spark.read.schema(CHANNEL_SCHEMA).parquet(versions[-1][1])
 
-    def watermark(self) -> int | None:
-        """Committed archive watermark (epoch ms of a UTC midnight), ``None`` before the first.
+    def _marks(self) -> list[tuple[int, str]]:
+        """Committed watermarks with their manifest folders, ascending (a listing, not a job)."""
+        return sorted((int(name[2:]), p) for name, p, is_dir in self._list(self.path("_manifest"))
+                      if is_dir and name.startswith("w=") and self._committed(p))
 
-        Each commit is a directory ``_manifest/w=<watermark>`` that counts only once its write
-        job has committed (``_SUCCESS`` present), so reading the watermark is a listing, not a job.
-        """
-        fs, p = hadoop_fs(self.spark, self.path("_manifest"))
-        if not fs.exists(p):
-            return None
-        marks = []
-        for st in fs.listStatus(p):
-            name = st.getPath().getName()
-            if st.isDirectory() and name.startswith("w=") and fs.exists(
-                    self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                marks.append(int(name[2:]))
-        return max(marks) if marks else None
+    def _archives(self) -> list[tuple[str, int]]:
+        """Committed archive folders with their watermarks: each marks itself with its manifest's name."""
+        marks = {w for w, _ in self._marks()}
+        named = [(name, int(name[2:].split("-")[0])) for name, p, _ in self._list(self.path("cold")) if name.startswith("a=")]
+        return [(name, w) for name, w in named if w in marks and self._names_archive(w, name)]
+
+    def _names_archive(self, w: int, name: str) -> bool:
+        fs, p = hadoop_fs(self.spark, self.path(f"_manifest/w={w:013d}/_{name[2:]}"))
+        return bool(fs.exists(p))
+
+    def watermark(self) -> int | None:
+        """Committed archive watermark (epoch ms of a UTC midnight), ``None`` before the first."""
+        marks = self._marks()
+        return marks[-1][0] if marks else None
 
     def unified(self) -> DataFrame:
-        """Hot and cold L0 as one relation split at the committed watermark."""
-        w = self.watermark()
-        if w is None:
-            return self.hot()
-        return at_or_after(self.hot(), w).unionByName(before(self.cold(), w))
+        """Hot and cold L0 as one relation."""
+        return self.hot().unionByName(self.cold())
 
     def _days(self, sub: str) -> list[_dt.date]:
         fs, p = hadoop_fs(self.spark, self.path(sub))
@@ -164,11 +226,9 @@ class SignalStore:
 
     def _visible_days(self) -> list[_dt.date]:
         """Day partitions that hold rows of ``unified`` (directory listing only)."""
-        w = self.watermark()
-        cut = date_of_ms(w) if w is not None else None
-        days = {d for d in self._days("cold") if cut is not None and d < cut}
-        days |= {d for sub in ("hot", "ingest") for d in self._days(sub) if cut is None or d >= cut}
-        return sorted(days)
+        dirs = [d for days in self._hot_files().values() for d in days]
+        dirs += [p for folder in self._cold_folders() for name, p, _ in self._list(folder) if name.startswith("dt=")]
+        return sorted({_dt.date.fromisoformat(d.rstrip("/").rsplit("dt=", 1)[1]) for d in dirs})
 
     def page(self, limit: int, channel_id: int | None = None, cursor=None, compat: bool = False) -> DataFrame:
         """Keyset page (Q2) that reads only the newest day partitions it needs.
@@ -248,42 +308,75 @@ class SignalStore:
 
     # ---- writes ---------------------------------------------------------------------------
     def write_channels(self, channels: DataFrame) -> None:
-        channels.select("id", "name").coalesce(1).write.mode("overwrite").parquet(self.path("channels"))
-
-    def _append_to(self, sub: str, rows: DataFrame) -> None:
-        (_time_ordered(rows).withColumn("dt", day_of("ts"))
-         .write.mode("append").partitionBy("dt").parquet(self.path(sub)))
+        """Replace the dictionary; ``channels`` may be built from the stored one.
 
-    def append(self, sig: DataFrame) -> list[_dt.date]:
-        """Append signal rows (S5); each write job commits atomically.
-
-        Rows at or after the committed archive watermark go to the hot table. Rows older than
-        it (late beyond the archive) are appended to their cold days, whose rollups are then
-        rebuilt, so they are visible through ``unified`` at once. Returns those repaired days.
+        A new version is written beside the old one and counts once it is complete.
+        """
+        versions = self._channel_versions()
+        n = versions[-1][0] + 1 if versions else 0
+        channels.select("id", "name").write.mode("overwrite").parquet(self.path(f"channels/v={n:06d}"))
+        for _, old in versions[:-1]:
+            delete_path(self.spark, old)
+
+    def upsert_channels(self, names: DataFrame, name_col: str = "name") -> None:
+        """Insert-or-ignore of channel names that persists."""
+        from .adapters import ensure_channels
+        self.write_channels(ensure_channels(self.channels(), names, name_col))
+
+    def _append_to(self, path: str, rows: DataFrame, mode: str = "append") -> None:
+        (_time_ordered(rows).withColumn("dt", day_of("ts")).write.mode(mode).option("partitionOverwriteMode", "static")
+         .partitionBy("dt").parquet(path))
+
+    def append(self, sig: DataFrame, key: str | None = None) -> list[_dt.date]:
+        """Append signal rows (S5) in one write job.
+
+        With a ``key`` the append can be retried: its folder is replaced, never doubled. Rows with
+        a NULL or non-finite field go to ``rejects`` (S1). Rows older than the archive watermark
+        are visible at once, and the rollups of their days are brought up to date; those days are returned.
         """
         rows = sig.select(*[F.col(f.name).cast(f.dataType) for f in SIGNAL_SCHEMA.fields])
+        good = (F.col("ts").isNotNull() & F.col("channel_id").isNotNull()
+                & F.coalesce(F.abs("value") < F.lit(math.inf), F.lit(False)))
+        bad = rows.filter(~good)
+        folder = f"batch={key}" if key is not None else f"batch={uuid.uuid4().hex}"
+        if key is None:
+            self._append_to(self.path("hot"), rows.filter(good))
+        else:
+            self._append_to(self.path(f"ingest/{folder}"), rows.filter(good), "overwrite")
+        bad.write.mode("overwrite").json(self.path(f"rejects/{folder}"))
         w = self.watermark()
         if w is None:
-            self._append_to("hot", rows)
             return []
-        self._append_to("hot", rows.filter(F.col("ts") >= F.lit(w)))
-        late = rows.filter(F.col("ts") < F.lit(w))
-        days = [r["d"] for r in late.select(day_of("ts").alias("d")).distinct().collect()]  # one row per day
-        if days:
-            self._append_to("cold", late)
-            self.rebuild_rollups(sorted(days))
-        return sorted(days)
+        late = rows.filter(good & (F.col("ts") < F.lit(w)))
+        days = sorted(r["d"] for r in late.select(day_of("ts").alias("d")).distinct().collect())  # one row per day
+        self.rebuild_rollups(days)
+        return days
+
+    def rejects(self) -> DataFrame:
+        schema = T.StructType([T.StructField(f.name, f.dataType) for f in SIGNAL_SCHEMA.fields])
+        folders = [p for _, p, _ in self._list(self.path("rejects"))]
+        return self.spark.read.schema(schema).json(folders) if folders else self.spark.createDataFrame([], schema)
 
     def bulk_load(self, sig: DataFrame, mode: str = "skip_if_nonempty", rollups: bool = True) -> bool:
-        """Idempotent history load (S10): skip when data exists, or replace everything."""
+        """Idempotent history load (S10): skip when any row exists, or replace everything.
+
+        A replacement is written whole beside the old data before that is deleted.
+        """
         if mode not in ("skip_if_nonempty", "overwrite"):
             raise ValueError(f"unknown bulk_load mode {mode!r}")
-        if mode == "skip_if_nonempty" and (has_parquet(self.spark, self.path("hot"))
-                                           or has_parquet(self.spark, self.path("cold"))):
+        filled = any(has_parquet(self.spark, self.path(sub)) for sub in ("hot", "ingest", "cold"))
+        if mode == "skip_if_nonempty" and filled:
             return False
-        for sub in ("hot", "ingest", "cold", "l1", "l2", "_manifest"):
-            delete_path(self.spark, self.path(sub))
-        self.append(sig)
+        if not filled:
+            self.append(sig)
+        else:
+            fresh = SignalStore(self.spark, self.path(f"_load-{uuid.uuid4().hex}"))
+            fresh.append(sig)
+            for sub in ("hot", "ingest", "cold", "l1", "l2", "_manifest"):
+                delete_path(self.spark, self.path(sub))
+            fs, new = hadoop_fs(self.spark, fresh.path("hot"))
+            fs.rename(new, hadoop_fs(self.spark, self.path("hot"))[1])
+            delete_path(self.spark, fresh.root)
         if rollups:
             self.rebuild_rollups()
         return True
@@ -314,40 +407,25 @@ class SignalStore:
         self._write_rollup("L2", rollup_from_rollup(l1, HOUR_MS))
 
     def _stale_days(self, days: list[_dt.date]) -> list[_dt.date]:
-        """Days whose stored L1 row total differs from their L0 row count (append-only store:
+        """Days of which a rollup's row total differs from their L0 row count (append-only store:
         a day's content only changes by gaining rows, so equal counts mean up to date)."""
-        l0 = {r["dt"]: r["n"] for r in self.unified().filter(F.col("dt").isin(days))
-              .groupBy("dt").count().withColumnRenamed("count", "n").collect()}   # one row per day
-        l1 = {r["dt"]: r["n"] for r in self.rollup_layer("L1").filter(F.col("dt").isin(days))
-              .groupBy("dt").agg(F.sum("n").alias("n")).collect()}
-        return sorted(d for d in days if l0.get(d) != l1.get(d) and l0.get(d) is not None)
+        def totals(df, n):      # one row per day
+            return {r["dt"]: r["n"] for r in df.filter(F.col("dt").isin(days)).groupBy("dt").agg(n.alias("n")).collect()}
+
+        l0 = totals(self.unified(), F.count(F.lit(1)))
+        l1, l2 = (totals(self.rollup_layer(x), F.sum("n")) for x in ("L1", "L2"))
+        return sorted(d for d, n in l0.items() if not n == l1.get(d) == l2.get(d))
 
     def refresh_rollups(self, since_ms: int) -> list[_dt.date]:
         """Incremental refresh (R3/R4): recompute the days from ``since_ms`` to the newest row
         whose rollups are stale; returns them. A repeated refresh without new rows rewrites
         nothing."""
-        newest = self.unified().agg(F.max("ts")).first()[0]
-        if newest is None or newest < since_ms:
-            return []
-        first, last = date_of_ms(since_ms), date_of_ms(newest)
-        days = [first + _dt.timedelta(days=i) for i in range((last - first).days + 1)]
-        stale = self._stale_days(days)
+        first = date_of_ms(since_ms)
+        stale = self._stale_days([d for d in self._visible_days() if d >= first])
         self.rebuild_rollups(stale)
         return stale
 
     # ---- archive ----------------------------------------------------------------------------
-    def _hot_days_before(self, watermark: int) -> list[str]:
-        fs, p = hadoop_fs(self.spark, self.path("hot"))
-        if not fs.exists(p):
-            return []
-        cutoff = date_of_ms(watermark).isoformat()
-        out = []
-        for st in fs.listStatus(p):
-            name = st.getPath().getName()
-            if st.isDirectory() and name.startswith("dt=") and name[3:] < cutoff:
-                out.append(st.getPath().toString())
-        return out
-
     def archive_before(self, watermark_ms: int) -> ArchiveResult:
         """Move whole UTC days older than ``watermark_ms`` from hot to cold.
 
@@ -358,35 +436,44 @@ class SignalStore:
         old = self.watermark()
         if old is not None and w <= old:
             return ArchiveResult(False, 0, old)
-        moving = before(self.hot(), w)
-        if old is not None:
-            moving = at_or_after(moving, old)
+        cutoff, done = date_of_ms(w).isoformat(), {name for name, _ in self._archives()}
+        for name, p, _ in self._list(self.path("cold")):       # what a crashed archive left
+            if name not in done:
+                delete_path(self.spark, p)
+        days = {sub: {d: fs for d, fs in dirs.items() if d.rstrip("/").rsplit("dt=", 1)[1] < cutoff}
+                for sub, dirs in self._hot_files().items()}
+        # the files to move, pinned before the export: one that appears later is left for the next archive
+        files = {sub: [f for d, fs in dirs.items() for f in (fs if fs != [d] else [x for _, x, _ in self._list(d)])]
+                 for sub, dirs in days.items()}
+        moving = self._read("hot", SIGNAL_STORED_SCHEMA, files["hot"]).unionByName(
+            self._read("ingest", SIGNAL_STORED_SCHEMA, files["ingest"]))
         per_day = moving.groupBy("dt").count().collect()                    # Q8; one row per day
         rows = sum(r["count"] for r in per_day)
         if rows == 0:
             return ArchiveResult(False, 0, old)
-        days = [r["dt"] for r in per_day]
+        archive = f"{w:013d}-{uuid.uuid4().hex[:12]}"
         export = _time_ordered(moving.select("ts", "channel_id", "value")).withColumn("dt", day_of("ts"))
-        (export.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("dt").parquet(self.path("cold")))                     # S7, whole days
-        # Rebuild the rollups of moved days only where they are stale (their stored row
-        # total differs from the moved rows); up-to-date days are left untouched, so relations
-        # that already read them keep working and unchanged days cost nothing.
-        moved = {r["dt"]: r["count"] for r in per_day}
-        stored = {r["dt"]: r["n"] for r in self.rollup_layer("L1").filter(F.col("dt").isin(days))
-                  .groupBy("dt").agg(F.sum("n").alias("n")).collect()}      # one row per day
-        stale = sorted(d for d in days if stored.get(d) != moved[d])
-        if stale:
-            cold_days = before(self.cold(), w).filter(F.col("dt").isin(stale))
-            self._write_rollup("L1", rollup(cold_days, MINUTE_MS))
-            self._write_rollup("L2", rollup_from_rollup(
-                self.rollup_layer("L1").filter(F.col("dt").isin(stale)), HOUR_MS))
-        commit = self.spark.createDataFrame([(w, rows, int(time.time() * 1000))], MANIFEST_SCHEMA)
-        commit.coalesce(1).write.mode("overwrite").json(self.path(f"_manifest/w={w:013d}"))  # commit point
-        # S9 cleanup, one archive cycle late: hot days moved by *this* archive stay on disk
-        # (hidden by the new watermark) so relations built before it still read their files;
-        # days moved by the previous archive are dropped now.
-        if old is not None:
-            for d in self._hot_days_before(old):
-                delete_path(self.spark, d)
+        export.write.partitionBy("dt").parquet(self.path(f"cold/a={archive}"))   # S7, whole days
+        # Rebuild the rollups of moved days only where they are stale; up-to-date days are left
+        # untouched, so relations that already read them keep working and unchanged days cost nothing.
+        self.rebuild_rollups(self._stale_days([r["dt"] for r in per_day]))
+        previous = self._moved()
+        self._commit(w, rows, archive, files["hot"] + files["ingest"])
+        for f in sorted(previous):                                          # S9, one cycle late
+            delete_path(self.spark, f)
+            day = f.rsplit("/", 1)[0]
+            for empty in (day, day.rsplit("/", 1)[0]):
+                if not has_parquet(self.spark, empty) and "=" in empty.rsplit("/", 1)[1]:
+                    delete_path(self.spark, empty)
         return ArchiveResult(True, rows, w)
+
+    def _commit(self, w: int, rows: int, archive: str, files: list[str]) -> None:
+        """The commit point: a manifest folder that counts once its write job is complete."""
+        path = self.path(f"_manifest/w={w:013d}")
+        row = self.spark.createDataFrame([(w, rows, int(time.time() * 1000), archive, files)], MANIFEST_SCHEMA)
+        staged = self.path(f"_manifest/_new-{archive}")
+        row.coalesce(1).write.json(staged)
+        fs, mark = hadoop_fs(self.spark, f"{staged}/_{archive}")
+        fs.create(mark).close()
+        delete_path(self.spark, path)
+        fs.rename(hadoop_fs(self.spark, staged)[1], hadoop_fs(self.spark, path)[1])

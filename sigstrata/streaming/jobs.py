@@ -1,15 +1,16 @@
 """Structured Streaming jobs: ingest to the hot layer and rollup maintenance.
 
-* T1 ``start_ingest``: append rows to ``ingest/dt=...`` through the exactly-once file sink
-  (checkpoint + commit log replace the reference's requeue-on-failure, T3). Admission
-  control is the source's rate option (``maxFilesPerTrigger`` / ``maxOffsetsPerTrigger``,
-  T2); the micro-batch cadence is the trigger (default 500 ms).
-* T4 every batch records ``count`` and ``max_ts`` with ``observe``; T6 folds progress
-  reports into a DataFrame.
-* T5 ``start_rollup``: tumbling event-time windows with a watermark equal to the allowed
-  lateness (1 h for L1, 24 h for L2), appended per day partition; rows later than the
-  watermark are counted (T9, ``numRowsDroppedByWatermark``) and repaired by
-  ``SignalStore.refresh_rollups``.
+* T1 ``start_ingest``: every micro-batch is a keyed append (``SignalStore.append``): the key is
+  the stream's id and the batch id, so a batch that is retried after a failure replaces itself
+  (T3). Admission control is the source's rate option (``maxFilesPerTrigger`` /
+  ``maxOffsetsPerTrigger``, T2); the micro-batch cadence is the trigger (default 500 ms).
+  With ``rollups=True`` each batch leaves L1 and L2 current up to its newest row, and late rows
+  bring the rollups of their days up to date (T5, T9).
+* T4 every batch records its row count and newest ``ts`` beside the data; ``ingest_totals`` (T6)
+  sums them over all batches, however many. ``ingest_metrics`` shows the last progress reports.
+* ``start_rollup``: tumbling event-time windows with a watermark equal to the allowed
+  lateness (1 h for L1, 24 h for L2), for a sink that takes closed windows only; rows later than the
+  watermark are counted (``numRowsDroppedByWatermark``).
 """
 
 from __future__ import annotations
@@ -22,11 +23,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.time import day_of, event_time
 from ..schemas import HOUR_MS, MINUTE_MS
+from ..session import path_exists
+from ..sources.store import SignalStore
 
 DEFAULT_TRIGGER = {"processingTime": "500 milliseconds"}
 LATENESS = {"L1": "1 hour", "L2": "24 hours"}
 WIDTH_MS = {"L1": MINUTE_MS, "L2": HOUR_MS}
 METRICS_NAME = "ingest"
+METRICS_SCHEMA = "batch_id bigint, count bigint, max_ts bigint"
 
 
 def file_source(spark: SparkSession, path: str, schema, fmt: str = "parquet",
@@ -39,18 +43,52 @@ def file_source(spark: SparkSession, path: str, schema, fmt: str = "parquet",
 
 
 def start_ingest(stream: DataFrame, sink_path: str, checkpoint: str, trigger: dict | None = None,
-                 query_name: str | None = None) -> StreamingQuery:
-    """Append a ``(ts, channel_id, value)`` stream to a ``dt``-partitioned Parquet sink."""
+                 query_name: str | None = None, rollups: bool = False) -> StreamingQuery:
+    """Append a ``(ts, channel_id, value)`` stream to the store whose ``ingest`` folder is
+    ``sink_path`` (T1, T4); with ``rollups`` its L1 and L2 follow every batch (T5)."""
+    root, sub = sink_path.rstrip("/").rsplit("/", 1)
+    if sub != "ingest":
+        raise ValueError("sink_path must be the ingest folder of a store")
     observed = stream.select("ts", "channel_id", "value").observe(
         METRICS_NAME, F.count(F.lit(1)).alias("count"), F.max("ts").alias("max_ts"))
-    writer = (observed.withColumn("dt", day_of("ts")).writeStream.format("parquet")
-              .option("path", sink_path).option("checkpointLocation", checkpoint)
-              .partitionBy("dt").outputMode("append").trigger(**(trigger or DEFAULT_TRIGGER)))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        store = SignalStore(spark, root)
+        key = f"{_stream_id(spark, checkpoint)}-{batch_id}"
+        batch = batch.persist()
+        try:
+            store.append(batch, key)
+            count, low, high = batch.agg(F.count(F.lit(1)), F.min("ts"), F.max("ts")).first()
+            if count:
+                row = spark.createDataFrame([(batch_id, count, high)], METRICS_SCHEMA)
+                row.coalesce(1).write.mode("overwrite").json(f"{root}/_metrics/batch={key}")
+                if rollups:
+                    store.refresh_rollups(low)
+        finally:
+            batch.unpersist()
+
+    writer = (observed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+              .outputMode("append").trigger(**(trigger or DEFAULT_TRIGGER)))
     if query_name:
         writer = writer.queryName(query_name)
     return writer.start()
 
 
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave the stream when its checkpoint was begun."""
+    return spark.read.json(f"{checkpoint.rstrip('/')}/metadata").first()["id"]
+
+
+def ingest_totals(spark: SparkSession, root: str) -> DataFrame:
+    """One row ``rows_ingested, max_ts, batches`` over every batch ever written to the store."""
+    path = f"{root.rstrip('/')}/_metrics"
+    written = (spark.read.schema(METRICS_SCHEMA).json(path) if path_exists(spark, path)
+               else spark.createDataFrame([], METRICS_SCHEMA))
+    return written.agg(F.coalesce(F.sum("count"), F.lit(0)).cast("bigint").alias("rows_ingested"),
+                       F.max("max_ts").alias("max_ts"), F.count(F.lit(1)).alias("batches"))
+
+
 def rollup_stream(stream: DataFrame, layer: str, lateness: str | None = None) -> DataFrame:
     """Windowed rollup of a signal stream (T5): ``ts, channel_id, avg_v, min_v, max_v, n, dt``."""
     width = WIDTH_MS[layer]
