@@ -28,12 +28,12 @@ from sigstrata.operators import (assign_pages, attach_outliers, boxplot, downsam
                                  signal_range, with_channel_names)
 from sigstrata.plans.panels import boxplot_panel, signal_series
 from sigstrata.plans.viewport import between_columns, drill_boxes, quick_range, zoom_columns
-from sigstrata.schemas import DAY_MS, HOUR_MS, MINUTE_MS
-from sigstrata.session import scratch_path
+from sigstrata.schemas import DAY_MS, HOUR_MS, MINUTE_MS, SIGNAL_STORED_SCHEMA
+from sigstrata.session import delete_path, materialize, scratch_path
 from sigstrata.sources.adapters import ensure_channels, event_signals, lineitem_signals, read_table, to_signals
 from sigstrata.sources.ingest import encode_rows, parse_rows
 from sigstrata.sources.store import SignalStore
-from sigstrata.streaming.jobs import file_source, ingest_metrics, start_ingest, start_rollup
+from sigstrata.streaming.jobs import file_source, ingest_totals, start_ingest
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -51,8 +51,11 @@ L2_VIEW = (T0 + 2 * DAY_MS + 1_234_567, T0 + 25 * DAY_MS)
 ARCHIVE_1 = T0 + 10 * DAY_MS + 5 * HOUR_MS     # not midnight: aligned down by the store
 ARCHIVE_2 = T0 + 20 * DAY_MS
 INCREMENT_AT = T0 + 15 * DAY_MS + 7 * HOUR_MS
+STREAM_BATCHES = 8
 FOLLOW_SPAN = 6 * HOUR_MS
-GUARD = 2_500                   # row guard on a curve read (K22)
+GUARD = 300                     # row guard on a curve read, rows per channel (K22)
+ONE_CHANNEL = 0
+SMALL_CAP = 5                   # an outlier cap that binds
 WEEK_MS = 7 * DAY_MS            # box width the panel picks for the whole-data span
 
 
@@ -129,26 +132,39 @@ def q_outliers_lineitem(spark, d):
     return outliers(_li(spark, d), None, ALL_START, ALL_END, OUTLIER_CAP, quantile="exact")
 
 
-def _each_channel(spark, d, build):
-    # the reference's single-channel API, applied to every channel of the dictionary
-    sig, ch = event_signals(spark, d)
-    ids = sorted(r["id"] for r in ch.select("id").collect())        # the channel dictionary
-    parts = [build(sig, i).select(F.lit(i).alias("channel_id"), "*") for i in ids]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def q_outliers_single_channel(spark, d):
+    return outliers(_ev(spark, d), ONE_CHANNEL, ALL_START, ALL_END, OUTLIER_CAP, quantile="exact")
 
 
-def q_outliers_single_channel(spark, d):
-    return _each_channel(spark, d, lambda sig, i: outliers(sig, i, ALL_START, ALL_END, OUTLIER_CAP,
-                                                           quantile="exact"))
+def q_outliers_capped(spark, d):
+    return outliers(_ev(spark, d), None, ALL_START, ALL_END, SMALL_CAP, quantile="exact")
+
+
+def q_outliers_all(spark, d):
+    return outliers(_ev(spark, d), None, ALL_START, ALL_END, None, quantile="exact")
 
 
 def q_histogram_single_channel(spark, d):
-    return _each_channel(spark, d, lambda sig, i: histogram(sig, i, ALL_START, ALL_END, HIST_BINS, edges=True)
-                         .select("bin", "n", "lo", "hi", _r("bin_start").alias("bin_start"),
-                                 _r("bin_end").alias("bin_end")))
+    return (histogram(_ev(spark, d), ONE_CHANNEL, ALL_START, ALL_END, HIST_BINS, edges=True)
+            .select("bin", "n", "lo", "hi", _r("bin_start").alias("bin_start"), _r("bin_end").alias("bin_end")))
+
+
+def _gappy(spark, d):
+    # the event signals with NULL values and a NULL channel in them
+    return _ev(spark, d).select("ts", F.when(F.pmod("ts", F.lit(11)) != 0, F.col("channel_id")).alias("channel_id"),
+                                F.when(F.pmod("ts", F.lit(7)) != 0, F.col("value")).alias("value"))
+
+
+def _named_gap(boxes: DataFrame) -> DataFrame:
+    return _round_box(boxes.withColumn("gk", F.coalesce("gk", F.lit(-1).cast("bigint"))))
+
+
+def q_boxplot_nulls(spark, d):
+    return _named_gap(boxplot(_gappy(spark, d), ALL_START, ALL_END, quantile="exact"))
+
+
+def q_boxplot_nulls_ranked(spark, d):
+    return _named_gap(boxplot(_gappy(spark, d), ALL_START, ALL_END, quantile="exact", max_buffer_rows=0))
 
 
 def q_outliers_by_box(spark, d):
@@ -183,31 +199,53 @@ def _flat_overview(o: DataFrame) -> DataFrame:
                                                                             c["name"])), ",").alias("channel_list"))
 
 
+def _kept(store: SignalStore, df: DataFrame) -> DataFrame:
+    """``df`` pinned, and the scratch store it was read from deleted."""
+    df = materialize(df)
+    delete_path(df.sparkSession, store.root)
+    return df
+
+
 def q_store_series_last_day(spark, d):
     # V8 on the store: a 1-day span reads L0; a 100 px chart budgets 200 points per channel
     store, _ = _loaded_store(spark, d)
     hi = store.overview().first()["max_ts"]
     out = signal_series(store.layers(), None, hi - DAY_MS, hi, pixel_width=100)
-    return out.select("channel_id", F.col("point").alias("seq"), "ts", "value")
+    return _kept(store, out.select("channel_id", F.col("point").alias("seq"), "ts", "value"))
 
 
 def q_store_page_first(spark, d):
     store, _ = _loaded_store(spark, d)
     store.archive_before(ARCHIVE_1)
-    return store.page(PAGE)
+    return _kept(store, store.page(PAGE))
 
 
 def q_store_page_next(spark, d):
     store, _ = _loaded_store(spark, d)
     store.archive_before(ARCHIVE_1)
-    cursor, _ = next_cursor(store.page(PAGE))
-    return store.page(PAGE, cursor=cursor)
+    cursor, _ = next_cursor(store.page(PAGE), PAGE)
+    return _kept(store, store.page(PAGE, cursor=cursor))
 
 
 def q_store_overview(spark, d):
     store, _ = _loaded_store(spark, d)
     store.archive_before(ARCHIVE_1)
-    return _flat_overview(store.overview())
+    return _kept(store, _flat_overview(store.overview()))
+
+
+def q_store_quick_range(spark, d):
+    store, _ = _loaded_store(spark, d)
+    u = store.unified()
+    return _kept(store, _sig_cols(between_columns(u, *quick_range(u, "1d"))))
+
+
+def q_store_drill(spark, d):
+    store, _ = _loaded_store(spark, d)
+    u = store.unified()
+    boxes = boxplot(u, ALL_START, ALL_END, bucket_ms=DAY_MS)
+    busy = boxes.filter(F.col("n") > boxes.select(F.avg("n")).scalar())
+    rng = drill_boxes(busy, DAY_MS).select(F.struct("start", "end")).scalar()
+    return _kept(store, _sig_cols(between_columns(u, rng["start"], rng["end"])))
 
 
 def q_rollup_l1(spark, d):
@@ -254,19 +292,19 @@ def q_signal_page_first(spark, d):
 
 def q_signal_page_next(spark, d):
     sig = _ev(spark, d)
-    cursor, _ = next_cursor(signal_page(sig, PAGE))
+    cursor, _ = next_cursor(signal_page(sig, PAGE), PAGE)
     return signal_page(sig, PAGE, cursor=cursor)
 
 
 def q_signal_page_compat(spark, d):
     sig = _li(spark, d)
-    cursor, _ = next_cursor(signal_page(sig, PAGE))
+    cursor, _ = next_cursor(signal_page(sig, PAGE), PAGE)
     return signal_page(sig, PAGE, cursor=cursor[0], compat=True)
 
 
 def q_signal_page_lineitem_next(spark, d):
     sig = _li(spark, d)
-    cursor, _ = next_cursor(signal_page(sig, PAGE))
+    cursor, _ = next_cursor(signal_page(sig, PAGE), PAGE)
     return signal_page(sig, PAGE, cursor=cursor)
 
 
@@ -349,7 +387,7 @@ def q_boxplot_panel_boxes(spark, d):
 
 
 def q_boxplot_panel_points(spark, d):
-    return boxplot_panel(_ev(spark, d), None, ALL_START, ALL_END, quantile="exact").points
+    return boxplot_panel(_ev(spark, d), None, ALL_START, ALL_END, quantile="exact", max_points=OUTLIER_CAP).points
 
 
 def q_signal_range_guard(spark, d):
@@ -403,59 +441,124 @@ def _loaded_store(spark, d) -> tuple[SignalStore, DataFrame]:
 
 def q_bulk_load_l1(spark, d):
     store, _ = _loaded_store(spark, d)
-    return _round_rollup(store.rollup_layer("L1").drop("dt"))
+    return _kept(store, _round_rollup(store.rollup_layer("L1").drop("dt")))
 
 
-def q_archive_roundtrip(spark, d):
+def _archived(spark, d, *marks) -> SignalStore:
     store, _ = _loaded_store(spark, d)
-    store.archive_before(ARCHIVE_1)
-    return _sig_cols(store.unified())
+    for w in marks:
+        store.archive_before(w)
+    return store
+
+
+def q_archive_roundtrip(spark, d):
+    store = _archived(spark, d, ARCHIVE_1)
+    return _kept(store, _sig_cols(store.unified()))
 
 
 def q_archive_twice(spark, d):
-    store, _ = _loaded_store(spark, d)
-    store.archive_before(ARCHIVE_1)
-    store.archive_before(ARCHIVE_2)
-    return _sig_cols(store.unified())
+    store = _archived(spark, d, ARCHIVE_1, ARCHIVE_2)
+    return _kept(store, _sig_cols(store.unified()))
 
 
 def q_archive_twice_l1(spark, d):
-    store, _ = _loaded_store(spark, d)
-    store.archive_before(ARCHIVE_1)
-    store.archive_before(ARCHIVE_2)
-    return _round_rollup(store.rollup_layer("L1").drop("dt"))
+    store = _archived(spark, d, ARCHIVE_1, ARCHIVE_2)
+    return _kept(store, _round_rollup(store.rollup_layer("L1").drop("dt")))
 
 
 def q_archive_twice_l2(spark, d):
-    store, _ = _loaded_store(spark, d)
-    store.archive_before(ARCHIVE_1)
-    store.archive_before(ARCHIVE_2)
-    return _round_rollup(store.rollup_layer("L2").drop("dt"))
+    store = _archived(spark, d, ARCHIVE_1, ARCHIVE_2)
+    return _kept(store, _round_rollup(store.rollup_layer("L2").drop("dt")))
 
 
-def q_rollup_incremental(spark, d):
-    sig, ch = event_signals(spark, d)
-    store = SignalStore(spark, scratch_path(spark, "store"))
-    store.bulk_load(sig.filter(F.col("ts") < INCREMENT_AT))
-    store.append(sig.filter(F.col("ts") >= INCREMENT_AT))
+def _split_store(spark, d) -> tuple[SignalStore, DataFrame, DataFrame]:
+    """An empty store, and the event signals before and from ``INCREMENT_AT`` on."""
+    sig = _ev(spark, d)
+    late = F.col("ts") >= INCREMENT_AT
+    return SignalStore(spark, scratch_path(spark, "store")), sig.filter(~late), sig.filter(late)
+
+
+def _refreshed(spark, d, layer):
+    store, old, new = _split_store(spark, d)
+    store.bulk_load(old)
+    store.append(new)
     store.refresh_rollups(INCREMENT_AT)
-    return _round_rollup(store.rollup_layer("L1").drop("dt"))
+    return _kept(store, _round_rollup(store.rollup_layer(layer).drop("dt")))
+
+
+def q_rollup_incremental(spark, d):
+    return _refreshed(spark, d, "L1")
+
+
+def q_rollup_incremental_l2(spark, d):
+    # L1 is current but L2 was lost: the refresh must notice
+    store, old, new = _split_store(spark, d)
+    store.bulk_load(old)
+    store.append(new)
+    delete_path(spark, store.path("l2"))
+    store.refresh_rollups(0)
+    return _kept(store, _round_rollup(store.rollup_layer("L2").drop("dt")))
+
+
+def _unrefreshed(spark, d, layer):
+    store, old, new = _split_store(spark, d)
+    store.bulk_load(old)
+    store.append(new)
+    return _kept(store, _round_rollup(store.fresh_layer(layer).drop("dt")))
 
 
 def q_fresh_rollup_l1(spark, d):
-    sig, _ = event_signals(spark, d)
-    store = SignalStore(spark, scratch_path(spark, "store"))
-    store.bulk_load(sig.filter(F.col("ts") < INCREMENT_AT))
-    store.append(sig.filter(F.col("ts") >= INCREMENT_AT))      # rollups not refreshed
-    return _round_rollup(store.fresh_layer("L1").drop("dt"))
+    return _unrefreshed(spark, d, "L1")
 
 
 def q_fresh_rollup_l2(spark, d):
-    sig, _ = event_signals(spark, d)
+    return _unrefreshed(spark, d, "L2")
+
+
+class _AppendedDuringArchive(SignalStore):
+    """A store to which rows are appended between an archive's export and its commit."""
+    racing: DataFrame
+
+    def _commit(self, *args) -> None:
+        SignalStore.append(self, self.racing)
+        super()._commit(*args)
+
+
+def q_archive_during_append(spark, d):
+    # every row of the moved days arrives once before and once during the archive
+    store, old, new = _split_store(spark, d)
+    store = _AppendedDuringArchive(spark, store.root)
+    store.racing = new.unionByName(old.filter(F.col("channel_id") != 0))
+    store.bulk_load(old.filter(F.col("channel_id") == 0))
+    store.archive_before(ARCHIVE_1)
+    quiet = SignalStore(spark, store.root)
+    quiet.archive_before(ARCHIVE_2)
+    return _kept(quiet, _sig_cols(quiet.unified()))
+
+
+def q_bulk_load_keeps_streamed(spark, d):
+    store, _ = _run_ingest(spark, d)
+    store.bulk_load(_ev(spark, d).limit(3))         # skipped: the store is not empty
+    return _kept(store, _sig_cols(store.unified()))
+
+
+def q_channels_upsert_saved(spark, d):
+    _, ch = event_signals(spark, d)
     store = SignalStore(spark, scratch_path(spark, "store"))
-    store.bulk_load(sig.filter(F.col("ts") < INCREMENT_AT))
-    store.append(sig.filter(F.col("ts") >= INCREMENT_AT))
-    return _round_rollup(store.fresh_layer("L2").drop("dt"))
+    store.write_channels(ch)
+    flags = read_table(spark, d, "lineitem").select(F.col("l_returnflag").alias("name"))
+    store.upsert_channels(flags)
+    store.upsert_channels(flags)
+    return _kept(store, store.channels())
+
+
+def q_archive_retires_ingest(spark, d):
+    # hot days left on disk after three archives: the third deletes what the second moved
+    store, _ = _run_ingest(spark, d)
+    for w in (ARCHIVE_1, ARCHIVE_2, ARCHIVE_2 + 5 * DAY_MS):
+        store.archive_before(w)
+    days = store._read("ingest", SIGNAL_STORED_SCHEMA).groupBy("dt").agg(F.count(F.lit(1)).alias("n"))
+    return _kept(store, days.select(F.col("dt").cast("string").alias("day"), "n"))
 
 
 def q_parse_rows(spark, d):
@@ -470,49 +573,57 @@ def _event_stream(spark, d):
     return to_signals(stream, "ts", "event_type", "value", channels=ch)[0]
 
 
-def _run_ingest(spark, d):
+def _run_ingest(spark, d, stream=None, rollups=False):
     root = scratch_path(spark, "stream-store")
-    q = start_ingest(_event_stream(spark, d), f"{root}/ingest", f"{root}/_ckpt_ingest",
-                     trigger={"availableNow": True})
+    q = start_ingest(_event_stream(spark, d) if stream is None else stream, f"{root}/ingest", f"{root}/_ckpt_ingest",
+                     trigger={"availableNow": True}, rollups=rollups)
     q.awaitTermination()
     return SignalStore(spark, root), q
 
 
 def q_stream_ingest(spark, d):
     store, _ = _run_ingest(spark, d)
-    return _sig_cols(store.unified())
+    return _kept(store, _sig_cols(store.unified()))
 
 
 def q_stream_ingest_messages(spark, d):
     # events replayed as wire messages (JSON lines), parsed on the stream, then ingested
-    root = scratch_path(spark, "stream-msgs")
-    encode_rows(_ev(spark, d)).write.text(f"{root}/inbox")
-    raw = spark.readStream.format("text").option("maxFilesPerTrigger", 4).load(f"{root}/inbox")
+    inbox = scratch_path(spark, "stream-msgs")
+    encode_rows(_ev(spark, d)).write.text(inbox)
+    raw = spark.readStream.format("text").option("maxFilesPerTrigger", 4).load(inbox)
     good, _ = parse_rows(raw.withColumnRenamed("value", "message"))
-    q = start_ingest(good, f"{root}/ingest", f"{root}/_ckpt", trigger={"availableNow": True})
-    q.awaitTermination()
-    return _sig_cols(SignalStore(spark, root).unified())
+    store, _ = _run_ingest(spark, d, good)
+    delete_path(spark, inbox)
+    return _kept(store, _sig_cols(store.unified()))
+
+
+def _files_stream(spark, df: DataFrame, files: int) -> tuple[DataFrame, str]:
+    """``df`` written as ``files`` files and streamed one file per batch."""
+    path = scratch_path(spark, "stream-files")
+    df.repartition(files, F.xxhash64(*df.columns)).write.parquet(path)
+    return file_source(spark, path, df.schema, max_files_per_trigger=1), path
 
 
 def q_stream_metrics(spark, d):
-    _, q = _run_ingest(spark, d)
-    return ingest_metrics(spark, q)
+    # one batch for each of STREAM_BATCHES files, while Spark remembers two progress reports
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        stream, path = _files_stream(spark, _ev(spark, d), STREAM_BATCHES)
+        store, _ = _run_ingest(spark, d, stream)
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    delete_path(spark, path)
+    return _kept(store, ingest_totals(spark, store.root))
 
 
 def q_stream_metrics_totals(spark, d):
-    # the deterministic part of the ingest metrics: rows seen and newest ts over all batches
-    _, q = _run_ingest(spark, d)
-    m = ingest_metrics(spark, q)
-    return m.agg(F.sum("observed_count").cast("bigint").alias("rows_ingested"),
-                 F.max("observed_max_ts").alias("max_ts"))
+    store, _ = _run_ingest(spark, d)
+    return _kept(store, ingest_totals(spark, store.root).drop("batches"))
 
 
 def _run_rollup(spark, d, layer):
-    root = scratch_path(spark, "stream-rollup")
-    q = start_rollup(_event_stream(spark, d), f"{root}/{layer}", f"{root}/_ckpt", layer,
-                     trigger={"availableNow": True})
-    q.awaitTermination()
-    return _round_rollup(spark.read.parquet(f"{root}/{layer}").drop("dt"))
+    store, _ = _run_ingest(spark, d, rollups=True)
+    return _kept(store, _round_rollup(store.rollup_layer(layer).drop("dt")))
 
 
 def q_stream_rollup_l1(spark, d):
@@ -523,6 +634,34 @@ def q_stream_rollup_l2(spark, d):
     return _run_rollup(spark, d, "L2")
 
 
+def q_stream_rollup_repaired(spark, d):
+    # newer rows first, then rows older than any lateness, after a restart from the checkpoint
+    root, inbox = scratch_path(spark, "stream-store"), scratch_path(spark, "stream-files")
+    _, old, new = _split_store(spark, d)
+    for at, part in enumerate((new, old)):
+        part.write.parquet(f"{inbox}/{at}")
+        q = start_ingest(file_source(spark, f"{inbox}/*", part.schema), f"{root}/ingest", f"{root}/_ckpt",
+                         trigger={"availableNow": True}, rollups=True)
+        q.awaitTermination()
+    delete_path(spark, inbox)
+    store = SignalStore(spark, root)
+    return _kept(store, _round_rollup(store.rollup_layer("L1").drop("dt")))
+
+
+def q_stream_late_after_archive(spark, d):
+    # rows of archived days arrive on the stream, before and after another archive
+    root, inbox = scratch_path(spark, "stream-store"), scratch_path(spark, "stream-files")
+    store, sig = SignalStore(spark, root), _ev(spark, d)
+    for at, part in enumerate((F.col("channel_id") == 0, F.col("channel_id") == 1, F.col("channel_id") > 1)):
+        sig.filter(part).write.parquet(f"{inbox}/{at}")
+        q = start_ingest(file_source(spark, f"{inbox}/*", sig.schema), f"{root}/ingest", f"{root}/_ckpt",
+                         trigger={"availableNow": True})
+        q.awaitTermination()
+        store.archive_before((ARCHIVE_1, ARCHIVE_2, ARCHIVE_2)[at])
+    delete_path(spark, inbox)
+    return _kept(store, _sig_cols(store.unified()))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "boxplot_by_time": q_boxplot_by_time,
     "boxplot_by_channel": q_boxplot_by_channel,
@@ -533,6 +672,19 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "boxplot_approx": q_boxplot_approx,
     "outliers": q_outliers,
     "outliers_lineitem": q_outliers_lineitem,
+    "outliers_capped": q_outliers_capped,
+    "outliers_all": q_outliers_all,
+    "boxplot_nulls": q_boxplot_nulls,
+    "boxplot_nulls_ranked": q_boxplot_nulls_ranked,
+    "store_quick_range": q_store_quick_range,
+    "store_drill": q_store_drill,
+    "archive_during_append": q_archive_during_append,
+    "bulk_load_keeps_streamed": q_bulk_load_keeps_streamed,
+    "channels_upsert_saved": q_channels_upsert_saved,
+    "archive_retires_ingest": q_archive_retires_ingest,
+    "rollup_incremental_l2": q_rollup_incremental_l2,
+    "stream_rollup_repaired": q_stream_rollup_repaired,
+    "stream_late_after_archive": q_stream_late_after_archive,
     "outliers_by_box": q_outliers_by_box,
     "outliers_single_channel": q_outliers_single_channel,
     "histogram_single_channel": q_histogram_single_channel,
@@ -629,23 +781,30 @@ SELECT {gk} AS gk, min(value) AS low,
 FROM signals GROUP BY 1""")
 
 
-def _outlier_sql(prelude: str) -> str:
-    return _with(prelude + """,
-q AS (SELECT channel_id, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3
-      FROM signals GROUP BY channel_id),
-hits AS (SELECT s.channel_id, s.ts, s.value FROM signals s JOIN q USING (channel_id)
-         WHERE s.value < q.q1 - 1.5 * (q.q3 - q.q1) OR s.value > q.q3 + 1.5 * (q.q3 - q.q1)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY ts, value) AS rn FROM hits)""", f"""
-SELECT channel_id, ts, value FROM ranked WHERE rn <= {OUTLIER_CAP}""")
+def _outlier_cte(prelude: str, kept: str) -> str:
+    """``kept``: points further from the quartiles' middle than twice the quartile distance, numbered by time."""
+    return prelude + f""",
+quart AS (SELECT channel_id, quantile_cont(value, [0.25, 0.75]) AS q FROM signals GROUP BY channel_id),
+far AS (SELECT channel_id, ts, value FROM signals JOIN quart USING (channel_id)
+        WHERE abs(value - (q[1] + q[2]) / 2) > 2 * (q[2] - q[1])),
+{kept} AS (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY ts, value) AS nth FROM far)"""
+
+
+def _outlier_sql(prelude: str, cap: int | None = None, channel: int | None = None) -> str:
+    limit = "true" if cap is None else f"nth <= {cap}"
+    if channel is not None:
+        return _with(_outlier_cte(prelude, "pts"), f"\nSELECT ts, value FROM pts WHERE {limit} AND channel_id = {channel}")
+    return _with(_outlier_cte(prelude, "pts"), f"\nSELECT channel_id, ts, value FROM pts WHERE {limit}")
 
 
 def _hist_core(prelude: str, bins: int) -> str:
+    """Bins by comparing every value with the ``bins - 1`` inner edges; a constant channel is above them all."""
     return prelude + f""",
 b AS (SELECT channel_id, min(value) AS lo, max(value) AS hi FROM signals GROUP BY channel_id),
-h AS (SELECT s.channel_id,
-             least(CAST(floor((s.value - b.lo) / nullif((b.hi - b.lo) / {bins}, 0)) AS INTEGER), {bins} - 1) AS bin,
-             count(*) AS n, min(b.lo) AS lo, max(b.hi) AS hi
-      FROM signals s JOIN b USING (channel_id) GROUP BY 1, 2)"""
+edges AS (SELECT channel_id, lo, hi, list_transform(range(1, {bins}), lambda k: lo + k * ((hi - lo) / {bins})) AS e FROM b),
+placed AS (SELECT channel_id, lo, hi, CAST(len(list_filter(e, lambda x: x <= value)) AS INTEGER) AS bin
+           FROM signals JOIN edges USING (channel_id)),
+h AS (SELECT channel_id, bin, count(*) AS n, any_value(lo) AS lo, any_value(hi) AS hi FROM placed GROUP BY channel_id, bin)"""
 
 
 _STABLE_AVG = "round(round(avg(value) * count(*), 6) / count(*), 6)"
@@ -658,63 +817,66 @@ SELECT (ts // {w}) * {w} AS ts, channel_id, {_STABLE_AVG} AS avg_v, min(value) A
 FROM signals {where} GROUP BY 1, 2""")
 
 
+def _gappy_sql() -> str:
+    return _with(_EV + """,
+gappy AS (SELECT ts, CASE WHEN ts % 11 <> 0 THEN channel_id END AS channel_id, CASE WHEN ts % 7 <> 0 THEN value END AS value
+          FROM signals)""", """
+SELECT CAST(coalesce(channel_id, -1) AS BIGINT) AS gk, min(value) AS low, round(quantile_cont(value, 0.25), 6) AS q1,
+       round(median(value), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q3, max(value) AS high, count(*) AS n
+FROM gappy GROUP BY channel_id""")
+
+
 def _rollup_cte(w: int) -> str:
     return f"""roll AS (SELECT (ts // {w}) * {w} AS ts, channel_id, {_STABLE_AVG} AS avg_v, min(value) AS min_v,
                      max(value) AS max_v, count(*) AS n FROM signals GROUP BY 1, 2)"""
 
 
+def _extremes_cte(source: str, buckets: int) -> str:
+    """``pair``: lowest and highest point of each index bucket, in index order (``k`` 0 and 1)."""
+    return f"""
+ext AS (SELECT channel_id, (pos * {buckets} + {buckets} - 1) // total AS b,
+               arg_min({{'i': pos, 'ts': ts, 'value': value}}, (value, pos)) AS lo,
+               arg_min({{'i': pos, 'ts': ts, 'value': value}}, (-value, pos)) AS hi FROM {source} GROUP BY 1, 2),
+pair AS (SELECT channel_id, 2 * b + k AS i, CASE WHEN (lo.i <= hi.i) = (k = 0) THEN lo ELSE hi END AS p
+         FROM ext, (VALUES (0), (1)) t(k))"""
+
+
 def _downsample_sql(prelude: str, t: int, source: str = "signals") -> str:
     """MinMax + LTTB dispatch in SQL: pass-through, direct LTTB or preselect-then-LTTB per channel.
 
-    LTTB's picks depend on the previous pick, so it is a recursive CTE over bucket numbers;
-    bucket means are left folds (``list_reduce``) so the float sums run in index order.
+    A pick depends on the one before, so the picks are a recursive CTE over bucket numbers.
+    Times count from a channel's first point, as in the operator.
     """
-    pre = 4 * t
+    inner = max(t - 2, 1)
     return f"""WITH RECURSIVE {prelude},
-idx AS (SELECT channel_id, ts, value, row_number() OVER (PARTITION BY channel_id ORDER BY ts, value) - 1 AS i,
-               count(*) OVER (PARTITION BY channel_id) AS n FROM {source}),
-bk AS (SELECT *, ((i + 1) * {pre} - 1) // n AS b FROM idx WHERE n > {8 * t}),
-lo AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY channel_id, b ORDER BY value, i) AS r FROM bk) WHERE r = 1),
-hi AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY channel_id, b ORDER BY value DESC, i) AS r FROM bk) WHERE r = 1),
-pts AS (
-  SELECT channel_id, i, ts, value, n AS m FROM idx WHERE n > {t} AND n <= {8 * t}
-  UNION ALL
-  SELECT lo.channel_id, lo.b * 2 + CASE WHEN lo.i <= hi.i THEN 0 ELSE 1 END, lo.ts, lo.value, {2 * pre}
-  FROM lo JOIN hi USING (channel_id, b)
-  UNION ALL
-  SELECT hi.channel_id, hi.b * 2 + CASE WHEN lo.i <= hi.i THEN 1 ELSE 0 END, hi.ts, hi.value, {2 * pre}
-  FROM lo JOIN hi USING (channel_id, b)),
-arr AS (SELECT channel_id, max(m) AS m, list(CAST(ts AS DOUBLE) ORDER BY i) AS xs, list(value ORDER BY i) AS ys
-        FROM pts GROUP BY channel_id),
-par AS (SELECT channel_id, m, xs, ys, (m - 2) / ({t} - 2) AS every FROM arr WHERE m > {t} AND {t} >= 3),
-bkt AS (SELECT channel_id, k AS bi, m, xs, ys,
-               CAST(floor(k * every) AS BIGINT) + 1 AS b0, least(CAST(floor((k + 1) * every) AS BIGINT) + 1, m) AS b1,
-               CAST(floor((k + 1) * every) AS BIGINT) + 1 AS c0, least(CAST(floor((k + 2) * every) AS BIGINT) + 1, m) AS c1
-        FROM par, range(0, {t} - 2) r(k)),
-nb AS (SELECT channel_id, bi, b0, b1, list_reduce(xs[c0 + 1:c1], lambda a, b: a + b) / (c1 - c0) AS ax,
-              list_reduce(ys[c0 + 1:c1], lambda a, b: a + b) / (c1 - c0) AS ay FROM bkt),
-cand AS (SELECT nb.channel_id, nb.bi, nb.ax, nb.ay, p.i, CAST(p.ts AS DOUBLE) AS x, p.value AS y
-         FROM nb JOIN pts p ON p.channel_id = nb.channel_id AND p.i >= nb.b0 AND p.i < nb.b1),
-steps(channel_id, bi, a) AS (
-  SELECT channel_id, 0, CAST(0 AS BIGINT) FROM par
+numbered AS (SELECT channel_id, ts, value, row_number() OVER (PARTITION BY channel_id ORDER BY ts, value) - 1 AS pos,
+                    count(*) OVER (PARTITION BY channel_id) AS total FROM {source}),
+large AS (SELECT * FROM numbered WHERE total > {8 * t}),{_extremes_cte("large", 4 * t)},
+given AS (SELECT channel_id, pos AS i, ts, value FROM numbered WHERE total > {t} AND total <= {8 * t}
+          UNION ALL SELECT channel_id, i, p.ts, p.value FROM pair),
+pts AS (SELECT *, CAST(ts - min(ts) OVER (PARTITION BY channel_id) AS DOUBLE) AS x,
+               count(*) OVER (PARTITION BY channel_id) AS m FROM given),
+owner AS (SELECT *, CASE WHEN i = 0 THEN -1 WHEN i = m - 1 THEN {inner} ELSE
+            (SELECT max(k) FROM range({inner}) r(k) WHERE CAST(floor(k * ((m - 2) / {inner})) AS BIGINT) + 1 <= i) END AS bucket
+          FROM pts WHERE m > {t} AND {t} > 2),
+centre AS (SELECT channel_id, bucket, list_reduce(list(x ORDER BY i), lambda a, b: a + b) / count(*) AS cx,
+                  list_reduce(list(value ORDER BY i), lambda a, b: a + b) / count(*) AS cy FROM owner GROUP BY 1, 2),
+chain(channel_id, bucket, i, x, y) AS (
+  SELECT channel_id, -1, i, x, value FROM owner WHERE bucket = -1
   UNION ALL
-  SELECT s.channel_id, s.bi + 1,
-         first(c.i ORDER BY abs((pa.x - c.ax) * (c.y - pa.y) - (pa.x - c.x) * (c.ay - pa.y)) DESC, c.i)
-  FROM steps s
-  JOIN (SELECT channel_id, i, CAST(ts AS DOUBLE) AS x, value AS y FROM pts) pa ON pa.channel_id = s.channel_id AND pa.i = s.a
-  JOIN cand c ON c.channel_id = s.channel_id AND c.bi = s.bi
-  WHERE s.bi < {t} - 2
-  GROUP BY s.channel_id, s.bi),
-picked AS (
-  SELECT channel_id, CAST(bi AS BIGINT) AS seq, a AS i FROM steps WHERE bi > 0
-  UNION ALL SELECT channel_id, 0, 0 FROM par
-  UNION ALL SELECT channel_id, {t} - 1, m - 1 FROM par)
-SELECT channel_id, CAST(i AS BIGINT) AS seq, ts, value FROM idx WHERE n <= {t}
+  SELECT w.channel_id, w.bucket, w.best.i, w.best.x, w.best.y FROM (
+    SELECT o.channel_id, o.bucket, arg_min({{'i': o.i, 'x': o.x, 'y': o.value}},
+             (-abs((o.x - c.x) * (n.cy - c.y) - (o.value - c.y) * (n.cx - c.x)), o.i)) AS best
+    FROM chain c JOIN owner o ON o.channel_id = c.channel_id AND o.bucket = c.bucket + 1
+    JOIN centre n ON n.channel_id = c.channel_id AND n.bucket = c.bucket + 2
+    GROUP BY o.channel_id, o.bucket) w),
+final AS (SELECT channel_id, bucket + 1 AS seq, i FROM chain
+          UNION ALL SELECT channel_id, {t} - 1, i FROM owner WHERE bucket = {inner})
+SELECT channel_id, CAST(pos AS BIGINT) AS seq, ts, value FROM numbered WHERE total <= {t}
 UNION ALL
-SELECT p.channel_id, CAST(p.i AS BIGINT) AS seq, p.ts, p.value FROM pts p
-WHERE p.channel_id NOT IN (SELECT channel_id FROM par)
+SELECT channel_id, CAST(i AS BIGINT) AS seq, ts, value FROM pts WHERE m <= {t} OR {t} <= 2
 UNION ALL
-SELECT k.channel_id, k.seq, p.ts, p.value FROM picked k JOIN pts p ON p.channel_id = k.channel_id AND p.i = k.i"""
+SELECT channel_id, CAST(seq AS BIGINT) AS seq, ts, value FROM final JOIN pts USING (channel_id, i)"""
 
 
 _ORDER = "ORDER BY ts DESC, channel_id, value"
@@ -735,23 +897,19 @@ _SQL: dict[str, str] = {
 SELECT (ts // {DAY_MS}) * {DAY_MS} AS gk, min(value) AS low, quantile_disc(value, 0.25) AS q1,
        quantile_disc(value, 0.5) AS median, quantile_disc(value, 0.75) AS q3, max(value) AS high, count(*) AS n
 FROM signals GROUP BY 1"""),
-    "outliers": _outlier_sql(_EV),
-    "outliers_lineitem": _outlier_sql(_LI),
-    "outliers_by_box": _with(_EV + """,
-q AS (SELECT channel_id, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3
-      FROM signals GROUP BY channel_id),
-hits AS (SELECT s.channel_id, s.ts, s.value FROM signals s JOIN q USING (channel_id)
-         WHERE s.value < q.q1 - 1.5 * (q.q3 - q.q1) OR s.value > q.q3 + 1.5 * (q.q3 - q.q1)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY ts, value) AS rn FROM hits),
-pts AS (SELECT channel_id, ts, value, (ts // 86400000) * 86400000 AS gk FROM ranked WHERE rn <= 500),
-boxes AS (SELECT (ts // 86400000) * 86400000 AS gk, count(*) AS n FROM signals GROUP BY 1)""", """
-SELECT p.gk, p.channel_id, p.ts, p.value, strftime(make_timestamp(p.gk * 1000), '%m-%d %H:%M') AS label, b.n
-FROM pts p JOIN boxes b ON p.gk = b.gk"""),
+    "outliers": _outlier_sql(_EV, OUTLIER_CAP),
+    "outliers_lineitem": _outlier_sql(_LI, OUTLIER_CAP),
+    "outliers_capped": _outlier_sql(_EV, SMALL_CAP),
+    "outliers_all": _outlier_sql(_EV),
+    "outliers_by_box": _with(_outlier_cte(_EV, "pts"), f"""
+, boxes AS (SELECT ts - ts % {DAY_MS} AS gk, count(*) AS n FROM signals GROUP BY 1)
+SELECT b.gk, p.channel_id, p.ts, p.value, strftime(make_timestamp(b.gk * 1000), '%m-%d %H:%M') AS label, b.n
+FROM pts p JOIN boxes b ON p.ts - p.ts % {DAY_MS} = b.gk WHERE p.nth <= {OUTLIER_CAP}"""),
     "histogram": _with(_hist_core(_EV, HIST_BINS), "\nSELECT channel_id, bin, n, lo, hi FROM h"),
     "histogram_single_channel": _with(_hist_core(_EV, HIST_BINS), f"""
-SELECT channel_id, bin, n, lo, hi, round(lo + bin * ((hi - lo) / {HIST_BINS}), 6) AS bin_start,
-       round(lo + (bin + 1) * ((hi - lo) / {HIST_BINS}), 6) AS bin_end FROM h"""),
-    "outliers_single_channel": _outlier_sql(_EV),
+SELECT bin, n, lo, hi, round(lo + bin * ((hi - lo) / {HIST_BINS}), 6) AS bin_start,
+       round(lo + (bin + 1) * ((hi - lo) / {HIST_BINS}), 6) AS bin_end FROM h WHERE channel_id = {ONE_CHANNEL}"""),
+    "outliers_single_channel": _outlier_sql(_EV, OUTLIER_CAP, ONE_CHANNEL),
     "histogram_edges": _with(_hist_core(_EV, HIST_BINS), f"""
 SELECT channel_id, bin, n, lo, hi, round(lo + bin * ((hi - lo) / {HIST_BINS}), 6) AS bin_start,
        round(lo + (bin + 1) * ((hi - lo) / {HIST_BINS}), 6) AS bin_end FROM h"""),
@@ -786,19 +944,12 @@ SELECT ts, channel_id, value FROM signals {_ORDER} LIMIT {PAGE} OFFSET {PAGE}"""
 SELECT ts, channel_id, value, CAST((rn - 1) // {PAGE} AS BIGINT) AS page, CAST((rn - 1) % {PAGE} AS BIGINT) AS pos
 FROM (SELECT *, row_number() OVER ({_ORDER}) AS rn FROM signals) t"""),
     "minmax_preselect": _with(_EV + f""",
-idx AS (SELECT channel_id, ts, value, row_number() OVER (PARTITION BY channel_id ORDER BY ts, value) - 1 AS i,
-               count(*) OVER (PARTITION BY channel_id) AS n FROM signals),
-bk AS (SELECT *, ((i + 1) * {PRESELECT_BUCKETS} - 1) // n AS b FROM idx),
-lo AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY channel_id, b ORDER BY value, i) AS r FROM bk) WHERE r = 1),
-hi AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY channel_id, b ORDER BY value DESC, i) AS r FROM bk) WHERE r = 1)""",
-                              f"""
-SELECT lo.channel_id, CAST(lo.b * 2 + CASE WHEN lo.i <= hi.i THEN 0 ELSE 1 END AS BIGINT) AS seq, lo.ts, lo.value
-FROM lo JOIN hi USING (channel_id, b) WHERE lo.n > 2 * {PRESELECT_BUCKETS}
-UNION ALL
-SELECT hi.channel_id, CAST(hi.b * 2 + CASE WHEN lo.i <= hi.i THEN 1 ELSE 0 END AS BIGINT) AS seq, hi.ts, hi.value
-FROM lo JOIN hi USING (channel_id, b) WHERE lo.n > 2 * {PRESELECT_BUCKETS}
+numbered AS (SELECT channel_id, ts, value, row_number() OVER (PARTITION BY channel_id ORDER BY ts, value) - 1 AS pos,
+                    count(*) OVER (PARTITION BY channel_id) AS total FROM signals),
+large AS (SELECT * FROM numbered WHERE total > {2 * PRESELECT_BUCKETS}),{_extremes_cte("large", PRESELECT_BUCKETS)}""", f"""
+SELECT channel_id, CAST(i AS BIGINT) AS seq, p.ts AS ts, p.value AS value FROM pair
 UNION ALL
-SELECT channel_id, CAST(i AS BIGINT) AS seq, ts, value FROM idx WHERE n <= 2 * {PRESELECT_BUCKETS}"""),
+SELECT channel_id, CAST(pos AS BIGINT) AS seq, ts, value FROM numbered WHERE total <= {2 * PRESELECT_BUCKETS}"""),
     "lttb": _downsample_sql(_EV, 500),
     "minmax_lttb": _downsample_sql(_EV, 100),
     "minmax_lttb_lineitem": _downsample_sql(_LI, 200),
@@ -836,17 +987,35 @@ SELECT (ts // {WEEK_MS}) * {WEEK_MS} AS gk, min(value) AS low,
        round(quantile_cont(value, 0.75), 6) AS q3, max(value) AS high, count(*) AS n,
        strftime(make_timestamp(((ts // {WEEK_MS}) * {WEEK_MS}) * 1000), '%m-%d %H:%M') AS label
 FROM signals GROUP BY 1, 8"""),
-    "boxplot_panel_points": _with(_EV + f""",
-q AS (SELECT channel_id, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3
-      FROM signals GROUP BY channel_id),
-hits AS (SELECT s.channel_id, s.ts, s.value FROM signals s JOIN q USING (channel_id)
-         WHERE s.value < q.q1 - 1.5 * (q.q3 - q.q1) OR s.value > q.q3 + 1.5 * (q.q3 - q.q1)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY ts, value) AS rn FROM hits)""", f"""
-SELECT (ts // {WEEK_MS}) * {WEEK_MS} AS gk, channel_id, ts, value,
-       strftime(make_timestamp(((ts // {WEEK_MS}) * {WEEK_MS}) * 1000), '%m-%d %H:%M') AS label
-FROM ranked WHERE rn <= {OUTLIER_CAP}"""),
+    "boxplot_panel_points": _with(_outlier_cte(_EV, "pts"), f"""
+SELECT ts - ts % {WEEK_MS} AS gk, channel_id, ts, value,
+       strftime(make_timestamp((ts - ts % {WEEK_MS}) * 1000), '%m-%d %H:%M') AS label
+FROM pts WHERE nth <= {OUTLIER_CAP}"""),
     "signal_range_guard": _with(_EV, f"""
-SELECT channel_id, ts, value FROM signals ORDER BY channel_id, ts LIMIT {GUARD}"""),
+SELECT channel_id, ts, value FROM signals QUALIFY row_number() OVER (PARTITION BY channel_id ORDER BY ts, value) <= {GUARD}"""),
+    "boxplot_nulls": _gappy_sql(),
+    "boxplot_nulls_ranked": _gappy_sql(),
+    "store_quick_range": _with(_EV, f"""
+SELECT * FROM signals WHERE ts >= (SELECT max(ts) FROM signals) - {DAY_MS}"""),
+    "store_drill": _with(_EV + f""",
+days AS (SELECT ts - ts % {DAY_MS} AS day, count(*) AS n FROM signals GROUP BY 1),
+span AS (SELECT min(day) AS s, max(day) + {DAY_MS} AS e FROM days WHERE n > (SELECT avg(n) FROM days))""", """
+SELECT signals.* FROM signals, span WHERE ts BETWEEN s AND e"""),
+    "archive_during_append": _with(_EV, "\nSELECT ts, channel_id, value FROM signals"),
+    "bulk_load_keeps_streamed": _with(_EV, "\nSELECT ts, channel_id, value FROM signals"),
+    "stream_late_after_archive": _with(_EV, "\nSELECT ts, channel_id, value FROM signals"),
+    "channels_upsert_saved": _with(_EV + """,
+fresh AS (SELECT DISTINCT l_returnflag AS name FROM lineitem WHERE l_returnflag NOT IN (SELECT name FROM ev_channels))""", """
+SELECT id, name FROM ev_channels
+UNION ALL
+SELECT CAST((SELECT count(*) FROM ev_channels) + row_number() OVER (ORDER BY name) - 1 AS INTEGER) AS id, name FROM fresh"""),
+    "archive_retires_ingest": _with(_EV, f"""
+SELECT strftime(make_timestamp((ts - ts % {DAY_MS}) * 1000), '%Y-%m-%d') AS day, count(*) AS n
+FROM signals WHERE ts >= {ARCHIVE_2 - ARCHIVE_2 % DAY_MS} GROUP BY 1"""),
+    "rollup_incremental_l2": _rollup_sql(_EV, HOUR_MS),
+    "stream_rollup_repaired": _rollup_sql(_EV, MINUTE_MS),
+    "stream_metrics": _with(_EV, f"""
+SELECT count(*) AS rows_ingested, max(ts) AS max_ts, CAST({STREAM_BATCHES} AS BIGINT) AS batches FROM signals"""),
     "smoke_box_last_hour": _with(_EV, f"""
 SELECT CAST(channel_id AS BIGINT) AS gk, min(value) AS low,
        round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS median,
@@ -891,12 +1060,8 @@ last_day AS (SELECT * FROM signals
     "stream_ingest": _with(_EV, "\nSELECT ts, channel_id, value FROM signals"),
     "stream_ingest_messages": _with(_EV, "\nSELECT ts, channel_id, value FROM signals"),
     "stream_metrics_totals": _with(_EV, "\nSELECT count(*) AS rows_ingested, max(ts) AS max_ts FROM signals"),
-    "stream_rollup_l1": _rollup_sql(_EV, MINUTE_MS,
-                                    f"WHERE (ts // {MINUTE_MS}) * {MINUTE_MS} + {MINUTE_MS} "
-                                    f"<= (SELECT max(ts) FROM signals) - {HOUR_MS}"),
-    "stream_rollup_l2": _rollup_sql(_EV, HOUR_MS,
-                                    f"WHERE (ts // {HOUR_MS}) * {HOUR_MS} + {HOUR_MS} "
-                                    f"<= (SELECT max(ts) FROM signals) - {DAY_MS}"),
+    "stream_rollup_l1": _rollup_sql(_EV, MINUTE_MS),
+    "stream_rollup_l2": _rollup_sql(_EV, HOUR_MS),
 }
 
 

@@ -41,34 +41,25 @@ def point_budget(pixel_width: int) -> int:
 def lttb_indices(x: np.ndarray, y: np.ndarray, threshold: int) -> np.ndarray:
     """Positions kept by Largest-Triangle-Three-Buckets (E2) on ordered points.
 
-    First and last points are kept; the ``n - 2`` inner points are cut into ``threshold - 2``
-    buckets of fractional width; in each, the point forming the largest triangle with the
-    previous pick and the mean of the next bucket wins, earliest on ties. Inputs with
-    ``threshold >= n`` or ``threshold < 3`` are returned whole.
+    First and last points are kept; the inner points are cut into ``threshold - 2`` buckets of
+    fractional width; in each, the point forming the largest triangle with the previous pick and
+    the centre of the next bucket wins, earliest on ties. Inputs with ``threshold >= n`` or
+    ``threshold < 3`` are returned whole. Times are taken from the first point on, so that
+    their sums are exact.
     """
-    n = len(x)
-    if threshold >= n or threshold < 3:
-        return np.arange(n)
-    width = (n - 2) / (threshold - 2)
-    keep = np.empty(threshold, dtype=np.int64)
-    keep[0], keep[-1] = 0, n - 1
-    a = 0
-    for i in range(threshold - 2):
-        c0 = int(np.floor((i + 1) * width)) + 1
-        c1 = min(int(np.floor((i + 2) * width)) + 1, n)
-        cnt = c1 - c0
-        # sequential sums (cumsum) keep the float result independent of array length tricks
-        mx = np.cumsum(x[c0:c1])[-1] / cnt if cnt > 0 else np.nan
-        my = np.cumsum(y[c0:c1])[-1] / cnt if cnt > 0 else np.nan
-        b0 = int(np.floor(i * width)) + 1
-        b1 = min(int(np.floor((i + 1) * width)) + 1, n)
-        area = np.abs((x[a] - mx) * (y[b0:b1] - y[a]) - (x[a] - x[b0:b1]) * (my - y[a]))
-        pick = b0
-        if cnt > 0 and len(area):
-            pick = b0 + int(np.argmax(area))
-        keep[i + 1] = pick
-        a = pick
-    return keep
+    size, inner = len(x), threshold - 2
+    if threshold >= size or inner < 1:
+        return np.arange(size)
+    # bucket b is points[edges[b]:edges[b + 1]]; the one after the last is the last point
+    edges = np.minimum(np.floor(np.arange(inner + 2) * ((size - 2) / inner)).astype(np.int64) + 1, size)
+    points = np.column_stack([x - x[0], y])
+    centres = np.add.reduceat(points, edges[1:-1], axis=0) / np.diff(edges)[1:, None]
+    picks = [0]
+    for begin, stop, centre in zip(edges, edges[1:], centres):
+        legs, base = points[begin:stop] - points[picks[-1]], centre - points[picks[-1]]
+        twice_area = np.abs(legs[:, 0] * base[1] - legs[:, 1] * base[0])
+        picks.append(int(begin + np.argmax(twice_area)))
+    return np.array([*picks, size - 1])
 
 
 def _series_schema(df: DataFrame, series: Sequence[str]) -> T.StructType:

@@ -64,8 +64,10 @@ def exact_buffer_rows(df: DataFrame) -> int:
 
 
 def _exact(df: DataFrame, keys: list[str], value: str, probs, names) -> DataFrame:
-    grouped = list(keys) if keys else ["_g"]
-    src = df.select(*keys, value) if keys else df.select(F.lit(0).alias("_g"), value)
+    # like the buffered path: NULL values are not ranked but counted, and a NULL key is a group
+    group = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
+    grouped, whole = ["_g"], df.select(group.alias("_g"), value)
+    src = whole.filter(F.col(value).isNotNull())
     idx = with_row_index(src, [F.col(value).asc()], grouped, index_col="_i", size_col="_n")
     i, n = F.col("_i"), F.col("_n")
     pos = {nm: (n - 1).cast("double") * F.lit(float(p)) for p, nm in zip(probs, names)}
@@ -74,13 +76,15 @@ def _exact(df: DataFrame, keys: list[str], value: str, probs, names) -> DataFram
         wanted = wanted | (i == F.floor(pos[nm])) | (i == F.ceil(pos[nm]))
     picked = idx.filter(wanted)
     aggs = [F.max(F.when(i == 0, F.col(value))).alias("low"),
-            F.max(F.when(i == n - 1, F.col(value))).alias("high"),
-            F.max(n).alias("n")]
+            F.max(F.when(i == n - 1, F.col(value))).alias("high")]
     for nm in names:
         aggs.append(F.max(F.when(i == F.floor(pos[nm]), F.col(value))).alias(f"_lo_{nm}"))
         aggs.append(F.max(F.when(i == F.ceil(pos[nm]), F.col(value))).alias(f"_hi_{nm}"))
         aggs.append(F.max(pos[nm] - F.floor(pos[nm])).alias(f"_fr_{nm}"))
     out = picked.groupBy(*grouped).agg(*aggs)
+    out = whole.groupBy(*grouped).agg(F.count(F.lit(1)).alias("n")).join(out, grouped, "left")
+    if keys:
+        out = out.select("*", "_g.*")
     qcols = [(F.col(f"_lo_{nm}") + (F.col(f"_hi_{nm}") - F.col(f"_lo_{nm}")) * F.col(f"_fr_{nm}")).alias(nm)
              for nm in names]
     return out.select(*keys, "low", *qcols, "high", "n")

@@ -9,7 +9,7 @@ from ..functions.args import int_arg, layer_arg, nullable_int
 from ..functions.time import bucket_start
 from ..schemas import LAYER_BUCKET_MS
 from .filters import after_cursor, in_range
-from .index import with_row_index
+from .index import top_k_per_group, with_row_index
 
 
 
@@ -31,8 +31,9 @@ def signal_range(layer_df: DataFrame, channel_id: int | None, start: int, end: i
     ``value`` is the bucket mean (K4) and ``envelope=True`` adds ``min_v``/``max_v``. Rollup
     rows are selected by bucket start (K3); ``align=True`` floors ``start`` to the bucket so a
     bucket straddling ``start`` is kept. ``channel_id=None`` returns every channel (with a
-    ``channel_id`` column). ``limit`` is the optional row guard (K22). ``ordered=False``
-    skips the global sort when the consumer re-orders anyway (downsampling).
+    ``channel_id`` column). ``limit`` is the optional row guard (K22): the earliest rows of each
+    channel, ties by value. ``ordered=False`` skips the global sort when the consumer
+    re-orders anyway (downsampling).
     """
     layer = layer_arg(layer)
     if layer != "L0" and align:
@@ -44,8 +45,11 @@ def signal_range(layer_df: DataFrame, channel_id: int | None, start: int, end: i
     if envelope and layer != "L0":
         cols += ["min_v", "max_v"]
     out = df.select(*cols)
-    order = ["ts"] if channel_id is not None else ["channel_id", "ts"]
+    order = ["ts", "value"] if channel_id is not None else ["channel_id", "ts", "value"]
     limit = nullable_int(limit, "limit", minimum=0)
+    if limit is not None and channel_id is None:
+        out = top_k_per_group(out, ["channel_id"], ["ts", "value"], limit, "_row").drop("_row")
+        return out.orderBy(*order) if ordered else out
     if limit is not None and limit > TOP_K_MAX:
         # A big row guard through a top-k would merge every partition's top rows in one task;
         # the distributed index keeps it spread out (rows at or past the guard are dropped).
@@ -76,13 +80,16 @@ def signal_page(sig: DataFrame, limit: int, channel_id: int | None = None, curso
     return df.orderBy(*page_order()).limit(limit)
 
 
-def next_cursor(page: DataFrame):
-    """Cursor after ``page`` and whether more pages may follow (Q2b). Action on <= limit rows."""
+def next_cursor(page: DataFrame, limit: int | None = None):
+    """Cursor after ``page`` and whether more pages may follow (Q2b). Action on one page.
+
+    With the page's ``limit``, more may follow only if the page is full; without it, if it has rows.
+    """
     rows = page.collect()
     if not rows:
         return None, False
     last = rows[-1]
-    return (last["ts"], last["channel_id"], last["value"]), True
+    return (last["ts"], last["channel_id"], last["value"]), limit is None or len(rows) == int(limit)
 
 
 def assign_pages(sig: DataFrame, limit: int, channel_id: int | None = None) -> DataFrame:

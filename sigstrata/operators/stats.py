@@ -45,30 +45,34 @@ def _fence_columns(q: DataFrame) -> DataFrame:
                     (F.col("q3") + F.lit(IQR_K) * iqr).alias("fence_hi"))
 
 
-def outliers(sig: DataFrame, channel_id: int | None, start: int, end: int, max_points: int,
+def outliers(sig: DataFrame, channel_id: int | None, start: int, end: int, max_points: int | None,
              quantile: str = "approx", accuracy: int = DEFAULT_ACCURACY,
              max_buffer_rows: int | None = None) -> DataFrame:
-    """Rows strictly outside the 1.5 IQR fences, earliest ``max_points`` first (Q5, K7, K8).
+    """Rows strictly outside the 1.5 IQR fences (Q5, K7, K8): all (``max_points=None``), or the
+    earliest ``max_points``, ties by value.
 
     The fences are computed over the whole viewport of the channel. With
     ``channel_id=None`` every channel is handled separately (fences and limit per channel)
     and the result carries ``channel_id``. ``max_buffer_rows`` bounds the group size the exact
     mode may buffer (see ``group_quantiles``).
     """
-    max_points = int_arg(max_points, "max_points", minimum=0)
+    max_points = nullable_int(max_points, "max_points", minimum=0)
     base = in_range(sig, start, end, channel_id)
     if channel_id is not None:
         q = _fence_columns(group_quantiles(base, [], "value", [0.25, 0.75], ["q1", "q3"], mode=quantile,
                                            accuracy=accuracy, max_buffer_rows=max_buffer_rows))
         fences = q.select(F.struct("fence_lo", "fence_hi")).scalar()
         hits = base.filter((F.col("value") < fences["fence_lo"]) | (F.col("value") > fences["fence_hi"]))
-        return hits.select("ts", "value").orderBy("ts").limit(max_points)
+        hits = hits.select("ts", "value").orderBy("ts", "value")
+        return hits if max_points is None else hits.limit(max_points)
     q = _fence_columns(group_quantiles(base, ["channel_id"], "value", [0.25, 0.75], ["q1", "q3"], mode=quantile,
                                        accuracy=accuracy, max_buffer_rows=max_buffer_rows))
     fences = bounded_broadcast(q.select("channel_id", "fence_lo", "fence_hi"))
     hits = (base.select("channel_id", "ts", "value").join(fences, "channel_id")
             .filter((F.col("value") < F.col("fence_lo")) | (F.col("value") > F.col("fence_hi")))
             .select("channel_id", "ts", "value"))
+    if max_points is None:
+        return hits
     top = top_k_per_group(hits, ["channel_id"], [F.col("ts").asc(), F.col("value").asc()], max_points)
     return top.drop("rank0")
 

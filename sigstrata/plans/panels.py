@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.labels import box_label
 from ..operators.downsample import downsample, point_budget
@@ -12,8 +13,6 @@ from ..operators.reads import signal_range
 from ..operators.stats import attach_outliers, boxplot, outliers
 from .viewport import pick_bucket_ms, pick_layer
 
-OUTLIER_CAP = 500
-
 
 def signal_series(layers: dict[str, DataFrame], channel_id: int | None, start: int, end: int,
                   pixel_width: int = 800) -> DataFrame:
@@ -32,15 +31,18 @@ class BoxPanel:
     bucket_ms: int
     boxes: DataFrame
     points: DataFrame
+    outliers: DataFrame     # number of outliers per channel before ``max_points`` cuts
 
 
 def boxplot_panel(sig: DataFrame, channel_id: int | None, start: int, end: int,
-                  quantile: str = "approx", max_points: int = OUTLIER_CAP, tz: str = "UTC") -> BoxPanel:
+                  quantile: str = "approx", max_points: int | None = None, tz: str = "UTC") -> BoxPanel:
     """Box panel (V9): width by span (V2), boxes (Q3) with labels (P10), outliers (Q5)
-    attached to their boxes (J3)."""
+    attached to their boxes (J3). ``max_points`` cuts the points of each channel (``None``: all)."""
     w = pick_bucket_ms(end - start)
     boxes = boxplot(sig, start, end, channel_id, bucket_ms=w, quantile=quantile)
     boxes = boxes.withColumn("label", box_label("gk", tz))
-    pts = outliers(sig, channel_id, start, end, max_points, quantile=quantile)
+    every = outliers(sig, channel_id, start, end, None, quantile=quantile)
+    pts = every if max_points is None else outliers(sig, channel_id, start, end, max_points, quantile=quantile)
     attached = attach_outliers(pts, boxes.select("gk", "label"), w)
-    return BoxPanel(w, boxes, attached)
+    keys = ["channel_id"] if "channel_id" in every.columns else []
+    return BoxPanel(w, boxes, attached, every.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_outliers")))

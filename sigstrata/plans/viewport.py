@@ -7,10 +7,13 @@ whole chain stays lazy and distributed.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.args import int_arg, num
+from ..operators.filters import in_range
 from ..schemas import DAY_MS
 
 # Span thresholds of the layer rule and candidate box widths (ms).
@@ -36,11 +39,8 @@ def pick_layer(span_ms: int) -> str:
 
 def pick_bucket_ms(span_ms: int) -> int:
     """Box width for a span (V2): first candidate >= span/40, else 7 days."""
-    target = num(span_ms, "span_ms") / BOXES_PER_VIEW
-    for c in BUCKET_CANDIDATES_MS:
-        if c >= target:
-            return c
-    return BUCKET_FALLBACK_MS
+    at = bisect_left(BUCKET_CANDIDATES_MS, num(span_ms, "span_ms") / BOXES_PER_VIEW)
+    return (*BUCKET_CANDIDATES_MS, BUCKET_FALLBACK_MS)[at]
 
 
 def bounds(sig: DataFrame) -> Column:
@@ -76,11 +76,12 @@ def _round_half_up(x: float) -> int:
 
 
 def zoom_columns(start: Column, end: Column, pct_start: float, pct_end: float) -> tuple[Column, Column]:
-    """Column form of :func:`zoom` for data-dependent bounds."""
+    """Column form of :func:`zoom` for data-dependent bounds; NULL bounds below 1 s."""
     span = end - start
     s = F.floor(start + F.lit(pct_start / 100.0) * span + F.lit(0.5)).cast("bigint")
     e = F.floor(start + F.lit(pct_end / 100.0) * span + F.lit(0.5)).cast("bigint")
-    return s, e
+    wide = e - s >= F.lit(MIN_ZOOM_MS)
+    return F.when(wide, s), F.when(wide, e)
 
 
 def drill(gk: int, bucket_ms: int) -> tuple[int, int]:
@@ -94,5 +95,5 @@ def drill_boxes(boxes: DataFrame, bucket_ms: int) -> DataFrame:
 
 
 def between_columns(sig: DataFrame, start: Column, end: Column) -> DataFrame:
-    """Closed range filter with data-dependent (scalar subquery) bounds."""
-    return sig.filter(F.col("ts").between(start, end))
+    """Closed range filter with data-dependent (scalar subquery) bounds; prunes day partitions."""
+    return in_range(sig, start, end)

@@ -22,7 +22,10 @@ def encode_rows(sig: DataFrame, col: str = "message") -> DataFrame:
 def parse_rows(raw: DataFrame, col: str = "message") -> tuple[DataFrame, DataFrame]:
     """``(good, rejected)``: typed ``ts, channel_id, value`` rows and ``raw_row, reason``."""
     msgs = raw.select(F.from_json(F.col(col), MESSAGE_SCHEMA).alias("m"), F.col(col).alias("_raw"))
-    rows = msgs.select(F.explode_outer("m.rows").alias("r"), "_raw")
+    # a message with no rows is fine and gives none
+    rows = (msgs.select(F.explode_outer("m.rows").alias("r"), "_raw",
+                        F.coalesce(F.size("m.rows") == 0, F.lit(False)).alias("_empty"))
+            .filter(~F.col("_empty")))
     ts = F.expr("try_cast(get(r, 0) AS BIGINT)")
     ch = F.expr("try_cast(get(r, 1) AS INT)")
     val = F.expr("try_cast(get(r, 2) AS DOUBLE)")

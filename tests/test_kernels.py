@@ -1,11 +1,13 @@
-"""Downsampling kernels (E1-E3) against naive versions written from the definitions."""
+"""Downsampling kernels (E1-E3): results worked out by hand, and properties from the definitions."""
 
 from __future__ import annotations
 
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,67 +15,51 @@ from hypothesis import strategies as st
 from sigstrata.operators import downsample, lttb_indices, minmax_preselect, point_budget
 
 
-def naive_lttb(x, y, threshold):
-    n = len(x)
-    if threshold >= n or threshold < 3:
-        return list(range(n))
-    every = (n - 2) / (threshold - 2)
-    out, a = [0], 0
-    for i in range(threshold - 2):
-        c0 = math.floor((i + 1) * every) + 1
-        c1 = min(math.floor((i + 2) * every) + 1, n)
-        ax = sum(x[c0:c1]) / (c1 - c0)
-        ay = sum(y[c0:c1]) / (c1 - c0)
-        b0 = math.floor(i * every) + 1
-        b1 = min(math.floor((i + 1) * every) + 1, n)
-        best, pick = -1.0, b0
-        for j in range(b0, b1):
-            area = abs((x[a] - ax) * (y[j] - y[a]) - (x[a] - x[j]) * (ay - y[a]))
-            if area > best:
-                best, pick = area, j
-        out.append(pick)
-        a = pick
-    out.append(n - 1)
-    return out
-
-
-def naive_preselect(y, buckets):
-    """Indexes emitted by MinMax preselect, in output order."""
-    n = len(y)
-    if n <= 2 * buckets:
-        return list(range(n))
-    out = []
-    for b in range(buckets):
-        lo, hi = b * n // buckets, (b + 1) * n // buckets
-        mn = mx = lo
-        for i in range(lo, hi):
-            if y[i] < y[mn]:
-                mn = i
-            if y[i] > y[mx]:
-                mx = i
-        out += [mn, mx] if mn <= mx else [mx, mn]
-    return out
-
-
-@pytest.mark.parametrize("t", [2, 3, 50])
-@pytest.mark.parametrize("size", ["t", "t+1", "8t", "8t+1"])
-def test_lttb_sizes_match_naive(t, size):
-    n = {"t": t, "t+1": t + 1, "8t": 8 * t, "8t+1": 8 * t + 1}[size]
-    rnd = random.Random(t * 1000 + n)
-    x = [float(i * 1000) for i in range(n)]
-    y = [rnd.gauss(0, 1) for _ in range(n)]
-    assert list(lttb_indices(np.array(x), np.array(y), t)) == naive_lttb(x, y, t)
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.floats(-1e6, 1e6, allow_nan=False), min_size=1, max_size=300), st.integers(1, 80))
-def test_lttb_properties(ys, t):
-    x = np.arange(len(ys), dtype=float)
-    keep = lttb_indices(x, np.array(ys), t)
-    assert list(keep) == naive_lttb(list(x), ys, t)
-    if t < len(ys) and t >= 3:
-        assert len(keep) == t and keep[0] == 0 and keep[-1] == len(ys) - 1
-        assert all(a < b for a, b in zip(keep, keep[1:]))
+def expected_preselect(ys, buckets):
+    """Positions that MinMax preselect emits, in order: the extremes of each index bucket."""
+    if len(ys) <= 2 * buckets:
+        return list(range(len(ys)))
+    at = pd.DataFrame({"y": ys, "b": (np.arange(1, len(ys) + 1) * buckets - 1) // len(ys)})
+    ends = at.groupby("b")["y"].agg(["idxmin", "idxmax"])       # the first on ties
+    return np.sort(ends.to_numpy(), axis=1).ravel().tolist()
+
+
+def buckets_of(n, t):
+    """Index ranges of the inner buckets, by exact fractions."""
+    cut = [math.floor(Fraction(b * (n - 2), t - 2)) + 1 for b in range(t - 1)]
+    return list(zip(cut, cut[1:]))
+
+
+@pytest.mark.parametrize("ys,t,want", [
+    ([0, 1, 9, 2, 0], 3, [0, 2, 4]),                 # one bucket: the highest point over the base line
+    ([0, 3, 1, -4, 2, 0], 4, [0, 1, 3, 5]),          # twice the areas: 11.5 to 5.5, then 22 to 5
+    ([0, 0, 0, 0, 0, 0], 4, [0, 1, 3, 5]),           # all areas equal: the earliest of each bucket
+    ([5, 1, 2], 3, [0, 1, 2]), ([5, 1, 2, 7], 2, [0, 1, 2, 3]),
+])
+def test_lttb_worked_out_by_hand(ys, t, want):
+    assert lttb_indices(np.arange(len(ys), dtype=float) + 1e12, np.array(ys, float), t).tolist() == want
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(-1000, 1000), min_size=1, max_size=300), st.integers(1, 80))
+def test_lttb_picks_the_largest_triangle_of_each_bucket(ys, t):
+    x, y = np.arange(len(ys), dtype=float), np.array(ys, float)
+    keep = lttb_indices(x, y, t).tolist()
+    if t >= len(ys) or t < 3:
+        assert keep == list(range(len(ys)))
+        return
+    ranges = buckets_of(len(ys), t)
+    assert len(keep) == t and keep[0] == 0 and keep[-1] == len(ys) - 1
+    assert all(a <= k < b for k, (a, b) in zip(keep[1:], ranges))
+    for before, pick, (a, b), after in zip(keep, keep[1:], ranges, [*ranges[1:], (len(ys) - 1, len(ys))]):
+        centre = [Fraction(int(sum(v[after[0]:after[1]])), after[1] - after[0]) for v in (x, y)]
+
+        def area(j):
+            matrix = [[int(x[before]), int(y[before]), 1], [j, ys[j], 1], [*centre, 1]]
+            return abs(sum(matrix[0][i] * (matrix[1][(i + 1) % 3] * matrix[2][(i + 2) % 3]
+                                           - matrix[1][(i + 2) % 3] * matrix[2][(i + 1) % 3]) for i in range(3)))
+
+        assert area(pick) >= max(map(area, range(a, b))) * (1 - Fraction(1, 10**12))
 
 
 def test_lttb_keeps_spikes():
@@ -92,11 +78,11 @@ def _series(make_sig, ys, channel=0, step=1000):
 
 
 @pytest.mark.parametrize("n,buckets", [(10, 3), (7, 3), (1000, 50), (1001, 50), (64, 32)])
-def test_preselect_matches_naive(make_sig, n, buckets):
+def test_preselect_matches_the_extremes_of_each_bucket(make_sig, n, buckets):
     rnd = random.Random(n)
     ys = [float(rnd.randint(0, 20)) for _ in range(n)]    # many ties: first index must win
     got = minmax_preselect(_series(make_sig, ys), buckets).orderBy("seq").collect()
-    want = naive_preselect(ys, buckets)
+    want = expected_preselect(ys, buckets)
     assert [r["ts"] // 1000 for r in got] == want
 
 
@@ -110,15 +96,8 @@ def test_downsample_dispatch(make_sig, n, t):
     rnd = random.Random(n)
     ys = [rnd.gauss(0, 1) for _ in range(n)]
     got = downsample(_series(make_sig, ys), t).orderBy("seq").collect()
-    x = [float(i * 1000) for i in range(n)]
-    if n <= t:
-        want = list(range(n))
-    elif n > 8 * t:
-        pre = naive_preselect(ys, 4 * t)
-        px, py = [x[i] for i in pre], [ys[i] for i in pre]
-        want = [pre[i] for i in naive_lttb(px, py, t)]
-    else:
-        want = naive_lttb(x, ys, t)
+    pre = np.array(expected_preselect(ys, 4 * t) if n > 8 * t else range(n))
+    want = pre[lttb_indices(pre * 1000.0, np.array(ys)[pre], t)].tolist()
     assert [r["ts"] // 1000 for r in got] == want
     assert [r["seq"] for r in got] == list(range(len(want)))
 

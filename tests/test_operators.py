@@ -278,3 +278,42 @@ def test_empty_inputs_everywhere(make_sig, case):
         "range_guard_big": lambda: signal_range(e, 0, 0, 10, "L0", limit=10 ** 6),
     }[case]
     assert build().count() == 0
+
+
+def test_next_cursor_stops_at_a_short_page(make_sig):
+    page = signal_page(make_sig([(1, 0, 1.0), (2, 0, 1.0), (3, 0, 1.0)]), 3)
+    assert next_cursor(page, 3) == ((1, 0, 1.0), True) and next_cursor(page, 500) == ((1, 0, 1.0), False)
+
+
+def test_ties_at_a_cut_go_by_value(make_sig):
+    sig = make_sig([(0, 0, float(v % 10)) for v in range(40)] + [(1, 0, 1000.0), (1, 0, 900.0), (1, 0, 950.0), (5, 1, 3.0)])
+    assert [r["value"] for r in outliers(sig, 0, 0, 10, 2, quantile="exact").collect()] == [900.0, 950.0]
+    assert outliers(sig, 0, 0, 10, None, quantile="exact").count() == 3
+    guard = signal_range(sig, None, 0, 10, limit=2)
+    assert [tuple(r) for r in guard.collect()] == [(0, 0, 0.0), (0, 0, 0.0), (1, 5, 3.0)]
+
+
+@pytest.mark.parametrize("rows", [
+    [(None, 0), (1.0, 0), (2.0, 0), (3.0, 0)], [(None, None), (4.0, None), (1.0, 1)], [(None, 3), (None, 3)],
+    [(float("nan"), 0), (1.0, 0)], [(2.0, 0)] * 5,
+])
+def test_both_exact_quantile_paths_agree(spark, rows):
+    from sigstrata.operators.quantiles import group_quantiles
+    df = spark.createDataFrame(rows, "v double, k int")
+    for keys in (["k"], []):
+        a, b = (sorted(map(str, group_quantiles(df, keys, "v", [0.25, 0.5], ["q1", "med"], mode="exact", max_buffer_rows=m).collect()))
+                for m in (10**6, 0))
+        assert a == b
+
+
+def test_frames_have_one_schema_even_when_empty(spark, make_sig):
+    from sigstrata.sources.delivery import iter_frames
+    sig = make_sig([(i, 0, float(i)) for i in range(10)])
+    full, empty = list(iter_frames(sig, 4)), list(iter_frames(sig.limit(0)))
+    assert len(empty) == 1 and empty[0].num_rows == 0 and {f.schema for f in full} == {empty[0].schema}
+
+
+def test_message_without_rows_is_no_error(spark):
+    from sigstrata.sources.ingest import parse_rows
+    good, bad = parse_rows(spark.createDataFrame([('{"rows":[]}',), ("x",)], "message string"))
+    assert good.count() == 0 and [r["reason"] for r in bad.collect()] == ["unparsable message"]

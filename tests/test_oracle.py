@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -46,6 +47,7 @@ def test_query_matches_oracle(spark, con, name):
     assert _rows(got) == _rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(
+    n for n in set(E.queries()) - set(E.oracle_sql()) if not re.match(r"op\d+_|pipeline", n)))
 def test_rows_only_queries_run(spark, name):
     assert E.queries()[name](spark, SF).count() >= 0

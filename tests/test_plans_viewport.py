@@ -102,3 +102,18 @@ def test_cancel_running_query(spark):
         cancel(spark, "slow-chart")
         th.join(0.5)
     assert not th.is_alive() and errors and _time.time() - t0 < 30
+
+
+def test_zoom_columns_refuse_less_than_a_second(spark, make_sig):
+    from sigstrata.plans.viewport import between_columns, quick_range, zoom_columns
+    sig = make_sig([(i * 100, 0, 1.0) for i in range(21)])
+    s, e = quick_range(sig, None)
+    assert between_columns(sig, *zoom_columns(s, e, 0.0, 50.0)).count() == 11
+    assert between_columns(sig, *zoom_columns(s, e, 0.0, 40.0)).count() == 0
+
+
+def test_panel_keeps_all_outliers_unless_cut(make_sig):
+    rows = [(i * 1000, 0, float(i % 10)) for i in range(4000)] + [(i * 1000 + 1, 0, 1e6 + i) for i in range(600)]
+    whole, cut = (boxplot_panel(make_sig(rows), 0, 0, 4_000_000, quantile="exact", max_points=m) for m in (None, 500))
+    assert whole.points.count() == 600 and cut.points.count() == 500
+    assert whole.outliers.first()[0] == cut.outliers.first()[0] == 600

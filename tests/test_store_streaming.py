@@ -293,3 +293,82 @@ def test_archive_backfills_only_stale_rollup_days(spark, make_sig):
     moved = sig.filter(F.col("ts") < D0 + 2 * DAY_MS)
     assert _rollup_rows(store.rollup_layer("L1")) == _rollup_rows(rollup(moved, MINUTE_MS))
     assert _rollup_rows(store.rollup_layer("L2")) == _rollup_rows(rollup(moved, HOUR_MS))
+
+
+def _ingest_all(spark, stream, root, **options):
+    q = start_ingest(stream, f"{root}/ingest", f"{root}/_ckpt", trigger={"availableNow": True}, **options)
+    q.awaitTermination()
+    return SignalStore(spark, root)
+
+
+def _all(store):
+    return sorted_rows(store.unified().select("ts", "channel_id", "value"))
+
+
+def test_null_and_non_finite_rows_are_rejected(spark):
+    rows = [(D0, 0, 1.0), (None, 0, 1.0), (D0, None, 1.0), (D0, 0, None), (D0, 0, float("nan")), (D0, 0, float("-inf"))]
+    store = SignalStore(spark, scratch_path(spark, "t-null"))
+    store.append(spark.createDataFrame(rows, "ts long, channel_id int, value double"))
+    assert _all(store) == [(D0, 0, 1.0)] and store.rejects().count() == 5
+    assert [str(d) for d in store._visible_days()] == ["2022-01-08"]
+
+
+def test_keyed_append_can_be_retried(spark, make_sig):
+    store = SignalStore(spark, scratch_path(spark, "t-key"))
+    for _ in range(2):
+        store.append(make_sig([(D0, 0, 1.0), (D0 + DAY_MS, 1, 2.0)]), key="load-1")
+    store.append(make_sig([(D0, 0, 1.0)]), key="load-2")
+    assert _all(store) == [(D0, 0, 1.0), (D0, 0, 1.0), (D0 + DAY_MS, 1, 2.0)]
+
+
+def test_restarted_stream_goes_on_where_it_was(spark, make_sig):
+    src, root = scratch_path(spark, "t-src"), scratch_path(spark, "t-restart")
+    schema, rows = make_sig([]).schema, []
+    for part in range(3):
+        new = [(D0 + part * 1000 + i, i % 2, float(i)) for i in range(20)]
+        make_sig(new).coalesce(1).write.parquet(f"{src}/{part}")
+        rows += new
+        store = _ingest_all(spark, file_source(spark, f"{src}/*", schema), root)
+        assert _all(store) == sorted(rows)
+
+
+def test_totals_outlast_the_progress_reports(spark, make_sig):
+    from sigstrata.streaming.jobs import ingest_totals
+    src, root = scratch_path(spark, "t-src"), scratch_path(spark, "t-totals")
+    make_sig([(D0 + i, 0, 1.0) for i in range(60)]).repartition(6).write.parquet(src)
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        _ingest_all(spark, file_source(spark, src, make_sig([]).schema, max_files_per_trigger=1), root)
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    assert tuple(ingest_totals(spark, root).first()) == (60, D0 + 59, 6)
+    assert tuple(ingest_totals(spark, scratch_path(spark, "none")).first()) == (0, None, 0)
+
+
+def test_rollups_follow_the_stream(spark, make_sig):
+    src, root = scratch_path(spark, "t-src"), scratch_path(spark, "t-follow")
+    rows = [(D0 + i * 50_000, i % 3, float(i % 7)) for i in range(3000)]
+    make_sig(rows[1500:] + rows[:10]).coalesce(1).write.parquet(f"{src}/a")
+    schema = make_sig([]).schema
+    _ingest_all(spark, file_source(spark, f"{src}/*", schema), root, rollups=True)
+    make_sig(rows[10:1500]).coalesce(1).write.parquet(f"{src}/b")       # days late
+    store = _ingest_all(spark, file_source(spark, f"{src}/*", schema), root, rollups=True)
+    for layer, width in (("L1", MINUTE_MS), ("L2", HOUR_MS)):
+        assert _rollup_rows(store.rollup_layer(layer)) == _rollup_rows(rollup(make_sig(rows), width))
+
+
+def test_overwrite_replaces_streamed_and_archived_rows(spark, make_sig):
+    sig, rows = _five_days(make_sig)
+    store = SignalStore(spark, scratch_path(spark, "t-over"))
+    store.append(sig, key="a")
+    assert store.bulk_load(sig) is False and len(_all(store)) == len(rows)
+    store.archive_before(D0 + 2 * DAY_MS)
+    assert store.bulk_load(store.unified().filter("channel_id = 0"), mode="overwrite") is True
+    assert _all(store) == sorted(r for r in rows if r[1] == 0) and store.watermark() is None
+
+
+def test_hot_ts_is_split_over_files(spark, make_sig):
+    store = SignalStore(spark, scratch_path(spark, "t-hot"))
+    store.append(make_sig([(D0, c, float(v)) for c in range(4) for v in range(5000)]).repartition(8))
+    files = [f for d in store._list(store.path("hot")) for f in store._list(d[1])]
+    assert len(files) > 1 and len(_all(store)) == 20_000
