@@ -51,6 +51,9 @@ L2_VIEW = (T0 + 2 * DAY_MS + 1_234_567, T0 + 25 * DAY_MS)
 ARCHIVE_1 = T0 + 10 * DAY_MS + 5 * HOUR_MS     # not midnight: aligned down by the store
 ARCHIVE_2 = T0 + 20 * DAY_MS
 INCREMENT_AT = T0 + 15 * DAY_MS + 7 * HOUR_MS
+SERIES_L0 = (T0 + 5 * DAY_MS, T0 + 7 * DAY_MS)      # two days read L0, thirteen L1
+SERIES_L1 = (T0 + 5 * DAY_MS, T0 + 18 * DAY_MS)
+PANEL_DAY = (T0 + 5 * DAY_MS, T0 + 6 * DAY_MS)      # boxes of one hour
 STREAM_BATCHES = 8
 FOLLOW_SPAN = 6 * HOUR_MS
 GUARD = 300                     # row guard on a curve read, rows per channel (K22)
@@ -335,6 +338,32 @@ def q_signal_series(spark, d):
     return out.select("channel_id", "point", "ts", _r("value").alias("value"))
 
 
+def _series(layers: dict, start: int, end: int) -> DataFrame:
+    # a 100 px chart: 200 points a channel, fewer than each layer has here
+    out = signal_series(layers, None, start, end, pixel_width=100)
+    return out.select("channel_id", F.col("point").alias("seq"), "ts", _r("value").alias("value"))
+
+
+def q_signal_series_l0(spark, d):
+    return _series({"L0": _ev(spark, d).withColumn("channel_id", F.lit(0))}, *SERIES_L0)
+
+
+def q_signal_series_l1(spark, d):
+    return _series({"L1": _stable_avg(rollup(_ev(spark, d), MINUTE_MS))}, *SERIES_L1)
+
+
+def q_signal_series_l2(spark, d):
+    return _series({"L2": _stable_avg(rollup(_li(spark, d), HOUR_MS))}, ALL_START, ALL_END)
+
+
+def q_boxplot_panel_hours(spark, d):
+    return _round_box(boxplot_panel(_ev(spark, d), None, *PANEL_DAY, quantile="exact").boxes)
+
+
+def q_boxplot_panel_hours_points(spark, d):
+    return boxplot_panel(_ev(spark, d), None, *PANEL_DAY, quantile="exact").points
+
+
 def q_quick_range_1d(spark, d):
     sig = _ev(spark, d)
     s, e = quick_range(sig, "1d")
@@ -710,6 +739,11 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "minmax_lttb": q_minmax_lttb,
     "minmax_lttb_lineitem": q_minmax_lttb_lineitem,
     "signal_series": q_signal_series,
+    "signal_series_l0": q_signal_series_l0,
+    "signal_series_l1": q_signal_series_l1,
+    "signal_series_l2": q_signal_series_l2,
+    "boxplot_panel_hours": q_boxplot_panel_hours,
+    "boxplot_panel_hours_points": q_boxplot_panel_hours_points,
     "quick_range_1d": q_quick_range_1d,
     "full_range": q_full_range,
     "zoom_range": q_zoom_range,
@@ -957,6 +991,18 @@ SELECT channel_id, CAST(pos AS BIGINT) AS seq, ts, value FROM numbered WHERE tot
     "signal_series": _with(_EV + ",\n" + _rollup_cte(HOUR_MS), """
 SELECT channel_id, CAST(row_number() OVER (PARTITION BY channel_id ORDER BY ts, avg_v) - 1 AS BIGINT) AS point,
        ts, round(avg_v, 6) AS value FROM roll"""),
+    "signal_series_l0": _downsample_sql(_EV + f""",
+view AS (SELECT CAST(0 AS INTEGER) AS channel_id, ts, value FROM signals WHERE ts BETWEEN {SERIES_L0[0]} AND {SERIES_L0[1]})""", 200, "view"),
+    "signal_series_l1": _downsample_sql(_EV + ",\n" + _rollup_cte(MINUTE_MS) + f""",
+view AS (SELECT channel_id, ts, avg_v AS value FROM roll WHERE ts BETWEEN {SERIES_L1[0]} AND {SERIES_L1[1]})""", 200, "view"),
+    "signal_series_l2": _downsample_sql(_LI + ",\n" + _rollup_cte(HOUR_MS) + """,
+view AS (SELECT channel_id, ts, avg_v AS value FROM roll)""", 200, "view"),
+    "boxplot_panel_hours": _box_sql(_EV + f""",
+day AS (SELECT * FROM signals WHERE ts BETWEEN {PANEL_DAY[0]} AND {PANEL_DAY[1]})""", f"ts - ts % {HOUR_MS}").replace("FROM signals GROUP", "FROM day GROUP"),
+    "boxplot_panel_hours_points": _with(_outlier_cte(_EV.replace("signals AS (", "every AS (") + f""",
+signals AS (SELECT * FROM every WHERE ts BETWEEN {PANEL_DAY[0]} AND {PANEL_DAY[1]})""", "pts"), f"""
+SELECT ts - ts % {HOUR_MS} AS gk, channel_id, ts, value,
+       strftime(make_timestamp((ts - ts % {HOUR_MS}) * 1000), '%m-%d %H:%M') AS label FROM pts"""),
     "quick_range_1d": _with(_EV, f"""
 SELECT * FROM signals WHERE ts BETWEEN (SELECT max(ts) FROM signals) - {DAY_MS} AND (SELECT max(ts) FROM signals)"""),
     "full_range": _with(_EV, "\nSELECT * FROM signals"),

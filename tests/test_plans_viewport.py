@@ -117,3 +117,11 @@ def test_panel_keeps_all_outliers_unless_cut(make_sig):
     whole, cut = (boxplot_panel(make_sig(rows), 0, 0, 4_000_000, quantile="exact", max_points=m) for m in (None, 500))
     assert whole.points.count() == 600 and cut.points.count() == 500
     assert whole.outliers.first()[0] == cut.outliers.first()[0] == 600
+
+
+def test_adaptive_series_reaches_the_lttb_stage(spark):
+    import __spark_entry__ as e
+    for name in ("signal_series_l0", "signal_series_l1", "signal_series_l2"):
+        df = e.queries()[name](spark, "/root/testdata/sf0.01")
+        assert "FlatMapGroupsInPandas" in df._jdf.queryExecution().executedPlan().toString()
+        assert {r["count"] for r in df.groupBy("channel_id").count().collect()} == {200}

@@ -369,6 +369,10 @@ def test_overwrite_replaces_streamed_and_archived_rows(spark, make_sig):
 
 def test_hot_ts_is_split_over_files(spark, make_sig):
     store = SignalStore(spark, scratch_path(spark, "t-hot"))
-    store.append(make_sig([(D0, c, float(v)) for c in range(4) for v in range(5000)]).repartition(8))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")     # the data is tiny here
+    try:
+        store.append(make_sig([(D0, c, float(v)) for c in range(4) for v in range(5000)]).repartition(8))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     files = [f for d in store._list(store.path("hot")) for f in store._list(d[1])]
     assert len(files) > 1 and len(_all(store)) == 20_000
