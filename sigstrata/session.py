@@ -8,7 +8,6 @@ files, streaming sinks in tests) lives under the folder the cluster names in
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -116,13 +115,6 @@ def delete_path(spark: SparkSession, path: str) -> None:
         fs.delete(p, True)
 
 
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default
-
-
 class query_tag:
     """Tag every Spark job started inside the block so another thread can cancel them.
 
