@@ -56,5 +56,14 @@ def test_edges(spark, docs):
     assert qk.classify(df.limit(0), labels).collect() == []
 
 
+def test_principal_axes_span_those_of_the_full_decomposition():
+    rng = np.random.default_rng(1)
+    x = (rng.normal(size=(80, 12)) * 0.7 ** np.arange(12) * 30) @ rng.normal(size=(12, 60)) + rng.normal(size=(80, 60))
+    full = np.linalg.svd(x, full_matrices=False)[2][:5].T
+    got = qk.principal(x.astype(np.float32), 5, rounds=40)
+    assert np.allclose(got @ got.T, full @ full.T, atol=2e-3) and np.allclose(got.T @ got, np.eye(5), atol=1e-4)
+    assert qk.principal(np.zeros((0, 7), np.float32), 5).shape == (7, 1)
+
+
 def test_shape():
     assert [qk.shape(w) for w in ("Word", "WORD!!", "a***", "12.5", "|", "x")] == ["Aa", "A!!", "a**", "9.9", "|", "a"]
