@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chat_format, fingerprints, secret_scan, sentencepiece_sampling
-from .common import pinned, table, text_of
+from .common import pinned, table
 from .embedding_dedup import near_duplicates
 from .line_dedup import remove_common_blocks
 from .packing import pack
@@ -28,10 +28,8 @@ def op1_chat_format(spark, d) -> DataFrame:
 
 
 def op2_sentencepiece(spark, d) -> DataFrame:
-    docs = sentencepiece_sampling.encode(table(spark, d, "documents").select("doc_id", "text"))
-    docs = sentencepiece_sampling.decode(docs)
-    return docs.select("doc_id", F.size("ids").cast("long").alias("n_pieces"),
-                       F.col("decoded").eqNullSafe(text_of("text")).alias("lossless"), "ids")
+    docs = sentencepiece_sampling.encode(table(spark, d, "documents"), check="lossless", keep=["doc_id"])
+    return docs.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "lossless", "ids")
 
 
 def op3_fingerprints(spark, d) -> DataFrame:

@@ -34,17 +34,23 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import text_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 0.6
 BYTE_LOG_P = -12.0
-BLOCK_CHARS = 1_000_000
+BLOCK_CHARS = 500_000
 SHARE_BITS = 32
+RESCALE = 8         # positions of a word between two rescalings
+LIFT = 2.5          # about what a character costs in a segmentation
+_NONE = np.int32(-(1 << 31))
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -112,9 +118,10 @@ class Trie:
                     state[piece[:n]] = len(state)
                     steps[state[piece[:n - 1]] << 21 | ord(piece[n - 1])] = state[piece[:n]]
         self.piece = np.full(len(state), -1, np.int32)
-        self.log_p = np.zeros(len(state))
+        self.log_p = np.zeros(max(ids.values(), default=0) + 1)     # by id
+        self.depth = max(map(len, ids), default=1)
         for piece, i in ids.items():
-            self.piece[state[piece]], self.log_p[state[piece]] = i, log_p[piece]
+            self.piece[state[piece]], self.log_p[i] = i, log_p[piece]
         bits = max(4, (4 * len(steps)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.key, self.to = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
@@ -144,8 +151,8 @@ class Lattices:
     """Forward-filtered lattices of some words, as flat arrays of nodes and incoming edges.
 
     Node ``first[w] + k`` is the position after ``k`` characters of word ``w``. Edges are in the
-    order of their end nodes; ``cum`` is the end node plus the share of its edges up to this one, in
-    units of ``2 ** -SHARE_BITS``: whole numbers, so that it is the same in any company of words.
+    order of their end nodes, those of node ``k`` from ``begin[k]`` on; ``cum`` is the share of its
+    edges up to this one, in units of ``2 ** -SHARE_BITS``: whole numbers.
     """
 
     def __init__(self, v: Vocabulary, words: list[str], alpha: float):
@@ -153,62 +160,93 @@ class Lattices:
         self.first = np.concatenate([[0], np.cumsum(size + 1)])[:-1]
         self.last = self.first + size
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        word = np.repeat(np.arange(len(words)), size)
-        node = np.arange(len(codes)) + word             # of the position before each character
-        left = self.last[word] - node                   # characters to the word's end
-        start, state, n = np.arange(len(codes)), np.zeros(len(codes), np.int32), 0
-        found, alone = [], np.ones(len(codes), bool)
+        nodes = int(self.last[-1]) + 1
+        self.span, self.alpha = v.trie.depth, alpha
+        word = np.repeat(np.arange(len(words), dtype=np.int32), size)
+        node = np.arange(len(codes), dtype=np.int32) + word         # the position before each character
+        left = (self.last.astype(np.int32))[word] - node            # characters to the word's end
         trie = v.trie
-        while len(start):
-            state = trie.step(state, codes[start + n])
-            n += 1
-            going = state >= 0
+        # the token of each length that ends at each node
+        tokens = np.full((nodes, trie.depth), _NONE, np.int32)
+        start, state = np.arange(len(codes), dtype=np.int32), np.zeros(len(codes), np.int32)
+        for n in range(1, trie.depth + 1):
+            state = trie.step(state, codes[start + (n - 1)])
+            going = np.flatnonzero(state >= 0)
             start, state = start[going], state[going]
             piece = trie.piece[state]
-            is_piece = piece >= 0
-            at = start[is_piece]
-            if n == 1:
-                alone[at] = False
-            found.append((node[at] + n, np.full(len(at), n, np.int16), piece[is_piece], trie.log_p[state[is_piece]]))
-            going = left[start] > n
+            found = np.flatnonzero(piece >= 0)
+            tokens[node[start[found]] + n, n - 1] = piece[found]
+            if n == 1:      # characters that only bytes can say
+                alone = np.ones(len(codes), bool)
+                alone[start[found]] = False
+                alone = np.flatnonzero(alone)
+                tokens[node[alone] + 1, 0] = -1 - codes[alone]
+            going = np.flatnonzero(left[start] > n)
             start, state = start[going], state[going]
-        at = np.nonzero(alone)[0]                       # characters that only bytes can say
-        width = 1 + (codes[at] > 0x7F) + (codes[at] > 0x7FF) + (codes[at] > 0xFFFF)
-        found.append((node[at] + 1, np.ones(len(at), np.int16), (-1 - codes[at]).astype(np.int32), BYTE_LOG_P * width))
-        end, length, token, log_p = map(np.concatenate, zip(*found))
-        order = np.argsort(end, kind="stable")
-        end, self.length, self.token, weight = end[order], length[order], token[order], alpha * log_p[order]
-        self.back = end - self.length
-        self.cum = self._filter(end, weight, int(size.max()) if len(words) else 0)
-
-    def _filter(self, end: np.ndarray, weight: np.ndarray, longest: int) -> np.ndarray:
-        """Sum the ways to each node, one position of all words after the other."""
-        reach = np.full(int(self.last[-1]) + 1 if len(self.last) else 0, -np.inf)
-        reach[self.first] = 0
-        begin = np.flatnonzero(np.diff(end, prepend=-1))
-        ends = end[begin]
-        stop = np.append(begin[1:], len(end))
-        depth = ends - self.first[np.searchsorted(self.first, ends, side="right") - 1]
-        by_depth = np.argsort(depth, kind="stable")
-        bounds = np.searchsorted(depth[by_depth], np.arange(1, longest + 2))
-        share = np.empty(len(end))
-        for a, b in zip(bounds, bounds[1:]):
-            nodes = by_depth[a:b]
-            count = stop[nodes] - begin[nodes]
+        end, length = np.nonzero(tokens != _NONE)
+        self.token = tokens[end, length]
+        del tokens
+        self.length = length.astype(np.int32) + 1
+        self.back = end.astype(np.int32) - self.length
+        log_p = trie.log_p[np.maximum(self.token, 0)]
+        odd = np.flatnonzero(self.token < 0)
+        code = -1 - self.token[odd]
+        log_p[odd] = BYTE_LOG_P * (1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))
+        self.begin = np.searchsorted(end, np.arange(nodes + 1)).astype(np.int32)
+        self.cum = self._filter(end, alpha * log_p, size)
+
+    def _filter(self, end: np.ndarray, weight: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Sum the ways to each node, one position of all words after the other.
+
+        Sums are scaled by a constant for each character, and every few positions by a word's own
+        sum, which leaves the shares alone and keeps them from running out of range.
+        """
+        logs = self.alpha > 1       # steep weights: in logarithms
+        if not logs:
+            weight = np.exp(weight + LIFT * self.alpha * self.length)
+        nodes = len(self.begin) - 1
+        reach, share = np.zeros(nodes), np.empty(len(end))
+        reach[self.first] = 0 if logs else 1
+        longest = int(size.max(initial=0))
+        by_size = np.argsort(size, kind="stable")
+        from_size = np.searchsorted(size[by_size], np.arange(longest + 2))
+        for k in range(1, longest + 1):
+            at = np.sort(self.first[by_size[from_size[k]:]]) + k        # of the words this long
+            low = self.begin[at]
+            count = self.begin[at + 1] - low
             base = np.cumsum(count) - count
-            edges = np.repeat(begin[nodes] - base, count) + np.arange(int(count.sum()))
-            ways = reach[self.back[edges]] + weight[edges]
-            top = np.repeat(np.maximum.reduceat(ways, base), count)
-            ways = np.exp(ways - top)
+            edges = np.repeat(low - base, count) + np.arange(int(count.sum()))
+            if logs:
+                ways = reach[self.back[edges]] + weight[edges]
+                top = np.maximum.reduceat(ways, base)
+                ways = np.exp(ways - np.repeat(top, count))
+            else:
+                ways = reach[self.back[edges]] * weight[edges]
             total = np.add.reduceat(ways, base)
-            reach[ends[nodes]] = top[base] + np.log(total)
+            reach[at] = top + np.log(total) if logs else total
             share[edges] = ways / np.repeat(total, count)
+            if not logs and k % RESCALE == 0:       # the positions that pieces can still reach back to
+                back = at[:, None] - np.arange(min(k, self.span) + 1)
+                reach[back] /= total[:, None]
         part = (share * (1 << SHARE_BITS)).astype(np.int64)
         cum = np.cumsum(part)
-        cum += (end << SHARE_BITS) - np.repeat(cum[begin] - part[begin], stop - begin)
-        cum[stop - 1] = (ends + 1) << SHARE_BITS
+        begin = self.begin[:-1]
+        has = self.begin[1:] > begin
+        before = np.zeros(nodes, np.int64)
+        before[has] = cum[begin[has]] - part[begin[has]]
+        cum -= before[end]
+        cum[self.begin[1:][has] - 1] = 1 << SHARE_BITS
         return cum
 
+    def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The incoming edge of each node at ``u``."""
+        edge = self.begin[node].astype(np.int64)
+        more = np.flatnonzero(self.cum[edge] <= u)
+        while len(more):
+            edge[more] += 1
+            more = more[self.cum[edge[more]] <= u[more]]
+        return edge
+
 
 class Sampler:
     def __init__(self, vocabulary: Vocabulary, alpha: float = ALPHA, seed: int = 0):
@@ -231,18 +269,15 @@ class Sampler:
         base = np.concatenate([[0], np.cumsum([len(t) + 1 if t else 0 for t in texts])])     # of each row in the block
         first, node = lat.first[chunk], lat.last[chunk]
         at = np.cumsum(node - first) - base[row]            # the chunk's end within its row
-        places, tokens = [], []
+        drawn = np.full(int(base[-1]) + 1, _NONE, np.int32)      # by the place where a token ends
         while len(node):
-            edge = np.searchsorted(lat.cum, (node << SHARE_BITS) + uniform(seeds[row], at), side="right")
-            places.append(base[row] + at)
-            tokens.append(lat.token[edge])
+            edge = lat.draw(node, uniform(seeds[row], at))
+            drawn[base[row] + at] = lat.token[edge]
             at, node = at - lat.length[edge], lat.back[edge]
-            going = node > first
+            going = np.flatnonzero(node > first)
             node, at, first, row = node[going], at[going], first[going], row[going]
-        places, tokens = np.concatenate(places), np.concatenate(tokens)
-        order = np.argsort(places, kind="stable")      # merges the rounds, each in order already
-        places, tokens = places[order], tokens[order]
-        bounds = np.searchsorted(places, base, side="right")
+        ends = np.flatnonzero(drawn != _NONE)
+        tokens, bounds = drawn[ends], np.searchsorted(ends, base, side="right")
         return [self._bytes(tokens[a:b]) for a, b in zip(bounds, bounds[1:])]
 
     def _bytes(self, tokens: np.ndarray) -> np.ndarray:
@@ -259,12 +294,18 @@ class Sampler:
 
     def rows(self, keys: list, texts: list[str]) -> Iterator[np.ndarray]:
         """Like ``block``, in blocks of bounded size."""
-        start, size = 0, 0
-        for i, text in enumerate(texts):
-            size += len(text)
-            if size > BLOCK_CHARS or i == len(texts) - 1:
-                yield from self.block(keys[start:i + 1], texts[start:i + 1])
-                start, size = i + 1, 0
+        for a, b in blocks(list(map(len, texts))):
+            yield from self.block(keys[a:b], texts[a:b])
+
+
+def blocks(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``BLOCK_CHARS`` characters."""
+    start, size = 0, 0
+    for i, n in enumerate(sizes):
+        size += n
+        if size > BLOCK_CHARS or i == len(sizes) - 1:
+            yield start, i + 1
+            start, size = i + 1, 0
 
 
 def read_model(path: str = MODEL) -> bytes:
@@ -273,17 +314,35 @@ def read_model(path: str = MODEL) -> bytes:
 
 
 def encode(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", model: bytes | None = None,
-           alpha: float = ALPHA, seed: int = 0, scores: str = "zipf", out: str = "ids") -> DataFrame:
-    """``docs`` with an array of sampled piece ids, seeded by ``key_col``."""
+           alpha: float = ALPHA, seed: int = 0, scores: str = "zipf", out: str = "ids",
+           check: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with an array of sampled piece ids, seeded by ``key_col``; ``check`` names a column
+    that says whether decoding them gave the text back; ``keep`` names the columns to carry along.
+
+    Rows come and go as Arrow batches; a batch goes out in blocks, so that the pieces of many rows
+    are never held at once.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(read_model() if model is None else model)
+    made = [out] + [check] * bool(check)
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in made]
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(out, T.ArrayType(T.IntegerType()))]
+                          + ([T.StructField(check, T.BooleanType())] if check else []))
 
-    @F.pandas_udf("array<int>")
-    def sample(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(Vocabulary(shared.value, scores), alpha, seed)
-        for keys, texts in batches:
-            yield pd.Series(list(sampler.rows(keys.tolist(), texts.tolist())), dtype=object)
-
-    return docs.withColumn(out, sample(F.coalesce(F.col(key_col).cast("string"), F.lit("None")), text_of(text_col)))
+        for batch in batches:
+            for a, b in blocks(pc.utf8_length(batch.column("_sp_text")).to_pylist()):
+                part = batch.slice(a, b - a)
+                texts = part.column("_sp_text").to_pylist()
+                ids = sampler.block(part.column("_sp_key").to_pylist(), texts)
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                columns = [part.column(c) for c in kept] + [pa.ListArray.from_arrays(ends, np.concatenate(ids).astype(np.int32))]
+                if check:
+                    columns.append(pa.array([sampler.v.decode(x.tolist()) == t for x, t in zip(ids, texts)]))
+                yield pa.RecordBatch.from_arrays(columns, names=kept + made)
+
+    key = F.coalesce(F.col(key_col).cast("string"), F.lit("None"))
+    return docs.select(*kept, key.alias("_sp_key"), text_of(text_col).alias("_sp_text")).mapInArrow(sample, schema)
 
 
 def decode(docs: DataFrame, ids_col: str = "ids", model: bytes | None = None, out: str = "decoded") -> DataFrame:
