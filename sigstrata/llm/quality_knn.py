@@ -154,6 +154,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return [first[i] for i in sorted(first)], size.get(1, 0) / sum(size.values())
 
 
+def principal(x: np.ndarray, dimensions: int, rounds: int = 10) -> np.ndarray:
+    """The leading right singular vectors of ``x``, by subspace iteration from a fixed start."""
+    spare = min(dimensions + 16, *x.shape)
+    if not spare:
+        return np.zeros((x.shape[1], 1), np.float32)
+    basis = np.random.default_rng(0).normal(size=(x.shape[1], spare)).astype(np.float32)
+    for _ in range(rounds):
+        basis = np.linalg.qr(x.T @ (x @ basis))[0]
+    return (basis @ np.linalg.svd(x @ basis, full_matrices=False)[2].T)[:, :dimensions].astype(np.float32)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality",
         max_labelled: int = MAX_LABELLED, dimensions: int = DIMENSIONS) -> Model:
     rows, share = labelled_sample(docs, labels, id_col, text_col, label_col, max_labelled)
@@ -164,8 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     x = np.zeros((len(rows), TERMS), np.float32)
     for row, (ids, counts, _) in enumerate(rows):
         x[row, ids] = weighted(ids, counts, idf)
-    values, axes = np.linalg.eigh((x.T @ x).astype(np.float64)) if rows else (None, np.zeros((TERMS, 1)))
-    axes = axes[:, ::-1][:, :dimensions].astype(np.float32)
+    axes = principal(x, dimensions)
     model = Model(idf, axes, np.zeros((0, axes.shape[1]), np.float32), np.array([r[2] for r in rows], float), share)
     z = x @ axes
     norm = np.sqrt((z * z).sum(axis=1, keepdims=True))
