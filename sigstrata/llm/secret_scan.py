@@ -29,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import pinned, text_of
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -96,12 +96,16 @@ def corpus_samples(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
         .otherwise(F.concat(F.lower(w), F.initcap(F.coalesce(F.get("_sc_words", i + 1), F.lit(""))))))
     plain = (docs.join(F.broadcast(chosen), docs[id_col].eqNullSafe(chosen["_sc_id"]), "left_semi")
              .withColumn("_sc_words", words).select(F.explode(names).alias("sample")).where(F.length("sample") >= 6))
-    rows = None
-    for label, samples in ((1, secret), (0, plain)):
-        one = (samples.groupBy("sample").count().orderBy(F.xxhash64("sample"), "sample").limit(max_samples)
-               .select("sample", F.lit(label).alias("label")))
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+    every = pinned(secret.select("sample", F.lit(1).alias("label")).unionByName(
+        plain.select("sample", F.lit(0).alias("label"))).distinct().withColumn("_sc_hash", F.xxhash64("sample")))
+    size = {r.label: r.n for r in every.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    rows = every.limit(0)
+    for label, n in size.items():
+        # hashes are even: about twice the wanted number lie below this one, so few rows are ordered
+        top = -(1 << 63) + min((1 << 64) - 1, (1 << 64) * 2 * max_samples // n)
+        rows = rows.unionByName(every.where((F.col("label") == label) & (F.col("_sc_hash") <= F.lit(top)))
+                                .orderBy("_sc_hash", "sample").limit(max_samples))
+    return rows.select("sample", "label")
 
 
 def train(samples: DataFrame) -> list[float]:
