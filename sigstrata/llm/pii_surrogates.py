@@ -47,7 +47,18 @@ ENDINGS = {"latin": ("n", "na", "l"), "cyrillic": ("н", "на", "л"), "greek":
 # -- patterns -----------------------------------------------------------------------------------
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TITLES = "|".join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)
-_NAMES = "|".join(MALE_NAMES + FEMALE_NAMES)
+
+
+def _words(words: list[str]) -> str:
+    """One of ``words`` at the start of a word. A capital is taken before anything else is looked
+    at, so most positions of a text fail after one character."""
+    rest: dict[str, list[str]] = {}
+    for w in words:
+        rest.setdefault(w[0], []).append(w[1:])
+    ends = "|".join(f"(?<={first})(?:{'|'.join(more)})" for first, more in rest.items())
+    return f"[A-ZΑ-ΩА-Я](?<!\\p{{L}}.)(?:{ends})"
+
+
 _PROPER = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)"
@@ -55,11 +66,12 @@ CARD = r"(?<![\d-])(?:\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}|3[47]\d{2}[ -]?\d{6}[ -]?\
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = (r"(?<![\d+])\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?)(?:[ .-]?\d{2,4}){2,3}(?!\d)"
          r"|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])")
-NAME = rf"(?<!\p{{L}})(?:(?:{_TITLES})\.? {_PROPER}(?: {_PROPER})?|(?:{_NAMES}) {_PROPER})(?!\p{{L}})"
+NAME = (rf"(?:{_words(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)}\.? {_PROPER}(?: {_PROPER})?"
+        rf"|{_words(MALE_NAMES + FEMALE_NAMES)} {_PROPER})(?!\p{{L}})")
 KINDS = ("email", "ip", "card", "ssn", "phone", "name")
 PATTERNS = dict(zip(KINDS, (EMAIL, IP, CARD, SSN, PHONE, NAME)))
 ANY = "|".join(f"(?:{PATTERNS[k]})" for k in KINDS)
-HINT = rf"[@\d]|(?<!\p{{L}})(?:{_TITLES}|{_NAMES})(?!\p{{L}})"
+HINT = rf"[@\d]|{_words(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES + MALE_NAMES + FEMALE_NAMES)}(?!\p{{L}})"
 ENTITY = "array<struct<kind:string,norm:string>>"
 
 
