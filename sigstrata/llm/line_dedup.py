@@ -9,9 +9,8 @@ ends; blank lines are never compared, and stay.
 * For each key that several documents have, the earliest document holds it. A later document is
   paired with the holders of its lines: one partner for each of its lines at most, so thousands of
   documents that share a passage make thousands of pairs, not their square, and none is left out.
-* A holder is a candidate partner if a line shared with it is rare (at most ``rare`` documents
-  have it) or is long enough to make a block by itself; other shared lines cannot lead to a deletion
-  alone.
+* Every partner is aligned, however many documents have the lines: several short lines that are frequent
+  make a block too. ``rare`` is only kept for callers that name it; it leaves nothing out.
 * Patience diff: the shared lines, in the later document's order, keep the longest run that
   increases in the partner too. Aligned lines that follow each other in both documents (blank
   lines aside) make a block; a block of at least ``min_words`` words is deleted.
@@ -69,19 +68,17 @@ def longest_increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def common_blocks(shared, min_words: int, rare: int) -> dict[int, list[int]]:
+def common_blocks(shared, min_words: int) -> dict[int, list[int]]:
     """partner -> numbers of the lines to delete.
 
-    ``shared`` has (partner, line number, place, partner's place, words, documents) for the lines
-    of one document that an earlier one holds.
+    ``shared`` has (partner, line number, place, partner's place, words) for the lines of one document
+    that an earlier one holds.
     """
     by_partner: dict = {}
     for partner, *line in shared:
         by_partner.setdefault(partner, []).append(line)
     out = {}
     for partner, lines in by_partner.items():
-        if not any(docs <= rare or words >= min_words for *_, words, docs in lines):
-            continue
         lines.sort(key=lambda x: x[1])
         aligned = [lines[i] for i in longest_increasing([x[2] for x in lines])]
         start, drop = 0, []
@@ -102,7 +99,7 @@ def _identity(id_col: str, text_col: str) -> list[Column]:
 
 
 def shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, text_hash, partner, line, place, partner_place, words, docs)``: the lines of later
+    """``(id, text_hash, partner, line, place, partner_place, words)``: the lines of later
     documents with the earliest document that holds each."""
     @F.pandas_udf("array<struct<hi:long,lo:long,line:int,place:int,words:int>>")
     def keys(texts: pd.Series) -> pd.Series:
@@ -114,30 +111,28 @@ def shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # rows equal in id and text are one document
     doc = F.struct(F.col("_ld_id").alias("id"), F.col("_ld_text").alias("text"))
     holders = (lines.groupBy("hi", "lo")
-               .agg(F.min(F.struct(doc.alias("doc"), F.col("place"))).alias("first"), F.max(doc).alias("last"),
-                    F.count("*").alias("docs"))
+               .agg(F.min(F.struct(doc.alias("doc"), F.col("place"))).alias("first"), F.max(doc).alias("last"))
                .where(F.col("first.doc") != F.col("last"))
-               .select("hi", "lo", F.col("first.doc").alias("partner"), F.col("first.place").alias("partner_place"),
-                       "docs"))
+               .select("hi", "lo", F.col("first.doc").alias("partner"), F.col("first.place").alias("partner_place")))
     return (lines.join(pinned(holders), ["hi", "lo"]).where(doc != F.col("partner"))
             .select(F.col("_ld_id").alias("id"), F.col("_ld_text").alias("text_hash"), "partner", "line", "place",
-                    "partner_place", "words", "docs"))
+                    "partner_place", "words"))
 
 
-def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
-              rare: int = RARE) -> DataFrame:
+def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+              min_words: int = MIN_WORDS) -> DataFrame:
     """``(id, text_hash, lines, partners)`` of the documents that lose lines."""
     @F.pandas_udf("lines array<int>, partners array<long>")
     def align(shared: pd.Series) -> pd.DataFrame:
         out = []
         for rows in shared:
             found = common_blocks([((r["partner"]["id"], r["partner"]["text"]), r["line"], r["place"],
-                                    r["partner_place"], r["words"], r["docs"]) for r in rows], min_words, rare)
+                                    r["partner_place"], r["words"]) for r in rows], min_words)
             out.append((np.array(sorted({x for v in found.values() for x in v}), np.int32),
                         np.array(sorted({p for p, _ in found}), np.int64)))
         return pd.DataFrame(out, columns=["lines", "partners"])
 
-    shared = F.struct("partner", "line", "place", "partner_place", "words", "docs")
+    shared = F.struct("partner", "line", "place", "partner_place", "words")
     return (shared_lines(docs, id_col, text_col).groupBy("id", "text_hash")
             .agg(F.collect_set(shared).alias("shared")).withColumn("d", align("shared"))
             .where(F.size("d.lines") > 0).select("id", "text_hash", "d.lines", "d.partners"))
@@ -146,7 +141,7 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 def remove_common_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          min_words: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
     """``docs`` with lines removed from ``text_col``, plus ``deleted_lines`` and ``partners``."""
-    found = pinned(deletions(docs, id_col, text_col, min_words, rare)
+    found = pinned(deletions(docs, id_col, text_col, min_words)
                    .select(F.col("id").alias("_ld_id"), F.col("text_hash").alias("_ld_text"),
                            F.col("lines").alias("_ld_lines"), F.col("partners").alias("_ld_partners")))
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1),

@@ -97,6 +97,12 @@ def test_a_passage_of_many_documents_is_cut_from_all_but_the_first(docs):
     assert got == {i: ([1], [0]) if i else ([], []) for i in range(60)}
 
 
+def test_a_passage_of_short_frequent_lines_is_cut(docs):
+    p = "\n".join(words(10, f"p{k}x") for k in range(6))
+    got = result(ld.remove_common_blocks(docs([(i, f"{words(5, f'a{i}x')}\n{p}") for i in range(30)]), rare=10))
+    assert got == {i: ([1, 2, 3, 4, 5, 6], [0]) if i else ([], []) for i in range(30)}
+
+
 def test_edges(docs):
     p = words(25, "p")
     rows = [(None, p), (1, None), (2, ""), (3, "\n \n"), (4, p), (4, p), (4, f"{p}\nend"), (5, "w " * 200_000)]
