@@ -2,19 +2,23 @@
 
 Documents that share lines are aligned in pairs, and lines of the common blocks are deleted from
 the later document (the one with the larger id). Lines are compared without white space at their
-ends; blank lines are never compared, and stay.
-
-* Every line gets a 128-bit key of its text and its occurrence number within the document, so a
-  line that repeats is, as patience diff wants, unique within its document.
-* For each key that several documents have, the earliest document holds it. A later document is
-  paired with the holders of its lines: one partner for each of its lines at most, so thousands of
-  documents that share a passage make thousands of pairs, not their square, and none is left out.
-* Every partner is aligned, however many documents have the lines: several short lines that are frequent
-  make a block too. ``rare`` is only kept for callers that name it; it leaves nothing out.
-* Patience diff: the shared lines, in the later document's order, keep the longest run that
-  increases in the partner too. Aligned lines that follow each other in both documents (blank
+ends; blank lines are never compared, and stay. A line is deleted if it is in a common block with any
+earlier document; ``partners`` names the documents that the deleted blocks were found with, not all that have them.
+
+* A window is a run of lines that has ``min_words`` words: the shortest from each line on, and the
+  shortest up to each line. Every common block is made of windows that both documents have. Windows
+  get a 128-bit key of their text, and the earliest document that has one holds it.
+* A later document is aligned with the holders of its windows: thousands of documents that share a
+  passage make thousands of pairs, not their square, and none is left out, however frequent it is.
+* Where a window is outside the common blocks found so far (its passage stands in another order than
+  in its holder, or more often), the window's next holder is tried, and after ``ROUNDS`` of them all
+  others at once. So the result is that of all pairs.
+* Patience diff: the lines that both documents have, each with its occurrence number within its document, keep
+  the longest run that increases in both. Aligned lines that follow each other in both documents (blank
   lines aside) make a block; a block of at least ``min_words`` words is deleted.
 
+``rare`` is only kept for callers that name it; it leaves nothing out.
+
 Edge cases: null or empty text has no lines and stays as it is. Rows equal in id and text are
 one document, which is never compared with itself; rows with one id but other texts are ordered by the
 hash of the text. Null ids come last. An empty table gives an empty result, and columns beyond
@@ -24,6 +28,7 @@ id and text are kept; internal names start with ``_ld_``.
 from __future__ import annotations
 
 from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -35,21 +40,47 @@ from .common import pinned, text_of
 
 MIN_WORDS = 20
 RARE = 1000
+ROUNDS = 6                  # next holders tried one by one, before all others
 LAST = (1 << 63) - 1        # stands for a null id: after every other
 
 
-def line_keys(text: str) -> list[tuple[int, int, int, int, int]]:
-    """(key high, key low, line number, place among the non-blank lines, words) of each of them."""
-    out, seen = [], {}
-    for at, line in enumerate(text.split("\n")):
-        line = line.strip()
-        if line:
-            n = seen[line] = seen.get(line, -1) + 1
-            key = xxhash.xxh3_128_intdigest(f"{n}\n{line}".encode("utf-8", "surrogatepass"))
-            out.append(((key >> 64) - (1 << 63), (key & (1 << 64) - 1) - (1 << 63), at, len(out), len(line.split())))
+def own_lines(text: str) -> tuple[list[str], list[int], list[int]]:
+    """The non-blank lines without white space at their ends, their line numbers and words."""
+    found = [(line, at) for at, line in enumerate(map(str.strip, text.split("\n"))) if line]
+    return [line for line, _ in found], [at for _, at in found], [len(line.split()) for line, _ in found]
+
+
+def windows(words: list[int], min_words: int) -> list[tuple[int, int]]:
+    """(first, last) place of the shortest runs of ``min_words`` from each line on and up to each line."""
+    out, first, total = [], 0, 0
+    for last, n in enumerate(words):
+        total += n
+        if total < min_words and first:
+            out.append((first - 1, last))
+        while total >= min_words:
+            out.append((first, last))
+            total -= words[first]
+            first += 1
     return out
 
 
+def _hashed(line: str) -> bytes:
+    return line.encode("utf-8", "surrogatepass")
+
+
+def keys(text: str, min_words: int) -> dict[str, list[int]]:
+    """What ``LINES`` names: the lines (key, number, words) and the windows (key, first and last line number)."""
+    lines, at, words = own_lines(text)
+    runs = windows(words, max(1, min_words))
+    whole = [xxhash.xxh3_128_intdigest(_hashed("\n".join(lines[a:b + 1]))) for a, b in runs]
+    return {"line": [xxhash.xxh3_64_intdigest(_hashed(x)) - (1 << 63) for x in lines], "at": at, "words": words,
+            "hi": [(k >> 64) - (1 << 63) for k in whole], "lo": [(k & (1 << 64) - 1) - (1 << 63) for k in whole],
+            "first": [at[a] for a, _ in runs], "last": [at[b] for _, b in runs]}
+
+
+LINES = {"line": np.int64, "at": np.int32, "words": np.int32, "hi": np.int64, "lo": np.int64, "first": np.int32, "last": np.int32}
+
+
 def longest_increasing(values: list[int]) -> list[int]:
     """Indices of a longest strictly increasing subsequence (patience sorting)."""
     tops, top_at, before = [], [], []
@@ -68,28 +99,31 @@ def longest_increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def common_blocks(shared, min_words: int) -> dict[int, list[int]]:
-    """partner -> numbers of the lines to delete.
-
-    ``shared`` has (partner, line number, place, partner's place, words) for the lines of one document
-    that an earlier one holds.
-    """
-    by_partner: dict = {}
-    for partner, *line in shared:
-        by_partner.setdefault(partner, []).append(line)
-    out = {}
-    for partner, lines in by_partner.items():
-        lines.sort(key=lambda x: x[1])
-        aligned = [lines[i] for i in longest_increasing([x[2] for x in lines])]
-        start, drop = 0, []
-        for end in range(1, len(aligned) + 1):
-            if end < len(aligned) and all(aligned[end][k] == aligned[end - 1][k] + 1 for k in (1, 2)):
-                continue
-            if sum(x[3] for x in aligned[start:end]) >= min_words:
-                drop += [x[0] for x in aligned[start:end]]
-            start = end
-        if drop:
-            out[partner] = drop
+def anchors(own: list, other: list) -> list[tuple[int, int]]:
+    """Places (in ``own``, in ``other``) of the aligned lines, in order."""
+    place, seen, common = {}, {}, []
+    for at, line in enumerate(other):
+        n = seen[line] = seen.get(line, -1) + 1
+        place[line, n] = at
+    seen = {}
+    for at, line in enumerate(own):
+        n = seen[line] = seen.get(line, -1) + 1
+        if (line, n) in place:
+            common.append((at, place[line, n]))
+    return [common[i] for i in longest_increasing([b for _, b in common])]
+
+
+def common_blocks(own: list, other: list, words: list[int], min_words: int) -> list[tuple[int, int]]:
+    """(first, last) place in ``own`` of the common blocks of at least ``min_words`` words."""
+    aligned, before = anchors(own, other), [0, *accumulate(words)]
+    out, start = [], 0
+    for end in range(1, len(aligned) + 1):
+        if end < len(aligned) and all(aligned[end][k] == aligned[end - 1][k] + 1 for k in (0, 1)):
+            continue
+        first, last = aligned[start][0], aligned[end - 1][0]
+        if before[last + 1] - before[first] >= min_words:
+            out.append((first, last))
+        start = end
     return out
 
 
@@ -98,44 +132,79 @@ def _identity(id_col: str, text_col: str) -> list[Column]:
             F.xxhash64(text_of(text_col)).alias("_ld_text")]
 
 
-def shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, text_hash, partner, line, place, partner_place, words)``: the lines of later
-    documents with the earliest document that holds each."""
-    @F.pandas_udf("array<struct<hi:long,lo:long,line:int,place:int,words:int>>")
-    def keys(texts: pd.Series) -> pd.Series:
-        names = ("hi", "lo", "line", "place", "words")
-        return pd.Series([[dict(zip(names, k)) for k in line_keys(t)] for t in texts])
+def _line_table(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """``(doc, k)``: a document and its ``LINES``."""
+    @F.pandas_udf(", ".join(f"{c} array<{'long' if t is np.int64 else 'int'}>" for c, t in LINES.items()))
+    def made(texts: pd.Series) -> pd.DataFrame:
+        found = [keys(t, min_words) for t in texts]
+        return pd.DataFrame({c: pd.Series([np.array(x[c], t) for x in found], dtype=object) for c, t in LINES.items()})
 
-    lines = pinned(docs.select(*_identity(id_col, text_col), keys(text_of(text_col)).alias("k"))
-                   .select("_ld_id", "_ld_text", F.explode("k").alias("k")).select("_ld_id", "_ld_text", "k.*"))
+    docs = docs.select(*_identity(id_col, text_col), made(text_of(text_col)).alias("k"))
     # rows equal in id and text are one document
-    doc = F.struct(F.col("_ld_id").alias("id"), F.col("_ld_text").alias("text"))
-    holders = (lines.groupBy("hi", "lo")
-               .agg(F.min(F.struct(doc.alias("doc"), F.col("place"))).alias("first"), F.max(doc).alias("last"))
-               .where(F.col("first.doc") != F.col("last"))
-               .select("hi", "lo", F.col("first.doc").alias("partner"), F.col("first.place").alias("partner_place")))
-    return (lines.join(pinned(holders), ["hi", "lo"]).where(doc != F.col("partner"))
-            .select(F.col("_ld_id").alias("id"), F.col("_ld_text").alias("text_hash"), "partner", "line", "place",
-                    "partner_place", "words"))
+    return pinned(docs.select(F.struct(F.col("_ld_id").alias("id"), F.col("_ld_text").alias("text")).alias("doc"), "k"))
+
+
+def shared_windows(lines: DataFrame) -> DataFrame:
+    """``(hi, lo, doc, first, last, partner)``: the windows of later documents with the earliest document of each."""
+    every = (lines.select("doc", F.explode(F.arrays_zip("k.hi", "k.lo", "k.first", "k.last")).alias("w"))
+             .select("w.hi", "w.lo", "doc", "w.first", "w.last"))
+    holders = (every.groupBy("hi", "lo").agg(F.min("doc").alias("partner"), F.max("doc").alias("end"))
+               .where(F.col("partner") != F.col("end")).select("hi", "lo", "partner"))
+    return pinned(every.join(pinned(holders), ["hi", "lo"]).where(F.col("doc") != F.col("partner")))
+
+
+def _align(pairs: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
+    """``(doc, partner, d)`` of the ``(doc, partner)`` pairs: the lines to delete from ``doc`` and the blocks they are in."""
+    @F.pandas_udf("lines array<int>, first array<int>, last array<int>")
+    def blocks(own: pd.Series, at: pd.Series, words: pd.Series, other: pd.Series) -> pd.DataFrame:
+        out = []
+        for a, n, w, b in zip(own, at, words, other):
+            found = common_blocks(a.tolist(), b.tolist(), w.tolist(), min_words)
+            out.append((np.concatenate([n[:0], *[n[x:y + 1] for x, y in found]]).astype(np.int32),
+                        np.array([n[x] for x, _ in found], np.int32), np.array([n[y] for _, y in found], np.int32)))
+        return pd.DataFrame(out, columns=["lines", "first", "last"])
+
+    own = lines.select("doc", F.col("k.line").alias("own"), "k.at", "k.words")
+    other = lines.select(F.col("doc").alias("partner"), F.col("k.line").alias("other"))
+    return pinned(pairs.join(own, "doc").join(other, "partner")
+                  .select("doc", "partner", blocks("own", "at", "words", "other").alias("d")))
+
+
+def _standing(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """The windows of ``shared`` that are in no block of ``found``."""
+    gone = (found.where(F.size("d.lines") > 0).groupBy("doc")
+            .agg(F.flatten(F.collect_list(F.arrays_zip("d.first", "d.last"))).alias("gone")))
+    within = F.exists("gone", lambda b: (b["first"] <= F.col("first")) & (b["last"] >= F.col("last")))
+    return pinned(shared.join(gone, "doc", "left").where(F.col("gone").isNull() | ~within).drop("gone"))
 
 
 def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               min_words: int = MIN_WORDS) -> DataFrame:
     """``(id, text_hash, lines, partners)`` of the documents that lose lines."""
-    @F.pandas_udf("lines array<int>, partners array<long>")
-    def align(shared: pd.Series) -> pd.DataFrame:
-        out = []
-        for rows in shared:
-            found = common_blocks([((r["partner"]["id"], r["partner"]["text"]), r["line"], r["place"],
-                                    r["partner_place"], r["words"]) for r in rows], min_words)
-            out.append((np.array(sorted({x for v in found.values() for x in v}), np.int32),
-                        np.array(sorted({p for p, _ in found}), np.int64)))
-        return pd.DataFrame(out, columns=["lines", "partners"])
-
-    shared = F.struct("partner", "line", "place", "partner_place", "words")
-    return (shared_lines(docs, id_col, text_col).groupBy("id", "text_hash")
-            .agg(F.collect_set(shared).alias("shared")).withColumn("d", align("shared"))
-            .where(F.size("d.lines") > 0).select("id", "text_hash", "d.lines", "d.partners"))
+    lines = _line_table(docs, id_col, text_col, min_words)
+    shared = shared_windows(lines)
+    needed = shared.select(F.explode(F.array("doc", "partner")).alias("doc")).distinct()
+    lines = pinned(lines.join(needed, "doc", "left_semi")
+                   .groupBy("doc").agg(F.first(F.struct("k.line", "k.at", "k.words")).alias("k")))
+    found = _align(shared.select("doc", "partner").distinct(), lines, min_words)
+    standing, tries = _standing(shared, found), 0
+    while standing.limit(1).count():
+        tries += 1
+        # every standing window was tried with the same holders, up to its ``partner``
+        tried = standing.groupBy("hi", "lo").agg(F.max("partner").alias("tried"))
+        later = (shared.select("hi", "lo", F.col("doc").alias("partner")).distinct().join(tried, ["hi", "lo"])
+                 .where(F.col("partner") > F.col("tried")).drop("tried"))
+        if tries <= ROUNDS:
+            later = later.groupBy("hi", "lo").agg(F.min("partner").alias("partner"))
+        standing = pinned(standing.drop("partner").join(pinned(later), ["hi", "lo"]).where(F.col("doc") > F.col("partner")))
+        found = found.unionByName(_align(standing.select("doc", "partner").distinct(), lines, min_words))
+        if tries > ROUNDS:
+            break
+        standing = _standing(standing, found)
+    return (found.where(F.size("d.lines") > 0).groupBy("doc")
+            .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("d.lines")))).alias("lines"),
+                 F.array_sort(F.collect_set("partner.id")).alias("partners"))
+            .select("doc.id", F.col("doc.text").alias("text_hash"), "lines", "partners"))
 
 
 def remove_common_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from random import Random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -114,3 +115,55 @@ def test_edges(docs):
     assert (None, "", [0]) in cut and len(cut) in (2, 3)
     assert (1, None, []) in got and (3, "\n \n", []) in got
     assert ld.remove_common_blocks(df.limit(0)).collect() == []
+
+
+def all_pairs(rows, min_words=20):
+    """(id, text) with distinct ids -> id: deleted line numbers; every pair is aligned."""
+    rows, out = sorted(rows), {}
+    for n, (i, t) in enumerate(rows):
+        own, at, count = ld.own_lines(t)
+        drop = set()
+        for _, other in rows[:n]:
+            for a, b in ld.common_blocks(own, ld.own_lines(other)[0], count, min_words):
+                drop.update(at[a:b + 1])
+        out[i] = sorted(drop)
+    return out
+
+
+def deleted(df):
+    return {i: d for i, (d, _) in result(df).items()}
+
+
+def test_a_block_whose_lines_were_seen_apart_is_cut(docs):
+    a, b, c = (words(10, x) for x in "abc")
+    five = [words(9, f"l{k}x") for k in range(5)]
+    rows = [(1, a), (2, b), (3, c), (4, five[2]), (50, f"x\n{a}\n{b}\n{c}"), (60, f"{a}\n\n{b}\n{c}\ny"), (70, "\n".join(five)), (80, "\n".join(five))]
+    got = result(ld.remove_common_blocks(docs(rows)))
+    assert got[60] == ([0, 2, 3], [50]) and got[80] == ([0, 1, 2, 3, 4], [70])
+    assert not any(d for i, (d, _) in got.items() if i not in (60, 80))
+
+
+def test_a_passage_in_another_order_than_its_first_holders(docs):
+    p, q = words(25, "p"), words(30, "q")
+    rows = [(i, f"{p}\nown{i}\n{q}") for i in range(12)] + [(20, f"{q}\n{p}"), (21, f"{q}\nown\n{p}"), (22, f"{q}\n{p}\n{q}")]
+    got = deleted(ld.remove_common_blocks(docs(rows)))
+    assert got == all_pairs(rows) and got[21] == [0, 2] and got[22] == [0, 1]
+
+
+def test_result_is_that_of_all_pairs(docs):
+    random = Random(7)
+    some = [words(n, f"v{k}x") for k, n in enumerate((4, 7, 9, 10, 11, 13, 21))]
+    rows = [(i, "\n".join(random.choice([*some, "", words(3, f"own{i}x")]) for _ in range(random.randint(1, 12)))) for i in range(150)]
+    got, want = deleted(ld.remove_common_blocks(docs(rows))), all_pairs(rows)
+    assert got == want and sum(map(bool, want.values())) > 50
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 12), max_size=12), st.integers(1, 25))
+def test_windows_cover_every_run(count, least):
+    found = ld.windows(count, least)
+    assert len(found) == len(set(found)) <= 2 * len(count) and all(sum(count[a:b + 1]) >= least for a, b in found)
+    for a in range(len(count)):
+        for b in range(a, len(count)):
+            if sum(count[a:b + 1]) >= least:
+                assert {x for s, e in found if a <= s and e <= b for x in range(s, e + 1)} == set(range(a, b + 1))
