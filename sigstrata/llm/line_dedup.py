@@ -13,9 +13,11 @@ earlier document; ``partners`` names the documents that the deleted blocks were
 * Where a window is outside the common blocks found so far (its passage stands in another order than
   in its holder, or more often), the window's next holder is tried, and after ``ROUNDS`` of them all
   others at once. So the result is that of all pairs.
-* Patience diff: the lines that both documents have, each with its occurrence number within its document, keep
-  the longest run that increases in both. Aligned lines that follow each other in both documents (blank
-  lines aside) make a block; a block of at least ``min_words`` words is deleted.
+* Patience diff: of the lines that stand once in both documents, the longest run that increases in both
+  anchors the alignment; between anchors the same again, and where no line stands once in both, the
+  occurrences of a line are numbered. Every anchor is extended forwards and backwards over equal
+  lines (blank lines aside), whatever else they are aligned with; such a block of at least
+  ``min_words`` words is deleted. Blocks whose order crosses that of the anchors stay.
 
 ``rare`` is only kept for callers that name it; it leaves nothing out.
 
@@ -99,31 +101,55 @@ def longest_increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
+def _places(lines: list, first: int, stop: int, numbered: bool) -> dict:
+    """Place of each line that stands once from ``first`` to before ``stop``, or of each (line, occurrence)."""
+    out, seen = {}, {}
+    for at in range(first, stop):
+        line = lines[at]
+        n = seen[line] = seen.get(line, -1) + 1
+        if numbered:
+            out[line, n] = at
+        elif n:
+            out.pop(line, None)
+        else:
+            out[line] = at
+    return out
+
+
 def anchors(own: list, other: list) -> list[tuple[int, int]]:
     """Places (in ``own``, in ``other``) of the aligned lines, in order."""
-    place, seen, common = {}, {}, []
-    for at, line in enumerate(other):
-        n = seen[line] = seen.get(line, -1) + 1
-        place[line, n] = at
-    seen = {}
-    for at, line in enumerate(own):
-        n = seen[line] = seen.get(line, -1) + 1
-        if (line, n) in place:
-            common.append((at, place[line, n]))
-    return [common[i] for i in longest_increasing([b for _, b in common])]
+    out, todo = [], [(0, len(own), 0, len(other))]
+    while todo:
+        a, a_stop, b, b_stop = todo.pop()
+        for numbered in (False, True):
+            place = _places(other, b, b_stop, numbered)
+            common = [(at, place[x]) for x, at in _places(own, a, a_stop, numbered).items() if x in place]
+            if common:
+                break
+        else:
+            continue
+        kept = [common[i] for i in longest_increasing([y for _, y in common])]
+        out += kept
+        ends = [(a - 1, b - 1), *kept, (a_stop, b_stop)]
+        todo += [(x + 1, y, u + 1, v) for (x, u), (y, v) in zip(ends, ends[1:]) if x + 1 < y and u + 1 < v]
+    return sorted(out)
 
 
 def common_blocks(own: list, other: list, words: list[int], min_words: int) -> list[tuple[int, int]]:
     """(first, last) place in ``own`` of the common blocks of at least ``min_words`` words."""
-    aligned, before = anchors(own, other), [0, *accumulate(words)]
-    out, start = [], 0
-    for end in range(1, len(aligned) + 1):
-        if end < len(aligned) and all(aligned[end][k] == aligned[end - 1][k] + 1 for k in (0, 1)):
+    before, out, reached = [0, *accumulate(words)], [], {}
+    for a, b in anchors(own, other):
+        shift = b - a
+        if reached.get(shift, -1) >= a:
             continue
-        first, last = aligned[start][0], aligned[end - 1][0]
+        first = last = a
+        while min(first, first + shift) > 0 and own[first - 1] == other[first - 1 + shift]:
+            first -= 1
+        while last + 1 < len(own) and last + 1 + shift < len(other) and own[last + 1] == other[last + 1 + shift]:
+            last += 1
+        reached[shift] = last
         if before[last + 1] - before[first] >= min_words:
             out.append((first, last))
-        start = end
     return out
 
 

@@ -147,7 +147,7 @@ def test_a_passage_in_another_order_than_its_first_holders(docs):
     p, q = words(25, "p"), words(30, "q")
     rows = [(i, f"{p}\nown{i}\n{q}") for i in range(12)] + [(20, f"{q}\n{p}"), (21, f"{q}\nown\n{p}"), (22, f"{q}\n{p}\n{q}")]
     got = deleted(ld.remove_common_blocks(docs(rows)))
-    assert got == all_pairs(rows) and got[21] == [0, 2] and got[22] == [0, 1]
+    assert got == all_pairs(rows) and got[21] == [0, 2] and got[22] == [0, 1, 2]
 
 
 def test_result_is_that_of_all_pairs(docs):
@@ -167,3 +167,26 @@ def test_windows_cover_every_run(count, least):
         for b in range(a, len(count)):
             if sum(count[a:b + 1]) >= least:
                 assert {x for s, e in found if a <= s and e <= b for x in range(s, e + 1)} == set(range(a, b + 1))
+
+
+def test_a_line_that_also_stands_elsewhere_does_not_split_a_block(docs):
+    x, l1, l2 = (words(10, t) for t in ("x", "l1w", "l2w"))
+    rows = [(1, f"{l1}\n{x}\n{l2}"), (2, f"{x}\n{l1}\n{x}\n{l2}"), (11, f"{x}\nown\n{x}\nm {l1}"), (12, f"{x}\nm {l1}")]
+    got = deleted(ld.remove_common_blocks(docs(rows)))
+    assert got == {1: [], 2: [1, 2, 3], 11: [], 12: [0, 1]}
+
+
+NOISE = st.lists(st.sampled_from("xy"), max_size=6)
+
+
+@settings(max_examples=300, deadline=None)
+@given(NOISE, NOISE, NOISE, NOISE, st.permutations("abcxyxy"))
+def test_a_passage_among_repeated_lines_is_found_whole(left, right, other_left, other_right, passage):
+    own, other = [*left, *passage, *right], [*other_left, *passage, *other_right]
+    found = ld.common_blocks(own, other, [10] * len(own), 20)
+    assert {at for a, b in found for at in range(a, b + 1)} >= set(range(len(left), len(left) + len(passage)))
+    joined = ["".join(own[a:b + 1]) for a, b in found]
+    assert all(len(x) > 1 and x in "".join(other) for x in joined)
+    assert sorted(set(ld.anchors(own, other))) == ld.anchors(own, other)
+    assert all(own[a] == other[b] for a, b in ld.anchors(own, other))
+    assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(ld.anchors(own, other), ld.anchors(own, other)[1:]))
