@@ -10,13 +10,17 @@ drawn from a keyed hash (SHA-512 of key, kind, normal form and attempt), and kee
 
 * digits stay digits, letters stay letters of their alphabet and case, and punctuation and spacing of each mention stay;
 * octets keep their number of digits and their range, the top-level domain and a leading country code stay;
+* a format that is full is left: after ``WIDER`` attempts in vain the octets of an address take any number of
+  digits, and an e-mail address gets one more letter in front for each ``WIDER`` attempts (names grow by syllables);
 * card numbers pass the Luhn test if they did;
 * a given name keeps its gender (told by its title, or by the list) and all name parts their script (Latin, Cyrillic or
   Greek); new names are built from syllables with the endings of that gender.
 
 Collision checks keep entities apart: all surrogates of a kind are compared with each other and
 with all real entities of the corpus; where two meet, the smallest keeps it and the others draw the
-next attempt, until none is left. Only entities on a later attempt are joined back to their documents.
+next attempt, until none is left. Card, social security and phone numbers keep their digits' number, so a corpus can
+hold too many of them (10^7 numbers for the shortest phone format, 10^9 for social security numbers): past
+``MOST`` attempts an error says so. Only entities on a later attempt are joined back to their documents.
 
 Edge cases: null and empty texts stay. Rows equal in id and text are replaced alike; null and
 repeated ids and other columns are kept (columns named like a result column are replaced). An
@@ -73,6 +77,7 @@ PATTERNS = dict(zip(KINDS, (EMAIL, IP, CARD, SSN, PHONE, NAME)))
 ANY = "|".join(f"(?:{PATTERNS[k]})" for k in KINDS)
 HINT = rf"[@\d]|{_words(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES + MALE_NAMES + FEMALE_NAMES)}(?!\p{{L}})"
 ENTITY = "array<struct<kind:string,norm:string>>"
+WIDER, MOST = 8, 1000       # attempts before a full format is left, and before giving up with an error
 
 
 def kind_of(mention: Column) -> Column:
@@ -152,8 +157,11 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     stream = _stream(key, kind, norm, attempt)
     never = lambda c, i: F.lit(False)
     domain = F.length(norm) - F.length(F.substring_index(norm, ".", -1))
+    wider = F.floor(attempt / WIDER).cast("int")
+    front = F.transform(F.slice(stream, F.length(norm) + 1, F.least(F.lit(32), wider)), lambda n: _draw(_LOWER, n))
     email = _characters(norm, stream, lambda c, i: i >= domain)
-    octet = lambda o, n: (F.when(F.length(o) == 1, n % 9 + 1).when(F.length(o) == 2, n % 90 + 10)
+    email = F.when(wider > 0, F.concat(F.array_join(front, ""), email)).otherwise(email)
+    octet = lambda o, n: (F.when(wider > 0, n % 255 + 1).when(F.length(o) == 1, n % 9 + 1).when(F.length(o) == 2, n % 90 + 10)
                           .otherwise(n % 156 + 100).cast("string"))
     ip = F.array_join(F.transform(F.split(norm, r"\."), lambda o, i: octet(o, F.get(stream, i))), ".")
     card = _characters(norm, stream, lambda c, i: i == 0)
@@ -190,8 +198,11 @@ def attempts(entity: DataFrame, key: str) -> DataFrame:
         fine = F.col("settled") | (F.col("real").isNull() & (F.col("owner.kind") == F.col("kind")) & (F.col("owner.norm") == F.col("norm")))
         state = pinned(judged.select("kind", "norm", F.when(fine, F.col("attempt")).otherwise(F.col("attempt") + 1).alias("attempt"),
                                      fine.alias("settled")))
-        if not state.where(~F.col("settled")).limit(1).count():
+        late = state.where(~F.col("settled")).select("kind", "attempt").first()
+        if late is None:
             return state.select("kind", "norm", "attempt")
+        if late["attempt"] > MOST:
+            raise RuntimeError(f"no surrogates left: the corpus fills a format of kind {late['kind']}")
 
 
 def _written(mention: Column, new: Column) -> Column:
@@ -201,8 +212,10 @@ def _written(mention: Column, new: Column) -> Column:
     digits = F.aggregate(F.split(mention, ""), start, lambda acc, c: F.when(
         c.rlike("[0-9]"), F.struct((acc["at"] + 1).alias("at"), F.concat(acc["out"], F.substring(F.get(new, F.lit(0)), acc["at"] + 1, F.lit(1))).alias("out")))
         .otherwise(F.struct(acc["at"].alias("at"), F.concat(acc["out"], c).alias("out"))), lambda acc: acc["out"])
-    cased = F.array_join(F.zip_with(F.split(mention, ""), F.split(F.get(new, F.lit(0)), ""),
+    address, front = F.get(new, F.lit(0)), F.length(F.get(new, F.lit(0))) - F.length(mention)     # letters that came in front
+    cased = F.array_join(F.zip_with(F.split(mention, ""), F.split(F.substring(address, front + 1, F.length(mention)), ""),
                                     lambda old, c: F.when(old.rlike("[A-Z]"), F.upper(c)).otherwise(c)), "")
+    cased = F.concat(F.substring(address, F.lit(1), front), cased)
     title = F.regexp_extract(mention, rf"^(?:{_TITLES})\.? ", 0)
     name = F.concat(title, F.array_join(F.transform(new, lambda p: F.initcap(p)), " "))
     return F.when(kind == "name", name).when(kind == "email", cased).when(kind == "ip", F.get(new, F.lit(0))).otherwise(digits)

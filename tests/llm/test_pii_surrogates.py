@@ -80,6 +80,17 @@ def test_collisions_are_redrawn(spark, docs):
     assert len(set(got.values())) == len(rows) and not set(got.values()) & {t for _, t in rows}
 
 
+def test_a_full_format_is_left(docs):
+    quads = [f"{a}.{b}.{c}.{d}" for a in range(1, 10) for b in range(1, 10) for c in range(1, 10) for d in range(1, 10)]
+    mails = [f"{a.upper()}@{b}.cc" for a in ps._LOWER for b in ps._LOWER]
+    rows = [(i, " ".join(quads[i::20] + mails[i::20] + ["_@-.io"])) for i in range(20)]
+    got = swap(docs, rows)
+    new = [x for i in range(20) for x in got[i].split()[:-1]]
+    assert len(new) == len({x.lower() for x in new}) == len(quads) + len(mails) and not {x.lower() for x in new} & {x.lower() for x in quads + mails}
+    assert all(re.fullmatch(r"[a-z]*[A-Z]@[a-z]\.cc", x) if "@" in x else all(0 < int(n) < 256 for n in x.split(".")) and x.count(".") == 3 for x in new)
+    assert len({got[i].split()[-1] for i in range(20)}) == 1 and re.fullmatch(r"[a-z]+_@-\.io", got[0].split()[-1])
+
+
 def test_edges(docs):
     rows = [(1, None), (2, ""), (3, "plain"), (None, "x@y.org"), (4, "x@y.org"), (4, "x@y.org"), (5, "a@b.cc " * 5_000), (6, "z" * 200_000)]
     df = docs(rows).withColumnRenamed("lang", "n_email").withColumnRenamed("source", "kind")
