@@ -6,8 +6,9 @@ twice as much as single words since they say more about the text. A bit is 1 whe
 positive. Equal texts have equal fingerprints. A text without words has fingerprint zero.
 
 ``within_radius`` finds, for query fingerprints, all fingerprints at most ``radius`` bits away.
-The bits are permuted once per table so that a choice of blocks leads; fingerprints are looked
-up by those leading bits and verified in whole. Any pair within the radius agrees on the leading
+There is a table for each choice of blocks. No bit is permuted and no table is ordered: a mask (op5's
+``block_masks``) stands for the permutation that would put the chosen blocks first, fingerprints are joined
+on the masked bits and verified in whole. Any pair within the radius agrees on the chosen
 blocks of some table, so none is missed. Equal fingerprints are folded before.
 
 ``edited`` gives each document the text whose last third is replaced by the beginning of the
@@ -139,7 +140,7 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def within_radius(prints: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Every pair ``(query_fp, fp, bits)`` with ``bits <= radius`` between the distinct ``fp`` of
-    both, found in permuted block tables."""
+    both, found in the tables of masked blocks."""
     prints, queries = prints.select("fp").distinct(), queries.select(F.col("fp").alias("query_fp")).distinct()
     masks = block_masks(prints.count(), radius)
 
