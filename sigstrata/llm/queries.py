@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import chat_format, fingerprints, secret_scan, sentencepiece_sampling
+from . import chat_format, filter_audit, fingerprints, secret_scan, sentencepiece_sampling, source_divergence
 from .common import pinned, table
 from .embedding_dedup import near_duplicates
 from .line_dedup import remove_common_blocks
@@ -80,6 +80,14 @@ def op10_embedding_dedup(spark, d) -> DataFrame:
     return near_duplicates(table(spark, d, "embeddings"))
 
 
+def op12_source_divergence(spark, d) -> DataFrame:
+    return source_divergence.divergences(table(spark, d, "documents"))
+
+
+def op13_filter_audit(spark, d) -> DataFrame:
+    return filter_audit.audit(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_sentencepiece": op2_sentencepiece,
@@ -91,6 +99,11 @@ QUERIES = {
     "op8_pii_surrogates": op8_pii_surrogates,
     "op9_line_dedup": op9_line_dedup,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op12_source_divergence": source_divergence.SQL,
+    "op13_filter_audit": filter_audit.SQL,
+}
