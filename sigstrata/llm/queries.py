@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import chat_format, filter_audit, fingerprints, secret_scan, sentencepiece_sampling, source_divergence
+from . import chat_format, filter_audit, fingerprints, html_extraction, secret_scan, sentencepiece_sampling, source_divergence
 from .common import pinned, table
 from .embedding_dedup import near_duplicates
 from .line_dedup import remove_common_blocks
@@ -80,6 +80,10 @@ def op10_embedding_dedup(spark, d) -> DataFrame:
     return near_duplicates(table(spark, d, "embeddings"))
 
 
+def op11_html_extraction(spark, d) -> DataFrame:
+    return html_extraction.extract(table(spark, d, "pages").select("page_id", "url", "html"))
+
+
 def op12_source_divergence(spark, d) -> DataFrame:
     return source_divergence.divergences(table(spark, d, "documents"))
 
@@ -99,6 +103,7 @@ QUERIES = {
     "op8_pii_surrogates": op8_pii_surrogates,
     "op9_line_dedup": op9_line_dedup,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_html_extraction": op11_html_extraction,
     "op12_source_divergence": op12_source_divergence,
     "op13_filter_audit": op13_filter_audit,
 }
