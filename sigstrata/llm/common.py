@@ -26,6 +26,24 @@ def pinned(df: DataFrame) -> DataFrame:
     return materialize(df)
 
 
+def sheltered(docs: DataFrame, prefix: str, *own: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with the columns whose names start with ``prefix`` renamed, and the names to give back to them.
+
+    An operator whose internal columns start with ``prefix`` can then keep any columns. ``own`` are columns it reads.
+    """
+    taken = {c.lower() for c in docs.columns}
+    back = {}
+    for c in docs.columns:
+        if c.lower().startswith(prefix) and c not in own:
+            new, n = f"kept {c}", 0
+            while new.lower() in taken:
+                n += 1
+                new = f"kept {n} {c}"
+            taken.add(new.lower())
+            back[new] = c
+    return docs.withColumnsRenamed({c: new for new, c in back.items()}), back
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``(a, b)`` links as ``(node, component)``.
 

@@ -10,26 +10,24 @@ earlier document; ``partners`` names the documents that the deleted blocks were
   get a 128-bit key of their text, and the earliest document that has one holds it.
 * A later document is aligned with the holders of its windows: thousands of documents that share a
   passage make thousands of pairs, not their square, and none is left out, however frequent it is.
-* Where a window is outside the common blocks found so far (its passage stands in another order than
-  in its holder, or more often), the window's next holder is tried, and after ``ROUNDS`` of them all
-  others at once. So the result is that of all pairs.
 * Patience diff: of the lines that stand once in both documents, the longest run that increases in both
   anchors the alignment; between anchors the same again, and where no line stands once in both, the
   occurrences of a line are numbered. Every anchor is extended forwards and backwards over equal
   lines (blank lines aside), whatever else they are aligned with; such a block of at least
-  ``min_words`` words is deleted. Blocks whose order crosses that of the anchors stay.
-
-``rare`` is only kept for callers that name it; it leaves nothing out.
+  ``min_words`` words is deleted.
+* A window that is in no block of the alignment with its holder stands there in another order than the anchors (or
+  more often in the later document): a block of its own, deleted as well. So the result is that of all pairs,
+  for as many alignments as documents have windows at most.
 
 Edge cases: null or empty text has no lines and stays as it is. Rows equal in id and text are
 one document, which is never compared with itself; rows with one id but other texts are ordered by the
 hash of the text. Null ids come last. An empty table gives an empty result, and columns beyond
-id and text are kept; internal names start with ``_ld_``.
+id and text are kept, whatever their names.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
 import numpy as np
@@ -38,11 +36,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pinned, text_of
+from .common import pinned, sheltered, text_of
 
 MIN_WORDS = 20
-RARE = 1000
-ROUNDS = 6                  # next holders tried one by one, before all others
 LAST = (1 << 63) - 1        # stands for a null id: after every other
 
 
@@ -179,73 +175,58 @@ def shared_windows(lines: DataFrame) -> DataFrame:
     return pinned(every.join(pinned(holders), ["hi", "lo"]).where(F.col("doc") != F.col("partner")))
 
 
-def _align(pairs: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
-    """``(doc, partner, d)`` of the ``(doc, partner)`` pairs: the lines to delete from ``doc`` and the blocks they are in."""
-    @F.pandas_udf("lines array<int>, first array<int>, last array<int>")
-    def blocks(own: pd.Series, at: pd.Series, words: pd.Series, other: pd.Series) -> pd.DataFrame:
-        out = []
-        for a, n, w, b in zip(own, at, words, other):
-            found = common_blocks(a.tolist(), b.tolist(), w.tolist(), min_words)
-            out.append((np.concatenate([n[:0], *[n[x:y + 1] for x, y in found]]).astype(np.int32),
-                        np.array([n[x] for x, _ in found], np.int32), np.array([n[y] for _, y in found], np.int32)))
-        return pd.DataFrame(out, columns=["lines", "first", "last"])
-
-    own = lines.select("doc", F.col("k.line").alias("own"), "k.at", "k.words")
-    other = lines.select(F.col("doc").alias("partner"), F.col("k.line").alias("other"))
-    return pinned(pairs.join(own, "doc").join(other, "partner")
-                  .select("doc", "partner", blocks("own", "at", "words", "other").alias("d")))
-
-
-def _standing(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """The windows of ``shared`` that are in no block of ``found``."""
-    gone = (found.where(F.size("d.lines") > 0).groupBy("doc")
-            .agg(F.flatten(F.collect_list(F.arrays_zip("d.first", "d.last"))).alias("gone")))
-    within = F.exists("gone", lambda b: (b["first"] <= F.col("first")) & (b["last"] >= F.col("last")))
-    return pinned(shared.join(gone, "doc", "left").where(F.col("gone").isNull() | ~within).drop("gone"))
+def deleted_lines(own: list, other: list, at: list[int], words: list[int], runs: list[tuple[int, int]], min_words: int) -> list[int]:
+    """Line numbers to delete: the blocks aligned with ``other``, and the shared windows ``runs`` (first, last) outside them."""
+    out: set[int] = set()
+    blocks = sorted((at[a], at[b]) for a, b in common_blocks(own, other, words, min_words))
+    starts, reach = [a for a, _ in blocks], list(accumulate((b for _, b in blocks), max))
+    for a, b in runs:
+        before = bisect_right(starts, a)
+        if not before or reach[before - 1] < b:
+            blocks.append((a, b))
+    for a, b in blocks:
+        out.update(at[bisect_left(at, a):bisect_right(at, b)])
+    return sorted(out)
 
 
 def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               min_words: int = MIN_WORDS) -> DataFrame:
     """``(id, text_hash, lines, partners)`` of the documents that lose lines."""
+    @F.pandas_udf("array<int>")
+    def lost(own: pd.Series, at: pd.Series, words: pd.Series, other: pd.Series, first: pd.Series, last: pd.Series) -> pd.Series:
+        return pd.Series([np.array(deleted_lines(a.tolist(), b.tolist(), n.tolist(), w.tolist(), list(zip(x.tolist(), y.tolist())), min_words), np.int32)
+                          for a, n, w, b, x, y in zip(own, at, words, other, first, last)], dtype=object)
+
     lines = _line_table(docs, id_col, text_col, min_words)
     shared = shared_windows(lines)
     needed = shared.select(F.explode(F.array("doc", "partner")).alias("doc")).distinct()
     lines = pinned(lines.join(needed, "doc", "left_semi")
                    .groupBy("doc").agg(F.first(F.struct("k.line", "k.at", "k.words")).alias("k")))
-    found = _align(shared.select("doc", "partner").distinct(), lines, min_words)
-    standing, tries = _standing(shared, found), 0
-    while standing.limit(1).count():
-        tries += 1
-        # every standing window was tried with the same holders, up to its ``partner``
-        tried = standing.groupBy("hi", "lo").agg(F.max("partner").alias("tried"))
-        later = (shared.select("hi", "lo", F.col("doc").alias("partner")).distinct().join(tried, ["hi", "lo"])
-                 .where(F.col("partner") > F.col("tried")).drop("tried"))
-        if tries <= ROUNDS:
-            later = later.groupBy("hi", "lo").agg(F.min("partner").alias("partner"))
-        standing = pinned(standing.drop("partner").join(pinned(later), ["hi", "lo"]).where(F.col("doc") > F.col("partner")))
-        found = found.unionByName(_align(standing.select("doc", "partner").distinct(), lines, min_words))
-        if tries > ROUNDS:
-            break
-        standing = _standing(standing, found)
-    return (found.where(F.size("d.lines") > 0).groupBy("doc")
-            .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("d.lines")))).alias("lines"),
+    pairs = (shared.groupBy("doc", "partner").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+             .select("doc", "partner", F.col("runs.first").alias("first"), F.col("runs.last").alias("last")))
+    own = lines.select("doc", F.col("k.line").alias("own"), "k.at", "k.words")
+    other = lines.select(F.col("doc").alias("partner"), F.col("k.line").alias("other"))
+    found = pinned(pairs.join(own, "doc").join(other, "partner")
+                   .select("doc", "partner", lost("own", "at", "words", "other", "first", "last").alias("lines")))
+    return (found.groupBy("doc")
+            .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"),
                  F.array_sort(F.collect_set("partner.id")).alias("partners"))
             .select("doc.id", F.col("doc.text").alias("text_hash"), "lines", "partners"))
 
 
 def remove_common_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                         min_words: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
-    """``docs`` with lines removed from ``text_col``, plus ``deleted_lines`` and ``partners``."""
+                         min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with lines removed from ``text_col``, plus ``deleted_lines`` and ``partners`` (which replace columns of these names)."""
+    given = docs.drop("deleted_lines", "partners")
+    docs, names = sheltered(given, "_ld_", id_col, text_col)
     found = pinned(deletions(docs, id_col, text_col, min_words)
                    .select(F.col("id").alias("_ld_id"), F.col("text_hash").alias("_ld_text"),
                            F.col("lines").alias("_ld_lines"), F.col("partners").alias("_ld_partners")))
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1),
                                  lambda line, at: ~F.array_contains(F.col("_ld_lines"), at.cast("int"))), "\n")
-    columns = [c for c in docs.columns if c != text_col]
-    ids = _identity(id_col, text_col)
-    named = docs.select("*", *ids).join(found, ["_ld_id", "_ld_text"], "left")
-    none = F.size("_ld_lines") > 0
+    named = docs.select("*", *_identity(id_col, text_col)).join(found, ["_ld_id", "_ld_text"], "left")
+    cut = F.size("_ld_lines") > 0
     return named.select(
-        *[F.when(none, kept).otherwise(F.col(text_col)).alias(text_col) if c == text_col else F.col(c) for c in docs.columns],
-        *([] if "deleted_lines" in columns else [F.coalesce("_ld_lines", F.array().cast("array<int>")).alias("deleted_lines")]),
-        *([] if "partners" in columns else [F.coalesce("_ld_partners", F.array().cast("array<long>")).alias("partners")]))
+        *[F.when(cut, kept).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c).alias(names.get(c, c)) for c in docs.columns],
+        F.coalesce("_ld_lines", F.array().cast("array<int>")).alias("deleted_lines"),
+        F.coalesce("_ld_partners", F.array().cast("array<long>")).alias("partners"))

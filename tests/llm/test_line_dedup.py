@@ -3,11 +3,12 @@ from __future__ import annotations
 from itertools import combinations
 from random import Random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from sigstrata.llm import line_dedup as ld
-from sigstrata.llm.common import table
+from sigstrata.llm.common import pinned, table
 from tests.conftest import SF_SMALL
 
 
@@ -26,41 +27,44 @@ def test_longest_increasing(values):
 
 
 def plain(rows, min_words=20):
-    """(id, text) with distinct ids -> id: (deleted line numbers, partners); all pairs compared."""
-    rows = sorted((i, t or "") for i, t in rows)
+    """(id, text) with distinct ids -> id: ({line numbers}, [(partner, its line numbers)]), by looking for equal runs
+    of lines of every later document in every earlier one, from every place in both."""
     lines = {}
-    for i, t in rows:
-        count, own = {}, []
-        for at, line in enumerate(t.split("\n")):
-            if line.strip():
-                count[line.strip()] = count.get(line.strip(), 0) + 1
-                own.append(((line.strip(), count[line.strip()]), at, len(line.split())))
-        lines[i] = own
+    for i, t in sorted((i, t or "") for i, t in rows):
+        lines[i] = [(x.strip(), at, len(x.split())) for at, x in enumerate(t.split("\n")) if x.strip()]
     out = {}
-    for n, (i, _) in enumerate(rows):
-        pairs = {}
-        for place, (key, at, words) in enumerate(lines[i]):
-            holder = next(((j, [k for k, _, _ in lines[j]].index(key)) for j, _ in rows[:n]
-                           if key in [k for k, _, _ in lines[j]]), None)
-            if holder:
-                pairs.setdefault(holder[0], []).append((at, place, holder[1], words))
-        drop, partners = set(), set()
-        for j, common in pairs.items():
-            best = [common[k] for k in ld.longest_increasing([c[2] for c in common])]
-            runs = [[best[0]]]
-            for c in best[1:]:
-                if c[1] == runs[-1][-1][1] + 1 and c[2] == runs[-1][-1][2] + 1:
-                    runs[-1].append(c)
-                else:
-                    runs.append([c])
-            for run in runs:
-                if sum(c[3] for c in run) >= min_words:
-                    drop |= {c[0] for c in run}
-                    partners.add(j)
-        out[i] = (sorted(drop), sorted(partners))
+    for i, own in lines.items():
+        cut, shared = set(), []
+        for j, other in lines.items():
+            if j >= i:
+                break
+            places, found = {}, set()
+            for b, (x, _, _) in enumerate(other):
+                places.setdefault(x, []).append(b)
+            for a, (x, _, _) in enumerate(own):
+                for b in places.get(x, ()):
+                    n = 0
+                    while a + n < len(own) and b + n < len(other) and own[a + n][0] == other[b + n][0]:
+                        n += 1
+                    if sum(w for _, _, w in own[a:a + n]) >= min_words:
+                        found.update(at for _, at, _ in own[a:a + n])
+            if found:
+                cut |= found
+                shared.append((j, found))
+        out[i] = (cut, shared)
     return out
 
 
+def agrees(got, want):
+    """The same lines go, each with one of the partners named; every partner has a run of lines."""
+    assert got.keys() == want.keys()
+    for i, (lines, partners) in got.items():
+        cut, shared = want[i]
+        assert set(lines) == cut and sorted(lines) == lines
+        assert set(partners) <= {j for j, _ in shared}
+        assert set().union(*[at for j, at in shared if j in partners]) == cut
+
+
 def result(df):
     return {r.doc_id: (list(r.deleted_lines), list(r.partners)) for r in df.collect()}
 
@@ -70,7 +74,7 @@ def test_whole_table_equals_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     got, want = ld.remove_common_blocks(docs), plain(rows)
     assert sum(bool(d) for d, _ in want.values()) > 3
-    assert result(got) == want
+    agrees(result(got), want)
     for r in got.collect():
         lines = dict(rows)[r.doc_id].split("\n")
         assert r.text == "\n".join(x for at, x in enumerate(lines) if at not in want[r.doc_id][0])
@@ -86,21 +90,20 @@ def test_passages_order_repeats_and_thresholds(docs):
     rows = [(1, f"{p}\n{q}\n{s}"), (2, f"own line here\n\n  {p} \nother"), (3, f"{q}\n{p}"), (4, f"{s}\nfour"),
             (5, "\n".join([s] * 6)), (6, "\n".join(["x", *[s] * 5])), (7, f"{p}\n{q}\n{s}"), (8, p), (9, words(59, "p"))]
     got = result(ld.remove_common_blocks(docs(rows)))
-    assert got == plain(rows)
-    assert got[2] == ([2], [1]) and got[7] == ([0, 1, 2], [1]) and got[8] == ([0], [1])
-    assert got[4] == ([], []) and got[9] == ([], []) and got[5] == ([], []) and got[6] == ([2, 3, 4, 5], [5])
+    agrees(got, plain(rows))
+    assert got[2] == ([2], [1]) and got[7] == ([0, 1, 2], [1]) and got[8] == ([0], [1]) and got[3] == ([0, 1], [1])
+    assert got[4] == ([], []) and got[9] == ([], []) and got[5] == ([], []) and got[6] == ([1, 2, 3, 4, 5], [5])
 
 
 def test_a_passage_of_many_documents_is_cut_from_all_but_the_first(docs):
     p = words(55, "p")
-    got = result(ld.remove_common_blocks(docs([(i, f"{words(5, f'a{i}x')}\n{p}\n{words(5, f'b{i}x')}") for i in range(60)]),
-                                         rare=10))
+    got = result(ld.remove_common_blocks(docs([(i, f"{words(5, f'a{i}x')}\n{p}\n{words(5, f'b{i}x')}") for i in range(60)])))
     assert got == {i: ([1], [0]) if i else ([], []) for i in range(60)}
 
 
 def test_a_passage_of_short_frequent_lines_is_cut(docs):
     p = "\n".join(words(10, f"p{k}x") for k in range(6))
-    got = result(ld.remove_common_blocks(docs([(i, f"{words(5, f'a{i}x')}\n{p}") for i in range(30)]), rare=10))
+    got = result(ld.remove_common_blocks(docs([(i, f"{words(5, f'a{i}x')}\n{p}") for i in range(30)])))
     assert got == {i: ([1, 2, 3, 4, 5, 6], [0]) if i else ([], []) for i in range(30)}
 
 
@@ -110,26 +113,13 @@ def test_edges(docs):
     df = docs(rows).withColumnRenamed("lang", "partners").withColumnRenamed("source", "line")
     got = sorted(((r.doc_id, r.text[:200] if r.text else r.text, list(r.deleted_lines)) for r in ld.remove_common_blocks(df).collect()), key=str)
     cut = [r for r in got if r[2]]
-    assert len(got) == len(rows) and df.columns == ld.remove_common_blocks(df).columns[:5]
+    assert len(got) == len(rows) and ld.remove_common_blocks(df).columns == ["doc_id", "text", "line", "n_chars", "deleted_lines", "partners"]
     # of the two texts of id 4 the one whose hash is larger is the later; the null id is after both
     assert (None, "", [0]) in cut and len(cut) in (2, 3)
     assert (1, None, []) in got and (3, "\n \n", []) in got
     assert ld.remove_common_blocks(df.limit(0)).collect() == []
 
 
-def all_pairs(rows, min_words=20):
-    """(id, text) with distinct ids -> id: deleted line numbers; every pair is aligned."""
-    rows, out = sorted(rows), {}
-    for n, (i, t) in enumerate(rows):
-        own, at, count = ld.own_lines(t)
-        drop = set()
-        for _, other in rows[:n]:
-            for a, b in ld.common_blocks(own, ld.own_lines(other)[0], count, min_words):
-                drop.update(at[a:b + 1])
-        out[i] = sorted(drop)
-    return out
-
-
 def deleted(df):
     return {i: d for i, (d, _) in result(df).items()}
 
@@ -146,16 +136,39 @@ def test_a_block_whose_lines_were_seen_apart_is_cut(docs):
 def test_a_passage_in_another_order_than_its_first_holders(docs):
     p, q = words(25, "p"), words(30, "q")
     rows = [(i, f"{p}\nown{i}\n{q}") for i in range(12)] + [(20, f"{q}\n{p}"), (21, f"{q}\nown\n{p}"), (22, f"{q}\n{p}\n{q}")]
+    got = result(ld.remove_common_blocks(docs(rows)))
+    agrees(got, plain(rows))
+    assert got[20] == ([0, 1], [0]) and got[21][0] == [0, 2] and got[22][0] == [0, 1, 2]
+
+
+@pytest.mark.parametrize("n", [100, 200])
+def test_swapped_passages_make_one_pair_per_document(docs, monkeypatch, n):
+    made = []
+    p, q = words(25, "p"), words(30, "q")
+    rows = [(i, f"{p}\nown{i}\n{q}" if i < 8 else f"{q}\nown{i}\n{p}") for i in range(n)]
+    monkeypatch.setattr(ld, "pinned", lambda df: made.append(df) or pinned(df))
     got = deleted(ld.remove_common_blocks(docs(rows)))
-    assert got == all_pairs(rows) and got[21] == [0, 2] and got[22] == [0, 1, 2]
+    assert got == {i: [0, 2] if i else [] for i in range(n)}
+    pairs = [df for df in made if df.columns == ["doc", "partner", "lines"]]
+    assert len(pairs) == 1 and pairs[0].count() == n - 1
 
 
 def test_result_is_that_of_all_pairs(docs):
     random = Random(7)
     some = [words(n, f"v{k}x") for k, n in enumerate((4, 7, 9, 10, 11, 13, 21))]
     rows = [(i, "\n".join(random.choice([*some, "", words(3, f"own{i}x")]) for _ in range(random.randint(1, 12)))) for i in range(150)]
-    got, want = deleted(ld.remove_common_blocks(docs(rows))), all_pairs(rows)
-    assert got == want and sum(map(bool, want.values())) > 50
+    want = plain(rows)
+    agrees(result(ld.remove_common_blocks(docs(rows))), want)
+    assert sum(bool(cut) for cut, _ in want.values()) > 50
+
+
+def test_columns_of_any_name_are_kept(docs):
+    p = words(25, "p")
+    df = docs([(1, p), (2, f"x\n{p}")]).selectExpr("*", "1 as _ld_id", "'k' as _LD_text", "2 as line", "3 as partners", "4 as `kept _ld_id`")
+    got = ld.remove_common_blocks(df)
+    assert got.columns == [c for c in df.columns if c != "partners"] + ["deleted_lines", "partners"]
+    assert sorted((r.doc_id, r.text, r["_ld_id"], r["_LD_text"], r.line, r.partners, r["kept _ld_id"]) for r in got.collect()) == [
+        (1, p, 1, "k", 2, [], 4), (2, "x", 1, "k", 2, [1], 4)]
 
 
 @settings(max_examples=200, deadline=None)
