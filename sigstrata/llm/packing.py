@@ -7,7 +7,8 @@ length ``l`` in ``b`` buckets. The histogram has at most ``max_tokens`` entries,
 
 Inside a bucket, batches take as many pieces as fit ``token_budget`` padded tokens. Pieces are
 numbered without a global order: a bucket is cut by a hash into slices of about
-``slice_rows`` pieces, a slice is numbered alone, and the sums of the slices before it are added.
+``slice_rows`` pieces, a slice is numbered alone, and the sums of the slices before it are added. The hash is that of
+id, text and piece; a slice that repeated rows make ``CROWDED`` times too large is cut once more, by the rows' places.
 All batches of a bucket but its last are full.
 
 A token is a run of characters other than ASCII white space. The measure is a SQL expression, so
@@ -28,12 +29,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pinned, text_of
+from .common import pinned, sheltered, text_of
 
 MAX_TOKENS = 2048
 TOKEN_BUDGET = 65_536
 BUCKETS = 16
 SLICE_ROWS = 2_000
+CROWDED = 8
 RESULT = ("piece", "n_tokens", "first_token", "bucket", "batch", "slot")
 
 
@@ -102,13 +104,15 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens
     if token_budget < max_tokens:
         raise ValueError("token_budget must hold a piece of max_tokens")
     tokens = word_count(text_of(text_col)) if tokens is None else tokens
-    rest = [c for c in docs.columns if c not in (text_col, *RESULT)]
-    measured = (docs.withColumn("_pk_size", tokens.cast("long"))
-                .withColumn("_pk_hash", F.xxhash64(F.col(id_col), text_of(text_col))).select(*rest, "_pk_size", "_pk_hash"))
+    docs, back = sheltered(docs.drop(*[c for c in RESULT if c not in (id_col, text_col)]), "_pk_", id_col, text_col)
+    rest = [c for c in docs.columns if c != text_col]
+    given = [F.col(c).alias(back.get(c, c)) for c in rest]
+    measured = (docs.withColumn("_pk_size", tokens.cast("long")).withColumn("_pk_place", F.monotonically_increasing_id())
+                .withColumn("_pk_hash", F.xxhash64(F.col(id_col), text_of(text_col))).select(*rest, "_pk_size", "_pk_hash", "_pk_place"))
     pieces = pinned(_pieces(measured, F.col("_pk_size"), max_tokens).drop("_pk_size"))
     histogram = pieces.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()    # max_tokens + 1 rows at most
     if not histogram:
-        return pieces.select(*rest, "piece", "n_tokens", "first_token", F.lit(0).cast("long").alias("bucket"),
+        return pieces.select(*given, "piece", "n_tokens", "first_token", F.lit(0).cast("long").alias("bucket"),
                              F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("slot"))
     size = {r.n_tokens: r.n for r in histogram}
     lengths = sorted(size)
@@ -124,7 +128,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens
         bucket = F.when(inside, F.lit(bound).cast("long")).otherwise(bucket)
         slices = F.when(inside, math.ceil(rows_of[bound] / slice_rows)).otherwise(slices)
     placed = (pieces.withColumn("bucket", bucket).withColumn("_pk_hash", F.xxhash64("_pk_hash", "piece"))
-              .withColumn("_pk_slice", F.pmod(F.col("_pk_hash"), slices).cast("int")))
+              .withColumn("_pk_slice", F.pmod(F.col("_pk_hash"), slices).cast("long")))
+    crowded = pinned(placed.groupBy("bucket", "_pk_slice").agg(F.count("*").alias("_pk_rows")).where(F.col("_pk_rows") > CROWDED * slice_rows)
+                     .select("bucket", "_pk_slice", F.ceil(F.col("_pk_rows") / slice_rows).alias("_pk_cuts")))
+    if crowded.limit(1).count():
+        cut = F.pmod(F.xxhash64("_pk_place", "piece"), F.coalesce("_pk_cuts", F.lit(1)))
+        placed = (placed.join(crowded, ["bucket", "_pk_slice"], "left")
+                  .withColumn("_pk_slice", F.col("_pk_slice") + (1 << 32) * cut).drop("_pk_cuts"))
     sizes = placed.groupBy("bucket", "_pk_slice").agg(F.count("*").alias("_pk_rows"))
     before = Window.partitionBy("bucket").orderBy("_pk_slice").rowsBetween(Window.unboundedPreceding, -1)
     sizes = pinned(sizes.withColumn("_pk_before", F.coalesce(F.sum("_pk_rows").over(before), F.lit(0))).drop("_pk_rows"))
@@ -133,4 +143,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens
     fits = F.floor(F.lit(token_budget) / F.greatest(F.col("bucket"), F.lit(1)))
     return (placed.withColumn("_pk_row", F.row_number().over(order)).join(sizes, ["bucket", "_pk_slice"])
             .withColumn("batch", F.floor(number / fits).cast("long")).withColumn("slot", (number % fits).cast("long"))
-            .select(*rest, "piece", "n_tokens", "first_token", "bucket", "batch", "slot"))
+            .select(*given, "piece", "n_tokens", "first_token", "bucket", "batch", "slot"))

@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pinned, text_of
+from .common import pinned, sheltered, text_of
 
 # -- fixed values: titles and common given names by gender ----------------------------------------
 MALE_TITLES = ["Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος"]
@@ -223,8 +223,8 @@ def _written(mention: Column, new: Column) -> Column:
 
 def replace_pii(docs: DataFrame, key: str = "surrogate key", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with surrogates in ``text_col`` and ``n_<kind>``, the mentions of each kind."""
-    results = [f"n_{k}" for k in KINDS]
-    kept = [c for c in docs.columns if c not in results]
+    docs, back = sheltered(docs.drop(*[f"n_{k}" for k in KINDS]), "_pi_", id_col, text_col)
+    kept = docs.columns
     text = text_of(text_col)
     none = F.array().cast("array<string>")
     found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none)
@@ -250,4 +250,4 @@ def replace_pii(docs: DataFrame, key: str = "surrogate key", id_col: str = "doc_
     replaced = F.when(F.size("_pi_found") > 0, F.array_join(pieces, "")).otherwise(F.col(text_col))
     kinds = F.transform("_pi_found", lambda m: kind_of(m))
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return named.select(*[replaced.alias(c) if c == text_col else F.col(c) for c in kept], *counts)
+    return named.select(*[replaced.alias(c) if c == text_col else F.col(c).alias(back.get(c, c)) for c in kept], *counts)

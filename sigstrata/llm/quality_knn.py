@@ -148,9 +148,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
         return pd.DataFrame([term_counts(t, terms) for t in texts], columns=["ids", "counts"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    picked = picked.where(F.col("id").isin(chosen)).withColumn("t", count("text")).select("id", "t.*")
+    # of a repeated id, the text that comes first
+    picked = picked.where(F.col("id").isin(chosen)).groupBy("id").agg(F.min("text").alias("text"))
+    picked = picked.withColumn("t", count("text")).select("id", "t.*")
     first = {r.id: (np.array(r.ids, np.int64), np.array(r.counts, np.int64), of[r.id])
-             for r in picked.dropDuplicates(["id"]).collect()}
+             for r in picked.collect()}
     return [first[i] for i in sorted(first)], size.get(1, 0) / sum(size.values())
 
 

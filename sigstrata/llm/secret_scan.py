@@ -29,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pinned, text_of
+from .common import pinned, sheltered, text_of
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -81,7 +81,7 @@ def _transitions(sample: Column) -> Column:
 def corpus_samples(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                    max_samples: int = MAX_SAMPLES) -> DataFrame:
     """Labelled ``(sample, label)`` rows from the documents, at most ``max_samples`` of a label."""
-    text = text_of(text_col)
+    docs, text = docs.select(id_col, text_col), text_of(text_col)
     secrets = F.concat(F.when(text.rlike(ASSIGN), F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))).otherwise(F.array().cast("array<string>")),
                        F.when(text.rlike(HEX), F.regexp_extract_all(text, F.lit(HEX), F.lit(0))).otherwise(F.array().cast("array<string>")))
     digest = F.sha2(F.coalesce(F.col(id_col).cast("string"), F.lit("")), 256)
@@ -131,14 +131,14 @@ def ratio(run: Column, model: list[float]) -> Column:
 
 def scan(docs: DataFrame, model: list[float], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``rules`` and ``secrets``: spans (start, rank, end) of the rules, and of all kinds."""
-    docs = docs.select(*[c for c in docs.columns if c not in ("rules", "secrets")])
+    docs, back = sheltered(docs.drop("rules", "secrets"), "_sc_", text_col)
     text = text_of(text_col)
     runs = F.regexp_extract_all(text, F.lit(RUN), F.lit(0))
     random = _spans(text, RUN, 3, lambda _, at: ratio(F.get(runs, at), model) > threshold)
     apart = F.filter(F.col("_sc_runs"), lambda r: ~F.exists(
         "rules", lambda s: (s["start"] < r["end"]) & (r["start"] < s["end"])))
     return (docs.withColumn("rules", rule_spans(text)).withColumn("_sc_runs", random)
-            .withColumn("secrets", F.array_sort(F.concat("rules", apart))).drop("_sc_runs"))
+            .withColumn("secrets", F.array_sort(F.concat("rules", apart))).drop("_sc_runs").withColumnsRenamed(back))
 
 
 def written(spans: Column) -> Column:

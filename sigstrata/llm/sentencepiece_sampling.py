@@ -324,25 +324,28 @@ def encode(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", mod
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_model() if model is None else model)
     made = [out] + [check] * bool(check)
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in made]
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(out, T.ArrayType(T.IntegerType()))]
+    named = [c for c in (docs.columns if keep is None else keep) if c not in made]
+    # columns go by number, so that none is taken for another
+    kept = [f"c{k}" for k in range(len(named))]
+    schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in named] + [T.StructField(out, T.ArrayType(T.IntegerType()))]
                           + ([T.StructField(check, T.BooleanType())] if check else []))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(Vocabulary(shared.value, scores), alpha, seed)
         for batch in batches:
-            for a, b in blocks(pc.utf8_length(batch.column("_sp_text")).to_pylist()):
+            for a, b in blocks(pc.utf8_length(batch.column("text")).to_pylist()):
                 part = batch.slice(a, b - a)
-                texts = part.column("_sp_text").to_pylist()
-                ids = sampler.block(part.column("_sp_key").to_pylist(), texts)
+                texts = part.column("text").to_pylist()
+                ids = sampler.block(part.column("key").to_pylist(), texts)
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 columns = [part.column(c) for c in kept] + [pa.ListArray.from_arrays(ends, np.concatenate(ids).astype(np.int32))]
                 if check:
                     columns.append(pa.array([sampler.v.decode(x.tolist()) == t for x, t in zip(ids, texts)]))
-                yield pa.RecordBatch.from_arrays(columns, names=kept + made)
+                yield pa.RecordBatch.from_arrays(columns, names=named + made)
 
     key = F.coalesce(F.col(key_col).cast("string"), F.lit("None"))
-    return docs.select(*kept, key.alias("_sp_key"), text_of(text_col).alias("_sp_text")).mapInArrow(sample, schema)
+    read = docs.select(*[F.col(c).alias(k) for c, k in zip(named, kept)], key.alias("key"), text_of(text_col).alias("text"))
+    return read.mapInArrow(sample, schema)
 
 
 def decode(docs: DataFrame, ids_col: str = "ids", model: bytes | None = None, out: str = "decoded") -> DataFrame:

@@ -13,9 +13,10 @@ bucket with many fingerprints is cut into square tiles, each checked whole, so n
 large bucket and no pair is lost. A tile reports which fingerprints it connects, not every pair.
 
 Edge cases: a null or empty text, or one of white space only, has fingerprint zero, linked like
-any other. A text with fewer words than a shingle is hashed as one shingle. Repeated ids are kept
-as rows; a null id keeps its row and takes the group of its fingerprint, but is no group id
-unless it is alone (then the component is null). An empty table gives an empty result.
+any other. A text with fewer words than a shingle is hashed as one shingle. Groups are made of
+fingerprints, so rows that share an id but not a text are apart. A null id keeps its row and takes the
+group of its fingerprint, but is no group id unless no row of the group has one (then the component is
+null). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, pinned, text_of
+from .common import components, pinned, sheltered, text_of
 
 BITS = 64
 SEED = 42
@@ -132,13 +133,51 @@ def near_links(reps: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
     return tiles.mapInPandas(links, "a long, b long")
 
 
+def fingerprint_classes(prints: DataFrame, radius: int = 3) -> DataFrame:
+    """``(fp, class)``: the distinct fingerprints of ``prints(fp)`` with the smallest one that links reach."""
+    reps = pinned(prints.select("fp").distinct().select("fp", F.col("fp").alias("rep")))
+    linked = components(near_links(reps, radius))
+    return pinned(reps.join(linked.withColumnRenamed("node", "rep"), "rep", "left")
+                  .select("fp", F.coalesce("component", "rep").alias("class")))
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3,
                    radius: int = 3) -> DataFrame:
     """One row per row of ``docs``: ``(id_col, fp, component_id)``."""
     prints = pinned(docs.select(F.col(id_col).cast("long").alias("id"),
                                 fingerprint(text_of(text_col), words).alias("fp")))
-    reps = pinned(prints.groupBy("fp").agg(F.min("id").alias("rep")))
-    linked = components(near_links(reps.where(F.col("rep").isNotNull()), radius))
-    classes = pinned(reps.join(linked.withColumnRenamed("node", "rep"), "rep", "left")
-                     .select("fp", F.coalesce("component", "rep").alias("component_id")))
-    return prints.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    ids = prints.groupBy("fp").agg(F.min("id").alias("id")).join(fingerprint_classes(prints, radius), "fp")
+    least = ids.groupBy("class").agg(F.min("id").alias("component_id"))
+    named = pinned(ids.select("fp", "class").join(least, "class").select("fp", "component_id"))
+    return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
+    """The rows of ``docs``, one of each group: that with the smallest id (null last), then by the hash of its text, then of all columns.
+
+    Rows are told apart by those three, not by the id alone, so rows of one id with unlike texts are apart. Rows equal
+    in every column are one.
+    """
+    docs, back = sheltered(docs, "_sh_", id_col, text_col)
+    hashed = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    keyed = docs.select("*", F.col(id_col).cast("long").alias("_sh_id"), F.xxhash64(text_of(text_col)).alias("_sh_text"),
+                        F.xxhash64(*hashed).alias("_sh_row"))
+    key = ["_sh_id", "_sh_text", "_sh_row"]
+    prints = pinned(keyed.select(*key, fingerprint(text_of(text_col), words).alias("fp")).groupBy(*key, "fp").agg(F.count("*").alias("n")))
+    order = F.struct(F.col("_sh_id").isNull().alias("none"), *key)
+    ranked = prints.join(fingerprint_classes(prints, radius), "fp").select("class", order.alias("key"), "n")
+    first = ranked.groupBy("class").agg(F.min("key").alias("first"))
+    judged = pinned(ranked.join(pinned(first), "class").select("key.*", "n", (F.col("key") == F.col("first")).alias("stays")).drop("none"))
+
+    def matches(some):
+        """The condition that a row of ``keyed`` has a key in ``some``; the id may be null."""
+        return keyed["_sh_id"].eqNullSafe(some["id"]) & (keyed["_sh_text"] == some["text"]) & (keyed["_sh_row"] == some["row"])
+
+    named = lambda df: df.select(*[F.col(c).alias(c[4:]) for c in key])
+    gone = named(judged.where("not stays"))
+    kept = keyed.join(gone, matches(gone), "left_anti")
+    repeated = named(pinned(judged.where("stays and n > 1")))
+    if repeated.limit(1).count():
+        several = kept.join(repeated, matches(repeated), "left_semi").dropDuplicates(key)
+        kept = kept.join(repeated, matches(repeated), "left_anti").unionByName(several)
+    return kept.select(*[F.col(c).alias(back.get(c, c)) for c in docs.columns])

@@ -7,6 +7,7 @@ import pytest
 import corpus_pipeline as cp
 from sigstrata.llm import line_dedup, packing, quality_knn, secret_scan, simhash_dedup
 from sigstrata.llm.common import table
+from sigstrata.session import checkpoint_dir, hadoop_fs
 from tests.conftest import SF_SMALL
 from tests.llm.test_line_dedup import plain as plain_lines
 from tests.llm.test_packing import check as check_packing
@@ -45,14 +46,14 @@ def test_quality_keeps_what_the_model_accepts(spark, stages):
 
 def test_lines_equal_brute_force(stages):
     before, after = map(rows, stages[1])
-    want = plain_lines([(i, r.text) for i, r in before.items()])
-    assert any(drop for drop, _ in want.values())
+    want = {i: cut for i, (cut, _) in plain_lines([(i, r.text) for i, r in before.items()]).items()}
+    assert any(want.values())
     for i, r in before.items():
-        left = "\n".join(x for at, x in enumerate(r.text.split("\n")) if at not in want[i][0])
-        if want[i][0] and not left.strip():
+        left = "\n".join(x for at, x in enumerate(r.text.split("\n")) if at not in want[i])
+        if want[i] and not left.strip():
             assert i not in after
         else:
-            assert after[i].text == left and after[i].n_chars == (len(left) if want[i][0] else r.n_chars)
+            assert after[i].text == left and after[i].n_chars == (len(left) if want[i] else r.n_chars)
 
 
 def test_one_of_each_group_stays(stages):
@@ -83,20 +84,44 @@ def test_packing_holds_every_token(spark, stages):
         map(tuple, after.select("doc_id", "piece").collect()))
 
 
+def test_rows_of_one_id_with_unlike_texts_are_apart(spark, docs):
+    alpha, beta, gamma, delta = (" ".join(f"{x}{k}" for k in range(40)) for x in ("alpha", "beta", "gamma", "delta"))
+    given = docs([(1, alpha), (2, alpha), (2, beta), (3, beta), (4, gamma), (4, delta)])
+    kept = sorted((r.doc_id, r.text) for r in cp.near_copies(spark, given, SF_SMALL).collect())
+    assert kept == [(1, alpha), (2, beta), (4, delta), (4, gamma)]
+
+
 def test_edges_through_every_stage(spark, docs):
     secret = "token = x8Fk2pQ9zR4tLm7vBn3wYc6s"
     long = " ".join(f"w{i}" for i in range(30_000))
     given = docs([(1, None), (2, ""), (3, "one two three"), (3, "one two three"), (None, "null id here"), (4, secret), (5, long),
-                  (6, long)]).selectExpr("*", "1 as score", "'x' as rules", "2 as bucket", "'y' as _ld_id")
-    given = given.drop("_ld_id")
-    for at, (name, stage) in enumerate(cp.STAGES[1:], 1):
+                  (6, long)])
+    taken = ["_score", "score", "_ld_id", "deleted_lines", "partners", "_sh_row", "_sc_runs", "rules", "secrets", "_pk_hash", "bucket", "own rules"]
+    given = given.selectExpr("*", *[f"'{c}' as `{c}`" for c in taken])
+    for at, (name, stage) in enumerate(cp.STAGES):
         assert stage(spark, given.limit(0), SF_SMALL).collect() == []
         out = stage(spark, given, SF_SMALL)
+        own = [c for c in taken if at < 4 or c != "bucket"]
         if at < 4:
             assert out.columns == given.columns
+        found = out.collect()
+        assert found and all(r[c] == c for r in found for c in own)
     assert {r.doc_id for r in cp.lines(spark, given, SF_SMALL).collect()} == {1, 2, 3, None, 4, 5}
     kept = sorted(str(r.doc_id) for r in cp.near_copies(spark, given, SF_SMALL).collect())
     assert kept == ["1", "3", "4", "5", "None"]
     texts = {r.doc_id: r.text for r in cp.secrets(spark, given, SF_SMALL).collect()}
     assert re.fullmatch(r"\[SECRET\]", texts[4]) and texts[1] is None and texts[5] == long
     assert line_dedup.MIN_WORDS == 20 and simhash_dedup.BITS == 64
+
+
+def test_stage_folders_go_even_if_a_stage_fails(spark, monkeypatch):
+    def fails(*_):
+        raise ValueError("stage")
+
+    base = checkpoint_dir(spark)
+    fs, path = hadoop_fs(spark, base)
+    before = {x.getPath().getName() for x in fs.listStatus(path)}
+    monkeypatch.setattr(cp, "STAGES", [("first", lambda s, docs, d: docs), ("second", fails)])
+    with pytest.raises(ValueError):
+        cp.run(spark, SF_SMALL)
+    assert not {x.getPath().getName() for x in fs.listStatus(path)} - before

@@ -65,3 +65,17 @@ def test_edges(spark, docs):
     assert pk.pack(df.limit(0)).collect() == []
     with pytest.raises(ValueError):
         pk.pack(df, token_budget=10)
+
+
+def test_repeated_rows_are_dealt_out_and_columns_of_any_name_are_kept(spark, monkeypatch):
+    monkeypatch.setattr(pk, "CROWDED", 2)
+    rows = spark.range(3000).selectExpr("7L as doc_id", "'a b c' as text", "'x' as _pk_hash", "'y' as _pk_rows", "1 as `kept _pk_hash`")
+    pinned, sizes = pk.pinned, []
+    monkeypatch.setattr(pk, "pinned", lambda df: sizes.append(out := pinned(df)) or out)
+    got = pk.pack(rows, slice_rows=100, token_budget=2048 * 4)
+    assert got.columns == ["doc_id", "_pk_hash", "_pk_rows", "kept _pk_hash", *pk.RESULT]
+    out = got.collect()
+    assert len({(r.batch, r.slot) for r in out}) == 3000 and {r["_pk_hash"] for r in out} == {"x"} and {r["_pk_rows"] for r in out} == {"y"}
+    slices = sizes[-1].collect()
+    assert len(slices) > 15 and slices[0]["bucket"] == 3
+    check(out, {7: ["a b c"] * 3000}, pk.MAX_TOKENS, 2048 * 4)

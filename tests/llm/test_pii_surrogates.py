@@ -107,3 +107,10 @@ def test_edges(docs):
 def test_no_python_in_the_plan(spark):
     plan = ps.replace_pii(table(spark, SF_ORACLE, "documents"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_columns_of_any_name_are_kept(docs):
+    df = docs([(i, f"a{i}@b.cc x@y.cc") for i in range(40)]).selectExpr("*", "1 as _pi_found", "2 as _pi_row", "3 as _PI_id", "4 as n_ip")
+    got = ps.replace_pii(df)
+    assert [c for c in got.columns if c not in ("n_ip", "n_email", "n_card", "n_ssn", "n_phone", "n_name")] == [c for c in df.columns if c not in ("n_ip", "n_email", "n_card", "n_ssn", "n_phone", "n_name")]
+    assert all((r["_pi_found"], r["_pi_row"], r["_PI_id"], r["n_ip"], r["n_email"]) == (1, 2, 3, 0, 2) for r in got.collect())

@@ -85,3 +85,11 @@ def test_edges(docs):
     assert sp.encode(df.limit(0)).collect() == []
     twice = [list(r.ids) for r in sp.encode(df).where("doc_id is null").collect()]
     assert twice[0] == twice[1]
+
+
+def test_columns_of_any_name_are_kept(docs):
+    df = docs([(1, "some text"), (2, None)]).selectExpr("*", "1 as _sp_text", "'k' as key", "2 as c0")
+    from sigstrata.llm import sentencepiece_sampling
+    got = sentencepiece_sampling.encode(df)
+    assert got.columns == [*df.columns, "ids"]
+    assert sorted((r.doc_id, r.text, r["_sp_text"], r.key, r.c0) for r in got.collect()) == [(1, "some text", 1, "k", 2), (2, None, 1, "k", 2)]
