@@ -46,6 +46,7 @@ OUTLIER_CAP = 500               # client outlier cap
 HIST_BINS = 20
 DENSE_BINS = 200
 PRESELECT_BUCKETS = 100
+RANKED_ACCURACY = 50
 L1_VIEW = (T0 + 3 * DAY_MS + 1_800_000, T0 + 10 * DAY_MS)   # unaligned start exercises K3
 L2_VIEW = (T0 + 2 * DAY_MS + 1_234_567, T0 + 25 * DAY_MS)
 ARCHIVE_1 = T0 + 10 * DAY_MS + 5 * HOUR_MS     # not midnight: aligned down by the store
@@ -110,17 +111,17 @@ def q_boxplot_lineitem_week(spark, d):
 
 
 def q_boxplot_by_time_ranked(spark, d):
-    # max_buffer_rows=0 forces the distributed-rank path used for groups too big to buffer
+    # a coarse sketch: brackets hold a share of the rows only
     return _round_box(boxplot(_ev(spark, d), ALL_START, ALL_END, bucket_ms=DAY_MS, quantile="exact",
-                              max_buffer_rows=0))
+                              accuracy=RANKED_ACCURACY))
 
 
 def q_boxplot_lineitem_ranked(spark, d):
-    return _round_box(boxplot(_li(spark, d), ALL_START, ALL_END, quantile="exact", max_buffer_rows=0))
+    return _round_box(boxplot(_li(spark, d), ALL_START, ALL_END, quantile="exact", accuracy=RANKED_ACCURACY))
 
 
 def q_outliers_ranked(spark, d):
-    return outliers(_ev(spark, d), None, ALL_START, ALL_END, OUTLIER_CAP, quantile="exact", max_buffer_rows=0)
+    return outliers(_ev(spark, d), None, ALL_START, ALL_END, OUTLIER_CAP, quantile="exact", accuracy=RANKED_ACCURACY)
 
 
 def q_boxplot_approx(spark, d):
@@ -167,7 +168,7 @@ def q_boxplot_nulls(spark, d):
 
 
 def q_boxplot_nulls_ranked(spark, d):
-    return _named_gap(boxplot(_gappy(spark, d), ALL_START, ALL_END, quantile="exact", max_buffer_rows=0))
+    return _named_gap(boxplot(_gappy(spark, d), ALL_START, ALL_END, quantile="exact", accuracy=RANKED_ACCURACY))
 
 
 def q_outliers_by_box(spark, d):

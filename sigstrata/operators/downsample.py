@@ -1,6 +1,6 @@
 """Shape-preserving downsampling: MinMax preselect (E1), LTTB (E2), dispatch (E3), budget.
 
-E1 is an ordinary distributed aggregate over index buckets. E2 is inherently sequential
+E1 is an aggregate over time slices; only slices that a bucket edge cuts are ranked. E2 is inherently sequential
 (each pick depends on the previous one), so it runs per series in a grouped-map Pandas
 function -- but only ever on at most ``8 * threshold`` points per series, because E3 sends
 bigger series through E1 first. Series are processed in parallel.
@@ -14,14 +14,14 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.args import int_arg
 from ..session import materialize
-from .index import with_row_index
 from .joins import bounded_broadcast
+from .slices import CROWDED, SLICE_ROWS, place_in_range, rank_rows, with_slices
 
 # The grouped-map kernel is shipped to Python workers by value, so executors need only numpy
 # and pandas, not this package on their path.
@@ -82,27 +82,66 @@ def _lttb_group_fn(threshold: int, series: Sequence[str]):
     return fn
 
 
-def _preselect(indexed: DataFrame, series: Sequence[str], buckets: int) -> DataFrame:
-    """E1 on indexed rows (``idx``, group size ``_n``): per bucket the min and the max point."""
-    b = F.expr(f"((idx + 1) * {int(buckets)} - 1) div _n").alias("_b")
-    agg = indexed.groupBy(*series, b).agg(
-        F.min(F.struct(F.col("value"), F.col("idx"), F.col("ts"))).alias("lo"),
-        F.max(F.struct(F.col("value"), (-F.col("idx")).alias("nidx"), F.col("ts"))).alias("hi"))
-    lo_first = F.col("lo.idx") <= -F.col("hi.nidx")
-    lo_pt = F.struct(F.col("lo.ts").alias("ts"), F.col("lo.value").alias("value"))
-    hi_pt = F.struct(F.col("hi.ts").alias("ts"), F.col("hi.value").alias("value"))
-    pair = F.when(lo_first, F.array(lo_pt, hi_pt)).otherwise(F.array(hi_pt, lo_pt))
+def _bucket(index: Column, buckets: int) -> Column:
+    """Bucket of the 0-based ``index`` in a series of ``_n`` points: the b with floor(b*n/T) <= i < floor((b+1)*n/T)."""
+    return F.call_function("div", (index + 1) * buckets - 1, F.col("_n"))
+
+
+def _points() -> list[Column]:
+    """The smallest and the largest point of a group, the earliest on ties."""
+    return [F.min(F.struct("value", "ts")).alias("lo"), F.max(F.struct(F.col("value"), (-F.col("ts")).alias("back"))).alias("hi")]
+
+
+def _preselect(sized: DataFrame, series: Sequence[str], buckets: int, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """E1 on rows with the size ``_n`` and time range ``_first``, ``_last`` of their series: per bucket the min and the max point.
+
+    One aggregate gives the rows and the extreme points of time slices (at least four per bucket). Their prefix sums tell which
+    slices lie whole in a bucket: these are done. Only the rows of slices that a bucket edge cuts are ranked.
+    """
+    parts = F.greatest(F.lit(4 * buckets), F.ceil(F.col("_n") / F.lit(slice_rows))).cast("bigint")
+    rows = sized.withColumn("_path", F.array(place_in_range(F.col("ts"), F.col("_first"), F.col("_last"), parts)))
+    keys = [*series, "_path"]
+    before = Window.partitionBy(*series).orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)
+    slices = rows.groupBy(*keys, "_n").agg(F.count(F.lit(1)).alias("_rows"), *_points())
+    slices = slices.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0).cast("bigint")))
+    first, last = _bucket(F.col("_before"), buckets), _bucket(F.col("_before") + F.col("_rows") - 1, buckets)
+    slices = materialize(slices.withColumns({"_b": first, "_cut": first != last}))
+    whole = slices.where("not _cut").select(*series, "_b", "lo", "hi")
+    # a cut slice holds an edge, so a series has fewer of them than buckets
+    cut = slices.where("_cut").select(*keys, "_n", "_before", (F.col("_rows") > CROWDED * slice_rows).alias("_crowded"))
+    within = with_slices(rows.select(*series, "_path", "ts", "value"), cut, series)
+    place = Window.partitionBy(*keys).orderBy("ts", "value")
+    ranked = within.where("not _crowded").withColumn("_at", (F.row_number().over(place) - 1).cast("bigint")).drop("_crowded")
+    if slices.where(F.col("_cut") & (F.col("_rows") > CROWDED * slice_rows)).limit(1).count():
+        held = [*series, "_n", "_before"]
+        crowded = within.where("_crowded").select(*held, "ts", "value")
+        crowded = rank_rows(crowded, [("ts", False), ("value", False)], held, "_at", slice_rows=slice_rows)
+        ranked = ranked.select(*held, "ts", "value", "_at").unionByName(crowded)
+    edges = (ranked.withColumn("_b", _bucket(F.col("_before") + F.col("_at"), buckets)).groupBy(*series, "_b").agg(*_points()))
+    agg = whole.unionByName(edges).groupBy(*series, "_b").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    lo, hi = F.struct("lo.ts", "lo.value"), F.struct((-F.col("hi.back")).alias("ts"), F.col("hi.value").alias("value"))
+    pair = F.when(lo <= hi, F.array(lo, hi)).otherwise(F.array(hi, lo))
     return (agg.select(*series, "_b", F.posexplode(pair).alias("_k", "_p"))
             .select(*series, (F.col("_b") * 2 + F.col("_k")).cast("bigint").alias("seq"),
                     F.col("_p.ts").alias("ts"), F.col("_p.value").alias("value")))
 
 
-def _indexed(sig: DataFrame, series: Sequence[str]) -> DataFrame:
-    return with_row_index(sig.select(*series, "ts", "value"), [F.col("ts").asc(), F.col("value").asc()],
-                          list(series), index_col="idx", size_col="_n")
+def _sized(sig: DataFrame, series: Sequence[str]) -> tuple[DataFrame, int]:
+    """The rows with the size and time range of their series, and the largest size."""
+    rows = sig.select(*series, "ts", "value")
+    sizes = materialize(rows.groupBy(*series).agg(F.count(F.lit(1)).alias("_n"), F.min("ts").alias("_first"), F.max("ts").alias("_last")))
+    n_series, max_n = sizes.agg(F.count(F.lit(1)), F.max("_n")).first()
+    return rows.join(bounded_broadcast(sizes, known_rows=n_series), list(series)), max_n or 0
+
+
+def _numbered(sized: DataFrame, series: Sequence[str]) -> DataFrame:
+    """Rows of small series with their place as ``seq``."""
+    order = Window.partitionBy(*series).orderBy(F.col("ts").asc(), F.col("value").asc())
+    return sized.select(*series, (F.row_number().over(order) - 1).cast("bigint").alias("seq"), "ts", "value")
 
 
-def minmax_preselect(sig: DataFrame, target_buckets: int, series: Sequence[str] = ("channel_id",)) -> DataFrame:
+def minmax_preselect(sig: DataFrame, target_buckets: int, series: Sequence[str] = ("channel_id",),
+                     slice_rows: int = SLICE_ROWS) -> DataFrame:
     """MinMax preselect (E1) per series: ``series..., seq, ts, value``.
 
     Series with ``n <= 2 * target_buckets`` pass through; otherwise bucket ``b`` holds index
@@ -110,9 +149,11 @@ def minmax_preselect(sig: DataFrame, target_buckets: int, series: Sequence[str]
     (earliest index on ties; the same point twice when min and max coincide).
     """
     t = int_arg(target_buckets, "target_buckets", minimum=1)
-    idx = _indexed(sig, series)
-    small = idx.filter(F.col("_n") <= 2 * t).select(*series, F.col("idx").alias("seq"), "ts", "value")
-    return small.unionByName(_preselect(idx.filter(F.col("_n") > 2 * t), series, t))
+    sized, most = _sized(sig, series)
+    small = _numbered(sized.filter(F.col("_n") <= 2 * t), series)
+    if most <= 2 * t:
+        return small
+    return small.unionByName(_preselect(sized.filter(F.col("_n") > 2 * t), series, t, slice_rows))
 
 
 def downsample(sig: DataFrame, threshold: int, series: Sequence[str] = ("channel_id",)) -> DataFrame:
@@ -122,29 +163,21 @@ def downsample(sig: DataFrame, threshold: int, series: Sequence[str] = ("channel
     ``n <= threshold``: input returned; ``n > 8*threshold``: E1 with ``4*threshold`` buckets
     then LTTB; otherwise LTTB directly. LTTB never sees more than ``8*threshold`` points.
 
-    Series sizes are measured first (one aggregate). Series of at most ``8*threshold`` points
-    need no global index: pass-through rows are numbered by a window over groups of at most
-    ``threshold`` rows, LTTB sorts its bounded group itself. Only bigger series go through the
-    distributed index (D1) and the E1 aggregate.
+    Series sizes and time ranges are measured first (one aggregate). Series of at most ``8*threshold`` points
+    are only ordered by the LTTB stage itself, or numbered if they pass through.
     """
     t = int_arg(threshold, "threshold", minimum=1)
     series = list(series)
-    rows = sig.select(*series, "ts", "value")
-    sizes = materialize(rows.groupBy(*series).agg(F.count(F.lit(1)).alias("_n")))
-    n_series, max_n = sizes.agg(F.count(F.lit(1)), F.max("_n")).first()
-    sized = rows.join(bounded_broadcast(sizes, known_rows=n_series), series)
-    max_n = max_n or 0
+    sized, max_n = _sized(sig, series)
     n = F.col("_n")
-    order = Window.partitionBy(*series).orderBy(F.col("ts").asc(), F.col("value").asc())
-    passthru = (sized.filter(n <= t)
-                .select(*series, (F.row_number().over(order) - 1).cast("bigint").alias("seq"), "ts", "value"))
+    passthru = _numbered(sized.filter(n <= t), series)
     if max_n <= t:                                  # every series fits the budget: no LTTB stage
         return passthru
     lttb_in = sized.filter((n > t) & (n <= PRESELECT_FACTOR * t)).select(
         *series, F.lit(0).cast("bigint").alias("seq"), "ts", "value")
     if max_n > PRESELECT_FACTOR * t:
-        big = _indexed(sized.filter(n > PRESELECT_FACTOR * t).drop("_n"), series)
-        lttb_in = lttb_in.unionByName(_preselect(big, series, PRESELECT_BUCKETS_PER_POINT * t))
+        big = _preselect(sized.filter(n > PRESELECT_FACTOR * t), series, PRESELECT_BUCKETS_PER_POINT * t)
+        lttb_in = lttb_in.unionByName(big)
     schema = _series_schema(lttb_in, series)
     picked = lttb_in.groupBy(*series).applyInPandas(_lttb_group_fn(t, series), schema)
     return passthru.unionByName(picked)

@@ -1,4 +1,6 @@
-"""Distributed dense row index (D1) and per-group top-k built on it.
+"""Distributed dense row index (D1) over keys of any type, and per-group top-k.
+
+Numeric keys are ranked by slice counts instead (``slices``), without the sorted copy that is kept here.
 
 A window ``row_number() OVER (PARTITION BY g ORDER BY ...)`` sends each whole group to one
 task; a group holding a third of the data would then run in one task. Instead:
@@ -24,6 +26,7 @@ from pyspark.sql import types as T
 
 from ..session import materialize
 from .joins import bounded_broadcast
+from .slices import first_rows
 
 _LOW_BITS = 33
 
@@ -78,20 +81,17 @@ def with_row_index(df: DataFrame, order_by: Sequence, partition_by: Sequence[str
     return out.drop("_pid", "_mid", "_first", "_off")
 
 
-def top_k_per_group(df: DataFrame, partition_by: Sequence[str], order_by: Sequence, k: int,
-                    index_col: str = "rank0") -> DataFrame:
-    """The first ``k`` rows of each group in ``order_by`` order (0-based rank kept).
+def top_k_per_group(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str], k: int) -> DataFrame:
+    """The first ``k`` rows of each group in ascending ``order_by`` order, which with ``partition_by`` names all columns.
 
     For ``k`` within ``spark.sql.optimizer.windowGroupLimitThreshold`` a ranked window with
     a limit filter is planned as a *partial* WindowGroupLimit before the shuffle: every map
     task keeps only its local top ``k`` per group, so a hot group ships at most ``k`` rows
-    per task. Larger ``k`` goes through the distributed index.
+    per task. Larger ``k`` goes by slice counts.
     """
     k = int(k)
     limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
     if 0 < k <= limit:
-        w = Window.partitionBy(*partition_by).orderBy(*[_sort_expr(c) for c in order_by])
-        ranked = df.withColumn(index_col, F.row_number().over(w))
-        return ranked.filter(F.col(index_col) <= F.lit(k)).withColumn(index_col, F.col(index_col) - 1)
-    idx = with_row_index(df, order_by, partition_by, index_col=index_col)
-    return idx.filter(F.col(index_col) < F.lit(k))
+        w = Window.partitionBy(*partition_by).orderBy(*order_by)
+        return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= F.lit(k)).drop("_rank")
+    return first_rows(df, [(c, False) for c in order_by], k, partition_by)

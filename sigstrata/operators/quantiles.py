@@ -3,34 +3,40 @@
 * ``approx`` -- ``percentile_approx`` with partial (map-side) sketch merge: one hash
   shuffle of small sketches, bounded memory per group whatever its size. This is the
   scale path and matches the reference, which also uses an approximate quantile.
-* ``exact`` -- interpolated quantiles (same definition as ``percentile`` /
-  ``quantile_cont``). Group sizes are measured first: when every group is at most
-  ``EXACT_BUFFER_ROWS`` rows the built-in ``percentile`` runs in one aggregate; otherwise the
-  distributed row index ranks the rows, so a hot group is sorted by many tasks rather than
-  buffered in one, and only the handful of rows at the wanted ranks reach the final aggregate.
+* ``exact`` -- interpolated quantiles (same definition as ``percentile`` / ``quantile_cont``) in two scans, by
+  selection: the sketch gives a bracket of values around each wanted rank; the second scan counts the rows between
+  brackets, and counts the values inside them; the ranks are looked up among these. A bracket
+  holds a share of about ``6 / accuracy`` of the rows (groups of under ``accuracy`` rows are one bracket).
+  Nothing else is shuffled, sorted or kept, however large or repetitive a group is. If a sketch missed a rank (its error
+  bound says it does not), that group is looked up between its smallest and largest value.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .index import with_row_index
+from ..session import materialize
+from .joins import bounded_broadcast
+from .slices import place_in_range
 
 DEFAULT_ACCURACY = 10_000
-# Groups up to this many rows use the built-in exact percentile; bigger ones the row index.
-EXACT_BUFFER_ROWS = 200_000
 MODES = ("approx", "exact")
+# Half width of a bracket in units of the sketch's rank error.
+MARGIN = 3
+# Values inside the brackets that one task may order; more are narrowed down by counts first.
+BRACKET_VALUES = 1_000_000
+CELLS = 1024
 
 
 def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                    names: Sequence[str], mode: str = "approx",
-                    accuracy: int = DEFAULT_ACCURACY, max_buffer_rows: int | None = None) -> DataFrame:
+                    names: Sequence[str], mode: str = "approx", accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     """Per group of ``keys``: ``low`` (min), named quantiles, ``high`` (max) and ``n``.
 
-    With empty ``keys`` the result has one row for the whole input (zero rows if empty).
+    With empty ``keys`` the result has one row for the whole input (zero rows if empty). NULL values are
+    counted but have no rank, NaN is larger than any number, and a NULL key is a group.
     """
     if mode not in MODES:
         raise ValueError(f"quantile mode must be one of {MODES}: {mode!r}")
@@ -44,47 +50,78 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
             F.max(value).alias("high"),
             F.count(F.lit(1)).alias("n"))
         return agg.select(*keys, "low", *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)], "high", "n")
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    largest = sizes.agg(F.max("_n")).first()[0] or 0
-    bound = exact_buffer_rows(df) if max_buffer_rows is None else int(max_buffer_rows)
-    if largest <= bound:
-        # Every group is provably small: the built-in exact percentile buffers at most
-        # ``largest`` values per group, so one partial/final aggregate is enough.
-        agg = df.groupBy(*keys).agg(
-            F.min(value).alias("low"), F.percentile(value, list(probs)).alias("_q"),
-            F.max(value).alias("high"), F.count(F.lit(1)).alias("n"))
-        return agg.select(*keys, "low", *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)], "high", "n")
-    return _exact(df, keys, value, probs, names)
+    return _exact(df, keys, value, probs, names, accuracy)
+
 
+def _exact(df: DataFrame, keys: list[str], value: str, probs, names, accuracy: int) -> DataFrame:
+    group = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
+    rows = df.select(group.alias("_g"), F.col(value).cast("double").alias("_v"))
+    order = sorted(set(probs))
+    near = [x for p in order for x in (max(0.0, p - MARGIN / accuracy), min(1.0, p + MARGIN / accuracy))]
+    sketch = rows.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.count("_v").alias("_n"), F.min("_v").alias("low"),
+                                    F.max("_v").alias("high"), F.percentile_approx("_v", near, accuracy).alias("_q"))
+    at = {p: F.col("_n").cast("double").__sub__(1) * F.lit(float(p)) for p in order}
+    ranks = F.array_distinct(F.array(*[f(x).cast("bigint") for x in at.values() for f in (F.floor, F.ceil)]))
+    # a bracket per probability; a small group is one bracket
+    small = F.col("_n") < accuracy
+    begin = F.array(*[F.when(small, F.col("low")).otherwise(F.col("_q")[2 * i]) for i in range(len(order))])
+    end = F.array(*[F.when(small, F.col("high")).otherwise(F.col("_q")[2 * i + 1]) for i in range(len(order))])
+    sketch = materialize(sketch.select("*", ranks.alias("_ranks"), begin.alias("_begin"), end.alias("_end")))
+    found = _select(rows, sketch.where("_n > 0"))
+    missed = sketch.where("_n > 0").join(found.where(F.size("_found") == F.size("_ranks")).select("_g"), "_g", "left_anti")
+    if missed.limit(1).count():
+        whole = missed.withColumns({"_begin": F.array("low"), "_end": F.array("high")})
+        found = found.join(missed.select("_g"), "_g", "left_anti").unionByName(_select(rows.join(missed.select("_g"), "_g", "left_semi"), whole))
+    out = sketch.join(found.select("_g", "_found"), "_g", "left")
 
-def exact_buffer_rows(df: DataFrame) -> int:
-    """Largest group the exact path may buffer in one task (``sigstrata.exact.maxGroupRows``)."""
-    v = df.sparkSession.conf.get("sigstrata.exact.maxGroupRows", None)
-    return int(v) if v else EXACT_BUFFER_ROWS
+    def between(x):
+        (a, b), (lower, upper) = (F.floor(x), F.ceil(x)), (F.element_at("_found", f(x).cast("bigint")) for f in (F.floor, F.ceil))
+        return F.when(lower == upper, lower).otherwise((b - x) * lower + (x - a) * upper)
 
+    out = out.select("*", *[between(at[p]).alias(f"_is_{nm}") for p, nm in zip(probs, names)])
+    own = [F.col(f"_g.{k}").alias(k) for k in keys]
+    return out.select(*own, "low", *[F.col(f"_is_{nm}").alias(nm) for nm in names], "high", "n")
 
-def _exact(df: DataFrame, keys: list[str], value: str, probs, names) -> DataFrame:
-    # like the buffered path: NULL values are not ranked but counted, and a NULL key is a group
-    group = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
-    grouped, whole = ["_g"], df.select(group.alias("_g"), value)
-    src = whole.filter(F.col(value).isNotNull())
-    idx = with_row_index(src, [F.col(value).asc()], grouped, index_col="_i", size_col="_n")
-    i, n = F.col("_i"), F.col("_n")
-    pos = {nm: (n - 1).cast("double") * F.lit(float(p)) for p, nm in zip(probs, names)}
-    wanted = (i == 0) | (i == n - 1)
-    for nm in names:
-        wanted = wanted | (i == F.floor(pos[nm])) | (i == F.ceil(pos[nm]))
-    picked = idx.filter(wanted)
-    aggs = [F.max(F.when(i == 0, F.col(value))).alias("low"),
-            F.max(F.when(i == n - 1, F.col(value))).alias("high")]
-    for nm in names:
-        aggs.append(F.max(F.when(i == F.floor(pos[nm]), F.col(value))).alias(f"_lo_{nm}"))
-        aggs.append(F.max(F.when(i == F.ceil(pos[nm]), F.col(value))).alias(f"_hi_{nm}"))
-        aggs.append(F.max(pos[nm] - F.floor(pos[nm])).alias(f"_fr_{nm}"))
-    out = picked.groupBy(*grouped).agg(*aggs)
-    out = whole.groupBy(*grouped).agg(F.count(F.lit(1)).alias("n")).join(out, grouped, "left")
-    if keys:
-        out = out.select("*", "_g.*")
-    qcols = [(F.col(f"_lo_{nm}") + (F.col(f"_hi_{nm}") - F.col(f"_lo_{nm}")) * F.col(f"_fr_{nm}")).alias(nm)
-             for nm in names]
-    return out.select(*keys, "low", *qcols, "high", "n")
+
+def _select(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(_g, _ranks, _found)``: a map from wanted rank to value, from one scan of ``rows``."""
+    side = bounded_broadcast(wanted.select("_g", "_begin", "_end", "_ranks"), pin=False)
+    v = F.col("_v")
+    # brackets ascend, so rows fall between two (counted) or into some (counted by value)
+    behind = F.aggregate("_end", F.lit(0), lambda a, e: a + (e < v).cast("int"))
+    inside = F.exists(F.arrays_zip("_begin", "_end"), lambda b: (b["_begin"] <= v) & (v <= b["_end"]))
+    dealt = rows.where(v.isNotNull()).join(side, "_g").select("_g", behind.alias("_gap"), inside.alias("_in"), F.when(inside, v).alias("_v"))
+    counted = materialize(dealt.groupBy("_g", "_gap", "_in", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    parts = counted.groupBy("_g", "_gap", "_in").agg(F.sum("_c").alias("_sum"), F.count(F.lit(1)).alias("_size"),
+                                                     F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    before = Window.partitionBy("_g").orderBy("_gap", "_in").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0).cast("bigint"))).where("_in")
+    parts = parts.join(wanted.select("_g", "_ranks"), "_g").select(
+        "_g", F.array("_gap").alias("_part"), "_before", "_sum", "_size", "_low", "_high", "_ranks")
+    values = counted.where("_in").select("_g", F.array("_gap").alias("_part"), "_v", "_c")
+    while True:
+        parts = materialize(parts)
+        large = parts.where(F.col("_size") > BRACKET_VALUES)
+        if not large.limit(1).count():
+            break
+        # keep the cells of a large bracket that hold a wanted rank
+        cell = place_in_range(F.col("_v"), F.col("_low"), F.col("_high"), F.lit(CELLS).cast("bigint"))
+        celled = (values.join(large.select("_g", "_part", "_low", "_high"), ["_g", "_part"])
+                  .select("_g", "_part", F.concat("_part", F.array(cell.cast("int"))).alias("_cell"), "_v", "_c"))
+        cells = celled.groupBy("_g", "_part", "_cell").agg(F.sum("_c").alias("_sum"), F.count(F.lit(1)).alias("_size"),
+                                                           F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        earlier = Window.partitionBy("_g", "_part").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+        cells = cells.withColumn("_less", F.coalesce(F.sum("_sum").over(earlier), F.lit(0).cast("bigint")))
+        cells = (cells.join(large.select("_g", "_part", "_before", "_ranks"), ["_g", "_part"])
+                 .withColumn("_before", F.col("_before") + F.col("_less"))
+                 .where(F.exists("_ranks", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_sum")))))
+        cells = materialize(cells.select("_g", F.col("_cell").alias("_part"), "_before", "_sum", "_size", "_low", "_high", "_ranks"))
+        kept = celled.select("_g", F.col("_cell").alias("_part"), "_v", "_c").join(cells.select("_g", "_part"), ["_g", "_part"], "left_semi")
+        values = materialize(values.join(large.select("_g", "_part"), ["_g", "_part"], "left_anti").unionByName(kept))
+        parts = parts.where(F.col("_size") <= BRACKET_VALUES).unionByName(cells)
+    up_to = Window.partitionBy("_g", "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ordered = (values.join(parts.select("_g", "_part", "_before", "_ranks"), ["_g", "_part"])
+               .withColumn("_end", F.col("_before") + F.sum("_c").over(up_to)))
+    hits = F.filter("_ranks", lambda r: (r < F.col("_end")) & (r >= F.col("_end") - F.col("_c")))
+    picked = ordered.select("_g", "_ranks", F.explode(hits).alias("r"), "_v")
+    return materialize(picked.groupBy("_g", "_ranks").agg(F.map_from_entries(F.collect_list(F.struct("r", "_v"))).alias("_found")))

@@ -9,11 +9,10 @@ from ..functions.args import int_arg, layer_arg, nullable_int
 from ..functions.time import bucket_start
 from ..schemas import LAYER_BUCKET_MS
 from .filters import after_cursor, in_range
-from .index import top_k_per_group, with_row_index
+from .index import top_k_per_group
+from .slices import first_rows, rank_rows
 
-
-
-# Limits above this many rows are applied through the distributed index, not a top-k.
+# Limits above this many rows are applied by slice counts, not a top-k.
 TOP_K_MAX = 100_000
 
 
@@ -48,13 +47,13 @@ def signal_range(layer_df: DataFrame, channel_id: int | None, start: int, end: i
     order = ["ts", "value"] if channel_id is not None else ["channel_id", "ts", "value"]
     limit = nullable_int(limit, "limit", minimum=0)
     if limit is not None and channel_id is None:
-        out = top_k_per_group(out, ["channel_id"], ["ts", "value"], limit, "_row").drop("_row")
+        rest = [c for c in out.columns if c not in ("channel_id", "ts", "value")]
+        out = top_k_per_group(out, ["channel_id"], ["ts", "value", *rest], limit)
         return out.orderBy(*order) if ordered else out
     if limit is not None and limit > TOP_K_MAX:
-        # A big row guard through a top-k would merge every partition's top rows in one task;
-        # the distributed index keeps it spread out (rows at or past the guard are dropped).
-        idx = with_row_index(out, [F.col(c).asc() for c in order], index_col="_row")
-        out = idx.filter(F.col("_row") < F.lit(limit)).drop("_row")
+        # A big row guard through a top-k would merge every partition's top rows in one task.
+        order += [c for c in out.columns if c not in order]
+        out = first_rows(out, [(c, False) for c in order], limit)
         return out.orderBy(*order) if ordered else out
     if ordered or limit is not None:
         out = out.orderBy(*order)
@@ -93,12 +92,12 @@ def next_cursor(page: DataFrame, limit: int | None = None):
 
 
 def assign_pages(sig: DataFrame, limit: int, channel_id: int | None = None) -> DataFrame:
-    """Every row with its 0-based ``page`` and ``pos`` in the keyset order (bulk Q2b via D1)."""
+    """Every row with its 0-based ``page`` and ``pos`` in the keyset order (bulk Q2b, by slice counts)."""
     limit = int_arg(limit, "limit", minimum=1)
     df = sig.select("ts", "channel_id", "value")
     if channel_id is not None:
         df = df.filter(F.col("channel_id") == F.lit(int(channel_id)))
-    idx = with_row_index(df, page_order(), index_col="row_idx")
+    idx = rank_rows(df, [("ts", True), ("channel_id", False), ("value", False)], index_col="row_idx")
     return idx.select("ts", "channel_id", "value",
                       F.floor(F.col("row_idx") / F.lit(limit)).cast("bigint").alias("page"),
                       F.pmod(F.col("row_idx"), F.lit(limit)).cast("bigint").alias("pos"))

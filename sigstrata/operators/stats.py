@@ -22,7 +22,7 @@ IQR_K = 1.5
 
 def boxplot(sig: DataFrame, start: int, end: int, channel_id: int | None = None,
             bucket_ms: int | None = None, quantile: str = "approx",
-            accuracy: int = DEFAULT_ACCURACY, max_buffer_rows: int | None = None) -> DataFrame:
+            accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     """Box statistics ``gk, low, q1, median, q3, high, n`` ordered by ``gk``.
 
     ``bucket_ms`` given: one box per time bucket, ``gk`` = bucket start (Q3). Otherwise one
@@ -35,7 +35,7 @@ def boxplot(sig: DataFrame, start: int, end: int, channel_id: int | None = None,
     else:
         keyed = base.select(F.col("channel_id").cast("bigint").alias("gk"), "value")
     box = group_quantiles(keyed, ["gk"], "value", [0.25, 0.5, 0.75], ["q1", "median", "q3"],
-                          mode=quantile, accuracy=accuracy, max_buffer_rows=max_buffer_rows)
+                          mode=quantile, accuracy=accuracy)
     return box.orderBy("gk")
 
 
@@ -46,35 +46,32 @@ def _fence_columns(q: DataFrame) -> DataFrame:
 
 
 def outliers(sig: DataFrame, channel_id: int | None, start: int, end: int, max_points: int | None,
-             quantile: str = "approx", accuracy: int = DEFAULT_ACCURACY,
-             max_buffer_rows: int | None = None) -> DataFrame:
+             quantile: str = "approx", accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     """Rows strictly outside the 1.5 IQR fences (Q5, K7, K8): all (``max_points=None``), or the
     earliest ``max_points``, ties by value.
 
     The fences are computed over the whole viewport of the channel. With
     ``channel_id=None`` every channel is handled separately (fences and limit per channel)
-    and the result carries ``channel_id``. ``max_buffer_rows`` bounds the group size the exact
-    mode may buffer (see ``group_quantiles``).
+    and the result carries ``channel_id``.
     """
     max_points = nullable_int(max_points, "max_points", minimum=0)
     base = in_range(sig, start, end, channel_id)
     if channel_id is not None:
         q = _fence_columns(group_quantiles(base, [], "value", [0.25, 0.75], ["q1", "q3"], mode=quantile,
-                                           accuracy=accuracy, max_buffer_rows=max_buffer_rows))
+                                           accuracy=accuracy))
         fences = q.select(F.struct("fence_lo", "fence_hi")).scalar()
         hits = base.filter((F.col("value") < fences["fence_lo"]) | (F.col("value") > fences["fence_hi"]))
         hits = hits.select("ts", "value").orderBy("ts", "value")
         return hits if max_points is None else hits.limit(max_points)
     q = _fence_columns(group_quantiles(base, ["channel_id"], "value", [0.25, 0.75], ["q1", "q3"], mode=quantile,
-                                       accuracy=accuracy, max_buffer_rows=max_buffer_rows))
+                                       accuracy=accuracy))
     fences = bounded_broadcast(q.select("channel_id", "fence_lo", "fence_hi"))
     hits = (base.select("channel_id", "ts", "value").join(fences, "channel_id")
             .filter((F.col("value") < F.col("fence_lo")) | (F.col("value") > F.col("fence_hi")))
             .select("channel_id", "ts", "value"))
     if max_points is None:
         return hits
-    top = top_k_per_group(hits, ["channel_id"], [F.col("ts").asc(), F.col("value").asc()], max_points)
-    return top.drop("rank0")
+    return top_k_per_group(hits, ["channel_id"], ["ts", "value"], max_points)
 
 
 def attach_outliers(points: DataFrame, boxes: DataFrame, bucket_ms: int) -> DataFrame:
@@ -82,8 +79,8 @@ def attach_outliers(points: DataFrame, boxes: DataFrame, bucket_ms: int) -> Data
     bucket_ms = int_arg(bucket_ms, "bucket_ms", minimum=1)
     keyed = points.withColumn("gk", bucket_start("ts", bucket_ms))
     box_cols = [c for c in boxes.columns if c not in keyed.columns or c == "gk"]
-    # Outlier sets are capped by max_points, so that side is the one to broadcast.
-    return bounded_broadcast(keyed).join(boxes.select(*box_cols), "gk", "inner")
+    # one box per bucket: the side whose size is checked
+    return keyed.join(bounded_broadcast(boxes.select(*box_cols)), "gk", "inner")
 
 
 def _bin_expr(bins: int):

@@ -86,6 +86,15 @@ def test_preselect_matches_the_extremes_of_each_bucket(make_sig, n, buckets):
     assert [r["ts"] // 1000 for r in got] == want
 
 
+@pytest.mark.parametrize("slice_rows", [1, 3, 50])
+def test_preselect_of_crowded_times_and_gaps(make_sig, slice_rows):
+    rnd = random.Random(slice_rows)
+    points = sorted((rnd.choice([0, 0, 1, 2, 500, 10**9]), float(rnd.randint(0, 9))) for _ in range(700))
+    got = minmax_preselect(make_sig([(t, 3, v) for t, v in points]), 25, slice_rows=slice_rows).orderBy("seq").collect()
+    want = expected_preselect([v for _, v in points], 25)
+    assert [(r["ts"], r["value"]) for r in got] == [points[i] for i in want]
+
+
 def test_preselect_constant_emits_duplicates(make_sig):
     got = minmax_preselect(_series(make_sig, [5.0] * 40), 4).orderBy("seq").collect()
     assert [r["ts"] // 1000 for r in got] == [0, 0, 10, 10, 20, 20, 30, 30]

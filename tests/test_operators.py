@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from sigstrata.functions import box_label, day_of, detail_rows
 from sigstrata.operators import (assign_pages, attach_outliers, boxplot, group_quantiles, histogram,
-                                 next_cursor, outliers, overview, rollup, rollup_from_rollup, signal_page,
+                                 minmax_preselect, next_cursor, outliers, overview, rollup, rollup_from_rollup, signal_page,
                                  signal_range, top_k_per_group, with_row_index)
+from sigstrata.operators.slices import first_rows, rank_rows
 from sigstrata.schemas import CHANNEL_SCHEMA, DAY_MS, HOUR_MS, MINUTE_MS
 
 from .conftest import sorted_rows
@@ -178,11 +179,11 @@ def test_row_index_hot_key_spreads_and_is_dense(make_sig, spark):
 def test_top_k_both_paths(make_sig, spark):
     rows = [(i, i % 3, float(i)) for i in range(3000)]
     sig = make_sig(rows)
-    small = top_k_per_group(sig, ["channel_id"], [F.col("ts").asc()], 5)
+    small = top_k_per_group(sig, ["channel_id"], ["ts", "value"], 5)
     assert sorted_rows(small, "channel_id", "ts")[:5] == [(0, 0), (0, 3), (0, 6), (0, 9), (0, 12)]
     spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "2")
     try:
-        big = top_k_per_group(sig, ["channel_id"], [F.col("ts").asc()], 5)
+        big = top_k_per_group(sig, ["channel_id"], ["ts", "value"], 5)
         assert sorted_rows(big, "channel_id", "ts") == sorted_rows(small, "channel_id", "ts")
     finally:
         spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
@@ -218,18 +219,48 @@ def test_median_exact_vs_python(make_sig):
     assert box["median"] == statistics.median(vals)
 
 
-def test_large_row_guard_uses_index(make_sig, spark):
+def test_large_row_guard(make_sig, monkeypatch):
     import sigstrata.operators.reads as R
-    rows = [(i // 2, i % 2, float(i)) for i in range(400)]
+    monkeypatch.setattr(R, "TOP_K_MAX", 10)
+    rows = [(i // 2, i % 2, float(i)) for i in range(4000)]
     sig = make_sig(rows)
-    old = R.TOP_K_MAX
-    R.TOP_K_MAX = 10
-    try:
-        got = signal_range(sig, None, *ALL, "L0", limit=150).collect()
-    finally:
-        R.TOP_K_MAX = old
-    want = [r for c in (0, 1) for r in sorted(r for r in rows if r[1] == c)[:150]]      # the guard is per channel
+    got = signal_range(sig, None, *ALL, "L0", limit=1500).collect()
+    want = [r for c in (0, 1) for r in sorted(r for r in rows if r[1] == c)[:1500]]      # the guard is per channel
     assert [(r["channel_id"], r["ts"]) for r in got] == [(c, t) for t, c, _ in want]
+    one = signal_range(sig, 1, *ALL, "L0", limit=150).collect()
+    assert [r["ts"] for r in one] == sorted(t for t, c, _ in rows if c == 1)[:150]
+    layer = signal_range(rollup(sig, 10), 1, *ALL, "L1", limit=50, envelope=True).collect()
+    assert [r["ts"] for r in layer] == list(range(0, 500, 10))
+
+
+@pytest.mark.parametrize("slice_rows", [7, 100_000])
+@pytest.mark.parametrize("kind", ["spread", "ties", "equal", "gap", "empty"])
+def test_ranks_by_slice_counts(make_sig, kind, slice_rows):
+    rnd = random.Random(4)
+    rows = {"spread": [(rnd.randint(-10**12, 10**12), rnd.randint(0, 2), rnd.random()) for _ in range(900)],
+            "ties": [(rnd.choice([0, 5]), rnd.randint(0, 2), rnd.choice([-1.0, 2.0, rnd.gauss(0, 9)])) for _ in range(900)],
+            "equal": [(7, 1, 2.5)] * 700 + [(7, 1, 2.0), (6, 0, 1.0)], "empty": [],
+            "gap": [(i, 0, 1.0) for i in range(400)] + [(10**15, 0, 1.0), (10**15 + 1, 2, float("inf"))]}[kind]
+    sig = make_sig(rows)
+    down = rank_rows(sig, [("ts", True), ("channel_id", False), ("value", False)], slice_rows=slice_rows).collect()
+    assert sorted(r.idx for r in down) == list(range(len(rows)))
+    assert [tuple(r)[:3] for r in sorted(down, key=lambda r: r.idx)] == sorted(rows, key=lambda r: (-r[0], r[1], r[2]))
+    each = rank_rows(sig, [("ts", False), ("value", False)], ["channel_id"], size_col="n", slice_rows=slice_rows).collect()
+    for c in {r[1] for r in rows}:
+        own = sorted((t, v) for t, ch, v in rows if ch == c)
+        got = sorted((r for r in each if r.channel_id == c), key=lambda r: r.idx)
+        assert [(r.ts, r.value, r.idx, r.n) for r in got] == [(t, v, i, len(own)) for i, (t, v) in enumerate(own)]
+    first = first_rows(sig, [("ts", False), ("value", False)], 50, ["channel_id"], slice_rows=slice_rows).collect()
+    assert sorted(tuple(r) for r in first) == sorted((t, c, v) for c in range(3) for t, v in sorted((t, v) for t, ch, v in rows if ch == c)[:50])
+
+
+def test_ranks_need_neither_a_global_sort_nor_a_copy(spark, tmp_path, make_sig):
+    path = str(tmp_path / "sig")
+    make_sig([(i, i % 3, float(i % 7)) for i in range(500)]).write.parquet(path)
+    sig = spark.read.parquet(path)
+    for df in (assign_pages(sig, 10), minmax_preselect(sig, 10)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "rangepartitioning" not in plan and "FileScan" in plan
 
 
 def test_dictionary_ranking_is_dense(spark):
@@ -248,17 +279,38 @@ def test_row_index_splits_hot_group_of_identical_copies(make_sig, spark):
     assert [(r["ts"], r["value"]) for r in order] == sorted((r["ts"], r["value"]) for r in rows)
 
 
-def test_exact_quantiles_index_path_matches_builtin_path(make_sig, spark):
+def _built_in(df, keys, value, probs, names):
+    agg = df.groupBy(*keys).agg(F.min(value).alias("low"), F.percentile(value, probs).alias("q"), F.max(value).alias("high"),
+                                F.count(F.lit(1)).alias("n"))
+    return agg.select(*keys, "low", *[F.col("q")[i].alias(x) for i, x in enumerate(names)], "high", "n")
+
+
+@pytest.mark.parametrize("accuracy, probs", [(1, [0.25, 0.5, 0.75]), (40, [0.9, 0.1, 0.5, 0.5, 0.501]), (10_000, [0.0, 1.0, 0.3])])
+def test_exact_quantiles_equal_the_built_in_function(make_sig, accuracy, probs):
     rnd = random.Random(9)
-    rows = [(i, rnd.randrange(3), float(rnd.randint(0, 30))) for i in range(4000)]
-    sig = make_sig(rows)
-    fast = group_quantiles(sig, ["channel_id"], "value", [0.25, 0.5, 0.75], ["a", "b", "c"], mode="exact")
-    spark.conf.set("sigstrata.exact.maxGroupRows", "10")
-    try:
-        slow = group_quantiles(sig, ["channel_id"], "value", [0.25, 0.5, 0.75], ["a", "b", "c"], mode="exact")
-        assert sorted_rows(slow) == sorted_rows(fast)
-    finally:
-        spark.conf.unset("sigstrata.exact.maxGroupRows")
+    rows = [(i, rnd.choice([0, 0, 0, 1, 2]), rnd.choice([float(rnd.randint(0, 30)), rnd.gauss(0, 1e6)])) for i in range(3000)] + [(1, 7, 2.5)]
+    sig, names = make_sig(rows), [f"p{i}" for i in range(len(probs))]
+    for keys in (["channel_id"], []):
+        got = group_quantiles(sig, keys, "value", probs, names, mode="exact", accuracy=accuracy)
+        assert sorted_rows(got) == sorted_rows(_built_in(sig, keys, "value", probs, names))
+
+
+def test_large_brackets_are_narrowed_by_counts(make_sig, monkeypatch):
+    import sigstrata.operators.quantiles as Q
+    monkeypatch.setattr(Q, "BRACKET_VALUES", 20)
+    monkeypatch.setattr(Q, "CELLS", 4)
+    rnd = random.Random(2)
+    sig = make_sig([(i, i % 2, rnd.choice([1e300, -1e300, 5.0, rnd.random(), rnd.random() * 1e-9])) for i in range(1500)])
+    got = group_quantiles(sig, ["channel_id"], "value", [0.1, 0.5, 0.8], ["a", "b", "c"], mode="exact", accuracy=2000)
+    assert sorted_rows(got) == sorted_rows(_built_in(sig, ["channel_id"], "value", [0.1, 0.5, 0.8], ["a", "b", "c"]))
+
+
+def test_exact_quantiles_scan_twice_and_keep_no_copy(spark, tmp_path, make_sig):
+    path = str(tmp_path / "sig")
+    make_sig([(i, i % 3, float(i)) for i in range(500)]).write.parquet(path)
+    df = group_quantiles(spark.read.parquet(path), ["channel_id"], "value", [0.5], ["m"], mode="exact", accuracy=20)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan and "ExistingRDD" in plan     # only small tables are left to read
 
 
 @pytest.mark.parametrize("case", ["downsample", "preselect", "assign_pages", "outliers_multi", "outliers_ranked",
@@ -271,10 +323,10 @@ def test_empty_inputs_everywhere(make_sig, case):
         "preselect": lambda: minmax_preselect(e, 10),
         "assign_pages": lambda: assign_pages(e, 10),
         "outliers_multi": lambda: outliers(e, None, 0, 10, 5, quantile="exact"),
-        "outliers_ranked": lambda: outliers(e, None, 0, 10, 5, quantile="exact", max_buffer_rows=0),
+        "outliers_ranked": lambda: outliers(e, None, 0, 10, 5, quantile="exact", accuracy=2),
         "hist_dense_multi": lambda: histogram(e, None, 0, 10, 4, dense=True, edges=True),
         "hist_dense_single": lambda: histogram(e, 0, 0, 10, 4, dense=True),
-        "box_ranked": lambda: boxplot(e, 0, 10, quantile="exact", max_buffer_rows=0),
+        "box_ranked": lambda: boxplot(e, 0, 10, quantile="exact", accuracy=2),
         "range_guard_big": lambda: signal_range(e, 0, 0, 10, "L0", limit=10 ** 6),
     }[case]
     assert build().count() == 0
@@ -297,13 +349,13 @@ def test_ties_at_a_cut_go_by_value(make_sig):
     [(None, 0), (1.0, 0), (2.0, 0), (3.0, 0)], [(None, None), (4.0, None), (1.0, 1)], [(None, 3), (None, 3)],
     [(float("nan"), 0), (1.0, 0)], [(2.0, 0)] * 5,
 ])
-def test_both_exact_quantile_paths_agree(spark, rows):
-    from sigstrata.operators.quantiles import group_quantiles
+def test_exact_quantiles_of_nulls_and_nans(spark, rows):
     df = spark.createDataFrame(rows, "v double, k int")
     for keys in (["k"], []):
-        a, b = (sorted(map(str, group_quantiles(df, keys, "v", [0.25, 0.5], ["q1", "med"], mode="exact", max_buffer_rows=m).collect()))
-                for m in (10**6, 0))
-        assert a == b
+        want = sorted(map(str, _built_in(df, keys, "v", [0.25, 0.5], ["q1", "med"]).collect()))
+        for accuracy in (1, 10_000):
+            got = group_quantiles(df, keys, "v", [0.25, 0.5], ["q1", "med"], mode="exact", accuracy=accuracy)
+            assert sorted(map(str, got.collect())) == want
 
 
 def test_frames_have_one_schema_even_when_empty(spark, make_sig):
