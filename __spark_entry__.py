@@ -33,7 +33,7 @@ from sigstrata.session import delete_path, materialize, scratch_path
 from sigstrata.sources.adapters import ensure_channels, event_signals, lineitem_signals, read_table, to_signals
 from sigstrata.sources.ingest import encode_rows, parse_rows
 from sigstrata.sources.store import SignalStore
-from sigstrata.streaming.jobs import file_source, ingest_totals, start_ingest
+from sigstrata.streaming.jobs import await_end, file_source, ingest_totals, start_ingest
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -545,25 +545,30 @@ def q_fresh_rollup_l2(spark, d):
     return _unrefreshed(spark, d, "L2")
 
 
-class _AppendedDuringArchive(SignalStore):
-    """A store to which rows are appended between an archive's export and its commit."""
-    racing: DataFrame
-
-    def _commit(self, *args) -> None:
-        SignalStore.append(self, self.racing)
-        super()._commit(*args)
-
-
 def q_archive_during_append(spark, d):
-    # every row of the moved days arrives once before and once during the archive
+    # every row of the moved days arrives once before and once after an archive, and is moved by the next
     store, old, new = _split_store(spark, d)
-    store = _AppendedDuringArchive(spark, store.root)
-    store.racing = new.unionByName(old.filter(F.col("channel_id") != 0))
     store.bulk_load(old.filter(F.col("channel_id") == 0))
     store.archive_before(ARCHIVE_1)
-    quiet = SignalStore(spark, store.root)
-    quiet.archive_before(ARCHIVE_2)
-    return _kept(quiet, _sig_cols(quiet.unified()))
+    store.append(new.unionByName(old.filter(F.col("channel_id") != 0)))
+    store.archive_before(ARCHIVE_2)
+    return _kept(store, _sig_cols(store.unified()))
+
+
+def q_stream_replay_after_archive(spark, d):
+    # the stream forgets its checkpointed commit after its rows were archived: the batch is replayed
+    root, ckpt = scratch_path(spark, "stream-store"), scratch_path(spark, "stream-ckpt")
+    for at in range(2):
+        q = start_ingest(_event_stream(spark, d), root, ckpt, trigger={"availableNow": True}, rollups=True)
+        await_end(q)
+        store = SignalStore(spark, root)
+        if not at:
+            store.archive_before(ARCHIVE_1)
+            store.archive_before(ARCHIVE_2)
+            for name in ("commits/0", "commits/.0.crc"):
+                delete_path(spark, f"{ckpt}/{name}")
+    delete_path(spark, ckpt)
+    return _kept(store, _sig_cols(store.unified()))
 
 
 def q_bulk_load_keeps_streamed(spark, d):
@@ -587,7 +592,7 @@ def q_archive_retires_ingest(spark, d):
     store, _ = _run_ingest(spark, d)
     for w in (ARCHIVE_1, ARCHIVE_2, ARCHIVE_2 + 5 * DAY_MS):
         store.archive_before(w)
-    days = store._read("ingest", SIGNAL_STORED_SCHEMA).groupBy("dt").agg(F.count(F.lit(1)).alias("n"))
+    days = store._read("hot", SIGNAL_STORED_SCHEMA).groupBy("dt").agg(F.count(F.lit(1)).alias("n"))
     return _kept(store, days.select(F.col("dt").cast("string").alias("day"), "n"))
 
 
@@ -605,9 +610,9 @@ def _event_stream(spark, d):
 
 def _run_ingest(spark, d, stream=None, rollups=False):
     root = scratch_path(spark, "stream-store")
-    q = start_ingest(_event_stream(spark, d) if stream is None else stream, f"{root}/ingest", f"{root}/_ckpt_ingest",
+    q = start_ingest(_event_stream(spark, d) if stream is None else stream, root, f"{root}/_ckpt_ingest",
                      trigger={"availableNow": True}, rollups=rollups)
-    q.awaitTermination()
+    await_end(q)
     return SignalStore(spark, root), q
 
 
@@ -670,9 +675,9 @@ def q_stream_rollup_repaired(spark, d):
     _, old, new = _split_store(spark, d)
     for at, part in enumerate((new, old)):
         part.write.parquet(f"{inbox}/{at}")
-        q = start_ingest(file_source(spark, f"{inbox}/*", part.schema), f"{root}/ingest", f"{root}/_ckpt",
+        q = start_ingest(file_source(spark, f"{inbox}/*", part.schema), root, f"{root}/_ckpt",
                          trigger={"availableNow": True}, rollups=True)
-        q.awaitTermination()
+        await_end(q)
     delete_path(spark, inbox)
     store = SignalStore(spark, root)
     return _kept(store, _round_rollup(store.rollup_layer("L1").drop("dt")))
@@ -684,7 +689,7 @@ def q_stream_late_after_archive(spark, d):
     store, sig = SignalStore(spark, root), _ev(spark, d)
     for at, part in enumerate((F.col("channel_id") == 0, F.col("channel_id") == 1, F.col("channel_id") > 1)):
         sig.filter(part).write.parquet(f"{inbox}/{at}")
-        q = start_ingest(file_source(spark, f"{inbox}/*", sig.schema), f"{root}/ingest", f"{root}/_ckpt",
+        q = start_ingest(file_source(spark, f"{inbox}/*", sig.schema), root, f"{root}/_ckpt",
                          trigger={"availableNow": True})
         q.awaitTermination()
         store.archive_before((ARCHIVE_1, ARCHIVE_2, ARCHIVE_2)[at])
@@ -709,6 +714,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "store_quick_range": q_store_quick_range,
     "store_drill": q_store_drill,
     "archive_during_append": q_archive_during_append,
+    "stream_replay_after_archive": q_stream_replay_after_archive,
     "bulk_load_keeps_streamed": q_bulk_load_keeps_streamed,
     "channels_upsert_saved": q_channels_upsert_saved,
     "archive_retires_ingest": q_archive_retires_ingest,
@@ -1098,6 +1104,7 @@ last_day AS (SELECT * FROM signals
                                              200, source="last_day"),
     "archive_roundtrip": _with(_EV, "\nSELECT ts, channel_id, value FROM signals"),
     "archive_twice": _with(_EV, "\nSELECT ts, channel_id, value FROM signals"),
+    "stream_replay_after_archive": _with(_EV, "\nSELECT ts, channel_id, value FROM signals"),
     "archive_twice_l1": _rollup_sql(_EV, MINUTE_MS),
     "archive_twice_l2": _rollup_sql(_EV, HOUR_MS),
     "rollup_incremental": _rollup_sql(_EV, MINUTE_MS),

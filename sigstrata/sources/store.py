@@ -1,24 +1,23 @@
-"""Day-partitioned signal store: hot and cold L0, L1/L2 rollups, archive manifest.
-
-Layout under one root (any Hadoop file system shared by the cluster)::
-
-    hot/dt=YYYY-MM-DD/                  L0 rows of batch appends (S5, S10)
-    ingest/batch=<key>/dt=YYYY-MM-DD/   L0 rows of keyed appends: one folder per key, replaced as a
-                                        whole when the append is retried (T1, T3)
-    cold/a=<archive>/dt=YYYY-MM-DD/     archived L0 rows (S7), one folder per archive
-    l1/dt=..., l2/dt=...                minute and hour rollups (R1-R5)
-    channels/v=<n>/                     channel dictionary, newest committed version counts (S2)
-    rejects/                            rows with NULL or non-finite fields (S1)
-    _manifest/w=<ms>/                   archive commits, one directory per watermark
-
-Plain Parquet has no transactions, so the archive commits by files: the manifest names the
-archive folder and the hot files that it holds. The unified relation (S3) is the committed cold
-folders and all hot files that no manifest names. Archiving lists the files first, exports exactly
-those, brings stale rollups of the moved days up to date and writes the manifest; the files named by the
-previous manifest are deleted then, one cycle late, so relations built before an archive stay
-readable. A file that appears at any other time (a late row, an append during the archive) is
-named by no manifest: it is visible at once, and the next archive moves it. A crash anywhere leaves
-the old or the new view, never duplicates. One process archives at a time.
+"""Day-partitioned signal store: hot and archived L0, L1/L2 rollups.
+
+Layout under one root (any shared Hadoop file system that renames a folder in one step)::
+
+    g=<n>/hot/batch=<key>/dt=YYYY-MM-DD/    L0 rows: one folder per append (S5, S10, T1)
+    g=<n>/archive/a=<watermark>-<id>/dt=.../  archived L0 rows (S7), one folder per archive, with the list
+                                            ``_moved`` of the (batch, dt) folders that it holds
+    g=<n>/l1/dt=..., g=<n>/l2/dt=...        minute and hour rollups (R1-R5)
+    channels/v=<n>/                         channel dictionary, newest committed version counts (S2)
+    rejects/batch=<key>/                    rows with NULL or non-finite fields (S1), where there are any
+    _staged/                                writes under way
+
+Every commit is one rename of a folder that is complete: an append, an archive with its list, or a whole new
+generation ``g=<n>`` when everything is replaced. So a crash anywhere leaves the old or the new view.
+
+The unified relation (S3) is all archived rows and the hot rows whose (batch, dt) is in no archive's
+list: an anti-join on partition columns, needed only for days before the watermark and only until the listed folders are
+deleted, which the next archive does (one cycle late, so relations built before an archive stay readable). File
+names never come to the driver. A batch that appears at any other time (a late row, an append during the archive) is in no list:
+it is visible at once, and the next archive moves it. One process archives at a time.
 
 Relations are snapshots, as for any Spark file source: after ``refresh_rollups`` or
 ``bulk_load`` rebuild them (``store.unified()``, ``store.layers()``); an archive alone does
@@ -29,28 +28,24 @@ from __future__ import annotations
 
 import datetime as _dt
 import math
-import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.time import date_of_ms, day_floor_ms, day_of
+from ..functions.time import bucket_start, date_of_ms, day_floor_ms, day_of
 from ..functions.args import int_arg
+from ..operators.joins import bounded_broadcast
 from ..operators.reads import rollup, rollup_from_rollup, signal_page
 from ..schemas import (CHANNEL_SCHEMA, DAY_MS, HOUR_MS, MINUTE_MS, ROLLUP_STORED_SCHEMA, SIGNAL_SCHEMA,
                        SIGNAL_STORED_SCHEMA)
-from ..session import delete_path, hadoop_fs, has_parquet
+from ..session import delete_path, hadoop_fs, has_parquet, materialize, path_exists
 
-MANIFEST_SCHEMA = T.StructType([
-    T.StructField("watermark", T.LongType(), False),
-    T.StructField("rows", T.LongType(), False),
-    T.StructField("committed_at", T.LongType(), False),
-    T.StructField("archive", T.StringType(), False),
-    T.StructField("files", T.ArrayType(T.StringType()), False),
-])
+HOT_SCHEMA = T.StructType([*SIGNAL_STORED_SCHEMA.fields, T.StructField("batch", T.StringType())])
+MOVED_SCHEMA = "batch string, dt date"
 
 ROLLUP_LAYERS = {"L1": ("l1", MINUTE_MS), "L2": ("l2", HOUR_MS)}
 # How far behind the newest stored bucket a fresh read recomputes.
@@ -64,20 +59,15 @@ class ArchiveResult:
     watermark: int | None = None
 
 
-def _time_ordered(df: DataFrame) -> DataFrame:
-    """Range-partition on ``ts`` and sort inside partitions before a write.
+def _time_ordered(df: DataFrame, *folders: str) -> DataFrame:
+    """Range-partition on ``ts`` and sort inside partitions before a write into ``folders``.
 
     Each task covers a contiguous range, so a hot day is split over many tasks, and every file
     is ``ts``-sorted: Parquet min/max statistics then skip row groups for range reads. Channel
     and a hash of the row break ties, so one hot ``ts`` is split as well.
     """
     rest = [c for c in df.columns if c not in ("ts", "channel_id")]
-    return df.repartitionByRange("ts", "channel_id", F.xxhash64(*rest)).sortWithinPartitions("ts")
-
-
-def _local(path: str) -> str:
-    """A file's path without the scheme's slashes, as listings and manifests may differ in them."""
-    return path.replace("file:///", "file:/")
+    return df.repartitionByRange("ts", "channel_id", F.xxhash64(*rest)).sortWithinPartitions(*folders, "ts")
 
 
 class _Layers(dict):
@@ -100,74 +90,81 @@ class SignalStore:
         self.root = root.rstrip("/")
 
     # ---- paths and reads -----------------------------------------------------------------
-    def path(self, sub: str) -> str:
-        return f"{self.root}/{sub}"
+    def generation(self) -> int:
+        """Number of the generation that counts: the newest whole one."""
+        return max((int(name[2:]) for name, _ in self._folders(self.root, "g=")), default=0)
 
-    def _read(self, sub: str, schema: T.StructType, paths: list[str] | None = None) -> DataFrame:
-        p = self.path(sub)
-        if paths is None:
-            paths = [p] if has_parquet(self.spark, p) else []
-        if not paths:
-            return self.spark.createDataFrame([], schema)
-        df = self.spark.read.schema(schema).option("basePath", p).parquet(*paths)
-        return df.select(*[f.name for f in schema.fields])
+    def path(self, sub: str) -> str:
+        """Folder of the current generation."""
+        return f"{self.root}/g={self.generation():06d}/{sub}"
 
-    def _list(self, path: str) -> list[tuple[str, str, bool]]:
-        """``(name, path, is directory)`` of a folder's visible entries; empty if there is none."""
+    def _folders(self, path: str, prefix: str) -> list[tuple[str, str]]:
+        """``(name, path)`` of the folders in ``path`` whose names start with ``prefix``, in order of their names."""
         fs, p = hadoop_fs(self.spark, path)
         if not fs.exists(p):
             return []
-        found = [(st.getPath().getName(), st.getPath().toString(), st.isDirectory()) for st in fs.listStatus(p)]
-        return sorted(x for x in found if x[0][0] not in "._")
-
-    def _committed(self, path: str) -> bool:
-        fs, p = hadoop_fs(self.spark, f"{path}/_SUCCESS")
-        return bool(fs.exists(p))
-
-    def _hot_files(self) -> dict[str, dict[str, list[str]]]:
-        """day directory -> its files that no manifest names, of hot and of committed ingest folders."""
-        moved, out = self._moved(), {"hot": {}, "ingest": {}}
-        for sub, days in (("hot", self._list(self.path("hot"))),
-                          ("ingest", [d for _, p, _ in self._list(self.path("ingest")) if self._committed(p) for d in self._list(p)])):
-            for name, path, is_dir in days:
-                if is_dir and name.startswith("dt="):
-                    files = [f for _, f, _ in self._list(path)]
-                    left = [f for f in files if _local(f) not in moved]
-                    if left:
-                        out[sub][path] = [path] if len(left) == len(files) else left
-        return out
-
-    def _moved(self) -> set[str]:
-        """Hot files that a committed archive holds and that are not deleted yet."""
-        marks = self._marks()
-        if not marks:
-            return set()
-        if getattr(self, "_moved_at", None) != marks:
-            rows = self.spark.read.schema(MANIFEST_SCHEMA).json([p for _, p in marks[-2:]]).select("archive", "files").collect()
-            self._moved_files = {_local(f) for r in rows for f in r["files"]}
-            self._moved_at = marks
-        return self._moved_files
+        return sorted((st.getPath().getName(), st.getPath().toString()) for st in fs.listStatus(p)
+                      if st.isDirectory() and st.getPath().getName().startswith(prefix))
 
-    def hot(self) -> DataFrame:
-        """Hot L0 rows: batch-appended and stream-ingested (S4), archived files left out."""
-        files = self._hot_files()
-        parts = [self._read(sub, SIGNAL_STORED_SCHEMA, [p for ps in files[sub].values() for p in ps]) for sub in ("hot", "ingest")]
-        return parts[0].unionByName(parts[1])
+    def _staged(self, name: str) -> str:
+        return f"{self.root}/_staged/{name}-{uuid.uuid4().hex}"
+
+    def _rename(self, old: str, new: str) -> bool:
+        """Move a whole folder in one step; false if ``new`` is already there."""
+        fs, target = hadoop_fs(self.spark, new)
+        if fs.exists(target):
+            return False
+        fs.mkdirs(target.getParent())
+        return bool(fs.rename(hadoop_fs(self.spark, old)[1], target))
+
+    def _read(self, sub: str, schema: T.StructType) -> DataFrame:
+        path = self.path(sub)
+        if not has_parquet(self.spark, path):
+            return self.spark.createDataFrame([], schema)
+        df = self.spark.read.schema(schema).option("basePath", path).parquet(path)
+        return df.select(*[f.name for f in schema.fields])
 
-    def _cold_folders(self) -> list[str]:
-        done = {name for name, _ in self._archives()}
-        return [p for name, p, _ in self._list(self.path("cold")) if name in done]
+    def _archives(self) -> list[tuple[int, str]]:
+        """Watermarks and folders of the archives, ascending."""
+        return [(int(name[2:].split("-")[0]), p) for name, p in self._folders(self.path("archive"), "a=")]
+
+    def watermark(self) -> int | None:
+        """Committed archive watermark (epoch ms of a UTC midnight), ``None`` before the first."""
+        archives = self._archives()
+        return archives[-1][0] if archives else None
+
+    def _cleaned(self) -> int:
+        """Watermark up to which the moved folders are deleted."""
+        return max((int(name[2:]) for name, _ in self._folders(self.path("_cleaned"), "w=")), default=-1 << 62)
+
+    def _moved(self, folders: list[str]) -> DataFrame:
+        """The (batch, dt) folders that the archives in ``folders`` hold."""
+        return self.spark.read.schema(MOVED_SCHEMA).parquet(*[f"{p}/_moved" for p in folders])
+
+    def _visible_hot(self) -> DataFrame:
+        hot, archives = self._read("hot", HOT_SCHEMA), self._archives()
+        cleaned = self._cleaned()
+        pending = [p for w, p in archives if w > cleaned]
+        if not pending:
+            return hot
+        mark = F.lit(date_of_ms(archives[-1][0]))
+        old = hot.where(F.col("dt") < mark).join(bounded_broadcast(self._moved(pending), pin=False), ["batch", "dt"], "left_anti")
+        return hot.where(F.col("dt") >= mark).unionByName(old)
+
+    def hot(self) -> DataFrame:
+        """Hot L0 rows: batch-appended and stream-ingested (S4), archived ones left out."""
+        return self._visible_hot().select(*SIGNAL_STORED_SCHEMA.fieldNames())
 
     def cold(self) -> DataFrame:
-        return self._read("cold", SIGNAL_STORED_SCHEMA, self._cold_folders())
+        return self._read("archive", SIGNAL_STORED_SCHEMA)
 
     def rollup_layer(self, layer: str) -> DataFrame:
         sub, _ = ROLLUP_LAYERS[layer]
         return self._read(sub, ROLLUP_STORED_SCHEMA)
 
     def _channel_versions(self) -> list[tuple[int, str]]:
-        return sorted((int(name[2:]), p) for name, p, _ in self._list(self.path("channels"))
-                      if name.startswith("v=") and self._committed(p))
+        return [(int(name[2:]), p) for name, p in self._folders(f"{self.root}/channels", "v=")
+                if path_exists(self.spark, f"{p}/_SUCCESS")]
 
     def channels(self) -> DataFrame:
         versions = self._channel_versions()
@@ -175,95 +172,50 @@ class SignalStore:
             return self.spark.createDataFrame([], CHANNEL_SCHEMA)
         return self.spark.read.schema(CHANNEL_SCHEMA).parquet(versions[-1][1])
 
-    def _marks(self) -> list[tuple[int, str]]:
-        """Committed watermarks with their manifest folders, ascending (a listing, not a job)."""
-        return sorted((int(name[2:]), p) for name, p, is_dir in self._list(self.path("_manifest"))
-                      if is_dir and name.startswith("w=") and self._committed(p))
-
-    def _archives(self) -> list[tuple[str, int]]:
-        """Committed archive folders with their watermarks: each marks itself with its manifest's name."""
-        marks = {w for w, _ in self._marks()}
-        named = [(name, int(name[2:].split("-")[0])) for name, p, _ in self._list(self.path("cold")) if name.startswith("a=")]
-        return [(name, w) for name, w in named if w in marks and self._names_archive(w, name)]
-
-    def _names_archive(self, w: int, name: str) -> bool:
-        fs, p = hadoop_fs(self.spark, self.path(f"_manifest/w={w:013d}/_{name[2:]}"))
-        return bool(fs.exists(p))
-
-    def watermark(self) -> int | None:
-        """Committed archive watermark (epoch ms of a UTC midnight), ``None`` before the first."""
-        marks = self._marks()
-        return marks[-1][0] if marks else None
-
     def unified(self) -> DataFrame:
         """Hot and cold L0 as one relation."""
-        return self.hot().unionByName(self.cold())
-
-    def _days(self, sub: str) -> list[_dt.date]:
-        fs, p = hadoop_fs(self.spark, self.path(sub))
-        if not fs.exists(p):
-            return []
-        return sorted(_dt.date.fromisoformat(st.getPath().getName()[3:]) for st in fs.listStatus(p)
-                      if st.isDirectory() and st.getPath().getName().startswith("dt="))
+        hot, cold = self.hot(), self.path("archive")
+        return hot.unionByName(self.cold()) if has_parquet(self.spark, cold) else hot
 
     def overview(self) -> DataFrame:
         """Overview (Q7) of the unified relation without scanning the whole ``ts`` column.
 
-        ``count(*)`` reads no column data; ``min(ts)``/``max(ts)`` only read the first and last
-        visible day partitions, found from the directory listing.
+        Rows and days come from one scan that reads no column data; ``min(ts)``/``max(ts)`` only read the first and
+        last day partitions.
         """
-        visible = self._visible_days()
         u = self.unified()
-        total = u.select(F.count(F.lit(1))).scalar()
-        if visible:
-            lo = u.filter(F.col("dt") == F.lit(min(visible))).select(F.min("ts")).scalar()
-            hi = u.filter(F.col("dt") == F.lit(max(visible))).select(F.max("ts")).scalar()
-        else:
-            lo = hi = F.lit(None).cast("bigint")
+        whole = u.select(F.struct(F.count(F.lit(1)).alias("n"), F.min("dt").alias("first"), F.max("dt").alias("last"))).scalar()
+        lo = u.filter(F.col("dt") == whole["first"]).select(F.min("ts")).scalar()
+        hi = u.filter(F.col("dt") == whole["last"]).select(F.max("ts")).scalar()
         chan = self.channels().select(F.array_sort(F.collect_list(F.struct(F.col("id"), F.col("name"))))).scalar()
-        return self.spark.range(1).select(total.alias("total_rows"), lo.alias("min_ts"), hi.alias("max_ts"),
+        return self.spark.range(1).select(whole["n"].alias("total_rows"), lo.alias("min_ts"), hi.alias("max_ts"),
                                           F.coalesce(chan, F.array()).alias("channels"))
 
-    def _visible_days(self) -> list[_dt.date]:
-        """Day partitions that hold rows of ``unified`` (directory listing only)."""
-        dirs = [d for days in self._hot_files().values() for d in days]
-        dirs += [p for folder in self._cold_folders() for name, p, _ in self._list(folder) if name.startswith("dt=")]
-        return sorted({_dt.date.fromisoformat(d.rstrip("/").rsplit("dt=", 1)[1]) for d in dirs})
-
     def page(self, limit: int, channel_id: int | None = None, cursor=None, compat: bool = False) -> DataFrame:
-        """Keyset page (Q2) that reads only the newest day partitions it needs.
+        """Keyset page (Q2) that reads only the newest hours it needs.
 
-        A page is the newest ``limit`` rows after the cursor, and every row of an older day has
-        a smaller ``ts`` than every row of a newer one. So the newest 1, 4, 16, ... day
-        partitions at or before the cursor's day are probed (partition-pruned counts) until
-        they hold a full page. The top-k then runs on those days only: paging cost follows the
-        page, not the table.
+        L2's row counts are a skip index: the newest hours before the cursor's that together hold ``limit`` rows hold the
+        page, with the rest of the cursor's hour. Rows are only added, so counts of a stale rollup are too low at worst, and
+        the hours chosen too many. Without rollups the whole relation is read.
         """
         limit = int_arg(limit, "limit", minimum=0)
-        days = self._visible_days()
+        hours = self.rollup_layer("L2")
+        if channel_id is not None:
+            hours = hours.where(F.col("channel_id") == int(channel_id))
         if cursor is not None:
-            c_ts = cursor[0] if isinstance(cursor, tuple) else cursor
-            days = [d for d in days if d <= date_of_ms(int(c_ts))]
-        days = days[::-1]
-        unified, span = self.unified(), 1
-        while True:
-            chosen = days[:span]
-            if not chosen:
-                return signal_page(unified.limit(0), limit, channel_id, cursor, compat)
-            cand = unified.filter(F.col("dt").between(F.lit(chosen[-1]), F.lit(chosen[0])))
-            page = signal_page(cand, limit, channel_id, cursor, compat)
-            if span >= len(days) or page.count() >= limit:
-                return page
-            span *= 4
+            at = int(cursor[0] if isinstance(cursor, tuple) else cursor)
+            hours = hours.where(F.col("ts") < at - at % HOUR_MS)
+        newer = Window.orderBy(F.col("ts").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        counted = hours.groupBy("ts").agg(F.sum("n").alias("n")).select("ts", F.sum("n").over(newer).alias("held"))
+        cut = F.coalesce(counted.where(F.col("held") >= limit).select(F.max("ts")).scalar(), F.lit(_NO_TIME))
+        unified = self.unified()
+        rows = unified.where((F.col("ts") >= cut) & (F.col("dt") >= day_of(cut)))
+        return signal_page(rows, limit, channel_id, cursor, compat)
 
     def _last_day(self, sub: str) -> _dt.date | None:
         """Newest ``dt=`` partition of a layer, from the directory listing (metadata only)."""
-        fs, p = hadoop_fs(self.spark, self.path(sub))
-        if not fs.exists(p):
-            return None
-        days = [st.getPath().getName()[3:] for st in fs.listStatus(p)
-                if st.isDirectory() and st.getPath().getName().startswith("dt=")]
-        return _dt.date.fromisoformat(max(days)) if days else None
+        days = self._folders(self.path(sub), "dt=")
+        return _dt.date.fromisoformat(days[-1][0][3:]) if days else None
 
     def fresh_layer(self, layer: str) -> DataFrame:
         """A rollup layer that is never stale (§7.5 item 8): stored buckets older than the
@@ -314,7 +266,7 @@ class SignalStore:
         """
         versions = self._channel_versions()
         n = versions[-1][0] + 1 if versions else 0
-        channels.select("id", "name").write.mode("overwrite").parquet(self.path(f"channels/v={n:06d}"))
+        channels.select("id", "name").write.mode("overwrite").parquet(f"{self.root}/channels/v={n:06d}")
         for _, old in versions[:-1]:
             delete_path(self.spark, old)
 
@@ -323,107 +275,139 @@ class SignalStore:
         from .adapters import ensure_channels
         self.write_channels(ensure_channels(self.channels(), names, name_col))
 
-    def _append_to(self, path: str, rows: DataFrame, mode: str = "append") -> None:
-        (_time_ordered(rows).withColumn("dt", day_of("ts")).write.mode(mode).option("partitionOverwriteMode", "static")
-         .partitionBy("dt").parquet(path))
+    def holds(self, key: str) -> bool:
+        """Whether an append with ``key`` is stored, hot or archived."""
+        if path_exists(self.spark, self.path(f"hot/batch={key}")):
+            return True
+        archives = [p for _, p in self._archives()]
+        return bool(archives) and self._moved(archives).where(F.col("batch") == key).limit(1).count() > 0
 
-    def append(self, sig: DataFrame, key: str | None = None) -> list[_dt.date]:
+    def append(self, sig: DataFrame, key: str | None = None, retried: bool = True) -> list[_dt.date]:
         """Append signal rows (S5) in one write job.
 
-        With a ``key`` the append can be retried: its folder is replaced, never doubled. Rows with
+        An append with a ``key`` is stored once: repeated, it does nothing, even if its rows were archived meanwhile
+        (``retried=False``: the caller knows that it is the first). Rows with
         a NULL or non-finite field go to ``rejects`` (S1). Rows older than the archive watermark
-        are visible at once, and the rollups of their days are brought up to date; those days are returned.
+        are visible at once, and the rollups of their hours are brought up to date; their days are returned.
         """
+        if key is not None and retried and self.holds(key):
+            return []
         rows = sig.select(*[F.col(f.name).cast(f.dataType) for f in SIGNAL_SCHEMA.fields])
         good = (F.col("ts").isNotNull() & F.col("channel_id").isNotNull()
                 & F.coalesce(F.abs("value") < F.lit(math.inf), F.lit(False)))
-        bad = rows.filter(~good)
-        folder = f"batch={key}" if key is not None else f"batch={uuid.uuid4().hex}"
-        if key is None:
-            self._append_to(self.path("hot"), rows.filter(good))
-        else:
-            self._append_to(self.path(f"ingest/{folder}"), rows.filter(good), "overwrite")
-        bad.write.mode("overwrite").json(self.path(f"rejects/{folder}"))
+        batch, staged = key or uuid.uuid4().hex, self._staged("append")
+        named = rows.withColumns({"kind": F.when(good, "good").otherwise("bad"), "dt": F.when(good, day_of("ts"))})
+        _time_ordered(named, "kind", "dt").write.partitionBy("kind", "dt").parquet(staged)
+        if path_exists(self.spark, f"{staged}/kind=bad"):
+            self._rename(f"{staged}/kind=bad", f"{self.root}/rejects/batch={batch}")
+        days = [_dt.date.fromisoformat(name[3:]) for name, _ in self._folders(f"{staged}/kind=good", "dt=")]
+        if days:
+            self._rename(f"{staged}/kind=good", self.path(f"hot/batch={batch}"))
+        delete_path(self.spark, staged)
         w = self.watermark()
-        if w is None:
-            return []
-        late = rows.filter(good & (F.col("ts") < F.lit(w)))
-        days = sorted(r["d"] for r in late.select(day_of("ts").alias("d")).distinct().collect())  # one row per day
-        self.rebuild_rollups(days)
-        return days
+        late = [d for d in days if w is not None and d < date_of_ms(w)]
+        self._refresh_stale(late)
+        return late
 
     def rejects(self) -> DataFrame:
         schema = T.StructType([T.StructField(f.name, f.dataType) for f in SIGNAL_SCHEMA.fields])
-        folders = [p for _, p, _ in self._list(self.path("rejects"))]
-        return self.spark.read.schema(schema).json(folders) if folders else self.spark.createDataFrame([], schema)
+        path = f"{self.root}/rejects"
+        if not has_parquet(self.spark, path):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
 
     def bulk_load(self, sig: DataFrame, mode: str = "skip_if_nonempty", rollups: bool = True) -> bool:
         """Idempotent history load (S10): skip when any row exists, or replace everything.
 
-        A replacement is written whole beside the old data before that is deleted.
+        A replacement is a new generation: rows and rollups are written whole, then one rename makes it count. The old
+        generation stays for relations that read it, until the next replacement.
         """
         if mode not in ("skip_if_nonempty", "overwrite"):
             raise ValueError(f"unknown bulk_load mode {mode!r}")
-        filled = any(has_parquet(self.spark, self.path(sub)) for sub in ("hot", "ingest", "cold"))
+        filled = any(has_parquet(self.spark, self.path(sub)) for sub in ("hot", "archive"))
         if mode == "skip_if_nonempty" and filled:
             return False
         if not filled:
             self.append(sig)
-        else:
-            fresh = SignalStore(self.spark, self.path(f"_load-{uuid.uuid4().hex}"))
-            fresh.append(sig)
-            for sub in ("hot", "ingest", "cold", "l1", "l2", "_manifest"):
-                delete_path(self.spark, self.path(sub))
-            fs, new = hadoop_fs(self.spark, fresh.path("hot"))
-            fs.rename(new, hadoop_fs(self.spark, self.path("hot"))[1])
-            delete_path(self.spark, fresh.root)
+            if rollups:
+                self.rebuild_rollups()
+            return True
+        now = self.generation()
+        fresh = SignalStore(self.spark, self._staged("load"))
+        fresh.append(sig)
         if rollups:
-            self.rebuild_rollups()
+            fresh.rebuild_rollups()
+        if path_exists(self.spark, f"{fresh.root}/rejects"):
+            for name, p in fresh._folders(f"{fresh.root}/rejects", "batch="):
+                self._rename(p, f"{self.root}/rejects/{name}")
+        hadoop_fs(self.spark, fresh.path("hot"))[0].mkdirs(hadoop_fs(self.spark, fresh.path("hot"))[1])     # a load without rows counts too
+        for name, p in self._folders(self.root, "g="):
+            if int(name[2:]) < now:
+                delete_path(self.spark, p)
+        self._rename(fresh.path("")[:-1], f"{self.root}/g={now + 1:06d}")
+        delete_path(self.spark, fresh.root)
         return True
 
+    # ---- rollups --------------------------------------------------------------------------
     def _write_rollup(self, layer: str, rows: DataFrame) -> None:
         sub, _ = ROLLUP_LAYERS[layer]
-        out = _time_ordered(rows).withColumn("dt", day_of("ts"))
+        out = _time_ordered(rows.withColumn("dt", day_of("ts")), "dt")
         (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("dt").parquet(self.path(sub)))
 
-    def rebuild_rollups(self, days: list[_dt.date] | None = None) -> None:
-        """Recompute L1 and L2 for ``days`` (all days when ``None``).
+    def rebuild_rollups(self) -> None:
+        """Compute L1 and L2 of the whole store: L1 from the unified L0; L2 from the L1 just written (about 60x less
+        input, count-weighted means), so L0 is read once (R1, R2)."""
+        self._write_rollup("L1", rollup(self.unified(), MINUTE_MS))
+        self._write_rollup("L2", rollup_from_rollup(self.rollup_layer("L1"), HOUR_MS))
+
+    def refresh_hours(self, hours: list[int]) -> None:
+        """Recompute the L1 and L2 buckets of ``hours`` (their starts) from their L0 rows alone.
 
-        L1 is aggregated from the unified L0; L2 from the L1 just written (about 60x less
-        input, count-weighted means), so L0 is read once. Minute and hour buckets never cross
-        a UTC midnight, so whole days are exact units; only those day partitions are replaced
-        (R1-R5, fixes K13/K14/K18).
+        Both layers' buckets lie inside one hour. The other stored buckets of the same days are
+        carried over: a day of L1 has 1,440 buckets per channel, whatever its number of rows.
         """
-        src = self.unified()
-        if days is not None:
-            if not days:
-                return
-            src = src.filter(F.col("dt").isin(list(days)))
-        self._write_rollup("L1", rollup(src, MINUTE_MS))
-        l1 = self.rollup_layer("L1")
-        if days is not None:
-            l1 = l1.filter(F.col("dt").isin(list(days)))
-        self._write_rollup("L2", rollup_from_rollup(l1, HOUR_MS))
-
-    def _stale_days(self, days: list[_dt.date]) -> list[_dt.date]:
-        """Days of which a rollup's row total differs from their L0 row count (append-only store:
-        a day's content only changes by gaining rows, so equal counts mean up to date)."""
-        def totals(df, n):      # one row per day
-            return {r["dt"]: r["n"] for r in df.filter(F.col("dt").isin(days)).groupBy("dt").agg(n.alias("n")).collect()}
-
-        l0 = totals(self.unified(), F.count(F.lit(1)))
-        l1, l2 = (totals(self.rollup_layer(x), F.sum("n")) for x in ("L1", "L2"))
-        return sorted(d for d, n in l0.items() if not n == l1.get(d) == l2.get(d))
+        if not hours:
+            return
+        days = sorted({date_of_ms(h) for h in hours})
+        named = self.spark.createDataFrame([(int(h),) for h in sorted(hours)], "_hour bigint")
+        hour = bucket_start("ts", HOUR_MS)
+        in_days = F.col("dt").isin(days)
+        rows = self.unified().where(in_days & F.col("ts").between(min(hours), max(hours) + HOUR_MS - 1))
+        touched = rows.withColumn("_hour", hour).join(F.broadcast(named), "_hour", "left_semi")     # one row per hour
+        new = materialize(rollup(touched, MINUTE_MS))
+        for layer, fresh in (("L1", new), ("L2", rollup_from_rollup(new, HOUR_MS))):
+            stored = self.rollup_layer(layer).where(in_days).withColumn("_hour", hour)
+            others = stored.join(F.broadcast(named), "_hour", "left_anti").drop("_hour", "dt")
+            self._write_rollup(layer, materialize(others.unionByName(fresh)))
+
+    def _stale_hours(self, days: Column | None = None) -> list[int]:
+        """Hours of ``days`` whose rollups do not count as many rows as L0 (append-only store: an hour's content
+        only changes by gaining rows, so equal counts mean up to date)."""
+        hour = bucket_start("ts", HOUR_MS).alias("hour")
+
+        def totals(df, n, name):
+            return (df if days is None else df.where(days)).groupBy(hour).agg(n.alias(name))
+
+        found = totals(self.unified(), F.count(F.lit(1)), "l0")
+        for layer in ("L1", "L2"):
+            found = found.join(totals(self.rollup_layer(layer), F.sum("n"), layer), "hour", "left")
+        stale = found.where(~(F.col("l0").eqNullSafe(F.col("L1")) & F.col("l0").eqNullSafe(F.col("L2"))))
+        return sorted(r["hour"] for r in stale.select("hour").collect())        # one row per stale hour
+
+    def _refresh_stale(self, days: list[_dt.date]) -> list[_dt.date]:
+        if not days:
+            return []
+        hours = self._stale_hours(F.col("dt").isin(days))
+        self.refresh_hours(hours)
+        return sorted({date_of_ms(h) for h in hours})
 
     def refresh_rollups(self, since_ms: int) -> list[_dt.date]:
-        """Incremental refresh (R3/R4): recompute the days from ``since_ms`` to the newest row
-        whose rollups are stale; returns them. A repeated refresh without new rows rewrites
-        nothing."""
-        first = date_of_ms(since_ms)
-        stale = self._stale_days([d for d in self._visible_days() if d >= first])
-        self.rebuild_rollups(stale)
-        return stale
+        """Incremental refresh (R3/R4) of the stale hours from the day of ``since_ms`` on; returns their days. A repeated
+        refresh without new rows rewrites nothing."""
+        hours = self._stale_hours(F.col("dt") >= F.lit(date_of_ms(since_ms)))
+        self.refresh_hours(hours)
+        return sorted({date_of_ms(h) for h in hours})
 
     # ---- archive ----------------------------------------------------------------------------
     def archive_before(self, watermark_ms: int) -> ArchiveResult:
@@ -436,44 +420,50 @@ class SignalStore:
         old = self.watermark()
         if old is not None and w <= old:
             return ArchiveResult(False, 0, old)
-        cutoff, done = date_of_ms(w).isoformat(), {name for name, _ in self._archives()}
-        for name, p, _ in self._list(self.path("cold")):       # what a crashed archive left
-            if name not in done:
-                delete_path(self.spark, p)
-        days = {sub: {d: fs for d, fs in dirs.items() if d.rstrip("/").rsplit("dt=", 1)[1] < cutoff}
-                for sub, dirs in self._hot_files().items()}
-        # the files to move, pinned before the export: one that appears later is left for the next archive
-        files = {sub: [f for d, fs in dirs.items() for f in (fs if fs != [d] else [x for _, x, _ in self._list(d)])]
-                 for sub, dirs in days.items()}
-        moving = self._read("hot", SIGNAL_STORED_SCHEMA, files["hot"]).unionByName(
-            self._read("ingest", SIGNAL_STORED_SCHEMA, files["ingest"]))
-        per_day = moving.groupBy("dt").count().collect()                    # Q8; one row per day
-        rows = sum(r["count"] for r in per_day)
+        for _, p in self._folders(f"{self.root}/_staged", "archive-"):      # what a crashed archive left
+            delete_path(self.spark, p)
+        # one listing: what appears later is in neither the export nor its list
+        moving = self._visible_hot().where(F.col("dt") < F.lit(date_of_ms(w)))
+        moved = materialize(moving.groupBy("batch", "dt").agg(F.count(F.lit(1)).alias("rows")))
+        per_day = moved.groupBy("dt").agg(F.sum("rows").alias("rows")).collect()       # Q8; one row per day
+        rows = sum(r["rows"] for r in per_day)
         if rows == 0:
             return ArchiveResult(False, 0, old)
-        archive = f"{w:013d}-{uuid.uuid4().hex[:12]}"
-        export = _time_ordered(moving.select("ts", "channel_id", "value")).withColumn("dt", day_of("ts"))
-        export.write.partitionBy("dt").parquet(self.path(f"cold/a={archive}"))   # S7, whole days
-        # Rebuild the rollups of moved days only where they are stale; up-to-date days are left
-        # untouched, so relations that already read them keep working and unchanged days cost nothing.
-        self.rebuild_rollups(self._stale_days([r["dt"] for r in per_day]))
-        previous = self._moved()
-        self._commit(w, rows, archive, files["hot"] + files["ingest"])
-        for f in sorted(previous):                                          # S9, one cycle late
-            delete_path(self.spark, f)
-            day = f.rsplit("/", 1)[0]
-            for empty in (day, day.rsplit("/", 1)[0]):
-                if not has_parquet(self.spark, empty) and "=" in empty.rsplit("/", 1)[1]:
-                    delete_path(self.spark, empty)
+        staged = self._staged("archive")
+        export = _time_ordered(moving.select("ts", "channel_id", "value", "dt"), "dt")
+        export.write.partitionBy("dt").parquet(staged)                                  # S7, whole days
+        moved.select("batch", "dt").write.parquet(f"{staged}/_moved")
+        # Only stale hours of the moved days are rebuilt, so relations that already read the others keep working
+        self._refresh_stale([r["dt"] for r in per_day])
+        self._clean()                                                                   # S9, one cycle late
+        self._commit(staged, w)
         return ArchiveResult(True, rows, w)
 
-    def _commit(self, w: int, rows: int, archive: str, files: list[str]) -> None:
-        """The commit point: a manifest folder that counts once its write job is complete."""
-        path = self.path(f"_manifest/w={w:013d}")
-        row = self.spark.createDataFrame([(w, rows, int(time.time() * 1000), archive, files)], MANIFEST_SCHEMA)
-        staged = self.path(f"_manifest/_new-{archive}")
-        row.coalesce(1).write.json(staged)
-        fs, mark = hadoop_fs(self.spark, f"{staged}/_{archive}")
-        fs.create(mark).close()
-        delete_path(self.spark, path)
-        fs.rename(hadoop_fs(self.spark, staged)[1], hadoop_fs(self.spark, path)[1])
+    def _commit(self, staged: str, w: int) -> None:
+        """The commit point: the archive and its list appear in one step."""
+        self._rename(staged, self.path(f"archive/a={w:013d}-{uuid.uuid4().hex[:12]}"))
+
+    def _clean(self) -> None:
+        """Delete the hot folders that committed archives hold."""
+        cleaned = self._cleaned()
+        pending = [(w, p) for w, p in self._archives() if w > cleaned]
+        if not pending:
+            return
+        hot = self.path("hot")
+
+        def drop(r) -> None:
+            delete_path(self.spark, f"{hot}/batch={r['batch']}/dt={r['dt']}")
+            if not self._folders(f"{hot}/batch={r['batch']}", "dt="):
+                delete_path(self.spark, f"{hot}/batch={r['batch']}")
+
+        with ThreadPoolExecutor(8) as pool:
+            for _ in pool.map(drop, self._moved([p for _, p in pending]).distinct().toLocalIterator()):
+                pass
+        fs, mark = hadoop_fs(self.spark, self.path(f"_cleaned/w={pending[-1][0]:013d}"))
+        fs.mkdirs(mark)
+        for name, p in self._folders(self.path("_cleaned"), "w=")[:-1]:
+            delete_path(self.spark, p)
+
+
+# Before any row, in milliseconds and still a date.
+_NO_TIME = -50_000_000_000_000

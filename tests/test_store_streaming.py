@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
-import os
+import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
 from sigstrata.operators import rollup
@@ -13,7 +14,7 @@ from sigstrata.session import scratch_path
 from sigstrata.sources.adapters import channel_dictionary, ensure_channels
 from sigstrata.sources.ingest import parse_rows
 from sigstrata.sources.store import SignalStore
-from sigstrata.streaming.jobs import file_source, ingest_metrics, rollup_stream, start_ingest, start_rollup
+from sigstrata.streaming.jobs import await_end, file_source, ingest_metrics, rollup_stream, start_ingest, start_rollup
 
 from .conftest import sorted_rows
 
@@ -44,24 +45,149 @@ def test_archive_two_steps_keeps_view_and_rollups(spark, make_sig):
     assert sorted_rows(store.unified().select("ts", "channel_id", "value")) == sorted(rows)
     assert _rollup_rows(store.rollup_layer("L1")) == want_l1
     assert _rollup_rows(store.rollup_layer("L2")) == _rollup_rows(rollup(sig, HOUR_MS))
-    hot_dir = store.path("hot").removeprefix("file:")
-    hot_days = sorted(p for p in os.listdir(hot_dir) if p.startswith("dt="))
+    hot_days = [name for _, batch in store._folders(store.path("hot"), "batch=") for name, _ in store._folders(batch, "dt=")]
     # days moved by the first archive are dropped by the second; those moved by the second stay
     # (hidden) until the next archive, so relations built before it remain readable
     assert hot_days == ["dt=2022-01-10", "dt=2022-01-11", "dt=2022-01-12"]
 
 
-def test_archive_crash_before_commit_has_no_duplicates(spark, make_sig):
+class _Stopped(Exception):
+    pass
+
+
+def _stop(*_):
+    raise _Stopped
+
+
+def test_archive_crash_before_commit_has_no_duplicates(spark, make_sig, monkeypatch):
     sig, rows = _five_days(make_sig)
     store = SignalStore(spark, scratch_path(spark, "t-crash"))
     store.bulk_load(sig)
-    # simulate a crash after the export step: cold files exist, manifest not written
-    moving = store.hot().filter(F.col("ts") < D0 + 2 * DAY_MS).select("ts", "channel_id", "value", "dt")
-    moving.write.mode("overwrite").partitionBy("dt").parquet(store.path("cold"))
-    assert store.watermark() is None
-    assert sorted_rows(store.unified().select("ts", "channel_id", "value")) == sorted(rows)
-    store.archive_before(D0 + 2 * DAY_MS)                      # retry is idempotent
-    assert sorted_rows(store.unified().select("ts", "channel_id", "value")) == sorted(rows)
+    with monkeypatch.context() as m:
+        m.setattr(SignalStore, "_commit", _stop)
+        with pytest.raises(_Stopped):
+            store.archive_before(D0 + 2 * DAY_MS)
+    assert store.watermark() is None and _all(store) == sorted(rows)
+    store.archive_before(D0 + 2 * DAY_MS)                      # what the crash left is no part of the retry
+    assert _all(store) == sorted(rows) and store._folders(f"{store.root}/_staged", "") == []
+
+
+def test_two_archives_that_stop_before_cleaning_double_nothing(spark, make_sig, monkeypatch):
+    sig, rows = _five_days(make_sig)
+    store = SignalStore(spark, scratch_path(spark, "t-crash2"))
+    store.bulk_load(sig)
+    store.archive_before(D0 + DAY_MS)
+    with monkeypatch.context() as m:
+        m.setattr("sigstrata.sources.store.delete_path", _stop)         # nothing gets deleted any more
+        for day in (2, 3):
+            m.setattr(SignalStore, "_clean", lambda self: None)
+            store.archive_before(D0 + day * DAY_MS)
+            assert _all(store) == sorted(rows)
+    store.archive_before(D0 + 4 * DAY_MS)                      # deletes what the three before have moved
+    assert _all(store) == sorted(rows)
+    days = [name for _, batch in store._folders(store.path("hot"), "batch=") for name, _ in store._folders(batch, "dt=")]
+    assert days == ["dt=2022-01-11", "dt=2022-01-12"]
+
+
+def test_an_append_during_an_archive_is_kept_and_moved_by_the_next(spark, make_sig, monkeypatch):
+    sig, rows = _five_days(make_sig)
+    store = SignalStore(spark, scratch_path(spark, "t-race"))
+    store.bulk_load(sig.filter("channel_id = 0"))
+    commit = SignalStore._commit
+
+    def racing(self, *args):
+        monkeypatch.setattr(SignalStore, "_commit", commit)
+        self.append(sig.filter("channel_id = 1"))
+        commit(self, *args)
+
+    monkeypatch.setattr(SignalStore, "_commit", racing)
+    store.archive_before(D0 + 2 * DAY_MS)
+    assert _all(store) == sorted(rows)
+    store.archive_before(D0 + 3 * DAY_MS)
+    assert _all(store) == sorted(rows) and store.cold().count() == len([r for r in rows if r[0] < D0 + 3 * DAY_MS])
+
+
+def test_keyed_append_retried_after_its_archive_is_stored_once(spark, make_sig):
+    sig, rows = _five_days(make_sig)
+    store = SignalStore(spark, scratch_path(spark, "t-key-archive"))
+    for day in (2, 3, 4):
+        store.append(sig, key="load-1")
+        store.archive_before(D0 + day * DAY_MS)
+        assert _all(store) == sorted(rows)
+    store.append(sig, key="load-1")
+    assert _all(store) == sorted(rows) and not store.holds("load-2")
+
+
+def test_a_crash_inside_a_replacement_leaves_the_old_rows(spark, make_sig, monkeypatch):
+    sig, rows = _five_days(make_sig)
+    store = SignalStore(spark, scratch_path(spark, "t-crash3"))
+    store.bulk_load(sig)
+    for step in ("rebuild_rollups", "_rename"):
+        with monkeypatch.context() as m:
+            calls = getattr(SignalStore, step)
+            m.setattr(SignalStore, step, lambda self, *a: _stop() if step != "_rename" or "/g=" in a[1].rsplit("/", 1)[1:][0] or a[1].endswith("g=000001") else calls(self, *a))
+            with pytest.raises(_Stopped):
+                store.bulk_load(make_sig([(D0, 9, 1.0)]), mode="overwrite")
+        assert _all(store) == sorted(rows)
+    old = store.unified()
+    store.bulk_load(make_sig([(D0, 9, 1.0)]), mode="overwrite")
+    assert _all(store) == [(D0, 9, 1.0)] and old.count() == len(rows)        # relations of the old rows still read
+    store.bulk_load(make_sig([]), mode="overwrite")
+    assert _all(store) == [] and store.overview().first()["total_rows"] == 0
+
+
+def test_one_new_row_recomputes_one_hour(spark, make_sig, monkeypatch):
+    rows = [(D0 + i * 1000, i % 2, float(i % 11)) for i in range(86_400)]
+    store = SignalStore(spark, scratch_path(spark, "t-delta"))
+    store.bulk_load(make_sig(rows))
+    new = [(D0 + 7 * HOUR_MS + 5, 0, 99.0)]
+    store.append(make_sig(new))
+    counted, plain = [], rollup
+    monkeypatch.setattr("sigstrata.sources.store.rollup", lambda df, w: counted.append(df.count()) or plain(df, w))
+    assert [str(d) for d in store.refresh_rollups(D0)] == ["2022-01-08"] and counted == [3601]
+    assert store.refresh_rollups(D0) == [] and counted == [3601]
+    monkeypatch.undo()
+    for layer, width in (("L1", MINUTE_MS), ("L2", HOUR_MS)):
+        assert _rollup_rows(store.rollup_layer(layer)) == _rollup_rows(rollup(make_sig(rows + new), width))
+
+
+def test_stream_refreshes_rollups_at_most_every_five_seconds(spark, make_sig, monkeypatch):
+    src, root = scratch_path(spark, "t-src"), scratch_path(spark, "t-throttle")
+    rows = [(D0 + i * HOUR_MS + 1, 0, float(i)) for i in range(6)]
+    for i, r in enumerate(rows):
+        make_sig([r]).coalesce(1).write.parquet(f"{src}/{i}")
+    calls, plain = [], SignalStore.refresh_hours
+    monkeypatch.setattr(SignalStore, "refresh_hours", lambda self, hours: calls.append(len(hours)) or plain(self, hours))
+    store = _ingest_all(spark, file_source(spark, f"{src}/*", make_sig([]).schema, max_files_per_trigger=1), root, rollups=True, refresh_every=1000.0)
+    assert calls == [1, 5]              # the first batch, and what was left at the end
+    assert _rollup_rows(store.rollup_layer("L1")) == _rollup_rows(rollup(make_sig(rows), MINUTE_MS))
+
+
+def test_rollups_that_a_crash_left_are_finished_after_the_restart(spark, make_sig, monkeypatch):
+    src, root = scratch_path(spark, "t-src"), scratch_path(spark, "t-unrolled")
+    rows = [(D0 + i * DAY_MS, 0, float(i)) for i in range(3)]
+    make_sig(rows[:2]).coalesce(1).write.parquet(f"{src}/0")
+    stream = lambda: file_source(spark, f"{src}/*", make_sig([]).schema)
+    with monkeypatch.context() as m:
+        m.setattr("sigstrata.streaming.jobs._Ingest.finish", lambda self, spark: None)      # stored, never rolled up
+        _ingest_all(spark, stream(), root, rollups=True)
+    make_sig(rows[2:]).coalesce(1).write.parquet(f"{src}/1")
+    store = _ingest_all(spark, stream(), root, rollups=True)
+    assert _rollup_rows(store.rollup_layer("L2")) == _rollup_rows(rollup(make_sig(rows), HOUR_MS))
+
+
+def test_many_small_batches_are_listed_fast(spark, make_sig):
+    import time
+    root = scratch_path(spark, "t-many")
+    store = SignalStore(spark, root)
+    store.append(make_sig([(D0, 0, 1.0)]), key="k0")
+    first = store._folders(store.path("hot"), "batch=")[0][1].removeprefix("file:")
+    for i in range(1, 600):
+        shutil.copytree(first, f"{first[:-1]}{i}")
+    store.unified().count()
+    began = time.time()
+    assert store.unified().select("ts").count() == 600
+    assert time.time() - began < 10 and len(store.unified().inputFiles()) == 600
 
 
 def test_partition_pruning_on_store(spark, make_sig):
@@ -111,7 +237,7 @@ def test_stream_ingest_and_metrics(spark, make_sig):
     src = _stream_dir(spark, make_sig, rows)
     root = scratch_path(spark, "t-ingest")
     stream = file_source(spark, src, make_sig([]).schema, max_files_per_trigger=1)
-    q = start_ingest(stream, f"{root}/ingest", f"{root}/_ckpt", trigger={"availableNow": True})
+    q = start_ingest(stream, root, f"{root}/_ckpt", trigger={"availableNow": True})
     q.awaitTermination()
     assert sorted_rows(SignalStore(spark, root).unified().select("ts", "channel_id", "value")) == sorted(rows)
     m = [r for r in ingest_metrics(spark, q).collect() if r["num_input_rows"] > 0]
@@ -167,7 +293,7 @@ def test_drain_and_stop(spark, make_sig):
     rows = [(D0 + i, 0, 1.0) for i in range(50)]
     src = _stream_dir(spark, make_sig, rows)
     root = scratch_path(spark, "t-drain")
-    q = start_ingest(file_source(spark, src, make_sig([]).schema), f"{root}/ingest", f"{root}/_ckpt")
+    q = start_ingest(file_source(spark, src, make_sig([]).schema), root, f"{root}/_ckpt")
     drain_and_stop(q)
     assert not q.isActive
     assert SignalStore(spark, root).unified().count() == 50
@@ -216,18 +342,6 @@ def test_store_overview_matches_full_scan(spark, make_sig):
     assert got.asDict() == want.asDict() and got["total_rows"] == len(rows)
 
 
-def test_uncommitted_manifest_entry_is_ignored(spark, make_sig):
-    sig, rows = _five_days(make_sig)
-    store = SignalStore(spark, scratch_path(spark, "t-manifest"))
-    store.bulk_load(sig)
-    store.archive_before(D0 + 2 * DAY_MS)
-    crashed = store.path(f"_manifest/w={D0 + 4 * DAY_MS:013d}").removeprefix("file:")
-    os.makedirs(crashed)
-    open(os.path.join(crashed, "part-00000.json"), "w").close()    # no _SUCCESS: never committed
-    assert store.watermark() == D0 + 2 * DAY_MS
-    assert sorted_rows(store.unified().select("ts", "channel_id", "value")) == sorted(rows)
-
-
 def test_register_views_for_sql(spark, make_sig):
     sig, rows = _five_days(make_sig)
     store = SignalStore(spark, scratch_path(spark, "t-views"))
@@ -265,9 +379,9 @@ def test_store_page_reads_only_needed_days_and_matches(spark, make_sig):
             cursor, _ = next_cursor(got)
         expect = [r for r in rows if ch is None or r[1] == ch]
         assert sorted(seen) == sorted(expect)
-    first = store.page(10)
-    plan = first._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(dt" in plan and "2022-01-13" in plan
+    read = store.page(10).select(F.count(F.lit(1)))        # two days and the newest hours of a third hold ten rows
+    plan = store.page(10)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(dt" in plan and "Subquery" in plan and read.first()[0] == 10
 
 
 def test_relation_built_before_archive_still_reads(spark, make_sig):
@@ -296,8 +410,8 @@ def test_archive_backfills_only_stale_rollup_days(spark, make_sig):
 
 
 def _ingest_all(spark, stream, root, **options):
-    q = start_ingest(stream, f"{root}/ingest", f"{root}/_ckpt", trigger={"availableNow": True}, **options)
-    q.awaitTermination()
+    q = start_ingest(stream, root, f"{root}/_ckpt", trigger={"availableNow": True}, **options)
+    await_end(q)
     return SignalStore(spark, root)
 
 
@@ -310,7 +424,7 @@ def test_null_and_non_finite_rows_are_rejected(spark):
     store = SignalStore(spark, scratch_path(spark, "t-null"))
     store.append(spark.createDataFrame(rows, "ts long, channel_id int, value double"))
     assert _all(store) == [(D0, 0, 1.0)] and store.rejects().count() == 5
-    assert [str(d) for d in store._visible_days()] == ["2022-01-08"]
+    assert store.append(store.unified()) == [] and store.rejects().count() == 5 and len(_all(store)) == 2
 
 
 def test_keyed_append_can_be_retried(spark, make_sig):
@@ -374,5 +488,4 @@ def test_hot_ts_is_split_over_files(spark, make_sig):
         store.append(make_sig([(D0, c, float(v)) for c in range(4) for v in range(5000)]).repartition(8))
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    files = [f for d in store._list(store.path("hot")) for f in store._list(d[1])]
-    assert len(files) > 1 and len(_all(store)) == 20_000
+    assert len(store.hot().inputFiles()) > 1 and len(_all(store)) == 20_000
