@@ -1,32 +1,23 @@
 """Shape-preserving downsampling: MinMax preselect (E1), LTTB (E2), dispatch (E3), budget.
 
 E1 is an aggregate over time slices; only slices that a bucket edge cuts are ranked. E2 is inherently sequential
-(each pick depends on the previous one), so it runs per series in a grouped-map Pandas
-function -- but only ever on at most ``8 * threshold`` points per series, because E3 sends
+(each pick depends on the previous one), so it is a fold over the sorted points of one series, in the
+JVM -- but only ever on at most ``8 * threshold`` points per series, because E3 sends
 bigger series through E1 first. Series are processed in parallel.
 """
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.args import int_arg
-from ..session import materialize
+from ..session import materialize_measured
 from .joins import bounded_broadcast
 from .slices import CROWDED, SLICE_ROWS, place_in_range, rank_rows, with_slices
 
-# The grouped-map kernel is shipped to Python workers by value, so executors need only numpy
-# and pandas, not this package on their path.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 # Fixed values of the dispatch rule: preselect above 8x the threshold, into 4x buckets.
 PRESELECT_FACTOR = 8
 PRESELECT_BUCKETS_PER_POINT = 4
@@ -38,48 +29,49 @@ def point_budget(pixel_width: int) -> int:
     return max(MIN_POINT_BUDGET, 2 * int(pixel_width))
 
 
-def lttb_indices(x: np.ndarray, y: np.ndarray, threshold: int) -> np.ndarray:
-    """Positions kept by Largest-Triangle-Three-Buckets (E2) on ordered points.
+def lttb_picks(points: str, threshold: int) -> Column:
+    """Largest-Triangle-Three-Buckets (E2) on a column of ordered arrays of structs with ``ts`` and ``value``: the points kept.
 
     First and last points are kept; the inner points are cut into ``threshold - 2`` buckets of
     fractional width; in each, the point forming the largest triangle with the previous pick and
-    the centre of the next bucket wins, earliest on ties. Inputs with ``threshold >= n`` or
-    ``threshold < 3`` are returned whole. Times are taken from the first point on, so that
+    the centre of the next bucket wins, earliest on ties. Arrays with ``threshold >= n`` or
+    ``threshold < 3`` are kept whole. Times are taken from the first point on, so that
     their sums are exact.
     """
-    size, inner = len(x), threshold - 2
-    if threshold >= size or inner < 1:
-        return np.arange(size)
-    # bucket b is points[edges[b]:edges[b + 1]]; the one after the last is the last point
-    edges = np.minimum(np.floor(np.arange(inner + 2) * ((size - 2) / inner)).astype(np.int64) + 1, size)
-    points = np.column_stack([x - x[0], y])
-    centres = np.add.reduceat(points, edges[1:-1], axis=0) / np.diff(edges)[1:, None]
-    picks = [0]
-    for begin, stop, centre in zip(edges, edges[1:], centres):
-        legs, base = points[begin:stop] - points[picks[-1]], centre - points[picks[-1]]
-        twice_area = np.abs(legs[:, 0] * base[1] - legs[:, 1] * base[0])
-        picks.append(int(begin + np.argmax(twice_area)))
-    return np.array([*picks, size - 1])
-
-
-def _series_schema(df: DataFrame, series: Sequence[str]) -> T.StructType:
-    fields = [df.schema[c] for c in series]
-    return T.StructType(fields + [T.StructField("seq", T.LongType(), False),
-                                  T.StructField("ts", T.LongType(), False),
-                                  T.StructField("value", T.DoubleType(), False)])
-
-
-def _lttb_group_fn(threshold: int, series: Sequence[str]):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        # ``seq`` orders preselected points; raw points carry seq 0 and sort by (ts, value)
-        pdf = pdf.sort_values(["seq", "ts", "value"], kind="mergesort")
-        x = pdf["ts"].to_numpy(dtype=np.float64)
-        y = pdf["value"].to_numpy(dtype=np.float64)
-        keep = lttb_indices(x, y, threshold)
-        out = pdf.iloc[keep][[*series, "ts", "value"]].copy()
-        out.insert(len(series), "seq", np.arange(len(keep), dtype=np.int64))
-        return out
-    return fn
+    inner = threshold - 2
+    if inner < 1:
+        return F.col(points)
+
+    def edge(k: str) -> str:
+        # bucket k is points[edge(k)] up to before points[edge(k + 1)]; the one after the last is the last point
+        return f"least(cast(floor({k} * ((size({points}) - 2) / {inner}D)) AS int) + 1, size({points}))"
+
+    def part(k: int) -> str:
+        return f"slice({points}, {edge(f'(k + {k})')} + 1, {edge(f'(k + {k + 1})')} - {edge(f'(k + {k})')})"
+
+    def x(p: str) -> str:
+        return f"cast({p}.ts - {points}[0].ts AS double)"
+
+    area = f"""abs(({x('p')} - {x('acc.last')}) * (b.y - acc.last.value) - (p.value - acc.last.value) * (b.x - {x('acc.last')}))"""
+    return F.expr(f"""
+        CASE WHEN size({points}) <= {threshold} THEN {points} ELSE aggregate(
+            transform(transform(sequence(0, {inner - 1}), k -> named_struct('own', {part(0)}, 'next', {part(1)})),
+                      b -> named_struct('own', b.own, 'x', aggregate(b.next, 0D, (a, p) -> a + {x('p')}) / size(b.next),
+                                        'y', aggregate(b.next, 0D, (a, p) -> a + p.value) / size(b.next))),
+            named_struct('last', {points}[0], 'kept', array({points}[0])),
+            (acc, b) -> transform(
+                array(b.own[-array_max(transform(b.own, (p, i) -> named_struct('area', {area}, 'back', -i))).back]),
+                pick -> named_struct('last', pick, 'kept', concat(acc.kept, array(pick))))[0],
+            acc -> concat(acc.kept, slice({points}, -1, 1))) END""")
+
+
+def _lttb(points: DataFrame, threshold: int, series: Sequence[str]) -> DataFrame:
+    """E2 per series of ``series..., seq, ts, value`` rows (``seq`` orders preselected points; raw points carry 0),
+    at most ``8 * threshold`` a series."""
+    listed = points.groupBy(*series).agg(F.array_sort(F.collect_list(F.struct("seq", "ts", "value"))).alias("_points"))
+    kept = listed.select(*series, lttb_picks("_points", threshold).alias("_kept"))
+    return (kept.select(*series, F.posexplode("_kept").alias("_at", "_p"))
+            .select(*series, F.col("_at").cast("bigint").alias("seq"), "_p.ts", "_p.value"))
 
 
 def _bucket(index: Column, buckets: int) -> Column:
@@ -103,21 +95,22 @@ def _preselect(sized: DataFrame, series: Sequence[str], buckets: int, slice_rows
     keys = [*series, "_path"]
     before = Window.partitionBy(*series).orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)
     slices = rows.groupBy(*keys, "_n").agg(F.count(F.lit(1)).alias("_rows"), *_points())
-    slices = slices.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0).cast("bigint")))
-    first, last = _bucket(F.col("_before"), buckets), _bucket(F.col("_before") + F.col("_rows") - 1, buckets)
-    slices = materialize(slices.withColumns({"_b": first, "_cut": first != last}))
+    slices = slices.withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0).cast("bigint")))
+    first, last = _bucket(F.col("_offset"), buckets), _bucket(F.col("_offset") + F.col("_rows") - 1, buckets)
+    crowd = F.col("_cut") & (F.col("_rows") > CROWDED * slice_rows)
+    slices, seen = materialize_measured(slices.withColumns({"_b": first, "_cut": first != last}), crowded=F.count_if(crowd), cut=F.count_if("_cut"))
     whole = slices.where("not _cut").select(*series, "_b", "lo", "hi")
     # a cut slice holds an edge, so a series has fewer of them than buckets
-    cut = slices.where("_cut").select(*keys, "_n", "_before", (F.col("_rows") > CROWDED * slice_rows).alias("_crowded"))
-    within = with_slices(rows.select(*series, "_path", "ts", "value"), cut, series)
+    cut = slices.where("_cut").select(*keys, "_n", "_offset", crowd.alias("_crowded"))
+    within = with_slices(rows.select(*series, "_path", "ts", "value"), cut, series, seen["cut"])
     place = Window.partitionBy(*keys).orderBy("ts", "value")
     ranked = within.where("not _crowded").withColumn("_at", (F.row_number().over(place) - 1).cast("bigint")).drop("_crowded")
-    if slices.where(F.col("_cut") & (F.col("_rows") > CROWDED * slice_rows)).limit(1).count():
-        held = [*series, "_n", "_before"]
+    if seen["crowded"]:
+        held = [*series, "_n", "_offset"]
         crowded = within.where("_crowded").select(*held, "ts", "value")
         crowded = rank_rows(crowded, [("ts", False), ("value", False)], held, "_at", slice_rows=slice_rows)
         ranked = ranked.select(*held, "ts", "value", "_at").unionByName(crowded)
-    edges = (ranked.withColumn("_b", _bucket(F.col("_before") + F.col("_at"), buckets)).groupBy(*series, "_b").agg(*_points()))
+    edges = (ranked.withColumn("_b", _bucket(F.col("_offset") + F.col("_at"), buckets)).groupBy(*series, "_b").agg(*_points()))
     agg = whole.unionByName(edges).groupBy(*series, "_b").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     lo, hi = F.struct("lo.ts", "lo.value"), F.struct((-F.col("hi.back")).alias("ts"), F.col("hi.value").alias("value"))
     pair = F.when(lo <= hi, F.array(lo, hi)).otherwise(F.array(hi, lo))
@@ -129,9 +122,9 @@ def _preselect(sized: DataFrame, series: Sequence[str], buckets: int, slice_rows
 def _sized(sig: DataFrame, series: Sequence[str]) -> tuple[DataFrame, int]:
     """The rows with the size and time range of their series, and the largest size."""
     rows = sig.select(*series, "ts", "value")
-    sizes = materialize(rows.groupBy(*series).agg(F.count(F.lit(1)).alias("_n"), F.min("ts").alias("_first"), F.max("ts").alias("_last")))
-    n_series, max_n = sizes.agg(F.count(F.lit(1)), F.max("_n")).first()
-    return rows.join(bounded_broadcast(sizes, known_rows=n_series), list(series)), max_n or 0
+    sizes = rows.groupBy(*series).agg(F.count(F.lit(1)).alias("_n"), F.min("ts").alias("_first"), F.max("ts").alias("_last"))
+    sizes, seen = materialize_measured(sizes, series=F.count(F.lit(1)), most=F.max("_n"))
+    return rows.join(bounded_broadcast(sizes, known_rows=seen["series"]), list(series)), seen["most"] or 0
 
 
 def _numbered(sized: DataFrame, series: Sequence[str]) -> DataFrame:
@@ -178,6 +171,4 @@ def downsample(sig: DataFrame, threshold: int, series: Sequence[str] = ("channel
     if max_n > PRESELECT_FACTOR * t:
         big = _preselect(sized.filter(n > PRESELECT_FACTOR * t), series, PRESELECT_BUCKETS_PER_POINT * t)
         lttb_in = lttb_in.unionByName(big)
-    schema = _series_schema(lttb_in, series)
-    picked = lttb_in.groupBy(*series).applyInPandas(_lttb_group_fn(t, series), schema)
-    return passthru.unionByName(picked)
+    return passthru.unionByName(_lttb(lttb_in, t, series))

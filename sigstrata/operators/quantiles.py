@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, materialize_measured
 from .joins import bounded_broadcast
 from .slices import place_in_range
 
@@ -66,12 +66,16 @@ def _exact(df: DataFrame, keys: list[str], value: str, probs, names, accuracy: i
     small = F.col("_n") < accuracy
     begin = F.array(*[F.when(small, F.col("low")).otherwise(F.col("_q")[2 * i]) for i in range(len(order))])
     end = F.array(*[F.when(small, F.col("high")).otherwise(F.col("_q")[2 * i + 1]) for i in range(len(order))])
-    sketch = materialize(sketch.select("*", ranks.alias("_ranks"), begin.alias("_begin"), end.alias("_end")))
-    found = _select(rows, sketch.where("_n > 0"))
-    missed = sketch.where("_n > 0").join(found.where(F.size("_found") == F.size("_ranks")).select("_g"), "_g", "left_anti")
-    if missed.limit(1).count():
-        whole = missed.withColumns({"_begin": F.array("low"), "_end": F.array("high")})
-        found = found.join(missed.select("_g"), "_g", "left_anti").unionByName(_select(rows.join(missed.select("_g"), "_g", "left_semi"), whole))
+    sketch, seen = materialize_measured(sketch.select("*", ranks.alias("_ranks"), begin.alias("_begin"), end.alias("_end")),
+                                        groups=F.count(F.lit(1)), ranked=F.count_if(F.col("_n") > 0))
+    groups = seen["groups"]
+    whole = F.size("_found") == F.size("_ranks")
+    found, got = materialize_measured(_select(rows, sketch.where("_n > 0"), groups), ranked=F.count_if(whole))
+    if got["ranked"] < seen["ranked"]:
+        missed = sketch.where("_n > 0").join(found.where(F.size("_found") == F.size("_ranks")).select("_g"), "_g", "left_anti")
+        whole = materialize(missed.withColumns({"_begin": F.array("low"), "_end": F.array("high")}))
+        again = _select(rows.join(whole.select("_g"), "_g", "left_semi"), whole, groups)
+        found = found.join(whole.select("_g"), "_g", "left_anti").unionByName(again)
     out = sketch.join(found.select("_g", "_found"), "_g", "left")
 
     def between(x):
@@ -83,15 +87,19 @@ def _exact(df: DataFrame, keys: list[str], value: str, probs, names, accuracy: i
     return out.select(*own, "low", *[F.col(f"_is_{nm}").alias(nm) for nm in names], "high", "n")
 
 
-def _select(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+def _select(rows: DataFrame, wanted: DataFrame, groups: int) -> DataFrame:
     """``(_g, _ranks, _found)``: a map from wanted rank to value, from one scan of ``rows``."""
-    side = bounded_broadcast(wanted.select("_g", "_begin", "_end", "_ranks"), pin=False)
+    side = bounded_broadcast(wanted.select("_g", "_begin", "_end"), known_rows=groups)
     v = F.col("_v")
     # brackets ascend, so rows fall between two (counted) or into some (counted by value)
     behind = F.aggregate("_end", F.lit(0), lambda a, e: a + (e < v).cast("int"))
     inside = F.exists(F.arrays_zip("_begin", "_end"), lambda b: (b["_begin"] <= v) & (v <= b["_end"]))
     dealt = rows.where(v.isNotNull()).join(side, "_g").select("_g", behind.alias("_gap"), inside.alias("_in"), F.when(inside, v).alias("_v"))
-    counted = materialize(dealt.groupBy("_g", "_gap", "_in", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    counted, size = materialize_measured(dealt.groupBy("_g", "_gap", "_in", "_v").agg(F.count(F.lit(1)).alias("_c")), values=F.count(F.lit(1)))
+    ranks = bounded_broadcast(wanted.select("_g", "_ranks"), known_rows=groups)
+    if size["values"] <= BRACKET_VALUES:       # few enough to be ordered by group at once
+        up_to = Window.partitionBy("_g").orderBy("_gap", "_in", "_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return _picked(counted.withColumn("_end", F.sum("_c").over(up_to)).where("_in").join(ranks, "_g"))
     parts = counted.groupBy("_g", "_gap", "_in").agg(F.sum("_c").alias("_sum"), F.count(F.lit(1)).alias("_size"),
                                                      F.min("_v").alias("_low"), F.max("_v").alias("_high"))
     before = Window.partitionBy("_g").orderBy("_gap", "_in").rowsBetween(Window.unboundedPreceding, -1)
@@ -100,7 +108,7 @@ def _select(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         "_g", F.array("_gap").alias("_part"), "_before", "_sum", "_size", "_low", "_high", "_ranks")
     values = counted.where("_in").select("_g", F.array("_gap").alias("_part"), "_v", "_c")
     while True:
-        parts = materialize(parts)
+        parts = materialize(parts)      # a narrowed bracket is a part of its own
         large = parts.where(F.col("_size") > BRACKET_VALUES)
         if not large.limit(1).count():
             break
@@ -120,8 +128,12 @@ def _select(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         values = materialize(values.join(large.select("_g", "_part"), ["_g", "_part"], "left_anti").unionByName(kept))
         parts = parts.where(F.col("_size") <= BRACKET_VALUES).unionByName(cells)
     up_to = Window.partitionBy("_g", "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ordered = (values.join(parts.select("_g", "_part", "_before", "_ranks"), ["_g", "_part"])
-               .withColumn("_end", F.col("_before") + F.sum("_c").over(up_to)))
+    ordered = values.join(parts.select("_g", "_part", "_before", "_ranks"), ["_g", "_part"])
+    return _picked(ordered.withColumn("_end", F.col("_before") + F.sum("_c").over(up_to)))
+
+
+def _picked(ordered: DataFrame) -> DataFrame:
+    """The wanted ranks among values that end before the rank ``_end``."""
     hits = F.filter("_ranks", lambda r: (r < F.col("_end")) & (r >= F.col("_end") - F.col("_c")))
     picked = ordered.select("_g", "_ranks", F.explode(hits).alias("r"), "_v")
-    return materialize(picked.groupBy("_g", "_ranks").agg(F.map_from_entries(F.collect_list(F.struct("r", "_v"))).alias("_found")))
+    return picked.groupBy("_g", "_ranks").agg(F.map_from_entries(F.collect_list(F.struct("r", "_v"))).alias("_found"))

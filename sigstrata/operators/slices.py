@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, materialize_measured
 from .joins import bounded_broadcast
 
 SLICE_ROWS = 250_000
@@ -44,7 +44,7 @@ def _sort_columns(order_by: Order) -> list[Column]:
 def _counted(rows: DataFrame, groups: Sequence[str], order_by: Order) -> DataFrame:
     """Rows and key ranges of each slice ``_path``."""
     ranges = [f(c).alias(f"_{n}{k}") for k, (c, _) in enumerate(order_by) for f, n in ((F.min, "low"), (F.max, "high"))]
-    return materialize(rows.groupBy(*groups, "_path").agg(F.count(F.lit(1)).alias("_rows"), *ranges))
+    return rows.groupBy(*groups, "_path").agg(F.count(F.lit(1)).alias("_rows"), *ranges)
 
 
 def _first_cut(df: DataFrame, order_by: Order, slice_rows: int) -> DataFrame:
@@ -65,13 +65,13 @@ def _cut_again(rows: DataFrame, crowded: DataFrame, groups: Sequence[str], order
     return with_slices(rows, crowded, groups).withColumn("_path", cut).select(*rows.columns)
 
 
-def with_slices(rows: DataFrame, slices: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """``rows`` that are in ``slices``, with their columns."""
+def with_slices(rows: DataFrame, slices: DataFrame, groups: Sequence[str], known_rows: int | None = None) -> DataFrame:
+    """``rows`` that are in ``slices`` (``known_rows`` of them, if the caller has counted), with their columns."""
     named = slices.withColumnsRenamed({c: f"_of_{c}" for c in [*groups, "_path"]})
     same = rows["_path"] == named["_of__path"]
     for c in groups:
         same = same & rows[c].eqNullSafe(named[f"_of_{c}"])
-    return rows.join(bounded_broadcast(named, pin=False), same).drop(*[f"_of_{c}" for c in [*groups, "_path"]])
+    return rows.join(bounded_broadcast(named, pin=False, known_rows=known_rows), same).drop(*[f"_of_{c}" for c in [*groups, "_path"]])
 
 
 def rank_rows(df: DataFrame, order_by: Order, partition_by: Sequence[str] = (), index_col: str = "idx",
@@ -89,19 +89,14 @@ def rank_rows(df: DataFrame, order_by: Order, partition_by: Sequence[str] = (),
         equal = equal & F.col(f"_low{k}").eqNullSafe(F.col(f"_high{k}"))
     pieces, tables = [], []
     for depth in range(MAX_CUTS):
-        slices = _counted(rows, groups, order_by)
         full = (F.col("_rows") > CROWDED * slice_rows) if depth < MAX_CUTS - 1 else F.lit(False)
-        folded = (F.col("_rows") > CROWDED * slice_rows) & equal
+        slices, seen = materialize_measured(_counted(rows, groups, order_by), full=F.count_if(full), uneven=F.count_if(full & ~equal))
         pieces.append((rows, slices.where(~full), False))
-        crowded = slices.where(full)
-        several = crowded.limit(1).count()
-        if not several:
+        if seen["full"]:
+            pieces.append((rows, slices.where(full & equal), True))
+        if not seen["uneven"]:
             break
-        pieces.append((rows, slices.where(folded), True))
-        crowded = crowded.where(~equal)
-        if not crowded.limit(1).count():
-            break
-        rows = _cut_again(rows, crowded, groups, order_by, slice_rows)
+        rows = _cut_again(rows, slices.where(full & ~equal), groups, order_by, slice_rows)
     for at, (_, slices, fold) in enumerate(pieces):
         tables.append(slices.select(*groups, "_path", "_rows", F.lit(at).alias("_piece")))
     every = tables[0]
@@ -119,8 +114,8 @@ def rank_rows(df: DataFrame, order_by: Order, partition_by: Sequence[str] = (),
         own = every.where(F.col("_piece") == at).select(*groups, "_path", *extra)
         found = with_slices(part, own, groups)
         if fold:
-            found = found.groupBy(*found.columns).agg(F.count(F.lit(1)).alias("_n"))
-            found = found.withColumn("_at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
+            found = found.groupBy(*found.columns).agg(F.count(F.lit(1)).alias("_copies"))
+            found = found.withColumn("_at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_copies") - 1)))
         else:
             found = found.withColumn("_at", (F.row_number().over(inside) - 1).cast("bigint"))
         found = found.select(*df.columns, *extra[1:], (F.col("_before") + F.col("_at")).alias(index_col))
@@ -136,10 +131,10 @@ def first_rows(df: DataFrame, order_by: Order, k: int, partition_by: Sequence[st
     before = Window.partitionBy(*groups).orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)
     slices = _counted(rows, groups, order_by).select(*groups, "_path", "_rows")
     slices = slices.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0).cast("bigint")))
-    slices = materialize(slices.where(F.col("_before") < k))
+    slices, seen = materialize_measured(slices.where(F.col("_before") < k), cut=F.count_if(F.col("_before") + F.col("_rows") > k))
     whole = with_slices(rows, slices.where(F.col("_before") + F.col("_rows") <= k), groups).select(*columns)
     cut = slices.where(F.col("_before") + F.col("_rows") > k)
-    if not cut.limit(1).count():
+    if not seen["cut"]:
         return whole
     within = with_slices(rows, cut.withColumn("_left", k - F.col("_before")).drop("_rows", "_before"), groups).drop("_path")
     ranked = rank_rows(within, order_by, [*groups, "_left"], index_col="_row", slice_rows=slice_rows)

@@ -11,7 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -84,6 +84,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialize_measured(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """``materialize(df)`` and aggregates over its rows, from the one job that writes it."""
+    seen = Observation()
+    out = materialize(df.observe(seen, *[c.alias(name) for name, c in measures.items()]))
+    return out, seen.get
+
+
 def hadoop_fs(spark: SparkSession, path: str):
     """Hadoop FileSystem and Path objects for ``path`` (works for any cluster FS)."""
     jvm = spark.sparkContext._jvm

@@ -9,10 +9,7 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
-
-from sigstrata.operators import downsample, lttb_indices, minmax_preselect, point_budget
+from sigstrata.operators import downsample, lttb_picks, minmax_preselect, point_budget
 
 
 def expected_preselect(ys, buckets):
@@ -25,26 +22,39 @@ def expected_preselect(ys, buckets):
 
 
 def buckets_of(n, t):
-    """Index ranges of the inner buckets, by exact fractions."""
-    cut = [math.floor(Fraction(b * (n - 2), t - 2)) + 1 for b in range(t - 1)]
+    """Index ranges of the inner buckets: their width is a floating-point number."""
+    cut = [math.floor(b * ((n - 2) / (t - 2))) + 1 for b in range(t - 1)]
     return list(zip(cut, cut[1:]))
 
 
+def kept(spark, series, t, origin=0):
+    """Positions that LTTB keeps of each of ``series`` (lists of values, one second apart)."""
+    rows = [(k, [(origin + i, float(v)) for i, v in enumerate(ys)]) for k, ys in enumerate(series)]
+    df = spark.createDataFrame(rows, "k int, points array<struct<ts: bigint, value: double>>")
+    got = df.select("k", lttb_picks("points", t)["ts"].alias("at")).collect()
+    return [[x - origin for x in r["at"]] for r in sorted(got, key=lambda r: r["k"])]
+
+
 @pytest.mark.parametrize("ys,t,want", [
     ([0, 1, 9, 2, 0], 3, [0, 2, 4]),                 # one bucket: the highest point over the base line
     ([0, 3, 1, -4, 2, 0], 4, [0, 1, 3, 5]),          # twice the areas: 11.5 to 5.5, then 22 to 5
     ([0, 0, 0, 0, 0, 0], 4, [0, 1, 3, 5]),           # all areas equal: the earliest of each bucket
     ([5, 1, 2], 3, [0, 1, 2]), ([5, 1, 2, 7], 2, [0, 1, 2, 3]),
 ])
-def test_lttb_worked_out_by_hand(ys, t, want):
-    assert lttb_indices(np.arange(len(ys), dtype=float) + 1e12, np.array(ys, float), t).tolist() == want
+def test_lttb_worked_out_by_hand(spark, ys, t, want):
+    assert kept(spark, [ys], t, origin=10**12) == [want]
+
+
+@pytest.mark.parametrize("t", [1, 3, 4, 11, 80])
+def test_lttb_picks_the_largest_triangle_of_each_bucket(spark, t):
+    rnd = random.Random(t)
+    series = [[rnd.choice([rnd.randint(-1000, 1000), rnd.randint(-2, 2)]) for _ in range(n)] for n in [1, 2, 3, 4, 5, t, t + 1, 8 * t, *rnd.sample(range(6, 300), 20)]]
+    for ys, keep in zip(series, kept(spark, series, t)):
+        check_triangles(ys, t, keep)
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.lists(st.integers(-1000, 1000), min_size=1, max_size=300), st.integers(1, 80))
-def test_lttb_picks_the_largest_triangle_of_each_bucket(ys, t):
-    x, y = np.arange(len(ys), dtype=float), np.array(ys, float)
-    keep = lttb_indices(x, y, t).tolist()
+def check_triangles(ys, t, keep):
+    x, y = range(len(ys)), ys
     if t >= len(ys) or t < 3:
         assert keep == list(range(len(ys)))
         return
@@ -62,11 +72,10 @@ def test_lttb_picks_the_largest_triangle_of_each_bucket(ys, t):
         assert area(pick) >= max(map(area, range(a, b))) * (1 - Fraction(1, 10**12))
 
 
-def test_lttb_keeps_spikes():
-    y = np.zeros(1000)
+def test_lttb_keeps_spikes(spark):
+    y = [0.0] * 1000
     y[300], y[700] = 50.0, -40.0
-    keep = set(lttb_indices(np.arange(1000.0), y, 40))
-    assert {300, 700} <= keep
+    assert {300, 700} <= set(kept(spark, [y], 40)[0])
 
 
 def test_point_budget():
@@ -101,12 +110,14 @@ def test_preselect_constant_emits_duplicates(make_sig):
 
 
 @pytest.mark.parametrize("n,t", [(30, 50), (300, 50), (401, 50), (2000, 50)])
-def test_downsample_dispatch(make_sig, n, t):
+def test_downsample_dispatch(spark, make_sig, n, t):
     rnd = random.Random(n)
     ys = [rnd.gauss(0, 1) for _ in range(n)]
     got = downsample(_series(make_sig, ys), t).orderBy("seq").collect()
     pre = np.array(expected_preselect(ys, 4 * t) if n > 8 * t else range(n))
-    want = pre[lttb_indices(pre * 1000.0, np.array(ys)[pre], t)].tolist()
+    rows = [(0, [(int(i) * 1000, ys[i]) for i in pre])]
+    points = spark.createDataFrame(rows, "k int, points array<struct<ts: bigint, value: double>>")
+    want = [ts // 1000 for ts in points.select(lttb_picks("points", t)["ts"]).first()[0]]
     assert [r["ts"] // 1000 for r in got] == want
     assert [r["seq"] for r in got] == list(range(len(want)))
 
