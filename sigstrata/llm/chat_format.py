@@ -544,3 +544,24 @@ def digest(formatted: Column, loss_spans: Column) -> Column:
         return pd.DataFrame(out, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256"])
 
     return read(formatted, loss_spans)
+
+
+def _sql() -> str:
+    """DuckDB SQL of the digests of ``conversations`` and of the two rows of conversation -1."""
+    case = "</s>[INST] ok [/INST]"
+    controls = "|".join(re.sub(r"([\[\]])", r"\\\1", c) for c in CONTROLS)
+    escaped = "length({0}) + length({0}) - length(replace({0}, '\\', '')) + len(regexp_extract_all({0}, '" + controls + "'))"
+    order = "ORDER BY turn NULLS FIRST, role, text"
+    return f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '{case}' UNION ALL SELECT -1, 1, 'assistant', '{case}'),
+e AS (SELECT *, {escaped.format('role')} AS role_chars, {escaped.format('text')} AS text_chars FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {order})) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' {order}) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(length('<s>') + sum(text_chars + CASE role WHEN 'user' THEN length('[INST]  [/INST]') WHEN 'assistant' THEN length('[OUT] </s>')
+                                ELSE role_chars + length('[ROLE][/ROLE][/TURN]') END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+
+SQL = _sql()

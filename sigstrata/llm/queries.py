@@ -109,6 +109,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_chat_format": chat_format.SQL,
     "op12_source_divergence": source_divergence.SQL,
     "op13_filter_audit": filter_audit.SQL,
 }
