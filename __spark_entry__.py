@@ -571,6 +571,26 @@ def q_stream_replay_after_archive(spark, d):
     return _kept(store, _sig_cols(store.unified()))
 
 
+def q_archive_result(spark, d):
+    # what two archives report: rows moved, and the watermark they set
+    store, _ = _loaded_store(spark, d)
+    found = [store.archive_before(w) for w in (ARCHIVE_1, ARCHIVE_2, ARCHIVE_1)]
+    rows = [(at, r.archived, r.rows, r.watermark) for at, r in enumerate(found)]
+    return _kept(store, spark.createDataFrame(rows, "step int, archived boolean, rows bigint, watermark bigint"))
+
+
+def q_store_rejects(spark, d):
+    # values of one channel are lost on the way, those of another are no numbers
+    sig = _ev(spark, d)
+    value = F.when(F.col("channel_id") == 1, None).when(F.col("channel_id") == 2, F.lit(float("nan"))).otherwise(F.col("value"))
+    store = SignalStore(spark, scratch_path(spark, "store"))
+    store.append(sig.withColumn("value", value), key="lossy")
+    store.append(sig, key="lossy")                  # a retry changes nothing
+    counts = [df.groupBy("channel_id").agg(F.count(F.lit(1)).alias("n"), F.count("ts").alias("n_ts")).withColumn("kept", F.lit(kept))
+              for df, kept in ((store.unified(), True), (store.rejects(), False))]
+    return _kept(store, counts[0].unionByName(counts[1]))
+
+
 def q_bulk_load_keeps_streamed(spark, d):
     store, _ = _run_ingest(spark, d)
     store.bulk_load(_ev(spark, d).limit(3))         # skipped: the store is not empty
@@ -715,6 +735,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "store_drill": q_store_drill,
     "archive_during_append": q_archive_during_append,
     "stream_replay_after_archive": q_stream_replay_after_archive,
+    "archive_result": q_archive_result,
+    "store_rejects": q_store_rejects,
     "bulk_load_keeps_streamed": q_bulk_load_keeps_streamed,
     "channels_upsert_saved": q_channels_upsert_saved,
     "archive_retires_ingest": q_archive_retires_ingest,
@@ -1104,6 +1126,15 @@ last_day AS (SELECT * FROM signals
                                              200, source="last_day"),
     "archive_roundtrip": _with(_EV, "\nSELECT ts, channel_id, value FROM signals"),
     "archive_twice": _with(_EV, "\nSELECT ts, channel_id, value FROM signals"),
+    "archive_result": _with(_EV, f"""
+SELECT CAST(0 AS INTEGER) AS step, true AS archived, count(*) AS rows, CAST({ARCHIVE_1 - ARCHIVE_1 % DAY_MS} AS BIGINT) AS watermark
+FROM signals WHERE ts < {ARCHIVE_1 - ARCHIVE_1 % DAY_MS}
+UNION ALL
+SELECT 1, true, count(*), {ARCHIVE_2} FROM signals WHERE ts >= {ARCHIVE_1 - ARCHIVE_1 % DAY_MS} AND ts < {ARCHIVE_2}
+UNION ALL
+SELECT 2, false, 0, {ARCHIVE_2}"""),
+    "store_rejects": _with(_EV, """
+SELECT channel_id, count(*) AS n, count(ts) AS n_ts, channel_id NOT IN (1, 2) AS kept FROM signals GROUP BY channel_id"""),
     "stream_replay_after_archive": _with(_EV, "\nSELECT ts, channel_id, value FROM signals"),
     "archive_twice_l1": _rollup_sql(_EV, MINUTE_MS),
     "archive_twice_l2": _rollup_sql(_EV, HOUR_MS),
