@@ -33,7 +33,7 @@ from sigstrata.session import delete_path, materialize, scratch_path
 from sigstrata.sources.adapters import ensure_channels, event_signals, lineitem_signals, read_table, to_signals
 from sigstrata.sources.ingest import encode_rows, parse_rows
 from sigstrata.sources.store import SignalStore
-from sigstrata.streaming.jobs import await_end, file_source, ingest_totals, start_ingest
+from sigstrata.streaming.jobs import await_end, file_source, ingest_totals, start_ingest, start_rollup
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -47,6 +47,7 @@ HIST_BINS = 20
 DENSE_BINS = 200
 PRESELECT_BUCKETS = 100
 RANKED_ACCURACY = 50
+SKETCH_ERROR = 0.02
 L1_VIEW = (T0 + 3 * DAY_MS + 1_800_000, T0 + 10 * DAY_MS)   # unaligned start exercises K3
 L2_VIEW = (T0 + 2 * DAY_MS + 1_234_567, T0 + 25 * DAY_MS)
 ARCHIVE_1 = T0 + 10 * DAY_MS + 5 * HOUR_MS     # not midnight: aligned down by the store
@@ -689,6 +690,33 @@ def q_stream_rollup_l2(spark, d):
     return _run_rollup(spark, d, "L2")
 
 
+def _state_rollup(spark, d, layer):
+    root = scratch_path(spark, "stream-store")
+    start_rollup(_event_stream(spark, d), root, f"{root}/_ckpt", trigger={"availableNow": True}).awaitTermination()
+    store = SignalStore(spark, root)
+    return _kept(store, _round_rollup(store.rollup_layer(layer).drop("dt")))
+
+
+def q_stream_state_rollup_l1(spark, d):
+    return _state_rollup(spark, d, "L1")
+
+
+def q_stream_state_rollup_l2(spark, d):
+    return _state_rollup(spark, d, "L2")
+
+
+def q_store_boxplot_sketched(spark, d):
+    # day boxes from hourly sketches; a quartile is right if its rank is within SKETCH_ERROR
+    store, sig = _loaded_store(spark, d)
+    store.build_sketches()
+    boxes = store.sketched_boxplot(ALL_START, ALL_END, bucket_ms=DAY_MS)
+    ranked = sig.withColumn("gk", F.col("ts") - F.pmod("ts", F.lit(DAY_MS))).join(boxes.select("gk", "q1", "median", "q3"), "gk")
+    fine = [((F.avg((F.col("value") < F.col(q)).cast("int")) - SKETCH_ERROR <= p)
+             & (F.avg((F.col("value") <= F.col(q)).cast("int")) + SKETCH_ERROR >= p)).alias(f"{q}_fine")
+            for q, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))]
+    return _kept(store, boxes.select("gk", "low", "high", "n").join(ranked.groupBy("gk").agg(*fine), "gk"))
+
+
 def q_stream_rollup_repaired(spark, d):
     # newer rows first, then rows older than any lateness, after a restart from the checkpoint
     root, inbox = scratch_path(spark, "stream-store"), scratch_path(spark, "stream-files")
@@ -736,6 +764,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "archive_during_append": q_archive_during_append,
     "stream_replay_after_archive": q_stream_replay_after_archive,
     "archive_result": q_archive_result,
+    "stream_state_rollup_l1": q_stream_state_rollup_l1,
+    "stream_state_rollup_l2": q_stream_state_rollup_l2,
+    "store_boxplot_sketched": q_store_boxplot_sketched,
     "store_rejects": q_store_rejects,
     "bulk_load_keeps_streamed": q_bulk_load_keeps_streamed,
     "channels_upsert_saved": q_channels_upsert_saved,
@@ -1126,6 +1157,11 @@ last_day AS (SELECT * FROM signals
                                              200, source="last_day"),
     "archive_roundtrip": _with(_EV, "\nSELECT ts, channel_id, value FROM signals"),
     "archive_twice": _with(_EV, "\nSELECT ts, channel_id, value FROM signals"),
+    "stream_state_rollup_l1": _rollup_sql(_EV, MINUTE_MS),
+    "stream_state_rollup_l2": _rollup_sql(_EV, HOUR_MS),
+    "store_boxplot_sketched": _with(_EV, f"""
+SELECT (ts // {DAY_MS}) * {DAY_MS} AS gk, min(value) AS low, max(value) AS high, count(*) AS n,
+       true AS q1_fine, true AS median_fine, true AS q3_fine FROM signals GROUP BY 1"""),
     "archive_result": _with(_EV, f"""
 SELECT CAST(0 AS INTEGER) AS step, true AS archived, count(*) AS rows, CAST({ARCHIVE_1 - ARCHIVE_1 % DAY_MS} AS BIGINT) AS watermark
 FROM signals WHERE ts < {ARCHIVE_1 - ARCHIVE_1 % DAY_MS}

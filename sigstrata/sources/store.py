@@ -6,6 +6,7 @@ Layout under one root (any shared Hadoop file system that renames a folder in on
     g=<n>/archive/a=<watermark>-<id>/dt=.../  archived L0 rows (S7), one folder per archive, with the list
                                             ``_moved`` of the (batch, dt) folders that it holds
     g=<n>/l1/dt=..., g=<n>/l2/dt=...        minute and hour rollups (R1-R5)
+    g=<n>/l2q/dt=...                        hourly quantile sketches, where they are built (A1)
     channels/v=<n>/                         channel dictionary, newest committed version counts (S2)
     rejects/batch=<key>/                    rows with NULL or non-finite fields (S1), where there are any
     _staged/                                writes under way
@@ -38,15 +39,22 @@ from pyspark.sql import types as T
 
 from ..functions.time import bucket_start, date_of_ms, day_floor_ms, day_of
 from ..functions.args import int_arg
+from ..operators.filters import in_range
 from ..operators.joins import bounded_broadcast
 from ..operators.reads import rollup, rollup_from_rollup, signal_page
-from ..schemas import (CHANNEL_SCHEMA, DAY_MS, HOUR_MS, MINUTE_MS, ROLLUP_STORED_SCHEMA, SIGNAL_SCHEMA,
+from ..schemas import (CHANNEL_SCHEMA, DAY_MS, HOUR_MS, MINUTE_MS, ROLLUP_SCHEMA, ROLLUP_STORED_SCHEMA, SIGNAL_SCHEMA,
                        SIGNAL_STORED_SCHEMA)
 from ..session import delete_path, hadoop_fs, has_parquet, materialize, path_exists
 
 HOT_SCHEMA = T.StructType([*SIGNAL_STORED_SCHEMA.fields, T.StructField("batch", T.StringType())])
 MOVED_SCHEMA = "batch string, dt date"
 
+SKETCH_SCHEMA = T.StructType([T.StructField("ts", T.LongType()), T.StructField("channel_id", T.IntegerType()), T.StructField("n", T.LongType()),
+                              T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType()), T.StructField("sketch", T.BinaryType()),
+                              T.StructField("dt", T.DateType())])
+# Size of a quantile sketch: its rank error is about 3 / SKETCH_K.
+SKETCH_K = 800
+
 ROLLUP_LAYERS = {"L1": ("l1", MINUTE_MS), "L2": ("l2", HOUR_MS)}
 # How far behind the newest stored bucket a fresh read recomputes.
 LOOKBACK_MS = {"L1": HOUR_MS, "L2": DAY_MS}
@@ -70,6 +78,13 @@ def _time_ordered(df: DataFrame, *folders: str) -> DataFrame:
     return df.repartitionByRange("ts", "channel_id", F.xxhash64(*rest)).sortWithinPartitions(*folders, "ts")
 
 
+def _sketched(rows: DataFrame) -> DataFrame:
+    """``SKETCH_SCHEMA`` without the day, of L0 rows."""
+    return rows.groupBy(bucket_start("ts", HOUR_MS).alias("ts"), "channel_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"),
+        F.kll_sketch_agg_double("value", SKETCH_K).alias("sketch"))
+
+
 class _Layers(dict):
     """Mapping of layer name to relation that builds a layer on first access."""
 
@@ -337,6 +352,8 @@ class SignalStore:
         fresh.append(sig)
         if rollups:
             fresh.rebuild_rollups()
+        if has_parquet(self.spark, self.path("l2q")):
+            fresh.build_sketches()
         if path_exists(self.spark, f"{fresh.root}/rejects"):
             for name, p in fresh._folders(f"{fresh.root}/rejects", "batch="):
                 self._rename(p, f"{self.root}/rejects/{name}")
@@ -350,7 +367,7 @@ class SignalStore:
 
     # ---- rollups --------------------------------------------------------------------------
     def _write_rollup(self, layer: str, rows: DataFrame) -> None:
-        sub, _ = ROLLUP_LAYERS[layer]
+        sub = {**{k: v[0] for k, v in ROLLUP_LAYERS.items()}, "sketches": "l2q"}[layer]
         out = _time_ordered(rows.withColumn("dt", day_of("ts")), "dt")
         (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("dt").parquet(self.path(sub)))
@@ -361,6 +378,42 @@ class SignalStore:
         self._write_rollup("L1", rollup(self.unified(), MINUTE_MS))
         self._write_rollup("L2", rollup_from_rollup(self.rollup_layer("L1"), HOUR_MS))
 
+    def sketches(self) -> DataFrame:
+        """Hourly quantile sketches: ``ts, channel_id, n, low, high, sketch, dt``."""
+        return self._read("l2q", SKETCH_SCHEMA)
+
+    def build_sketches(self) -> None:
+        """Sketch the values of every hour and channel (A1); from then on, refreshed hours are sketched with the rollups."""
+        self._write_rollup("sketches", _sketched(self.unified()))
+
+    def sketched_boxplot(self, start: int, end: int, channel_id: int | None = None, bucket_ms: int | None = None) -> DataFrame:
+        """Box statistics ``gk, low, q1, median, q3, high, n`` (Q3, Q4) of the hours that start in ``[start, end]``, from their
+        sketches alone: no L0 row is read. ``low``, ``high`` and ``n`` are exact, the quartiles observed values of about
+        their rank (``SKETCH_K``). ``bucket_ms`` must be whole hours."""
+        if bucket_ms is not None and int_arg(bucket_ms, "bucket_ms", minimum=1) % HOUR_MS:
+            raise ValueError("bucket_ms must be whole hours")
+        key = F.col("channel_id").cast("bigint") if bucket_ms is None else bucket_start("ts", bucket_ms)
+        merged = in_range(self.sketches(), start, end, channel_id).groupBy(key.alias("gk")).agg(
+            F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", SKETCH_K).alias("all"))
+        quartile = {name: F.kll_sketch_get_quantile_double("all", F.lit(p)).alias(name) for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))}
+        return merged.select("gk", "low", *quartile.values(), "high", "n").orderBy("gk")
+
+    def merge_buckets(self, buckets: DataFrame) -> None:
+        """Put whole L1 buckets (``ROLLUP_SCHEMA``) in the place of stored ones, and derive their hours of L2 from L1: what a
+        rollup that is kept as stream state has changed (T5). Repeating it changes nothing."""
+        buckets = materialize(buckets.select(*ROLLUP_SCHEMA.fieldNames()))
+        days = [r["d"] for r in buckets.select(day_of("ts").alias("d")).distinct().collect()]      # one row per day
+        if not days:
+            return
+        in_days, hour = F.col("dt").isin(days), bucket_start("ts", HOUR_MS)
+        others = self.rollup_layer("L1").where(in_days).drop("dt").join(buckets.select("ts", "channel_id"), ["ts", "channel_id"], "left_anti")
+        l1 = materialize(others.unionByName(buckets))
+        self._write_rollup("L1", l1)
+        hours = buckets.select(hour.alias("_hour")).distinct()
+        touched = l1.withColumn("_hour", hour).join(hours, "_hour", "left_semi")
+        kept = self.rollup_layer("L2").where(in_days).drop("dt").withColumn("_hour", F.col("ts")).join(hours, "_hour", "left_anti").drop("_hour")
+        self._write_rollup("L2", materialize(kept.unionByName(rollup_from_rollup(touched, HOUR_MS))))
+
     def refresh_hours(self, hours: list[int]) -> None:
         """Recompute the L1 and L2 buckets of ``hours`` (their starts) from their L0 rows alone.
 
@@ -380,6 +433,9 @@ class SignalStore:
             stored = self.rollup_layer(layer).where(in_days).withColumn("_hour", hour)
             others = stored.join(F.broadcast(named), "_hour", "left_anti").drop("_hour", "dt")
             self._write_rollup(layer, materialize(others.unionByName(fresh)))
+        if has_parquet(self.spark, self.path("l2q")):
+            others = self.sketches().where(in_days).join(F.broadcast(named), F.col("ts") == F.col("_hour"), "left_anti").drop("dt")
+            self._write_rollup("sketches", materialize(others.unionByName(_sketched(touched))))
 
     def _stale_hours(self, days: Column | None = None) -> list[int]:
         """Hours of ``days`` whose rollups do not count as many rows as L0 (append-only store: an hour's content

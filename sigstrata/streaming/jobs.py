@@ -9,8 +9,8 @@
 * T4 every batch records its row count, newest ``ts`` and hours in one small file; ``ingest_totals`` (T6)
   sums them over all batches, however many, and ``ingest_rates`` shows rows per second. ``ingest_metrics`` shows the
   last progress reports.
-* ``start_rollup``: tumbling event-time windows with a watermark equal to the allowed
-  lateness (1 h for L1, 24 h for L2), for a sink that takes closed windows only; rows later than the
+* ``start_rollup``: the rollups as stream state, tumbling event-time windows with a watermark of the allowed
+  lateness, upserted into the store in update mode; rows later than the
   watermark are counted (``numRowsDroppedByWatermark``).
 """
 
@@ -163,13 +163,16 @@ def rollup_stream(stream: DataFrame, layer: str, lateness: str | None = None) ->
     return agg.select(ts.alias("ts"), "channel_id", "avg_v", "min_v", "max_v", "n", day_of(ts).alias("dt"))
 
 
-def start_rollup(stream: DataFrame, sink_path: str, checkpoint: str, layer: str = "L1",
-                 lateness: str | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """Maintain a rollup layer from a stream; closed windows are appended once."""
-    out = rollup_stream(stream, layer, lateness)
-    return (out.writeStream.format("parquet").option("path", sink_path)
-            .option("checkpointLocation", checkpoint).partitionBy("dt").outputMode("append")
-            .trigger(**(trigger or {"processingTime": "5 seconds"})).start())
+def start_rollup(stream: DataFrame, root: str, checkpoint: str, lateness: str | None = None,
+                 trigger: dict | None = None) -> StreamingQuery:
+    """Keep L1 and L2 of the store at ``root`` by state (T5): the minutes that may still change are the stream's state, and each
+    batch puts those it changed, open ones too, in the place of the stored ones; L2 follows from L1. L0 is not
+    read. Rows later than ``lateness`` are dropped from the rollups (T9); a repeated batch changes nothing."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        SignalStore(batch.sparkSession, root).merge_buckets(batch)
+
+    return (rollup_stream(stream, "L1", lateness).drop("dt").writeStream.foreachBatch(write).outputMode("update")
+            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": f"{REFRESH_SECONDS:.0f} seconds"})).start())
 
 
 def ingest_metrics(spark: SparkSession, query: StreamingQuery) -> DataFrame:

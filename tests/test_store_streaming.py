@@ -244,29 +244,61 @@ def test_stream_ingest_and_metrics(spark, make_sig):
     assert sum(r["observed_count"] for r in m) == 500 and max(r["observed_max_ts"] for r in m) == D0 + 499_000
 
 
-def test_stream_rollup_late_rows(spark, make_sig):
+def test_rollups_as_stream_state_drop_late_rows_and_read_no_rows(spark, make_sig, monkeypatch):
     # minute rows over 3 hours, then a row 30 min late (kept) and one 2 h late (dropped)
     rows = [(D0 + i * 10_000, 0, 1.0) for i in range(3 * 360)]
-    late_ok = (D0 + 3 * HOUR_MS - 30 * MINUTE_MS, 0, 100.0)
-    late_bad = (D0 + 5_000, 0, 100.0)
-    src = scratch_path(spark, "t-late")
-    make_sig(rows).coalesce(1).write.parquet(f"{src}/a")
-    root = scratch_path(spark, "t-roll")
-    schema = make_sig([]).schema
-    stream = file_source(spark, f"{src}/*", schema, max_files_per_trigger=1)
-    q = start_rollup(stream, f"{root}/l1", f"{root}/_ckpt", "L1", trigger={"availableNow": True})
-    q.awaitTermination()
-    closing = (D0 + 4 * HOUR_MS, 0, 1.0)                         # advances the watermark past late_ok
-    make_sig([late_ok, late_bad, closing]).coalesce(1).write.parquet(f"{src}/b")
-    q = start_rollup(file_source(spark, f"{src}/*", schema), f"{root}/l1", f"{root}/_ckpt", "L1",
-                     trigger={"availableNow": True})
+    late_ok, late_bad = (D0 + 3 * HOUR_MS - 30 * MINUTE_MS, 0, 100.0), (D0 + 5_000, 0, 100.0)
+    src, root, schema = scratch_path(spark, "t-late"), scratch_path(spark, "t-roll"), make_sig([]).schema
+    monkeypatch.setattr(SignalStore, "unified", _stop)              # L0 is not read
+    for part, new in enumerate((rows, [late_ok, late_bad, (D0 + 4 * HOUR_MS, 0, 1.0)])):
+        make_sig(new).coalesce(1).write.parquet(f"{src}/{part}")
+        q = start_rollup(file_source(spark, f"{src}/*", schema), root, f"{root}/_ckpt", trigger={"availableNow": True})
+        q.awaitTermination()
+    store = SignalStore(spark, root)
+    kept = make_sig([*rows, late_ok, (D0 + 4 * HOUR_MS, 0, 1.0)])
+    for layer, width in (("L1", MINUTE_MS), ("L2", HOUR_MS)):
+        assert _rollup_rows(store.rollup_layer(layer)) == _rollup_rows(rollup(kept, width))
+    assert sum(r["rows_dropped_by_watermark"] for r in ingest_metrics(spark, q).collect()) == 1
+
+
+def test_state_of_the_rollup_stream_is_bounded(spark, make_sig):
+    src, root = scratch_path(spark, "t-state"), scratch_path(spark, "t-roll")
+    rows = [(D0 + i * MINUTE_MS, c, float(i)) for i in range(12 * 60) for c in range(2)]
+    for part in range(6):                                            # two hours a batch
+        make_sig(rows[part * 240:(part + 1) * 240]).coalesce(1).write.parquet(f"{src}/{part}")
+    q = start_rollup(file_source(spark, f"{src}/*", make_sig([]).schema, max_files_per_trigger=1), root, f"{root}/_ckpt", trigger={"availableNow": True})
     q.awaitTermination()
-    out = {r["ts"]: r for r in spark.read.parquet(f"{root}/l1").collect()}
-    late_bucket = late_ok[0] - late_ok[0] % MINUTE_MS
-    assert out[late_bucket]["n"] == 7 and out[late_bucket]["max_v"] == 100.0
-    assert out[D0]["n"] == 6 and out[D0]["max_v"] == 1.0        # the 2 h late row was dropped
-    dropped = sum(r["rows_dropped_by_watermark"] for r in ingest_metrics(spark, q).collect())
-    assert dropped == 1
+    held = [json.loads(p.json)["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress]
+    assert held[-1] <= 2 * (60 + 120) < len(rows)                   # an hour of lateness and a batch, of two channels
+    assert _rollup_rows(SignalStore(spark, root).rollup_layer("L2")) == _rollup_rows(rollup(make_sig(rows), HOUR_MS))
+
+
+def test_box_plot_from_sketches_reads_no_rows(spark, make_sig):
+    import random
+    rnd = random.Random(6)
+    rows = [(D0 + i * 20_000, i % 2, rnd.choice([rnd.gauss(0, 1), float(i % 9)])) for i in range(26_000)]     # six days
+    store = SignalStore(spark, scratch_path(spark, "t-sketch"))
+    store.bulk_load(make_sig(rows))
+    store.build_sketches()
+    new = [(D0 + DAY_MS + i, 0, 50.0) for i in range(300)]
+    store.append(make_sig(new))
+    store.refresh_rollups(D0)
+    for bucket in (DAY_MS, 6 * HOUR_MS, None):
+        boxes = store.sketched_boxplot(D0, D0 + 7 * DAY_MS, bucket_ms=bucket)
+        assert {f.split("/dt=")[0].rsplit("/", 1)[1] for f in boxes.inputFiles()} == {"l2q"}
+        groups = {}
+        for t, c, v in rows + new:
+            groups.setdefault(c if bucket is None else t - t % bucket, []).append(v)
+        found = {r["gk"]: r for r in boxes.collect()}
+        assert found.keys() == groups.keys()
+        for gk, r in found.items():
+            values = sorted(groups[gk])
+            assert (r["low"], r["high"], r["n"]) == (values[0], values[-1], len(values))
+            for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+                below, up_to = (sum(f(v) for v in values) / len(values) for f in (lambda v: v < r[name], lambda v: v <= r[name]))
+                assert below - 0.02 <= p <= up_to + 0.02
+    with pytest.raises(ValueError):
+        store.sketched_boxplot(D0, D0 + DAY_MS, bucket_ms=MINUTE_MS)
 
 
 def test_rollup_stream_equals_batch_in_complete_mode(spark, make_sig):
@@ -489,3 +521,12 @@ def test_hot_ts_is_split_over_files(spark, make_sig):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert len(store.hot().inputFiles()) > 1 and len(_all(store)) == 20_000
+
+
+def test_rates_of_every_batch(spark, make_sig):
+    from sigstrata.streaming.jobs import ingest_rates
+    src, root = scratch_path(spark, "t-src"), scratch_path(spark, "t-rates")
+    make_sig([(D0 + i, 0, 1.0) for i in range(60)]).repartition(3).write.parquet(src)
+    _ingest_all(spark, file_source(spark, src, make_sig([]).schema, max_files_per_trigger=1), root)
+    rates = ingest_rates(spark, root).orderBy("batch_id").collect()
+    assert [r["total"] for r in rates] == [20, 40, 60] and rates[0]["seconds"] is None and all(r["rows_per_second"] > 0 for r in rates[1:])
