@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import box_label
 from ..operators.downsample import downsample, point_budget
+from ..operators.index import top_k_per_group
 from ..operators.reads import signal_range
 from ..operators.stats import attach_outliers, boxplot, outliers
 from .viewport import pick_bucket_ms, pick_layer
@@ -41,8 +42,8 @@ def boxplot_panel(sig: DataFrame, channel_id: int | None, start: int, end: int,
     w = pick_bucket_ms(end - start)
     boxes = boxplot(sig, start, end, channel_id, bucket_ms=w, quantile=quantile)
     boxes = boxes.withColumn("label", box_label("gk", tz))
-    every = outliers(sig, channel_id, start, end, None, quantile=quantile)
-    pts = every if max_points is None else outliers(sig, channel_id, start, end, max_points, quantile=quantile)
-    attached = attach_outliers(pts, boxes.select("gk", "label"), w)
+    every = outliers(sig, channel_id, start, end, None, quantile=quantile)      # one set of fences for all that follows
     keys = ["channel_id"] if "channel_id" in every.columns else []
+    pts = every if max_points is None else top_k_per_group(every, keys, ["ts", "value"], max_points)
+    attached = attach_outliers(pts, boxes.select("gk", "label"), w)
     return BoxPanel(w, boxes, attached, every.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_outliers")))

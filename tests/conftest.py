@@ -16,7 +16,7 @@ SF_ORACLE = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = get_session("local[*]", app="sigstrata-tests", shuffle_partitions=8)
+    s = get_session("local[*]", app="sigstrata-tests", shuffle_partitions=4)
     yield s
     s.stop()
 
