@@ -67,22 +67,27 @@ def _exact(df: DataFrame, keys: list[str], value: str, probs, names, accuracy: i
     begin = F.array(*[F.when(small, F.col("low")).otherwise(F.col("_q")[2 * i]) for i in range(len(order))])
     end = F.array(*[F.when(small, F.col("high")).otherwise(F.col("_q")[2 * i + 1]) for i in range(len(order))])
     sketch, seen = materialize_measured(sketch.select("*", ranks.alias("_ranks"), begin.alias("_begin"), end.alias("_end")),
-                                        groups=F.count(F.lit(1)), ranked=F.count_if(F.col("_n") > 0))
-    groups = seen["groups"]
-    whole = F.size("_found") == F.size("_ranks")
-    found, got = materialize_measured(_select(rows, sketch.where("_n > 0"), groups), ranked=F.count_if(whole))
-    if got["ranked"] < seen["ranked"]:
-        missed = sketch.where("_n > 0").join(found.where(F.size("_found") == F.size("_ranks")).select("_g"), "_g", "left_anti")
-        whole = materialize(missed.withColumns({"_begin": F.array("low"), "_end": F.array("high")}))
-        again = _select(rows.join(whole.select("_g"), "_g", "left_semi"), whole, groups)
-        found = found.join(whole.select("_g"), "_g", "left_anti").unionByName(again)
-    out = sketch.join(found.select("_g", "_found"), "_g", "left")
+                                        groups=F.count(F.lit(1)), most=F.max("n"))
+    if (seen["most"] or 0) < accuracy:          # every group is one bracket: the built-in function orders as many values
+        agg = df.groupBy(*keys).agg(F.min(value).alias("low"), F.percentile(value, list(probs)).alias("_q"),
+                                    F.max(value).alias("high"), F.count(F.lit(1)).alias("n"))
+        return agg.select(*keys, "low", *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)], "high", "n")
 
     def between(x):
         (a, b), (lower, upper) = (F.floor(x), F.ceil(x)), (F.element_at("_found", f(x).cast("bigint")) for f in (F.floor, F.ceil))
         return F.when(lower == upper, lower).otherwise((b - x) * lower + (x - a) * upper)
 
-    out = out.select("*", *[between(at[p]).alias(f"_is_{nm}") for p, nm in zip(probs, names)])
+    def looked_up(rows, wanted):
+        found = _select(rows, wanted.where("_n > 0"), seen["groups"]).select("_g", "_found")
+        missed = (F.col("_n") > 0) & (F.coalesce(F.size("_found"), F.lit(-1)) < F.size("_ranks"))
+        return wanted.join(found, "_g", "left").select(
+            "_g", "low", *[between(at[p]).alias(f"_is_{nm}") for p, nm in zip(probs, names)], "high", "n", missed.alias("_missed"))
+
+    out, got = materialize_measured(looked_up(rows, sketch), missed=F.count_if("_missed"))
+    if got["missed"]:
+        again = out.where("_missed").select("_g")
+        whole = materialize(sketch.join(again, "_g", "left_semi").withColumns({"_begin": F.array("low"), "_end": F.array("high")}))
+        out = out.where("not _missed").unionByName(looked_up(rows.join(again, "_g", "left_semi"), whole))
     own = [F.col(f"_g.{k}").alias(k) for k in keys]
     return out.select(*own, "low", *[F.col(f"_is_{nm}").alias(nm) for nm in names], "high", "n")
 
