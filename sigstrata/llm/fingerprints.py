@@ -5,11 +5,13 @@ hash votes on every bit with a signed weight: the damped term count ``1 + ln(cou
 twice as much as single words since they say more about the text. A bit is 1 where the sum is
 positive. Equal texts have equal fingerprints. A text without words has fingerprint zero.
 
-``within_radius`` finds, for query fingerprints, all fingerprints at most ``radius`` bits away.
-There is a table for each choice of blocks. No bit is permuted and no table is ordered: a mask (op5's
-``block_masks``) stands for the permutation that would put the chosen blocks first, fingerprints are joined
-on the masked bits and verified in whole. Any pair within the radius agrees on the chosen
-blocks of some table, so none is missed. Equal fingerprints are folded before.
+``within_radius`` finds, for query fingerprints, all fingerprints at most ``radius`` bits away, in permuted
+block tables: the bits are cut into blocks, and for each choice of blocks there is a table of the fingerprints with
+their bits permuted so that the chosen blocks lead. A merge join brings a table and the queries, permuted alike, into
+the order of their leading bits, so each query meets the run of rows that share them; these are
+verified in whole. Any pair within the radius agrees on the chosen blocks of some table, so none is
+missed, and it counts in the first such table. Equal fingerprints are folded before. The rows of a table are dealt into
+``SPREAD`` slices and every query looks into each, so a run of many rows is no single task.
 
 ``edited`` gives each document the text whose last third is replaced by the beginning of the
 next document in descending id order (ties: by the XXH64 of the text, descending, then the text; after the last, the first).
@@ -26,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -35,9 +38,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import pinned, text_of
-from .simhash_dedup import BITS, _signed, block_masks
+from .simhash_dedup import BITS, _signed
 
 RADIUS = 3
+RUN = 4             # unrelated fingerprints that may share their leading bits, on average
+SPREAD = 8          # slices of a table
 DONE, HEAD, TAIL = 0, 1, 2      # a finished row, a partition's first document, its last
 _ROW = "doc long, n_chars long, edited_sha256 string, fp long, edited_fp long, next_fp long"
 
@@ -138,23 +143,54 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return made.where(F.col("kind") == DONE).select(*tails.columns).unionByName(tails)
 
 
+def block_tables(distinct: int, radius: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """``(order, lead)`` of each table: its blocks (first bit, end), chosen ones first, and their bits in all.
+
+    As few blocks as leave at most ``RUN`` of ``distinct`` random fingerprints with the same leading bits.
+    """
+    if not 0 <= radius < BITS:
+        raise ValueError(f"radius must be in 0..{BITS - 1}")
+    for n in range(radius + 1, min(BITS, radius + 5) + 1):
+        edges = [round(BITS * i / n) for i in range(n + 1)]
+        blocks = list(zip(edges, edges[1:]))
+        tables = []
+        for chosen in combinations(blocks, n - radius):
+            tables.append(([*chosen, *(b for b in blocks if b not in chosen)], sum(end - at for at, end in chosen)))
+        if distinct <= RUN << min(lead for _, lead in tables):
+            break
+    return tables
+
+
+def permuted(fp: Column, order: list[tuple[int, int]]) -> Column:
+    """``fp`` with its bits in the order of the blocks, the first block in the highest bits."""
+    place, out = BITS, F.lit(0).cast("long")
+    for at, end in order:
+        place -= end - at
+        block = F.shiftrightunsigned(fp, at).bitwiseAND(F.lit(_signed((1 << (end - at)) - 1)))
+        out = out.bitwiseOR(F.shiftleft(block, place))
+    return out
+
+
 def within_radius(prints: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Every pair ``(query_fp, fp, bits)`` with ``bits <= radius`` between the distinct ``fp`` of
-    both, found in the tables of masked blocks."""
+    both, found in the permuted block tables."""
     prints, queries = prints.select("fp").distinct(), queries.select(F.col("fp").alias("query_fp")).distinct()
-    masks = block_masks(prints.count(), radius)
+    tables = block_tables(prints.count(), radius)
+
+    def leading(col: Column, order: list[tuple[int, int]], lead: int) -> Column:
+        return F.shiftrightunsigned(permuted(col, order), BITS - lead)
 
-    def tables(df, col):
-        keys = [F.struct(F.lit(t).alias("t"), F.col(col).bitwiseAND(F.lit(_signed(m))).alias("lead"))
-                for t, m in enumerate(masks)]
-        return df.select(col, F.explode(F.array(*keys)).alias("k")).select(col, "k.t", "k.lead")
+    def ordered(df: DataFrame, col: str) -> DataFrame:
+        rows = [F.struct(F.lit(t).alias("t"), leading(F.col(col), *table).alias("lead")) for t, table in enumerate(tables)]
+        return df.select("*", F.explode(F.array(*rows)).alias("r")).select(*df.columns, "r.*")
 
+    held = ordered(prints.withColumn("slice", F.pmod(F.xxhash64("fp"), F.lit(SPREAD)).cast("int")), "fp")
+    asked = ordered(queries.withColumn("slice", F.explode(F.array(*[F.lit(i) for i in range(SPREAD)]))), "query_fp")
     differ = F.col("query_fp").bitwiseXOR(F.col("fp"))
-    # a pair counts in the first table whose leading bits agree
-    first = F.lit(False)
-    for t, m in reversed(list(enumerate(masks))):
-        first = F.when(differ.bitwiseAND(F.lit(_signed(m))) == 0, F.col("t") == t).otherwise(first)
-    return (tables(prints, "fp").join(tables(queries, "query_fp"), ["t", "lead"])
+    first = F.lit(False)        # this is the first table whose leading bits agree
+    for t, table in reversed(list(enumerate(tables))):
+        first = F.when(leading(differ, *table) == 0, F.col("t") == t).otherwise(first)
+    return (held.join(asked.hint("merge"), ["t", "lead", "slice"])
             .where((F.bit_count(differ) <= radius) & first)
             .select("query_fp", "fp", F.bit_count(differ).alias("bits")))
 

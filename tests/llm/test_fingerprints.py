@@ -66,3 +66,39 @@ def test_search_equals_brute_force(spark, radius):
     near = {r.fp & U: r.n_near for r in fp.count_near(df, queries, radius).collect()}
     want = {q: sum((q ^ x).bit_count() <= radius for x in all_) for q in bases}
     assert near == {q: n for q, n in want.items() if n}
+
+
+@pytest.mark.parametrize("distinct, radius", [(1, 0), (10, 3), (10**7, 3), (10**9, 2), (10**6, 6), (5, 63)])
+def test_tables_permute_all_bits_and_cover_every_near_pair(spark, distinct, radius):
+    tables = fp.block_tables(distinct, radius)
+    assert all(sorted(x for at, end in order for x in range(at, end)) == list(range(64)) for order, _ in tables)
+    rng = np.random.default_rng(distinct)
+    for _ in range(200):
+        differ = {int(x) for x in rng.choice(64, radius, replace=False)}
+        assert any(not differ & _leading(order, lead) for order, lead in tables)
+    values = [int(x) for x in rng.integers(0, U, 20, dtype=np.uint64, endpoint=True)] + [0, U, 1 << 63]
+    df = spark.createDataFrame([(fp._signed(x),) for x in values], "fp long")
+    for order, _ in tables[:: max(1, len(tables) // 3)]:
+        got = [r[0] & U for r in df.select(fp.permuted(df.fp, order)).collect()]
+        want = [int("".join(format(x >> at & (1 << end - at) - 1, f"0{end - at}b") for at, end in order), 2) for x in values]
+        assert got == want
+
+
+def _leading(order, lead):
+    out = set()
+    for at, end in order:
+        if len(out) == lead:
+            break
+        out |= set(range(at, end))
+    return out
+
+
+def test_a_run_of_equal_leading_bits_is_searched_in_slices(spark):
+    crowd = [(5 << 48) + i * 2654435761 % (1 << 40) for i in range(3000)]     # one lead in the first blocks
+    asked = [crowd[0], crowd[7] ^ 1, U]
+    df = spark.createDataFrame([(fp._signed(x),) for x in crowd], "fp long")
+    queries = spark.createDataFrame([(fp._signed(x),) for x in asked], "fp long")
+    got = {(r.query_fp & U, r.fp & U) for r in fp.within_radius(df, queries).collect()}
+    assert got == {(q, x) for q in asked for x in crowd if (q ^ x).bit_count() <= 3} and len(got) >= 2
+    with pytest.raises(ValueError):
+        fp.within_radius(df, queries, 64)
