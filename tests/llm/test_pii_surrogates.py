@@ -114,3 +114,81 @@ def test_columns_of_any_name_are_kept(docs):
     got = ps.replace_pii(df)
     assert [c for c in got.columns if c not in ("n_ip", "n_email", "n_card", "n_ssn", "n_phone", "n_name")] == [c for c in df.columns if c not in ("n_ip", "n_email", "n_card", "n_ssn", "n_phone", "n_name")]
     assert all((r["_pi_found"], r["_pi_row"], r["_PI_id"], r["n_ip"], r["n_email"]) == (1, 2, 3, 0, 2) for r in got.collect())
+
+
+def test_one_person_has_one_name_whatever_the_title(docs):
+    got = swap(docs, [(1, "Dr Alex Smith met Mr Alex Smith"), (2, "Mrs Anna spoke. Anna Weber nodded"), (3, "Prof Alex Jones"),
+                      (4, "Mrs Kim Lee"), (5, "Mr Kim Lee"), (6, "Mr. Kim Park")])
+    a = re.fullmatch(r"Dr (\w+) (\w+) met Mr (\w+) (\w+)", got[1])
+    assert a[1] == a[3] and a[2] == a[4] and a[1].endswith("n") and got[3].split()[1] == a[1]
+    b = re.fullmatch(r"Mrs (\w+) spoke\. (\w+) (\w+) nodded", got[2])
+    assert b[1] == b[2] != b[3] and b[1].endswith("na")
+    kim = {got[i].split()[1] for i in (4, 5, 6)}            # two documents say Mr, one Mrs
+    assert len(kim) == 1 and kim.pop().endswith("n") and got[4].split()[2] == got[5].split()[2]
+
+
+def test_bare_repeats_of_a_name_are_replaced(docs):
+    text = "Weber was early. Anna Weber came; Anna left, Weber's hat too. Annabel and Weber-Lang stay, so does weber."
+    got = ps.replace_pii(docs([(1, text), (2, "Anna left and Weber was seen")])).collect()
+    by = {r.doc_id: r for r in got}
+    m = re.fullmatch(r"(\w+) was early\. (\w+) (\w+) came; (\w+) left, (\w+)'s hat too\. Annabel and Weber-Lang stay, so does weber\.", by[1].text)
+    assert m and m[1] == m[3] == m[5] and m[2] == m[4] and {"Anna", "Weber"}.isdisjoint(m.groups()) and by[1].n_name == 4
+    assert by[2].text == "Anna left and Weber was seen" and by[2].n_name == 0      # no full mention there
+
+
+def test_phones_keep_their_country_code_and_are_one_in_any_format(docs):
+    rows = [(1, "+1 555 123 4567 or (555) 123-4567 or 555.123.4567 or +15551234567"), (2, "+49 30 1234567"), (3, "+33 1 23456789, +33 1 23 45 67 89"),
+            (4, "+420 2 21234567"), (5, "+7 (495) 123-45-67"), (6, "+1 (743) 555-3824 2024")]
+    got = swap(docs, rows)
+    digits = [re.sub(r"\D", "", x) for x in got[1].split(" or ")]
+    assert digits[0] == digits[3] == "1" + digits[1] and digits[1] == digits[2] != "5551234567"
+    assert re.fullmatch(r"\+1 \d{3} \d{3} \d{4} or \(\d{3}\) \d{3}-\d{4} or \d{3}\.\d{3}\.\d{4} or \+1\d{10}", got[1])
+    assert re.fullmatch(r"\+49 \d\d \d{7}", got[2]) and re.fullmatch(r"\+420 \d \d{8}", got[4]) and re.fullmatch(r"\+7 \(\d{3}\) \d{3}-\d\d-\d\d", got[5])
+    first, second = got[3].split(", ")
+    assert re.fullmatch(r"\+33 \d \d{8}", first) and first.replace(" ", "") == second.replace(" ", "")
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4} 2024", got[6])
+    assert all(got[i] != t for i, t in rows)
+
+
+def test_a_full_number_format_gets_longer_numbers(spark):
+    rows = [("ssn", "078051120"), ("card", "4111111111111111"), ("phone", "49 301234567")]
+    mention = {"ssn": "078-05-1120", "card": "4111 1111 1111 1111", "phone": "+49 30 1234567"}
+    df = spark.createDataFrame([(k, n, mention[k]) for k, n in rows], "kind string, norm string, mention string")
+    c = ps.F.col
+    new = ps.surrogate(c("kind"), c("norm"), ps.F.lit("n"), ps.F.lit(2 * ps.WIDER), "k")
+    got = {r.kind: (r.new, r.text) for r in df.select("kind", new.alias("new"), ps._written(c("mention"), ps.F.array(new)).alias("text")).collect()}
+    assert {k: len(re.sub(r"\D", "", v)) for k, (v, _) in got.items()} == {"ssn": 11, "card": 18, "phone": 13}
+    assert luhn(got["card"][0]) == 0 and all(re.sub(r"\D", "", a) == re.sub(r"\D", "", b) for a, b in got.values())
+    assert re.fullmatch(r"\+49 \d\d \d{9}", got["phone"][1])
+
+
+def test_drawing_is_spread_over_tasks(spark):
+    entity = spark.createDataFrame([("ip", f"10.0.{i % 200}.{i // 200}") for i in range(2000)], "kind string, norm string")
+    parts = ps.attempts(entity, "k").rdd.glom().map(len).collect()
+    assert len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions")) and min(parts) > 100
+
+
+def test_planted_values_leave_the_text(docs):
+    """Mentions found by the values that were planted, not by the operator's patterns."""
+    planted = {"email": ["jo.doe+x@mail.example.org", "A_b@x-y.co"], "ip": ["192.168.17.4", "8.8.4.4"],
+               "card": ["5500 0000 0000 0004", "340000000000009"], "ssn": ["219-09-9999"],
+               "phone": ["+44 20 7946 0958", "+33 1 23456789", "(555) 010-9999", "555-010-1234", "+4915112345678"],
+               "name": ["Mr Bruno Ganz", "Frau Özil", "Sophie Marceau", "Господин Петров", "Μαρία Κάλλας"]}
+    clean = ["version 2.10", "ISBN 978-3-16-148410-0", "room 12-34-5", "at 10:30 on 2024-05-17", "Berlin and Paris", "x = y @ z", "1,234,567.89"]
+    frames = ["{}", "{}.", "({})", "see {}, then", "a\n{}\nb", "«{}»", "x; {}: y"]
+    rows, want = [], {}
+    for kind, values in planted.items():
+        for v in values:
+            for f in frames:
+                rows.append((len(rows), f.format(v)))
+                want[len(rows) - 1] = (kind, v)
+    rows += [(len(rows) + i, t) for i, t in enumerate(clean)]
+    got = {r.doc_id: r for r in ps.replace_pii(docs(rows)).collect()}
+    for i, t in rows:
+        if i not in want:
+            assert got[i].text == t
+            continue
+        kind, v = want[i]
+        assert v not in got[i].text and got[i][f"n_{kind}"] == 1, (t, got[i].text)
+        core = [w for w in v.split() if w not in ps.MALE_TITLES + ps.FEMALE_TITLES] if kind == "name" else []
+        assert not any(w in got[i].text for w in core)
